@@ -99,3 +99,23 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.
     starts = np.concatenate([[0], np.cumsum(keep)])
     picked = np.repeat(bounds[:-1] - starts[:-1], keep) + np.arange(starts[-1])
     return rolled[picked], starts
+
+
+def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """Texts with every byte below 0x80 put through ``table``, which maps ASCII to ASCII; null is empty."""
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(table[raw].tobytes()))
+
+
+def letters_only(digits: bool = False) -> np.ndarray:
+    """A table for ``translated``: A-Z to lower case, ASCII other than letters (and digits, if asked) to spaces."""
+    table = np.arange(256, dtype=np.uint8)
+    for b in range(128):
+        c = chr(b)
+        table[b] = ord(c.lower()) if c.isalpha() or (digits and c.isdigit()) else 32
+    return table

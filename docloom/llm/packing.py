@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers, and the longest such word.
-REMEMBER, LONGEST_WORD = 400_000, 64
+#: Words whose ids a worker remembers.
+REMEMBER = 1_000_000
 
 
 class _Words(dict):

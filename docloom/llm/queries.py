@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate as _decontaminate
+from . import language_id as _language_id
 from . import line_dedup as _line_dedup
 from . import ngram_jaccard as _ngram_jaccard
 from . import packing as _packing
+from . import quality as _quality
 from . import topk_search as _topk
+from . import toxicity as _toxicity
+from . import warc as _warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +45,16 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    classifier = _quality.fit(documents, _table(spark, sf_dir, "labels"))
+    return _quality.site_quality(documents, classifier, F.col("source"), F.col("lang"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,9 +95,66 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def _remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = _language_id.fit(documents.where(_remainder(3) != 1))
+    return _language_id.predict(documents, model, (_remainder(3) == 1).alias("held_out"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = _toxicity.fit(documents, _table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    return _toxicity.score(documents, model, (_remainder(5) == 0).alias("held_out"))
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """A capture log of pages: each one fetched, then revisited under another spelling of its URL; every seventh page
+    has changed its entity tag by then, every eleventh was asked for before it was first fetched."""
+    each = F.posexplode(F.expr("filter(array('response', 'revisit', if(page_id % 11 = 0, 'revisit', null)), x -> x is not null)")).alias("k", "kind")
+    rows = pages.select("page_id", "url", F.md5("html").alias("digest"), each)
+    spelt = F.when(F.col("k") == 1, F.concat(F.regexp_replace("url", "^http://", "https://www."), F.lit("#seen"))).otherwise(F.col("url"))
+    tag = F.when((F.col("k") == 1) & (F.col("page_id") % 7 == 0), F.lit('"stale"')).otherwise(F.concat(F.lit('W/"'), F.substring("digest", 1, 8), F.lit('"')))
+    date = (F.col("page_id") * 10 + F.when(F.col("k") == 2, -5).otherwise(F.col("k") * 3)).cast("long")
+    headers = F.create_map(F.lit("Date"), date.cast("string"), F.lit("Content-Type"), F.concat(F.lit("text/html; v="), F.col("k").cast("string")), F.lit("ETag"), tag)
+    return rows.select((F.col("page_id") * 3 + F.col("k")).alias("record_id"), spelt.alias("url"), date.alias("ts"), "kind", tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), headers.alias("headers"), "digest")
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _warc.resolve_revisits(_captures(_table(spark, sf_dir, "pages")))
+    line = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value)), "; ")
+    return found.withColumn("headers", line)
+
+
+OP9_SQL = r"""
+WITH k AS (SELECT page_id, url, md5(html) AS digest, unnest(CASE WHEN page_id % 11 = 0 THEN [0, 1, 2] ELSE [0, 1] END) AS k FROM pages),
+c AS (
+  SELECT page_id * 3 + k AS record_id, k > 0 AS revisit, digest, k,
+    CASE WHEN k = 1 THEN regexp_replace(url, '^http://', 'https://www.') || '#seen' ELSE url END AS u,
+    (page_id * 10 + CASE WHEN k = 2 THEN -5 ELSE k * 3 END)::BIGINT AS ts,
+    CASE WHEN k = 1 AND page_id % 7 = 0 THEN '"stale"' ELSE 'W/"' || substr(digest, 1, 8) || '"' END AS tag FROM k),
+p AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '')
+    || regexp_replace(regexp_extract(trim(u), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS base,
+    list_sort([x for x in string_split(regexp_extract(trim(u), '^[^?#]*\?([^#]*)', 1), '&') if x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=|$)')]) AS q FROM c),
+n AS (SELECT *, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key, regexp_replace(tag, '^W/', '') AS etag FROM p),
+m AS (
+  SELECT r.*, s.record_id AS response_id, s.ts AS response_ts, s.digest AS sd, s.etag AS se, s.k AS sk,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY s.ts DESC, s.record_id DESC) AS i
+  FROM n r LEFT JOIN n s ON s.url_key = r.url_key AND NOT s.revisit AND (s.ts < r.ts OR s.ts = r.ts AND s.record_id < r.record_id) WHERE r.revisit)
+SELECT record_id, url_key, ts, CASE WHEN response_id IS NULL THEN 'no_response' WHEN etag = se THEN 'resolved' ELSE 'mismatch' END AS status,
+  response_id, response_ts, CASE WHEN etag = se THEN sd END AS digest,
+  CASE WHEN etag = se THEN 'content-type: text/html; v=' || sk || '; date: ' || ts || '; etag: ' || tag END AS headers
+FROM m WHERE i = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search)}
+    return {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL}
+    return {"op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL}
