@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import language_id as _language_id
+from . import license_scan as _license_scan
 from . import line_dedup as _line_dedup
 from . import ngram_jaccard as _ngram_jaccard
 from . import packing as _packing
@@ -49,6 +50,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license_scan.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     classifier = _quality.fit(documents, _table(spark, sf_dir, "labels"))
@@ -153,7 +158,7 @@ FROM m WHERE i = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
