@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,15 @@ class Items:
         return best
 
 
+def _blocks(benchmark: DataFrame, radius: int) -> Iterator[Items]:
+    """The benchmark in blocks, bounded in items and characters; one empty block if it is empty."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // ITEMS), -(-chars // CHARS))
+    for b in range(blocks):
+        yield Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()], radius)
+
+
 def find_passages(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 19) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): each item's best window in each document.
 
@@ -154,39 +164,55 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, similarity: float
     A window without any shingle of an item can't reach the similarity, so only windows around such shingles are
     fingerprinted. Documents aren't shuffled at all.
     """
-    spark = documents.sparkSession
+    send = documents.sparkSession.sparkContext.broadcast
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    blocks = max(1, -(-count // ITEMS), -(-chars // CHARS))
-    out = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        found = rows.mapInArrow(_finder(spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in own], radius)), similarity), FOUND)
-        out = found if out is None else out.unionByName(found)
+    passes = [rows.mapInArrow(_finder(send(items), similarity), FOUND) for items in _blocks(benchmark, radius)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def without_passages(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 19) -> DataFrame:
+    """The documents, with all their columns, in which ``find_passages`` finds nothing; also those without an id."""
+    send = documents.sparkSession.sparkContext.broadcast
+    for items in _blocks(benchmark, radius):
+        documents = documents.mapInArrow(_dropper(send(items), similarity), documents.schema)
+    return documents
+
+
+def _matches(texts: pa.Array, items: Items, least: float) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+    """(row, item): best window."""
+    words, bounds = _words(texts)
+    out: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+    for width in items.known:
+        hashes, starts = shingles(words, bounds, width)
+        hits = items.hits(hashes, width)
+        for i in np.unique(np.searchsorted(starts, hits, side="right") - 1).tolist():
+            a, b = starts[i], starts[i + 1]
+            if bounds[i + 1] - bounds[i] < width:
+                continue
+            own = hits[(hits >= a) & (hits < b)] - a
+            for item, found in items.search(words[bounds[i] : bounds[i + 1]], hashes[a:b], own, width, least).items():
+                if (i, item) not in out or found[0] > out[i, item][0]:
+                    out[i, item] = found
     return out
 
 
 def _finder(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
         for batch in slices(batches, "text"):
-            words, bounds = _words(batch.column("text"))
+            out = _matches(batch.column("text"), shared.value, least)
             docs = batch.column("doc_id").to_pylist()
-            out: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-            for width in items.known:
-                hashes, starts = shingles(words, bounds, width)
-                hits = items.hits(hashes, width)
-                for i in np.unique(np.searchsorted(starts, hits, side="right") - 1).tolist():
-                    a, b = starts[i], starts[i + 1]
-                    if bounds[i + 1] - bounds[i] < width:
-                        continue
-                    own = hits[(hits >= a) & (hits < b)] - a
-                    for item, found in items.search(words[bounds[i] : bounds[i + 1]], hashes[a:b], own, width, least).items():
-                        if (i, item) not in out or found[0] > out[i, item][0]:
-                            out[i, item] = found
             cols = [[docs[i] for i, _ in out], [item for _, item in out], *([x[k] for x in out.values()] for k in (1, 2, 3, 0))]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
 
     return run
+
+
+def _dropper(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, _ in _matches(batch.column("text"), shared.value, least)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
