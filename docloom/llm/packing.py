@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers.
-REMEMBER = 1_000_000
+#: Words whose ids a worker remembers, in about 300 MB; when there are more it starts anew.
+REMEMBER = 1_500_000
 
 
 class _Words(dict):
@@ -34,20 +35,24 @@ class _Words(dict):
             self[""] = b""
             new = list(words)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self[w] = array("I", e.ids).tobytes()
 
 
 _LOADED: dict[str, _Words] = {}
 
 
+def _lower(text: str) -> str:
+    """A-Z in lower case, as the tokenizer makes them too, unless the text may spell a special token."""
+    return text if "<|" in text else text.encode().lower().decode()
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, most: int) -> Iterator[pa.RecordBatch]:
     if tokenizer not in _LOADED:
         _LOADED[tokenizer] = _Words(tokenizer)
     words = _LOADED[tokenizer]
     end = b"\0\0\0\0"
     for batch in slices(batches, "text", 2 << 20):
-        split = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
-        split = [[w.lower() if w.isascii() and "<|" not in w else w for w in ws] for ws in split]
+        split = [_lower(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
         words.learn(set().union(*split))
         rows = []
         for doc, ws in zip(batch.column("doc_id").to_pylist(), split, strict=True):
