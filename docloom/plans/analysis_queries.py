@@ -1 +1,156 @@
-"""Registered queries."""
+"""Profiling, sequences and topics over whole tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analyse as A
+from ..operators import chunk as C
+from .registry import query, table
+
+_ITEMS = "(SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'text/markdown' ELSE 'text/plain' END AS media_type, CASE WHEN doc_id % 4 = 0 THEN [] ELSE [lang, 'q' || n_chars % 7] END AS tags FROM documents)"
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", F.concat(F.lit("q"), F.col("n_chars") % 7)))
+    return table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "text/markdown").otherwise("text/plain").alias("media_type"), tags.alias("tags"))
+
+
+@query(f"SELECT media_type, count(*) AS n FROM {_ITEMS} GROUP BY ALL")
+def agg_media(spark: SparkSession, d: str) -> DataFrame:
+    return A.media_counts(items(spark, d))
+
+
+@query("SELECT count(*) AS n, min(n_chars)::DOUBLE AS min, max(n_chars)::DOUBLE AS max, round(avg(n_chars), 9) AS mean, quantile_disc(n_chars, 0.5)::DOUBLE AS p50, quantile_disc(n_chars, 0.9)::DOUBLE AS p90, quantile_disc(n_chars, 0.99)::DOUBLE AS p99 FROM documents")
+def agg_dist(spark: SparkSession, d: str) -> DataFrame:
+    return A.distribution(table(spark, d, "documents"), "n_chars", (50, 90, 99))
+
+
+@query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM {_ITEMS}) GROUP BY tag ORDER BY n DESC, tag LIMIT 10")
+def agg_tags(spark: SparkSession, d: str) -> DataFrame:
+    return A.tag_report(items(spark, d), 10)[1]
+
+
+@query(f"SELECT count(*) FILTER (len(tags) > 0) AS tagged, count(*) FILTER (len(tags) = 0) AS untagged, (SELECT count(DISTINCT tag) FROM (SELECT unnest(tags) AS tag FROM {_ITEMS})) AS unique_tags FROM {_ITEMS}")
+def an_profile(spark: SparkSession, d: str) -> DataFrame:
+    return A.tag_report(items(spark, d), 10)[0]
+
+
+@query("SELECT count(*) AS source, count(*) FILTER (length(trim(text)) >= 200) AS nonempty, count(*) FILTER (length(trim(text)) < 200) AS empty, count(*) FILTER (text IS NULL) AS missing FROM documents")
+def agg_textrep(spark: SparkSession, d: str) -> DataFrame:
+    return A.text_report(table(spark, d, "documents"), 200)
+
+
+@query(f"SELECT doc_id FROM {_ITEMS} WHERE list_contains(tags, 'en')")
+def f_tags(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).where(F.array_contains("tags", "en")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND length(trim(text)) >= 100", "f_nonblank")
+def f_nonblank(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("trim(text) <> '' and length(trim(text)) >= 100").select("doc_id")
+
+
+@query("SELECT w AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY w", "agg_df")
+def agg_df(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import retrieve as R
+
+    tf = R.term_frequencies(table(spark, d, "documents"), "doc_id")
+    return tf.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+_SEG = "(SELECT conv_id AS seq, turn + 1 AS idx, text, role AS state FROM conversations)"
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("seq"), (F.col("turn") + 1).alias("idx"), "text", F.col("role").alias("state"))
+
+
+@query(f"""WITH t AS (SELECT seq * 1000 + idx AS key, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM {_SEG}),
+g AS (SELECT key, unnest(ws) AS term FROM t UNION ALL SELECT key, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) FROM t),
+f AS (SELECT key, term, count(*) AS tf FROM g GROUP BY ALL), v AS (SELECT term, count(*) AS df FROM f GROUP BY term ORDER BY df DESC, term LIMIT 200),
+k AS (SELECT f.*, df, sum(tf) OVER (PARTITION BY key) AS l FROM f JOIN v USING (term))
+SELECT key, term, round(tf / l * ((SELECT count(*) FROM conversations) + 1) / (df + 1), 9) AS value FROM k""")
+def mk_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return A.tfidf(segments(spark, d).select((F.col("seq") * 1000 + F.col("idx")).alias("key"), "text"), 200)
+
+
+@query(f"WITH s AS (SELECT state AS prev, lead(state) OVER (ORDER BY seq, idx) AS next FROM {_SEG}), c AS (SELECT prev, next, count(*) AS n FROM s WHERE next IS NOT NULL GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY prev), 9) AS p FROM c")
+def agg_trans(spark: SparkSession, d: str) -> DataFrame:
+    return A.transitions(segments(spark, d), None)
+
+
+@query(f"SELECT seq, array_to_string(list(state ORDER BY idx), '>') AS path FROM {_SEG} GROUP BY seq")
+def agg_paths(spark: SparkSession, d: str) -> DataFrame:
+    return A.paths_of(segments(spark, d)).select("seq", F.array_join("path", ">").alias("path"))
+
+
+_B = f"b AS (SELECT seq, idx + 1 AS idx, text, state FROM {_SEG} UNION ALL SELECT seq, 1, 'START', 'START' FROM {_SEG} GROUP BY seq UNION ALL SELECT seq, max(idx) + 2, 'END', 'END' FROM {_SEG} GROUP BY seq)"
+
+
+@query(f"WITH {_B} SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY idx)::INTEGER AS idx, md5(text) AS digest FROM b")
+def w_bound(spark: SparkSession, d: str) -> DataFrame:
+    return A.with_boundaries(segments(spark, d)).select("seq", "idx", F.md5("text").alias("digest"))
+
+
+@query(f"SELECT seq, count(*) AS n FROM {_SEG} GROUP BY seq")
+def w_len(spark: SparkSession, d: str) -> DataFrame:
+    return segments(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_B}, r AS (SELECT seq, state, lag(state) OVER w AS p, lead(state) OVER w AS n, row_number() OVER w - 1 AS a, count(*) OVER (PARTITION BY seq) AS z FROM b WINDOW w AS (PARTITION BY seq ORDER BY idx)),
+c AS (SELECT state, count(*) FILTER (p = 'START') AS s, count(*) FILTER (n = 'END') AS e, avg(a / (z - 1)) FILTER (state NOT IN ('START', 'END')) AS q FROM r GROUP BY state)
+SELECT state, round(s / (SELECT sum(s) FROM c), 9) AS after_start, round(e / (SELECT sum(e) FROM c), 9) AS before_end, round(coalesce(q, 0), 9) AS position FROM c WHERE s > 0 OR e > 0 OR q IS NOT NULL""")
+def agg_pos(spark: SparkSession, d: str) -> DataFrame:
+    named = A.with_boundaries(segments(spark, d).withColumn("text", F.col("state"))).withColumnRenamed("text", "state")
+    return A.state_positions(named, F.lit("START"), F.lit("END"))
+
+
+@query(f"WITH s AS (SELECT *, 'L' || length(text) % 3 AS label, row_number() OVER (PARTITION BY state ORDER BY seq, idx) AS i FROM {_SEG}), l AS (SELECT state, label, count(*) AS m, min(i) AS f FROM s GROUP BY ALL) SELECT state, sum(m)::BIGINT AS n, arg_max(label, m * 1000000 - f) AS label, (SELECT md5(string_agg(text, '|' ORDER BY i)) FROM s WHERE s.state = l.state AND i <= 3) AS examples FROM l GROUP BY state")
+def agg_states(spark: SparkSession, d: str) -> DataFrame:
+    labelled = segments(spark, d).withColumn("label", F.concat(F.lit("L"), F.length("text") % 3))
+    return A.state_report(labelled, 3).select("state", "n", "label", F.md5(F.array_join("examples", "|")).alias("examples"))
+
+
+@query("SELECT role, (dense_rank() OVER (ORDER BY role) - 1)::INTEGER AS code FROM conversations GROUP BY role", "mk_enc")
+def mk_enc(spark: SparkSession, d: str) -> DataFrame:
+    return A.codes(table(spark, d, "conversations"), "role")
+
+
+@query()
+def mk_seg_window(spark: SparkSession, d: str) -> DataFrame:
+    windows = C.char_windows(F.col("text"), 300, 50)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(windows).alias("i", "c")).select("doc_id", (F.col("i") + 1).alias("idx"), F.trim("c.text").alias("text"))
+
+
+@query()
+def mk_fit(spark: SparkSession, d: str) -> DataFrame:
+    symbols = segments(spark, d).select("seq", "idx", (F.length("text") % 5).cast("int").alias("symbol"))
+    return A.decode_hmm(symbols, A.fit_hmm(symbols, 3, 5, rounds=3))
+
+
+@query()
+def mk_dot(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(A.dot_graph(A.transitions(segments(spark, d), None), 0.05),)], "dot string")
+
+
+@query()
+def set_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return A.merge_adjacent(segments(spark, d))
+
+
+_TOPIC = r"""WITH f AS (SELECT topic, w AS term, count(*) AS tf FROM (SELECT lang AS topic, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY ALL),
+s AS (SELECT topic, sum(tf) AS size FROM f GROUP BY topic), g AS (SELECT term, sum(tf) AS freq FROM f GROUP BY term),
+c AS (SELECT topic, term, round(tf / size * ln(1 + (SELECT avg(size) FROM s) / freq), 9) AS score FROM f JOIN s USING (topic) JOIN g USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term)::INTEGER AS rank FROM c) SELECT * FROM r WHERE rank <= 10"""
+
+
+@query(_TOPIC)
+def tm_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return A.topic_keywords(table(spark, d, "documents").select(F.col("lang").alias("topic"), "text"), 10)
+
+
+@query()
+def tm_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return A.cluster_topics(table(spark, d, "documents"), 6).select("doc_id", "topic")

@@ -1 +1,78 @@
-"""Registered queries."""
+"""Context packs of scan evidence, chat history and allocation, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import context as X
+from ..operators import rank as K
+from ..operators import retrieve as R
+from . import retrieval_queries as RQ
+from .registry import query, table
+
+_TOP = f"WITH {RQ._SCAN}, b AS (SELECT query_id, rank AS position, trim(text) AS block FROM r WHERE rank <= 30)"
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return R.retrieve(RQ._scanned(spark, d).select("query_id", "item_id", "score"), RQ.items(spark, d), K.QueryBudget(30), "scan")
+
+
+@query(f"{_TOP} SELECT query_id, count(*) AS n_blocks, md5(string_agg(block, chr(10) || chr(10) ORDER BY position)) AS digest FROM b GROUP BY query_id")
+def cp_build(spark: SparkSession, d: str) -> DataFrame:
+    return X.join_blocks(X.blocks(_evidence(spark, d))).select("query_id", "n_blocks", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {RQ._SCAN} SELECT query_id, count(*) AS n_blocks, md5(string_agg('item_id: ' || item_id || chr(10) || 'source_uri: ' || source_uri || chr(10) || 'media_type: text/plain' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY source_uri, rank)) AS digest FROM r WHERE rank <= 30 GROUP BY query_id")
+def cp_header(spark: SparkSession, d: str) -> DataFrame:
+    head = X.metadata_header({c: F.col(c) for c in ("item_id", "source_uri", "media_type")})
+    return X.join_blocks(X.blocks(_evidence(spark, d), "source", head)).select("query_id", "n_blocks", F.md5("text").alias("digest"))
+
+
+@query(rf"{_TOP}, u AS (SELECT *, sum(len([x for x in regexp_split_to_array(block, '\s+') if x <> ''])) OVER (PARTITION BY query_id ORDER BY position) AS used FROM b) SELECT query_id, position FROM u WHERE used <= 2000")
+def cp_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return X.fit_tokens(X.blocks(_evidence(spark, d)), 2000).select("query_id", "position")
+
+
+@query(f"{_TOP}, u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY position) + 2 * (position - 1) AS used FROM b) SELECT query_id, position FROM u WHERE used <= 20000")
+def cp_chars(spark: SparkSession, d: str) -> DataFrame:
+    return X.fit_characters(X.blocks(_evidence(spark, d)), 20000).select("query_id", "position")
+
+
+@query(r"WITH u AS (SELECT conv_id, turn, sum(len([x for x in regexp_split_to_array(text, '\s+') if x <> ''])) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations) SELECT conv_id, turn FROM u WHERE used <= 150")
+def ce_history(spark: SparkSession, d: str) -> DataFrame:
+    return X.evict_history(table(spark, d, "conversations"), 150).select("conv_id", "turn")
+
+
+@query("WITH s AS (SELECT lang AS name, count(*) AS w FROM documents GROUP BY lang), a AS (SELECT name, w, floor(1000 * w / sum(w) OVER ())::BIGINT AS share, row_number() OVER (ORDER BY w DESC, name) AS i FROM s) SELECT name, (CASE WHEN i = 1 THEN share + 1000 - sum(share) OVER () ELSE share END)::BIGINT AS share FROM a")
+def ce_alloc(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "documents").groupBy("lang").count().orderBy("lang").collect()  # a row for each language
+    return spark.createDataFrame(list(X.allocate([(r.lang, 0, float(r["count"])) for r in sizes], 1000).items()), "name string, share long")
+
+
+@query()
+def ce_expand(spark: SparkSession, d: str) -> DataFrame:
+    ranked, items = RQ._scanned(spark, d).where("query_id = 'q0'").select("query_id", "item_id", "score"), RQ.items(spark, d)
+    return X.expand(lambda offset, limit: R.retrieve(ranked, items, K.QueryBudget(limit, offset), "scan").select("item_id", "text"), 4000, 0.9, 3, 6).select("item_id")
+
+
+@query()
+def ce_assemble(spark: SparkSession, d: str) -> DataFrame:
+    packed = X.blocks(_evidence(spark, d))
+    return X.assemble(lambda scale: X.join_blocks(X.fit_tokens(packed, int(8000 * scale))), 5000)[0].select("query_id", "n_blocks")
+
+
+_CONV = "SELECT conv_id, turn, role FROM conversations"
+
+
+@query(f"WITH a AS ({_CONV} WHERE turn <= 1), b AS ({_CONV} WHERE role = 'user') SELECT * FROM a UNION SELECT * FROM b", "set_union")
+def set_union(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return t.where("turn <= 1").unionByName(t.where("role = 'user'")).distinct()
+
+
+@query(f"WITH a AS ({_CONV} WHERE turn <= 1), b AS ({_CONV} WHERE role = 'user') SELECT *, 1 AS both FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 0 FROM (SELECT * FROM a EXCEPT SELECT * FROM b)", "set_inter")
+def set_inter(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    a, b = t.where("turn <= 1"), t.where("role = 'user'")
+    return a.intersect(b).withColumn("both", F.lit(1)).unionByName(a.exceptAll(b).distinct().withColumn("both", F.lit(0)))

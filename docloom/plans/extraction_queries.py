@@ -1 +1,78 @@
-"""Registered queries."""
+"""Extraction stages and selection over documents, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import extract as E
+from .registry import query, table
+
+_KIND = "CASE doc_id % 3 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/plain' ELSE 'image/png' END"
+_META = "'T' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'tags: ' || lang || ', x' ELSE '' END"
+_OUT = f"o AS (SELECT doc_id, {_KIND} AS k, {_META} AS m, CASE WHEN doc_id % 3 < 2 THEN text END AS p, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 5 < 4 THEN lang END AS q FROM documents)"
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "text/markdown").when(i % 3 == 1, "text/plain").otherwise("image/png")
+    tags = F.when(i % 2 == 0, F.array("lang", F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "documents").select("doc_id", "text", "lang", kind.alias("media_type"), F.concat(F.lit("T"), i).alias("title"), tags.alias("tags"))
+
+
+def _with(spark: SparkSession, d: str, *last: E.Stage) -> DataFrame:
+    noisy = E.Stage("noisy", lambda: F.when(F.col("doc_id") % 5 == 0, " ").when(F.col("doc_id") % 5 < 4, F.col("lang")), lambda: (F.col("doc_id") % 10) / 10)
+    return E.run_stages(items(spark, d), [E.Stage("metadata-text", E.metadata_text), E.Stage("pass-through-text", E.pass_through), noisy, *last])
+
+
+def _final(spark: SparkSession, d: str, name: str, text) -> DataFrame:
+    return _with(spark, d, E.Stage(name, text)).select("doc_id", "final_stage", F.md5("text_out").alias("digest"))
+
+
+@query(f"WITH {_OUT} SELECT doc_id, CASE WHEN q IS NOT NULL THEN 2 WHEN p IS NOT NULL THEN 1 ELSE 0 END AS final_stage, md5(coalesce(q, p, m)) AS digest FROM o")
+def ext_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return _with(spark, d).select("doc_id", "final_stage", F.md5("text_out").alias("digest"))
+
+
+@query(f"WITH {_OUT} SELECT count(*) AS items, count(*) AS extracted, 0::BIGINT AS skipped, count(*) FILTER (trim(coalesce(q, p, m)) = '') AS empty FROM o")
+def ext_counters(spark: SparkSession, d: str) -> DataFrame:
+    return E.counters(_with(spark, d))
+
+
+@query(f"WITH {_OUT} SELECT doc_id, md5(p) AS passed, m AS meta FROM o", "ext_pass_meta")
+def ext_pass_meta(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).select("doc_id", F.md5(E.pass_through()).alias("passed"), E.metadata_text().alias("meta"))
+
+
+@query(f"WITH {_OUT} SELECT doc_id, 3 AS final_stage, md5(m) AS digest FROM o")
+def sel_first(spark: SparkSession, d: str) -> DataFrame:
+    return _final(spark, d, "select-text", E.select_first)
+
+
+@query(f"WITH {_OUT}, l AS (SELECT *, length(trim(m)) AS a, coalesce(length(trim(p)), -1) AS b, coalesce(length(trim(q)), -1) AS c FROM o) SELECT doc_id, 3 AS final_stage, md5(CASE WHEN a >= b AND a >= c THEN m WHEN b >= c THEN p ELSE q END) AS digest FROM l")
+def sel_longest(spark: SparkSession, d: str) -> DataFrame:
+    return _final(spark, d, "select-longest-text", E.select_longest)
+
+
+@query(f"WITH {_OUT} SELECT doc_id, 3 AS final_stage, md5(CASE WHEN k LIKE 'image/%' THEN coalesce(q, p, m) ELSE m END) AS digest FROM o")
+def sel_override(spark: SparkSession, d: str) -> DataFrame:
+    return _final(spark, d, "select-override", lambda: E.select_override(("image/*",), True))
+
+
+@query(f"WITH {_OUT}, g AS (SELECT *, coalesce(q, p, m) AS last, q IS NOT NULL AND length(trim(q)) >= 2 AND doc_id % 10 >= 5 AS ok FROM o) SELECT doc_id, 3 AS final_stage, md5(CASE WHEN k NOT LIKE 'text/%' OR ok OR (q IS NULL AND p IS NOT NULL AND length(trim(p)) >= 2) THEN last ELSE m END) AS digest FROM g")
+def sel_smart(spark: SparkSession, d: str) -> DataFrame:
+    return _final(spark, d, "select-smart-override", lambda: E.select_smart(("text/*",), 2, 0.5))
+
+
+@query("WITH w AS (SELECT conv_id, turn, [x for x, i in string_split(text, ' ') if i % 3 > 0 AND x <> ''] AS k FROM conversations) SELECT conv_id, turn, md5(array_to_string(k, ' ')) AS digest, len(k)::INTEGER AS n FROM w", "ext_ocr_join")
+def ext_ocr_join(spark: SparkSession, d: str) -> DataFrame:
+    words = F.transform(F.split("text", " "), lambda x, i: F.struct(x.alias("text"), ((i + 1) % 3 / 3.0).cast("double").alias("confidence")))
+    joined = E.join_confident(words, 0.3)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(joined.text).alias("digest"), F.size(F.filter(F.split(joined.text, " "), lambda x: x != "")).alias("n"))
+
+
+@query("SELECT conv_id, string_agg('Speaker ' || CASE WHEN role = 'user' THEN 0 ELSE 1 END || ': ' || trim(text), chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id", "ext_dg_xform")
+def ext_dg_xform(spark: SparkSession, d: str) -> DataFrame:
+    said = F.struct(F.when(F.col("role") == "user", 0).otherwise(1).alias("speaker"), F.lit(0).alias("channel"), F.col("text").alias("transcript"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("u")))), lambda x: x.u).alias("utterances"))
+    return talks.select("conv_id", E.transcript_text(F.to_json(F.struct("utterances"))).alias("said"))

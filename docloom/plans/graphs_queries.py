@@ -1 +1,50 @@
-"""Registered queries."""
+"""Graphs of conversations and documents, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from .registry import query, table
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+
+
+_CO = """WITH t AS (SELECT conv_id * 1000 + turn AS item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
+i AS (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM t), u AS (SELECT item_id, i, unnest(list_distinct(w[i : i + 3])) AS x FROM i)
+SELECT a.item_id, a.x AS a, b.x AS b, count(*) AS n FROM u a JOIN u b ON a.item_id = b.item_id AND a.i = b.i AND a.x < b.x GROUP BY ALL"""
+
+
+@query(_CO)
+def gr_cooc(spark: SparkSession, d: str) -> DataFrame:
+    return G.cooccurrences(_turns(spark, d))
+
+
+@query(f"SELECT * FROM ({_CO}) WHERE n >= 3")
+def agg_cooc(spark: SparkSession, d: str) -> DataFrame:
+    return G.cooccurrences(_turns(spark, d), least=3)
+
+
+@query()
+def agg_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return G.mentions(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
+
+
+@query()
+def gr_simple(spark: SparkSession, d: str) -> DataFrame:
+    return G.relations(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
+
+
+_NODES = "n AS (SELECT source AS node_id, max(doc_id) AS version FROM documents GROUP BY source)"
+
+
+@query(f"WITH {_NODES}, e AS (SELECT source || '>' || 'src' || n_chars % 40 AS edge_id, source AS src, 'src' || n_chars % 40 AS dst, doc_id AS version FROM documents), l AS (SELECT edge_id, src, dst, max(version) AS version FROM e GROUP BY ALL) SELECT * FROM l WHERE src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n)", "sink_graph")
+def sink_graph(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    dst = F.concat(F.lit("src"), F.col("n_chars") % 40)
+    nodes = docs.select(F.col("source").alias("node_id"), F.col("doc_id").alias("version"))
+    edges = docs.select(F.concat("source", F.lit(">"), dst).alias("edge_id"), F.col("source").alias("src"), dst.alias("dst"), F.col("doc_id").alias("version"))
+    return G.upsert(nodes, edges)[1].select("edge_id", "src", "dst", "version")

@@ -1 +1,134 @@
-"""Registered queries."""
+"""Ingest operators over documents and pages, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import ingest as I
+from ..sources import web as W
+from .registry import query, table
+
+_PATH = "source || '/' || lang || '/file ' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.PDF' ELSE '.bin' END"
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    end = F.when(i % 4 == 0, ".txt").when(i % 4 == 1, ".md").when(i % 4 == 2, ".PDF").otherwise(".bin")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/file "), i, end)
+    return table(spark, d, "documents").select("doc_id", i.cast("string").alias("item_id"), path.alias("relpath"), F.concat(F.lit("file://"), "source", F.lit("/"), i % 300).alias("source_uri"), "text", "lang")
+
+
+@query("SELECT page_id, CASE WHEN lower(ltrim(html)) LIKE '<!doctype html%' OR lower(ltrim(html)) LIKE '<html%' THEN 'text/html' END AS media_type FROM pages")
+def src_sniff(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", I.sniff_media_type(F.col("html").cast("binary")).alias("media_type"))
+
+
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' ELSE 'application/octet-stream' END AS media_type FROM documents")
+def src_media(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("doc_id", I.media_type_of(F.col("relpath")).alias("media_type"))
+
+
+@query(f"WITH p AS (SELECT doc_id, {_PATH} || repeat('x', (doc_id % 200)::INTEGER) AS n FROM documents), e AS (SELECT doc_id, n, replace(replace(n, '/', '%2F'), ' ', '%20') AS u FROM p) SELECT doc_id, CASE WHEN length(u) > 180 THEN 'hash-' || sha256(n) ELSE u END AS name FROM e")
+def src_name(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("doc_id", I.storage_name(F.concat("relpath", F.repeat(F.lit("x"), (F.col("doc_id") % 200).cast("int")))).alias("name"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'title: T ' || doc_id || chr(10) || 'lang: ' || lang END AS head, md5(text) AS body FROM documents")
+def front(spark: SparkSession, d: str) -> DataFrame:
+    head = F.concat(F.lit("---\ntitle: T "), "doc_id", F.lit("\nlang: "), "lang", F.lit("\n---\n\n"), "text")
+    made = table(spark, d, "documents").select("doc_id", I.front_matter(F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.col("text"))).alias("f"))
+    return made.select("doc_id", "f.head", F.md5("f.body").alias("body"))
+
+
+_NEW = "n AS (SELECT doc_id, 'file://' || source || '/' || doc_id % 300 AS u, text FROM documents WHERE doc_id % 2 = 1), o AS (SELECT DISTINCT 'file://' || source || '/' || doc_id % 300 AS u FROM documents WHERE doc_id % 4 = 0)"
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    all_ = files(spark, d)
+    return all_.where("doc_id % 2 = 1"), all_.where("doc_id % 4 = 0")
+
+
+@query(f"WITH {_NEW}, f AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id::VARCHAR) AS i FROM n) SELECT doc_id::VARCHAR AS item_id, u AS source_uri, sha256(text) AS sha256 FROM f WHERE i = 1 AND u NOT IN (SELECT u FROM o)")
+def ingest(spark: SparkSession, d: str) -> DataFrame:
+    return I.ingest(*_halves(spark, d)).select("item_id", "source_uri", "sha256")
+
+
+@query(f"WITH {_NEW} SELECT doc_id FROM n WHERE u IN (SELECT u FROM o)")
+def j_dup(spark: SparkSession, d: str) -> DataFrame:
+    return I.duplicates(*_halves(spark, d)).select("doc_id")
+
+
+@query("SELECT doc_id, 'text:' || sha256(lang || chr(10) || text) AS uri FROM documents")
+def ingest_note(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", I.note_uri(F.col("lang"), F.col("text")).alias("uri"))
+
+
+@query(f"WITH p AS (SELECT doc_id, {_PATH} AS n FROM documents) SELECT doc_id FROM p WHERE NOT (n LIKE '%.md' OR n LIKE 'src1/%' OR regexp_matches(n, '^.*/de/file .5.*$'))", "ignore")
+def ignore(spark: SparkSession, d: str) -> DataFrame:
+    return I.not_ignored(files(spark, d), ("*.md", "src1/*", "*/de/file ?5*")).select("doc_id")
+
+
+@query(f"WITH p AS (SELECT {_PATH} AS n FROM documents) SELECT count(*) AS scanned, count(*) FILTER (n LIKE '%.md') AS ignored, count(*) FILTER (n NOT LIKE '%.md') AS imported FROM p")
+def import_tree(spark: SparkSession, d: str) -> DataFrame:
+    hit = F.col("relpath").rlike(I.glob_regex("*.md"))
+    return files(spark, d).agg(F.count("*").alias("scanned"), F.count_if(hit).alias("ignored"), F.count_if(~hit).alias("imported"))
+
+
+_UUID = "substr(md5(doc_id::VARCHAR), 1, 8) || '-' || substr(md5(doc_id::VARCHAR), 9, 4) || '-' || substr(md5(doc_id::VARCHAR), 13, 4) || '-' || substr(md5(doc_id::VARCHAR), 17, 4) || '-' || substr(md5(doc_id::VARCHAR), 21, 12)"
+
+
+@query(f"WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'm' || doc_id WHEN 1 THEN {_UUID} END AS item_id FROM documents) SELECT item_id, CASE WHEN doc_id % 2 = 0 THEN doc_id - 1000 ELSE doc_id END AS created_at FROM f WHERE item_id IS NOT NULL")
+def reindex(spark: SparkSession, d: str) -> DataFrame:
+    h = F.md5(F.col("doc_id").cast("string"))
+    uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    base = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("m"), "doc_id")).alias("meta_id"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("raw/"), uuid, F.lit("--name.txt"))).otherwise("raw/name.txt").alias("relpath"), F.col("doc_id").alias("created_at"), uuid.alias("uuid"))
+    old = base.where("doc_id % 2 = 0").select(F.coalesce("meta_id", "uuid").alias("item_id"), (F.col("doc_id") - 1000).alias("created_at"))
+    return I.reindex(base, old).select("item_id", "created_at")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['a', lang, source] ELSE ['a', lang] END AS tags, 'side' AS origin, lang FROM documents")
+def meta_merge(spark: SparkSession, d: str) -> DataFrame:
+    front = F.create_map(F.lit("origin"), F.lit("front"), F.lit("lang"), "lang")
+    merged = I.merge_metadata(front, F.create_map(F.lit("origin"), F.lit("side")))
+    tags = I.merge_tags(F.array(F.lit("a"), "lang"), F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array(F.lit("a"))))
+    return table(spark, d, "documents").select("doc_id", tags.alias("tags"), merged["origin"].alias("origin"), merged["lang"].alias("lang"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def list_show(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(25).select("doc_id")
+
+
+@query("SELECT n_chars AS created_at, lang AS extractor_id, doc_id AS snapshot_id FROM documents ORDER BY n_chars DESC, lang DESC, doc_id DESC LIMIT 1", "snapshots")
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return I.latest(table(spark, d, "documents").select(F.col("n_chars").alias("created_at"), F.col("lang").alias("extractor_id"), F.col("doc_id").alias("snapshot_id")))
+
+
+@query("SELECT doc_id, list_distinct(['en', 'new', lang]) IS NOT NULL AS ok, len(list_distinct(['new', lang]))::INTEGER AS n FROM documents", "hooks")
+def hooks(spark: SparkSession, d: str) -> DataFrame:
+    tagged = I.run_hooks(table(spark, d, "documents").withColumn("tags", F.array("lang")), [I.add_tags(("new",)), I.add_tags(("new",))])
+    return tagged.select("doc_id", F.col("tags").isNotNull().alias("ok"), F.size("tags").alias("n"))
+
+
+@query("SELECT page_id, len(l)::INTEGER AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT page_id, regexp_extract_all(html, '(?i)[\\s\"''](?:href|src)\\s*=\\s*\"([^\"]*)\"', 1) AS l FROM pages)", "links")
+def links(spark: SparkSession, d: str) -> DataFrame:
+    found = W.raw_links(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
+
+
+@query("WITH r AS (SELECT page_id, regexp_replace(url[9:], '^/+', '') AS p FROM pages WHERE url LIKE 'https://%') SELECT page_id, CASE WHEN p = '' THEN 'index.html' WHEN p LIKE '%/' THEN p || 'index.html' ELSE p END AS path FROM r")
+def crawl_path(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").where("url like 'https://%'").select("page_id", W.relative_path(F.col("url"), "https://").alias("path"))
+
+
+@query()
+def crawl(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    root = pages.agg(F.min_by("url", "page_id")).first()[0]
+    return W.crawl(pages, root, root.split("/")[0], 50, rounds=3)
+
+
+@query()
+def sink_dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return I.catalog_hash(files(spark, d).withColumn("sha256", F.sha2("text", 256)))

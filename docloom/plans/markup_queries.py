@@ -1 +1,42 @@
-"""Registered queries."""
+"""Span markup over conversation turns, with SQL where it can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markup as M
+from .registry import query, table
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    """Every third word of a turn in a span."""
+    words = F.transform(F.split("text", " "), lambda w, i: F.when(i % 3 == 2, F.concat(F.lit('<span kind="'), F.when(i % 2 == 0, "a").otherwise("b"), F.lit('">'), w, F.lit("</span>"))).otherwise(w))
+    return table(spark, d, "conversations").select("conv_id", "turn", "text", F.array_join(words, " ").alias("marked"))
+
+
+@query("SELECT conv_id, turn, text AS stripped FROM conversations")
+def spans_strip(spark: SparkSession, d: str) -> DataFrame:
+    return marked(spark, d).select("conv_id", "turn", M.strip_tags(F.col("marked")).alias("stripped"))
+
+
+@query("SELECT conv_id, turn, (len(string_split(text, ' ')) // 3)::INTEGER AS n, true AS exact FROM conversations")
+def spans_parse(spark: SparkSession, d: str) -> DataFrame:
+    parsed = marked(spark, d).withColumn("s", M.parse_spans("marked"))
+    return parsed.select("conv_id", "turn", F.size("s").alias("n"), F.forall("s", lambda s: F.substring(F.col("text"), s.start + 1, s.end - s.start) == s.text).alias("exact"))
+
+
+@query("SELECT conv_id, turn, (SELECT count(*) FROM (SELECT unnest(range(2, len(string_split(text, ' ')), 3)) AS i) WHERE i % 2 = 1)::INTEGER AS refused FROM conversations", "spans_valid")
+def spans_valid(spark: SparkSession, d: str) -> DataFrame:
+    parsed = marked(spark, d).withColumn("s", M.parse_spans(F.regexp_replace("marked", 'kind="b"', 'other="b"')))
+    return parsed.select("conv_id", "turn", F.size(M.annotation_errors(F.filter("s", lambda x: F.trim(x.text) != ""), ("kind",))).alias("refused"))
+
+
+@query("SELECT conv_id, turn, len([x for x in string_split(text, chr(10)) if trim(x) <> ''])::INTEGER AS n FROM conversations", "spans_slice")
+def spans_slice(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(M.slices(F.replace("text", F.lit("\n"), F.lit("<slice/>")))).alias("n"))
+
+
+@query()
+def j_cover(spark: SparkSession, d: str) -> DataFrame:
+    return marked(spark, d).select("conv_id", "turn", M.covered(M.parse_spans("marked"), F.lit(0), F.lit(25)).alias("covered"))
