@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
     """(source_uri, text, created_at) of files as they appear, whole texts."""
-    lines = spark.readStream.option("wholetext", "true").text(folder)
+    lines = spark.readStream.text(folder, wholetext=True)
     return lines.select(F.col("_metadata.file_path").alias("source_uri"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("created_at"))
 
 
