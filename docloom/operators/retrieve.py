@@ -11,15 +11,25 @@ from ..functions import text as T
 from .rank import QueryBudget, apply_budget, rank_by_score
 
 
+#: Queries that meet all rows at a time.
+QUERY_BLOCK = 1024
+
+
 def scan(items: DataFrame, queries: DataFrame) -> DataFrame:
     """Scores of (item_id, text) for each query (query_id, query_text): how often its tokens stand in the text.
 
-    Queries are few and stated; each block of them is broadcast, and scoring needs no shuffle.
+    Queries are a stated set; each block of them, of bounded size, is written into the plan, so that items are
+    neither shuffled nor joined.
     """
-    tokens = queries.select("query_id", T.scan_tokens(F.col("query_text")).alias("tokens"))
     low = F.lower("text")
-    score = F.aggregate("tokens", F.lit(0), lambda a, t: a + T.substring_count(low, t)).cast("double")
-    return items.join(F.broadcast(tokens), how="inner").withColumn("score", score).where("score > 0")
+    blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), []
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", T.scan_tokens(F.col("query_text")).alias("tokens")).collect()
+        table = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*map(F.lit, r.tokens)).cast("array<string>").alias("tokens")) for r in own])
+        asked = items.select("*", F.inline(table)) if own else items.select("*", F.lit("").alias("query_id"), F.array().cast("array<string>").alias("tokens")).limit(0)
+        score = F.aggregate("tokens", F.lit(0), lambda a, t: a + T.substring_count(low, t)).cast("double")
+        parts.append(asked.withColumn("score", score).where("score > 0"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def term_frequencies(items: DataFrame, key: str = "item_id", tokens: Column | None = None) -> DataFrame:
@@ -77,10 +87,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors that meet all rows at a time.
-QUERY_BLOCK = 1024
-
-
 def vector_candidates(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``limit`` best dot products with each unit query vector, negatives too,
     ties by vec_id. Queries (query_id, vector) are a stated set; each block of them, of bounded size, is broadcast to
