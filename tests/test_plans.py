@@ -46,3 +46,12 @@ def test_edits_may_only_add_tags():
 
     with pytest.raises(ValueError):
         P.edited("x", Liar(), "s", lambda t: markup.TAG.sub("", t))
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
