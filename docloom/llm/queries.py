@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import language_id as _language_id
+from . import license_rules as _license_rules
 from . import license_scan as _license_scan
 from . import line_dedup as _line_dedup
 from . import ngram_jaccard as _ngram_jaccard
@@ -54,6 +55,34 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _license_scan.license_report(_table(spark, sf_dir, "documents"))
 
 
+def _op2_sql() -> str:
+    """The scan in SQL without look-around: every word gets a space of its own on both sides, so matches side by side
+    share none, and word numbers are counts of spaces, halved."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def doubled(pattern: str) -> str:
+        return " (?:" + pattern.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + ") "
+
+    rows = ", ".join(f"({i}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(doubled(r.pattern))}, {r.priority}, {str(r.base).lower()})" for i, r in enumerate(_license_rules.rules()))
+    return rf"""
+WITH r(i, label, k, p, priority, base) AS (VALUES {rows}),
+w AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS t FROM documents),
+n AS (SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n_words, ' ' || t || ' ' AS one, ' ' || replace(t, ' ', '  ') || ' ' AS two FROM w),
+h AS (SELECT doc_id, r.*, regexp_extract_all(two, p) AS hits, regexp_split_to_array(two, p) AS gaps FROM n JOIN r ON contains(one, k)),
+u AS (SELECT *, unnest(range(1, len(hits) + 1)) AS j FROM h WHERE len(hits) > 0),
+v AS (SELECT *, array_to_string(gaps[1:j], '') || array_to_string(hits[1:j - 1], '') AS before FROM u),
+d AS (SELECT doc_id, i, label, priority, base, (length(before) - length(replace(before, ' ', ''))) // 2 AS a, (length(before || hits[j]) - length(replace(before || hits[j], ' ', ''))) // 2 AS b FROM v),
+g AS (SELECT d.*, EXISTS (SELECT 1 FROM d e WHERE e.doc_id = d.doc_id AND e.a <= d.a AND e.b >= d.b AND NOT (e.i = d.i AND e.a = d.a)
+  AND (e.priority > d.priority OR e.priority = d.priority AND (e.b - e.a > d.b - d.a OR e.b - e.a = d.b - d.a AND e.i < d.i))) AS gone FROM d),
+s AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS f, max(a) FILTER (base) AS l, max(priority) FILTER (NOT gone) AS best,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (base OR NOT gone)), ',') AS labels FROM g GROUP BY doc_id)
+SELECT n.doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN best IS NULL THEN 0 ELSE least(1, 0.5::DOUBLE + best / 10) END::DOUBLE AS score FROM n LEFT JOIN s USING (doc_id)
+"""
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     classifier = _quality.fit(documents, _table(spark, sf_dir, "labels"))
@@ -168,4 +197,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL}
