@@ -3,62 +3,91 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, hash_strings, partitions, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers, in about 300 MB; when there are more it starts anew.
+#: Words whose ids a worker remembers, in about 50 MB; when there are more it starts anew.
 REMEMBER = 1_500_000
 
 
-class _Words(dict):
-    """Ids of white-space separated words, as little-endian bytes. The tokenizer never joins across white space."""
+class _Words:
+    """Ids of words between spaces and line ends, in flat arrays by the words' hashes. The tokenizer drops white space
+    and never joins across it, so a text's ids are those of its words in turn."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBER:
-            self.clear()
-            self[""] = b""
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = array("I", e.ids).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.place = np.zeros((0, 2), np.int64)  # first and number of ids, by key
+        self.data, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def learn(self, words: pa.Array, hashes: np.ndarray) -> None:
+        if len(self.keys) + len(hashes) > REMEMBER:
+            self.forget()
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        new = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        if self.used + len(new) > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(len(self.data), len(new)), np.uint32)])
+        self.data[self.used : self.used + len(new)] = new
+        place = np.column_stack([self.used + np.cumsum(sizes) - sizes, sizes])
+        self.used += len(new)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, at, hashes[order])
+        self.place = np.insert(self.place, at, place[order], axis=0)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and bounds."""
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        hashes = hash_strings(words.dictionary)
+        known = self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        if not known.all():
+            before = len(self.keys)
+            self.learn(words.dictionary.filter(pa.array(~known)), hashes[~known])
+            if len(self.keys) < before + (~known).sum():  # it has started anew
+                self.learn(words.dictionary.filter(pa.array(known)), hashes[known])
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        first, size = self.place[np.searchsorted(self.keys, hashes)].T
+        first, size = first[codes], size[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = self.data[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        return out, ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
 
 
 _LOADED: dict[str, _Words] = {}
 
 
-def _lower(text: str) -> str:
-    """A-Z in lower case, as the tokenizer makes them too, unless the text may spell a special token."""
-    return text if "<|" in text else text.encode().lower().decode()
-
-
 def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, most: int) -> Iterator[pa.RecordBatch]:
     if tokenizer not in _LOADED:
         _LOADED[tokenizer] = _Words(tokenizer)
     words = _LOADED[tokenizer]
     end = b"\0\0\0\0"
     for batch in slices(batches, "text", 2 << 20):
-        split = [_lower(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
-        words.learn(set().union(*split))
+        texts = pc.fill_null(batch.column("text"), "")
+        odd = pc.match_substring(texts, "<|").to_pylist()  # it may spell a special token, whose case counts
+        ids, bounds = words.ids(texts)
         rows = []
-        for doc, ws in zip(batch.column("doc_id").to_pylist(), split, strict=True):
-            ids = b"".join(map(words.__getitem__, ws)) + end
-            n = len(ids) // 4
-            rows += [(doc, k, at, min(most, n - at), zlib.crc32(ids[4 * at : 4 * (at + most)])) for k, at in enumerate(range(0, n, most))]
+        for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+            own = ids[bounds[i] : bounds[i + 1]].tobytes() if not odd[i] else np.array(words.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32).tobytes()
+            own += end
+            n = len(own) // 4
+            rows += [(doc, k, at, min(most, n - at), zlib.crc32(own[4 * at : 4 * (at + most)])) for k, at in enumerate(range(0, n, most))]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
