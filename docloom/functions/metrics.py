@@ -36,7 +36,7 @@ def ngram_overlap(expected: Column, found: Column, n: int) -> Column:
     """Distinct shared n-grams per expected n-gram; 0 if either list is shorter than n."""
 
     def grams(words: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return T.let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
     shared = F.size(F.array_intersect(grams(expected), grams(found)))
     return F.when((F.size(expected) < n) | (F.size(found) < n), F.lit(0.0)).otherwise(shared / (F.size(expected) - (n - 1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda a plain expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nonempty(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t != "")
 
@@ -92,8 +99,7 @@ def substring_count(text: Column, token: Column) -> Column:
 
 def first_match(text: Column, tokens: Column) -> Column:
     """(start, end) of the earliest place of any token, ties to the earlier token; null if there is none."""
-    low = F.lower(text)
-    places = F.transform(tokens, lambda t, i: F.struct((F.call_function("locate", t, low) - 1).alias("start"), i.alias("i"), F.length(t).alias("n")))
+    places = let(F.lower(text), lambda low: F.transform(tokens, lambda t, i: F.struct((F.call_function("locate", t, low) - 1).alias("start"), i.alias("i"), F.length(t).alias("n"))))
     best = F.array_min(F.filter(places, lambda p: p.start >= 0))
     return F.when(best.isNotNull(), F.struct(best.start.alias("start"), (best.start + best.n).alias("end")))
 

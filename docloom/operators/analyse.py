@@ -42,13 +42,11 @@ def text_report(items: DataFrame, least: int = 1) -> DataFrame:
 def tfidf(segments: DataFrame, max_features: int, sizes: tuple[int, int] = (1, 2)) -> DataFrame:
     """(key, term, value) of segments (key, text): count by terms in the vocabulary, times (n + 1) / (df + 1), without
     a logarithm. The vocabulary is the ``max_features`` terms of highest document frequency, ties by term."""
-    words = T.term_tokens(F.col("text"))
-
-    def grams(n: int) -> Column:
+    def grams(words: Column, n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
         return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
-    tf = segments.select("key", F.explode(F.concat(*map(grams, range(sizes[0], sizes[1] + 1)))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    tf = segments.select("key", F.explode(T.let(T.term_tokens(F.col("text")), lambda w: F.concat(*[grams(w, n) for n in range(sizes[0], sizes[1] + 1)]))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(max_features)
     total = segments.agg(F.count("*").alias("n"))
     kept = tf.join(vocabulary, "term")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 Chunker = Callable[[Column], Column]
 
 
@@ -21,10 +23,14 @@ def char_windows(text: Column, size: int, overlap: int, keep_blank: bool = False
     reaches the end. Blank ones go unless asked for."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    stride, n = size - overlap, F.length(text)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / stride) + 1).cast("int")
-    starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
-    out = _spans(text, starts, lambda s: F.least(s + size, n))
+    stride = size - overlap
+
+    def windows(n: Column) -> Column:
+        last = F.greatest(F.ceil((n - size) / stride).cast("int"), F.lit(0)) * stride
+        starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return _spans(text, starts, lambda s: F.least(s + size, n))
+
+    out = T.let(F.length(text), windows)
     return out if keep_blank else F.filter(out, lambda c: c.text.rlike(r"(?U)\S"))
 
 

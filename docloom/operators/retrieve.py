@@ -21,13 +21,12 @@ def scan(items: DataFrame, queries: DataFrame) -> DataFrame:
     Queries are a stated set; each block of them, of bounded size, is written into the plan, so that items are
     neither shuffled nor joined.
     """
-    low = F.lower("text")
     blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), []
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", T.scan_tokens(F.col("query_text")).alias("tokens")).collect()
         table = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*map(F.lit, r.tokens)).cast("array<string>").alias("tokens")) for r in own])
         asked = items.select("*", F.inline(table)) if own else items.select("*", F.lit("").alias("query_id"), F.array().cast("array<string>").alias("tokens")).limit(0)
-        score = F.aggregate("tokens", F.lit(0), lambda a, t: a + T.substring_count(low, t)).cast("double")
+        score = T.let(F.lower("text"), lambda low: F.aggregate("tokens", F.lit(0), lambda a, t: a + T.substring_count(low, t))).cast("double")
         parts.append(asked.withColumn("score", score).where("score > 0"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -75,8 +74,8 @@ def candidate_limit(budget: QueryBudget, factor: int) -> int:
 
 
 def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return T.let(vector, lambda v: T.let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -105,7 +104,7 @@ def hash_embedding(text: Column, dimensions: int, seed: str = "fixture") -> Colu
     """Unit vector of bytes of sha256("seed:counter:text"), each byte b as 2 b / 255 - 1."""
     blocks = -(-dimensions // 32)
     digest = F.concat(*[F.sha2(F.concat(F.lit(f"{seed}:{i}:"), text), 256) for i in range(blocks)])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, 2), 16, 10).cast("double") / 255 * 2 - 1)
+    raw = T.let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(d, i * 2 + 1, 2), 16, 10).cast("double") / 255 * 2 - 1))
     return unit(raw)
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk as C
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("doc_id").alias("catalog_pos"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("doc_id").alias("catalog_pos"), "text"))
 
 
 def _report(chunks: DataFrame) -> DataFrame:

@@ -43,3 +43,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_SQL)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where an input has fewer pieces than there are cores; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) * 2 < cores else df

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import chunk as C
 from ..operators import rank as K
 from ..operators import retrieve as R
-from .registry import query, table
+from .registry import query, spread, table
 
 #: (query_id, query_text)
 QUERIES = (("q0", "the and that"), ("q1", "idiot clown"), ("q2", "license apache"), ("q3", "der die und"), ("q4", "que les"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("doc_id").alias("catalog_pos"), F.col("source").alias("source_uri"), F.lit("text/plain").alias("media_type"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("doc_id").alias("catalog_pos"), F.col("source").alias("source_uri"), F.lit("text/plain").alias("media_type"), "text"))
 
 
 def queries(spark: SparkSession) -> DataFrame:
