@@ -83,7 +83,7 @@ def norm_words(spark: SparkSession, d: str) -> DataFrame:
     return _listed(spark, d, T.normal_words(F.col("text")))
 
 
-@query(rf"SELECT doc_id, array_to_string({_WS.format(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[^a-z0-9' + chr(92) + 's]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' ') AS transcript, array_to_string({_WS.format('text')}, ' ') AS collapsed FROM documents", "norm_transcript")
+@query(r"SELECT doc_id, array_to_string([x for x in regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+') if x <> ''], ' ') AS transcript, array_to_string([x for x in regexp_split_to_array(text, '\s+') if x <> ''], ' ') AS collapsed FROM documents")
 def norm_transcript(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", T.normal_transcript(F.col("text")).alias("transcript"), T.collapsed(F.col("text")).alias("collapsed"))
 
