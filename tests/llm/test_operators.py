@@ -274,6 +274,9 @@ def test_toxicity(spark):
     assert sum(got[i].predicted == y for i, y in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert got[900].score == got[901].score
+    model = toxicity.fit(d, labels)
+    dealt = [{r.doc_id: r.score for r in toxicity.score(d.repartition(n), model).collect()} for n in (1, 7)]
+    assert dealt[0] == dealt[1]
     none = toxicity.score(d, toxicity.fit(d, labels.limit(0)))
     assert none.count() == d.count()
 
