@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -18,6 +19,8 @@ from .common import cut, hash_strings, partitions, slices
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker remembers, in about 50 MB; when there are more it starts anew.
 REMEMBER = 1_500_000
+#: Words encoded at once: an encoding takes about a kilobyte until its ids are taken from it.
+ENCODE = 4096
 
 
 class _Words:
@@ -25,6 +28,7 @@ class _Words:
     and never joins across it, so a text's ids are those of its words in turn."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads hold more memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,9 +42,12 @@ class _Words:
     def learn(self, words: pa.Array, hashes: np.ndarray) -> None:
         if len(self.keys) + len(hashes) > REMEMBER:
             self.forget()
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        new = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        ids, lengths = [], []
+        for at in range(0, len(words), ENCODE):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, ENCODE).to_pylist(), add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        new, sizes = np.concatenate(ids), np.concatenate(lengths)
         if self.used + len(new) > len(self.data):
             self.data = np.concatenate([self.data[: self.used], np.zeros(max(len(self.data), len(new)), np.uint32)])
         self.data[self.used : self.used + len(new)] = new
