@@ -41,22 +41,24 @@ def front(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", "f.head", F.md5("f.body").alias("body"))
 
 
-_NEW = "n AS (SELECT doc_id, 'file://' || source || '/' || doc_id % 300 AS u, text FROM documents WHERE doc_id % 2 = 1), o AS (SELECT DISTINCT 'file://' || source || '/' || doc_id % 300 AS u FROM documents WHERE doc_id % 4 = 0)"
+_URI = "'file://' || source || '/' || doc_id % 300"
+_NEW = f"n AS (SELECT doc_id, {_URI} AS u, text FROM documents), o AS (SELECT DISTINCT {_URI} AS u FROM documents JOIN labels USING (doc_id))"
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _arrivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as they arrive, and a catalog of those that bear labels."""
     all_ = files(spark, d)
-    return all_.where("doc_id % 2 = 1"), all_.where("doc_id % 4 = 0")
+    return all_, all_.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 @query(f"WITH {_NEW}, f AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id::VARCHAR) AS i FROM n) SELECT doc_id::VARCHAR AS item_id, u AS source_uri, sha256(text) AS sha256 FROM f WHERE i = 1 AND u NOT IN (SELECT u FROM o)")
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    return I.ingest(*_halves(spark, d)).select("item_id", "source_uri", "sha256")
+    return I.ingest(*_arrivals(spark, d)).select("item_id", "source_uri", "sha256")
 
 
 @query(f"WITH {_NEW} SELECT doc_id FROM n WHERE u IN (SELECT u FROM o)")
 def j_dup(spark: SparkSession, d: str) -> DataFrame:
-    return I.duplicates(*_halves(spark, d)).select("doc_id")
+    return I.duplicates(*_arrivals(spark, d)).select("doc_id")
 
 
 @query("SELECT doc_id, 'text:' || sha256(lang || chr(10) || text) AS uri FROM documents")
@@ -78,12 +80,13 @@ def import_tree(spark: SparkSession, d: str) -> DataFrame:
 _UUID = "substr(md5(doc_id::VARCHAR), 1, 8) || '-' || substr(md5(doc_id::VARCHAR), 9, 4) || '-' || substr(md5(doc_id::VARCHAR), 13, 4) || '-' || substr(md5(doc_id::VARCHAR), 17, 4) || '-' || substr(md5(doc_id::VARCHAR), 21, 12)"
 
 
-@query(f"WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'm' || doc_id WHEN 1 THEN {_UUID} END AS item_id FROM documents) SELECT item_id, CASE WHEN doc_id % 2 = 0 THEN doc_id - 1000 ELSE doc_id END AS created_at FROM f WHERE item_id IS NOT NULL")
+@query(f"WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'm' || doc_id WHEN 1 THEN {_UUID} END AS item_id FROM documents) SELECT item_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN doc_id - 1000 ELSE doc_id END AS created_at FROM f WHERE item_id IS NOT NULL")
 def reindex(spark: SparkSession, d: str) -> DataFrame:
     h = F.md5(F.col("doc_id").cast("string"))
     uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     base = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("m"), "doc_id")).alias("meta_id"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("raw/"), uuid, F.lit("--name.txt"))).otherwise("raw/name.txt").alias("relpath"), F.col("doc_id").alias("created_at"), uuid.alias("uuid"))
-    old = base.where("doc_id % 2 = 0").select(F.coalesce("meta_id", "uuid").alias("item_id"), (F.col("doc_id") - 1000).alias("created_at"))
+    labelled = table(spark, d, "labels").select("doc_id").distinct()
+    old = base.join(labelled, "doc_id", "left_semi").select(F.coalesce("meta_id", "uuid").alias("item_id"), (F.col("doc_id") - 1000).alias("created_at"))
     return I.reindex(base, old).select("item_id", "created_at")
 
 

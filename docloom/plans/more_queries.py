@@ -11,11 +11,13 @@ from ..operators import retrieve as R
 from . import retrieval_queries as RQ
 from .registry import query, table
 
-_EX = "e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE upper(lang) END AS extracted FROM documents WHERE doc_id % 2 = 0)"
+_EX = "e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE upper(lang) END AS extracted FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id))"
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.upper("lang")).alias("extracted"))
+    """Extracted texts, which the labelled documents have."""
+    labelled = table(spark, d, "labels").select("doc_id")
+    return table(spark, d, "documents").join(labelled, "doc_id", "left_semi").select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.upper("lang")).alias("extracted"))
 
 
 @query(f"WITH {_EX} SELECT d.doc_id, e.extracted FROM documents d LEFT JOIN e USING (doc_id)")
@@ -85,12 +87,12 @@ def w_rank(spark: SparkSession, d: str) -> DataFrame:
     return RQ._scanned(spark, d).select("query_id", "item_id", "rank")
 
 
-@query("WITH s AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), c AS (SELECT conv_id, turn, h, turn % 3 AS label FROM s WHERE conv_id % 2 = 0) SELECT s.conv_id, s.turn, coalesce(c.label, -1)::BIGINT AS label FROM s LEFT JOIN c USING (conv_id, turn, h)")
+@query("WITH s AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), c AS (SELECT conv_id, turn, h, turn % 3 AS label FROM s JOIN conversations USING (conv_id, turn) WHERE role = 'user') SELECT s.conv_id, s.turn, coalesce(c.label, -1)::BIGINT AS label FROM s LEFT JOIN c USING (conv_id, turn, h)")
 def mk_obs(spark: SparkSession, d: str) -> DataFrame:
     """Labels from a cache keyed by item, place and text hash; what it lacks would be asked of a provider."""
-    s = table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
-    cache = s.where("conv_id % 2 = 0").withColumn("label", F.col("turn") % 3)
-    return s.join(cache, ["conv_id", "turn", "h"], "left").select("conv_id", "turn", F.coalesce("label", F.lit(-1)).alias("label"))
+    s = table(spark, d, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("h"))
+    cache = s.where("role = 'user'").drop("role").withColumn("label", F.col("turn") % 3)
+    return s.drop("role").join(cache, ["conv_id", "turn", "h"], "left").select("conv_id", "turn", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @query("SELECT conv_id, turn, conv_id % 4 AS topic FROM conversations")
