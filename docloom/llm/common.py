@@ -58,6 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             end = max(at + 1, int(np.searchsorted(total, base + most_bytes, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # a worker stays for later tasks; what it freed would stay with it
 
 
 def mix(x: np.ndarray) -> np.ndarray:
