@@ -121,14 +121,13 @@ class Items:
         starts_of: dict[int, set[int]] = {}
         for p in hits.tolist():
             for length in self.lengths_of[width][int(hashes[p])]:
-                count = length - width + 1
+                count = min(length, len(words)) - width + 1
                 starts_of.setdefault(length, set()).update(range(max(0, p - count + 1), min(p, len(hashes) - count) + 1))
         for length, found in starts_of.items():
             index, items, bags, weight = self.by_length[length]
-            count = length - width + 1
+            n = min(length, len(words))
+            count = n - width + 1
             starts = np.array(sorted(found), np.int64)
-            if not len(starts):
-                continue
             lo, hi = int(starts[0]), int(starts[-1]) + count
             known = weight | dict(zip(hashes[lo:hi].tolist(), weights[lo:hi].tolist(), strict=True))
             for start, print_ in zip(starts.tolist(), fingerprints(hashes[lo:hi], weights[lo:hi], count, starts - lo), strict=True):
@@ -137,7 +136,7 @@ class Items:
                     bag = bag or Counter(hashes[start : start + count].tolist())
                     s = weighted_similarity(bag, bags[i], known)
                     if s >= least and (items[i] not in best or (s, -start) > (best[items[i]][0], -best[items[i]][1])):
-                        best[items[i]] = (s, start, length, distance)
+                        best[items[i]] = (s, start, n, distance)
         return best
 
 
@@ -154,7 +153,8 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, similarity: float
     """(doc_id, item_id, start_word, n_words, hamming, similarity): each item's best window in each document.
 
     documents: (doc_id, text); benchmark: (item_id, text). Words are runs of letters, digits and other non-ASCII
-    characters in lower case; an item of n words is looked for in windows of n words. A window counts when its
+    characters in lower case; an item of n words is looked for in windows of n words, and
+    a document of fewer words is one window, compared as a whole. A window counts when its
     SimHash lies within ``radius`` bits of the item's and the weighted Jaccard similarity of their five-word
     shingles, each weighing as many as its different words, is at least ``similarity``; of equal windows the first.
     Items under five words are one shingle. Null or wordless texts match nothing; rows without an id are left out;

@@ -208,6 +208,16 @@ def test_passages(spark):
     assert decontaminate.find_passages(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_passages_in_documents_shorter_than_the_item(spark):
+    item = words(59, 15)
+    rows = [(0, " ".join(item[:-1])), (1, " ".join(item[1:])), (2, " ".join(item[5:50])), (3, " ".join(item[:40])), (4, " ".join(item[:4])), (5, " ".join(words(58, 16))), (6, " ".join(item[:5])), (7, " ".join(item[5:53]))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:8]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.find_passages(docs(spark, rows), bench).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 1), (3, 2), (7, 1)}
+    assert got[0, 1] == (0, 58, pytest.approx(54 / 55)) and got[1, 1] == (0, 58, pytest.approx(54 / 55))
+    assert {r.doc_id for r in decontaminate.without_passages(docs(spark, rows), bench).collect()} == {2, 4, 5, 6}
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 2**63, 200).astype(np.uint64)
