@@ -129,7 +129,7 @@ def crawl_path(spark: SparkSession, d: str) -> DataFrame:
 def crawl(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     root = pages.agg(F.min_by("url", "page_id")).first()[0]
-    return W.crawl(pages, root, root.split("/")[0], 50, rounds=3)
+    return W.crawl(pages, root, root.split("/")[0], 50)
 
 
 @query()

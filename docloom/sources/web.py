@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -35,21 +36,24 @@ def relative_path(url: Column, prefix: str) -> Column:
     return F.when(rest == "", "index.html").when(rest.endswith("/"), F.concat(rest, F.lit("index.html"))).otherwise(rest)
 
 
-def crawl(pages: DataFrame, root: str, prefix: str, most: int, rounds: int = 20) -> DataFrame:
+def crawl(pages: DataFrame, root: str, prefix: str, most: int) -> DataFrame:
     """(url, depth): pages reached from ``root`` by links that start with ``prefix``, breadth first, at most ``most``.
 
-    The frontier is joined with the pages round by round, and what was seen is left out by an anti-join.
+    The frontier is joined with the pages round by round, and what was seen is left out by an anti-join. Only stored
+    pages are followed and counted; it ends when there are ``most`` of them or no new ones.
     """
     spark = pages.sparkSession
-    known = pages.select("url", resolved_links(raw_links(F.col("html")), F.col("url")).alias("links"))
+    saved, stored = spark.sparkContext.getCheckpointDir(), pages.select("url").distinct()
     frontier = spark.createDataFrame([(root,)], "url string")
     seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, rounds + 1):
-        out = known.join(frontier, "url", "left_semi").select(F.explode("links").alias("url")).where(F.col("url").startswith(prefix)).distinct()
-        frontier = out.join(seen, "url", "left_anti").checkpoint() if spark.sparkContext.getCheckpointDir() else out.join(seen, "url", "left_anti").persist()
+    for depth in count(1):
+        links = pages.join(frontier, "url", "left_semi").select(resolved_links(raw_links(F.col("html")), F.col("url")).alias("links"))
+        out = links.select(F.explode("links").alias("url")).where(F.col("url").startswith(prefix)).distinct()
+        frontier = out.join(stored, "url", "left_semi").join(seen, "url", "left_anti")
+        frontier = frontier.checkpoint() if saved else frontier.localCheckpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
         if seen.count() >= most:
             break
-    return seen.join(pages.select("url").distinct(), "url", "left_semi").orderBy("depth", "url").limit(most)
+    return seen.join(stored, "url", "left_semi").orderBy("depth", "url").limit(most)

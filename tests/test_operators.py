@@ -111,3 +111,14 @@ def test_every_query_loads():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_crawl_counts_stored_pages_and_goes_on_to_the_end(spark):
+    from docloom.sources import web as W
+
+    link = lambda n: f'<a href="http://h/{n}">'
+    rows = [("http://h/0", "".join(link(f"missing{i}") for i in range(60)) + link(1))]
+    rows += [(f"http://h/{n}", link(n + 1) + link(0)) for n in range(1, 24)]
+    pages = spark.createDataFrame([*rows, ("http://h/alone", "")], "url string, html string")
+    assert [tuple(r) for r in W.crawl(pages, "http://h/0", "http://h/", 50).collect()] == [(f"http://h/{n}", n) for n in range(24)]
+    assert [r.depth for r in W.crawl(pages, "http://h/0", "http://h/", 3).collect()] == [0, 1, 2]
