@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, hash_strings, partitions, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers, in about 50 MB; when there are more it starts anew.
+#: Words whose ids a worker remembers, in about 50 MB; when there are more it starts anew
+#: with those of the texts at hand, all of them even if they are more.
 REMEMBER = 1_500_000
 #: Words encoded at once: an encoding takes about a kilobyte until its ids are taken from it.
 ENCODE = 4096
@@ -40,8 +41,8 @@ class _Words:
         self.data, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, words: pa.Array, hashes: np.ndarray) -> None:
-        if len(self.keys) + len(hashes) > REMEMBER:
-            self.forget()
+        if not len(words):
+            return
         ids, lengths = [], []
         for at in range(0, len(words), ENCODE):
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, ENCODE).to_pylist(), add_special_tokens=False)]
@@ -64,11 +65,10 @@ class _Words:
         words = lists.flatten().dictionary_encode()
         hashes = hash_strings(words.dictionary)
         known = self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
-        if not known.all():
-            before = len(self.keys)
-            self.learn(words.dictionary.filter(pa.array(~known)), hashes[~known])
-            if len(self.keys) < before + (~known).sum():  # it has started anew
-                self.learn(words.dictionary.filter(pa.array(known)), hashes[known])
+        if len(self.keys) + (~known).sum() > REMEMBER:
+            self.forget()  # and then learn all words of these texts, however many
+            known[:] = False
+        self.learn(words.dictionary.filter(pa.array(~known)), hashes[~known])
         codes = words.indices.to_numpy(zero_copy_only=False)
         first, size = self.place[np.searchsorted(self.keys, hashes)].T
         first, size = first[codes], size[codes]

@@ -173,6 +173,21 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path, 32).count() == 0
 
 
+def test_more_words_than_a_worker_remembers(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "REMEMBER", 4)
+    own = packing._Words(path)
+    batches = [["one two"], ["one three four five six seven eight"], ["nine ten eleven twelve"], ["one two", "two nine", ""], ["", ""], ["one two three four five six"]]
+    for texts in batches:
+        ids, bounds = own.ids(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("size", [4096, 16])
 def test_top_k(spark, monkeypatch, size):
     monkeypatch.setattr(topk_search, "CANDIDATES", size)
