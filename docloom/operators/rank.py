@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,9 @@ def apply_budget(ranked: DataFrame, budget: QueryBudget) -> DataFrame:
 
     In rank order: the first ``offset`` are skipped, then what would exceed a source's share or the characters left
     is skipped too (not stopped at), until ``max_total_items`` are kept. Without a character limit two row numbers
-    decide it; with one, the ranked candidates of a query are folded in order, so they should be few (a top-k).
+    decide it; with one, each query's next item is the least rank after its last whose text and source still have
+    room, found by a grouped minimum over all candidates, in at most ``max_total_items`` rounds.
+    A column ``characters`` stands for the text's length, so that ranks can be given without moving the texts.
     """
     source = F.coalesce("source_uri", "item_id")
     by_query = Window.partitionBy("query_id").orderBy("rank")
@@ -43,19 +46,26 @@ def apply_budget(ranked: DataFrame, budget: QueryBudget) -> DataFrame:
             own = Window.partitionBy("query_id", source).orderBy("rank")
             df = df.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= budget.max_items_per_source).drop("nth")
         return df.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= budget.max_total_items)
-    n = F.length(F.coalesce("text", F.lit("")))
-    rows = df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("source"), n.alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("chars"), F.array().cast("array<int>").alias("kept"), F.array().cast("array<string>").alias("sources"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = (F.size(acc.kept) < budget.max_total_items) & (acc.chars + x.n <= budget.maximum_total_characters)
-        if budget.max_items_per_source is not None:
-            ok = ok & (F.size(F.filter(acc.sources, lambda s: s == x.source)) < budget.max_items_per_source)
-        grown = F.struct((acc.chars + x.n).cast("int").alias("chars"), F.concat(acc.kept, F.array(x["rank"].cast("int"))).alias("kept"), F.concat(acc.sources, F.array(x.source)).alias("sources"))
-        return F.when(ok, grown).otherwise(acc)
-
-    kept = rows.select("query_id", F.posexplode(F.aggregate("rows", start, step, lambda acc: acc.kept)).alias("i", "old"))
-    return df.withColumnRenamed("rank", "old").join(kept, ["query_id", "old"]).withColumn("rank", F.col("i") + 1).drop("old", "i")
+    most, share = budget.maximum_total_characters, budget.max_items_per_source
+    n = F.col("characters") if "characters" in df.columns else F.length(F.coalesce("text", F.lit("")))
+    rows = df.where(n <= most).select("query_id", F.col("rank").alias("at"), source.alias("source"), n.alias("n")).persist()
+    state = rows.select("query_id").distinct().select("query_id", F.lit(0).alias("last"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("sources"))
+    saved, taken = df.sparkSession.sparkContext.getCheckpointDir(), []
+    for i in range(1, budget.max_total_items + 1):
+        room = (F.col("at") > F.col("last")) & (F.col("chars") + F.col("n") <= most)
+        if share is not None:
+            room = room & (F.size(F.filter("sources", lambda s: s == F.col("source"))) < share)
+        fits = rows.join(F.broadcast(state), "query_id").where(room)
+        least = fits.groupBy("query_id").agg(F.min(F.struct("at", "n", "source")).alias("x"), F.first("chars").alias("chars"), F.first("sources").alias("sources"))
+        sources = F.concat("sources", F.array("x.source")) if share is not None else F.col("sources")
+        state = least.select("query_id", F.col("x.at").alias("last"), (F.col("chars") + F.col("x.n")).alias("chars"), sources.alias("sources"))
+        state = state.checkpoint() if saved else state.localCheckpoint()
+        if i > 1 and state.isEmpty():
+            break
+        taken.append(state.select("query_id", F.col("last").alias("old"), F.lit(i).alias("new")))
+    rows.unpersist()
+    kept = reduce(DataFrame.unionByName, taken)
+    return df.withColumnRenamed("rank", "old").join(kept, ["query_id", "old"]).withColumn("rank", F.col("new")).drop("old", "new")
 
 
 def minimum_score(df: DataFrame, least: float) -> DataFrame:

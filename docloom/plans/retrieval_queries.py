@@ -92,8 +92,8 @@ b(query_id, rank, chars, kept) AS (SELECT query_id, 0, 0, CAST([] AS INTEGER[])
 l AS (SELECT query_id, arg_max(kept, rank) AS kept FROM b GROUP BY query_id)
 SELECT l.query_id, c.item_id, list_position(l.kept, c.rank)::INTEGER AS rank FROM l JOIN c ON c.query_id = l.query_id AND list_contains(l.kept, c.rank)""")
 def w_budget_chars(spark: SparkSession, d: str) -> DataFrame:
-    few = _scanned(spark, d).where("rank <= 60")
-    return K.apply_budget(few, K.QueryBudget(10, maximum_total_characters=20000)).select("query_id", "item_id", "rank")
+    found = R.scan(items(spark, d), queries(spark)).select("query_id", "item_id", "source_uri", "score", F.length("text").alias("characters"))
+    return K.apply_budget(K.rank_by_score(found), K.QueryBudget(10, maximum_total_characters=20000)).select("query_id", "item_id", "rank")
 
 
 @query(f"WITH {_SCAN} SELECT query_id, item_id, score FROM r WHERE score >= 5")

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import rank as K
 from docloom.operators import retrieve as R
+from docloom.plans import registry
 
 ROWS = [("a", "alpha bravo charlie"), ("b", "alpha beta charlie alpha"), ("c", "Gamma unique signal.")]
 
@@ -36,6 +39,37 @@ def test_budget_golden(spark):
     assert K.apply_budget(df, K.QueryBudget(3, maximum_total_characters=0)).count() == 0
 
 
+def budget_brute(rows, budget):
+    kept = {}
+    for q in {r[0] for r in rows}:
+        chars, sources, own = 0, [], kept.setdefault(q, [])
+        for _, rank, source, item, text in sorted((r for r in rows if r[0] == q), key=lambda r: r[1])[budget.offset :]:
+            key, n = item if source is None else source, len(text or "")
+            if len(own) < budget.max_total_items and chars + n <= budget.maximum_total_characters and (budget.max_items_per_source is None or sources.count(key) < budget.max_items_per_source):
+                own.append(item)
+                chars, sources = chars + n, [*sources, key]
+    return {(q, i, k) for q, own in kept.items() for k, i in enumerate(own, 1)}
+
+
+def test_character_budget_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(f"q{k}", r, rng.choice(["s1", "s2", "s3", None]), f"i{r}", "x" * rng.randrange(40)) for k in range(4) for r in range(1, 60)]
+    rows += [("q0", 60, None, "i60", None), *(("long", r, "s", f"i{r}", "x" * 99) for r in range(1, 30))]
+    df = spark.createDataFrame(rows, "query_id string, rank int, source_uri string, item_id string, text string")
+    for budget in (K.QueryBudget(5, maximum_total_characters=60), K.QueryBudget(9, 2, 90, 2), K.QueryBudget(4, 1, 200, 1), K.QueryBudget(3, maximum_total_characters=0)):
+        got = K.apply_budget(df, budget)
+        assert {(r.query_id, r.item_id, r["rank"]) for r in got.collect()} == budget_brute(rows, budget)
+        assert set(got.columns) == set(df.columns)
+
+
+def test_character_budget_sees_every_rank(spark, tmp_path):
+    """Ninety texts that are too long come before those that fit."""
+    docs = [(i, "the and that " * 2000 + "the " * (90 - i), "s") for i in range(90)] + [(90 + i, "the and that " * (9 - i), "s") for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["w_budget_chars"](spark, str(tmp_path)).where("query_id = 'q0'").orderBy("rank").collect()
+    assert [(r.item_id, r["rank"]) for r in got] == [("90", 1), ("91", 2), ("92", 3), ("93", 4)]
+
+
 def test_fusion_takes_the_last_chunk_of_each_side(spark):
     lex = spark.createDataFrame([("q", "a", 1, 3.0), ("q", "a", 2, 1.0), ("q", "b", 3, 0.5)], "query_id string, item_id string, rank int, score double")
     vec = spark.createDataFrame([("q", "c", 1, 0.9)], "query_id string, item_id string, rank int, score double")
