@@ -79,8 +79,7 @@ class KnowledgeBase:
 
     def query(self, spark: SparkSession, text: str) -> DataFrame:
         asked = spark.createDataFrame([("q", text)], "query_id string, query_text string")
-        found = rank.rank_by_score(retrieve.scan(self.items, asked)).where(f"rank <= {retrieve.candidate_limit(self.budget, 5)}")
-        return rank.apply_budget(found, self.budget)
+        return rank.apply_budget(rank.rank_by_score(retrieve.scan(self.items, asked)), self.budget)
 
     def pack(self, spark: SparkSession, text: str, most_tokens: int) -> DataFrame:
         return context.join_blocks(context.fit_tokens(context.blocks(self.query(spark, text)), most_tokens))

@@ -30,6 +30,12 @@ def test_knowledge_base(spark):
     assert kb.pack(spark, "gamma alpha", 5).count() == 0
 
 
+def test_knowledge_base_looks_past_texts_that_do_not_fit(spark):
+    rows = [(f"a{i:02}", "s", "text/plain", "alpha " * 400) for i in range(30)] + [("b", "t", "text/plain", "alpha")]
+    items = spark.createDataFrame(rows, "item_id string, source_uri string, media_type string, text string")
+    assert [(r.item_id, r["rank"]) for r in W.KnowledgeBase(items).query(spark, "alpha").collect()] == [("b", 1)]
+
+
 def test_stand_ins(spark):
     rows = spark.createDataFrame([(1, "hello"), (2, None)], "key long, text string")
     got = {r.key: r.embedding for r in P.embed(rows, P.HashEmbedding(4)).collect()}
