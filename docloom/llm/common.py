@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,15 +14,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder, spark.checkpoint.dir; one of our own only in a local session that names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
-        sc.setCheckpointDir("/tmp/checkpoints/docloom")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
         named = sc.getCheckpointDir()
     return named
 
@@ -30,32 +33,46 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-    _TABLES.append((spark, path))
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _TABLES.append((spark, path, table))
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote, once all that read them is written; others are left alone. What is never
+    dropped goes when the driver's process ends."""
+    for entry in [x for x in _TABLES if any(x[2] is t for t in tables)]:
+        _TABLES.remove(entry)
+        _remove(*entry[:2])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _drop_tables() -> None:
-    for spark, path in _TABLES:
+    for spark, path, _ in _TABLES:
         with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose ``column`` holds about ``most_bytes`` of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``most_rows`` at most whose ``column`` holds about ``most_bytes`` of text, one row
+    at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at, total = 0, np.cumsum(sizes, dtype=np.int64)
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, base + most_bytes, side="right")))
+            end = min(at + most_rows, max(at + 1, int(np.searchsorted(total, base + most_bytes, side="right"))))
             yield batch.slice(at, end - at)
             at = end
     pa.default_memory_pool().release_unused()  # a worker stays for later tasks; what it freed would stay with it
