@@ -4,16 +4,21 @@ How a link is found without comparing everything:
 
 1. *Sets.* Each task turns its documents into sets of shingle hashes and keeps one of each set of equal
    documents (a class). Exact copies cost one row each from here on.
-2. *Index.* Shingles are dealt by their hash, packed many to a row. Where lists of an inverted index are
-   met by block, a shingle held by one class alone is skipped at once: it can never be in an answer.
+2. *Index.* Shingles are dealt by their hash, packed many to a row. A shingle held by one class alone is skipped at
+   once: it can never be in an answer. One that many classes of a task hold is known to be shared, so it doesn't travel to
+   the index at all; a mark tells the index to count it among the most frequent.
 3. *Positions.* A class gets back its shared shingles with their frequency, rarest first. Unshared ones stand
    before them all, so lists are entered only at the positions where an overlap that is large enough can still
    begin; most classes have no such position and leave here.
 4. *Answers from answers.* In each list the class with the smallest unshared part is the hub. Members are checked
-   against the hub; those that link share its answer set, so two members of one component need no comparison.
-   Only members of different components are compared then, small lists by a join and large ones in tiles.
+   against the hub; those that link share its answer set, so two members of one component need no comparison. For the
+   others the overlaps with the hub bound the overlap with each other: what both share with the hub, and what of
+   both lies outside it, is all that they can share.
+5. *Blocks.* What is left of a list is cut into blocks by component, size and what comes after the position. Two
+   blocks are skipped as a whole where no pair of theirs can reach the overlap or all are of one component; other
+   pairs of blocks are tiles of bounded size, each compared on its own.
 
-All steps keep every link: 2 and 3 are bounds, 4 skips pairs whose documents are known to be connected.
+All steps keep every link: 2, 3 and 5 are bounds, 4 skips pairs whose documents are known to be connected or can't link.
 """
 
 from __future__ import annotations
@@ -28,15 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_strings, partitions, shingles, slices, space_words
+from .common import cut, drop, hash_strings, partitions, shingles, slices, space_words
 from .components import connected_components
 
 PACKED = "kind int, key int, a binary, b binary"
-LOW = np.uint64(0xFFFF)
-#: Shingles that a task holds before it sends them off.
-FLUSH = 1_500_000
-#: Members of a list that one tile holds.
-TILE = 1024
+LOW, BUCKET_BITS = np.uint64(0xFFFF), 20
+#: The frequency that stands for all larger ones.
+FREQUENT = 32767
+#: Shingles that a task holds before it sends them off, and classes among them that make a shingle frequent.
+FLUSH, HOT = 1_500_000, 256
+#: Bytes of text whose shingles one bucket of the index holds.
+BUCKET = 16 << 20
+#: Members of a list that are joined at once, and that one block holds beyond it.
+SMALL, TILE = 64, 512
 
 
 def _needs(sim: tuple[int, int]) -> tuple[int, int]:
@@ -44,8 +53,9 @@ def _needs(sim: tuple[int, int]) -> tuple[int, int]:
     return sim[0], sim[0] + sim[1]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: shingles of a bucket and their classes; kind 1: documents and their classes; kind 2: classes."""
+def _pack(batches: Iterator[pa.RecordBatch], buckets: int, width: int, most: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: shingles of a bucket and their classes; kind 1: documents and their classes; kind 2: classes; kind 3: shingles
+    that are frequent here, by their classes; kind 4: the same by bucket, without classes."""
     out: list[tuple[int, int, bytes, bytes]] = []
     seen: dict[int, list[int]] = {}
     docs: list[tuple[int, int]] = []
@@ -65,11 +75,22 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Iterat
         if tokens:
             t = np.concatenate(tokens)
             index = np.repeat(np.array([x[2] for x in seen.values() if x[2] >= 0], np.uint64), [len(x) for x in tokens])
-            bucket = ((t & LOW) * np.uint64(buckets)) >> np.uint64(16)
-            order = np.argsort(bucket.astype(np.uint16), kind="stable")
-            t, index, bucket = t[order], index[order], bucket[order]
             classes = np.array([c for c, x in seen.items() if x[2] >= 0], np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(t)]
+            bucket = ((t & np.uint64((1 << BUCKET_BITS) - 1)) * np.uint64(buckets)) >> np.uint64(BUCKET_BITS)
+            ordered = np.sort(t)
+            hot = np.unique(ordered[most:][ordered[most:] == ordered[:-most]])
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
+                frequent = hot[at] == t
+                value = (t[frequent] >> np.uint64(16)) | np.uint64(FREQUENT << 48)
+                _, one = np.unique(t[frequent], return_index=True)
+                for k in np.unique(marks := bucket[frequent][one]):
+                    out.append((4, int(k), value[one][marks == k].tobytes(), b""))
+                out.extend(_by_class(3, value, classes[index[frequent].astype(np.int64)], buckets))
+                t, index, bucket = t[~frequent], index[~frequent], bucket[~frequent]
+            order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+            t, index, bucket = t[order], index[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(t)] if len(t) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 own, at = np.unique(index[a:b], return_inverse=True)
                 out.append((0, int(bucket[a]), ((t[a:b] & ~LOW) | at.astype(np.uint64)).tobytes(), classes[own.astype(np.int64)].tobytes()))
@@ -104,10 +125,20 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int, width: int) -> Iterat
     yield from sent()
 
 
+def _by_class(kind: int, value: np.ndarray, classes: np.ndarray, buckets: int) -> list[tuple[int, int, bytes, bytes]]:
+    """Shingles with their frequency, packed for the buckets of their classes."""
+    home = classes % buckets
+    order = np.argsort(home, kind="stable")
+    value, classes, home = value[order], classes[order], home[order]
+    cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
+    return [(kind, int(home[a]), value[a:b].tobytes(), classes[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def _index(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """One bucket of the inverted index: shingles of two classes at least go back to their classes, with frequency."""
-    passed = pdf[pdf.kind != 0]
+    passed = pdf[pdf.kind.isin((1, 2, 3))]
     own = pdf[pdf.kind == 0]
+    marked = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in pdf[pdf.kind == 4].a)])) & np.uint64((1 << 48) - 1)
     rows: list[tuple[int, int, bytes, bytes]] = []
     if len(own):
         parts = [np.frombuffer(x, np.uint64) for x in own.a]
@@ -119,22 +150,19 @@ def _index(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
         order = np.argsort(t)
         t, classes = t[order], classes[order]
         same = t[1:] == t[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        t, classes = t[shared], classes[shared]
+        frequent = marked[np.minimum(np.searchsorted(marked, t), len(marked) - 1)] == t if len(marked) else np.zeros(len(t), bool)
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | frequent
+        t, classes, frequent = t[shared], classes[shared], frequent[shared]
         order = np.lexsort((classes, t))
-        t, classes = t[order], classes[order]
+        t, classes, frequent = t[order], classes[order], frequent[order]
         if len(t):
             first = np.concatenate([[True], (t[1:] != t[:-1]) | (classes[1:] != classes[:-1])])  # repeats of a class
-            t, classes = t[first], classes[first]
+            t, classes, frequent = t[first], classes[first], frequent[first]
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             df = np.repeat(sizes := np.diff(np.concatenate([starts, [len(t)]])), sizes)
-            t, classes, df = t[df > 1], classes[df > 1], df[df > 1]
-            value = (np.minimum(df, 32767).astype(np.uint64) << np.uint64(48)) | t
-            home = classes % buckets
-            order = np.argsort(home, kind="stable")
-            value, classes, home = value[order], classes[order], home[order]
-            cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
-            rows = [(0, int(home[a]), value[a:b].tobytes(), classes[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+            df = np.where(frequent, FREQUENT, np.minimum(df, FREQUENT))
+            kept = df > 1
+            rows = _by_class(0, (df[kept].astype(np.uint64) << np.uint64(48)) | t[kept], classes[kept], buckets)
     return pd.concat([passed, pd.DataFrame(rows, columns=["kind", "key", "a", "b"])], ignore_index=True)
 
 
@@ -148,12 +176,14 @@ def _classes(pdf: pd.DataFrame, sim: tuple[int, int]) -> pd.DataFrame:
         table = table[np.lexsort((table[:, 2], table[:, 0]))]
         table = table[np.concatenate([[True], table[1:, 0] != table[:-1, 0]])]
         frames.append(pd.DataFrame({"kind": 2, "cls": table[:, 0], "doc": table[:, 2], "n": table[:, 1], "toks": None}))
-        own = pdf[pdf.kind == 0]
+        own = pdf[pdf.kind.isin((0, 3))]
         if len(own):
             value = np.concatenate([np.frombuffer(x, np.int64) for x in own.a])
             classes = np.concatenate([np.frombuffer(x, np.int64) for x in own.b])
             order = np.lexsort((value, classes))
             value, classes = value[order], classes[order]
+            first = np.concatenate([[True], (value[1:] != value[:-1]) | (classes[1:] != classes[:-1])])
+            value, classes = value[first], classes[first]
             starts = np.concatenate([np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])), [len(classes)]])
             ids, sizes = classes[starts[:-1]], np.diff(starts)
             n = table[np.searchsorted(table[:, 0], ids), 1]
@@ -164,29 +194,66 @@ def _classes(pdf: pd.DataFrame, sim: tuple[int, int]) -> pd.DataFrame:
 
 
 def _tile(key: tuple, pdf: pd.DataFrame, sim: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of a tile of one list that can still link and whose components differ."""
+    """Pairs of two blocks of one list that can still link and whose components differ."""
     p, q = _needs(sim)
     _, i, j = key
-    left, right = pdf[pdf.part == i], pdf[pdf.part == j]
-    rn, rp, rl, rc = (right[c].to_numpy() for c in ("n", "pos", "label", "cls"))
+    left, right = pdf[pdf.block == i], pdf[pdf.block == j]
+    rn, rp, rl, rc, ro = (right[c].to_numpy() for c in ("n", "pos", "label", "cls", "o"))
     pairs = []
-    for cls, n, pos, label in left[["cls", "n", "pos", "label"]].itertuples(index=False):
-        ok = (rl != label) & (q * np.minimum(n - pos, rn - rp) >= p * (n + rn)) & ((rc > cls) if i == j else (rc != cls))
+    for cls, n, pos, label, o in left[["cls", "n", "pos", "label", "o"]].itertuples(index=False):
+        most = np.minimum(n - pos, rn - rp)
+        if o >= 0:
+            most = np.where(ro >= 0, np.minimum(most, np.minimum(o, ro) + np.minimum(n - o, rn - ro)), most)
+        ok = (rl != label) & (q * most >= p * (n + rn)) & ((rc > cls) if i == j else (rc != cls))
         pairs += [(min(cls, x), max(cls, x)) for x in rc[ok]]
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64").drop_duplicates()
 
 
 def _can(left: str, right: str, sim: tuple[int, int]) -> Column:
+    """Whether the overlap can be large enough after the positions in a list."""
     p, q = _needs(sim)
     return F.expr(f"{q} * least({left}.n - {left}.pos, {right}.n - {right}.pos) >= {p} * ({left}.n + {right}.n)")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) that link, by the full overlap."""
+def _can_by_hub(left: str, right: str, sim: tuple[int, int]) -> Column:
+    """Whether it can be, by both overlaps o with the list's hub (-1: unknown)."""
+    p, q = _needs(sim)
+    return F.expr(f"{left}.o < 0 or {right}.o < 0 or {q} * (least({left}.o, {right}.o) + least({left}.n - {left}.o, {right}.n - {right}.o)) >= {p} * ({left}.n + {right}.n)")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) with their full overlap o, and whether they link."""
     p, q = _needs(sim)
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(q * F.size(F.array_intersect("ta", "tb")) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")))
+    return both.select("a", "b", "o", (q * F.col("o") >= p * (F.col("na") + F.col("nb"))).alias("links"))
+
+
+def _with_large(df: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
+    """``df`` with how many rows have its ``keys``, where that is more than ``most``, else null. Only large counts are
+    joined, each to every 32nd class of its rows, so that no task gets all of them."""
+    large = df.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > most)
+    spread_ = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return df.withColumn("salt", F.pmod(F.col("cls"), F.lit(32)).cast("int")).join(spread_, [*keys, "salt"], "left").drop("salt")
+
+
+def _tiles(large: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Candidate pairs (a, b) of long lists, by blocks."""
+    p, q = _needs(sim)
+    own = _with_large(large, ["v", "label"], "alike", TILE // 2).withColumn("main", F.when(F.col("alike").isNotNull(), F.col("label")).otherwise(-1))
+    step = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / math.log(1.15))
+    own = own.withColumn("size", step(F.col("n"))).withColumn("rest", step(F.col("n") - F.col("pos")))
+    cell = ["v", "main", "size", "rest"]
+    own = _with_large(own, cell, "cell", TILE)
+    own = own.withColumn("block", F.xxhash64("main", "size", "rest", F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("cell", F.lit(1)) / TILE))))
+    own = cut(own.select("v", "block", "main", "cls", "n", "pos", "label", "o"))
+    blocks = own.groupBy("v", "block").agg(F.first("main").alias("main"), F.count("*").alias("held"), F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    met = x.join(y, "v").where("x.block <= y.block and (x.main < 0 or x.main <> y.main) and (x.block <> y.block or x.held > 1)")
+    met = met.where(F.expr(f"{q} * least(x.rest, y.rest) >= {p} * (x.n + y.n)")).select("v", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sent = own.join(met.select("v", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["v", "block"])
+    return sent.groupBy("v", "i", "j").applyInPandas(lambda key, pdf: _tile(key, pdf, sim), "a long, b long")
 
 
 def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -199,11 +266,13 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, i
     nothing, not even each other. Rows without doc_id are left out. Rows that repeat a doc_id come back once
     each, and a doc_id with several texts is connected through them; equal rows are equal in the result.
     """
-    spark = documents.sparkSession
-    sim, buckets = similarity, min(2 * partitions(spark), 1 << 16)
+    spark, sim = documents.sparkSession, similarity
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    packed = rows.mapInArrow(lambda it: _pack(it, buckets, width), PACKED)
-    back = packed.groupBy("key").applyInPandas(lambda pdf: _index(pdf, buckets), PACKED)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(partitions(spark), -(-size // BUCKET)), 1 << BUCKET_BITS)
+    most = HOT
+    packed = rows.mapInArrow(lambda it: _pack(it, buckets, width, most), PACKED).repartition(buckets, "key")
+    back = packed.groupBy("key").applyInPandas(lambda pdf: _index(pdf, buckets), PACKED).repartition(buckets, "key")
     table = cut(back.groupBy("key").applyInPandas(lambda pdf: _classes(pdf, sim), "kind int, cls long, doc long, n long, toks array<long>"), "kind")
     docs = table.where("kind = 1").select("cls", F.col("doc").alias("doc_id"))
     classes = table.where("kind = 2").select("cls", "n", F.col("doc").alias("class_id"))
@@ -212,22 +281,23 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, i
     first = F.col("n") - F.ceil(F.col("n") * sim[0] / sim[1]) + 1 - (F.col("n") - F.size("toks"))  # positions where a link can begin
     postings = cut(sets.where(first > 0).select("cls", "n", F.size("toks").alias("m"), F.posexplode(F.slice("toks", 1, first.cast("int"))).alias("i", "v")).select("v", "cls", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("pos")))
     hubs = postings.groupBy("v").agg(F.count("*").alias("held"), F.min(F.struct((1 - F.col("m") / F.col("n")).alias("own"), "cls", "n", "pos")).alias("h")).where("held > 1")
-    hubs = hubs.select("v", "h.cls", "h.n", "h.pos")
+    hubs = cut(hubs.select("v", "held", "h.cls", "h.n", "h.pos"))
     pairs = postings.alias("x").join(hubs.alias("y"), "v").where("x.cls <> y.cls").where(_can("x", "y", sim))
     pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    star = cut(_verify(pairs, sets, sim))
+    checked = cut(_overlaps(pairs, sets, sim))
+    star = checked.where("links").select("a", "b")
 
     labels = connected_components(star)
     known = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = known.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("v", "held")
-    known = cut(known.join(mixed, "v"))
-    small = known.where(F.col("held") <= 64)
-    near = small.alias("x").join(small.alias("y"), "v").where("x.cls < y.cls and x.label <> y.label").where(_can("x", "y", sim)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    parts = F.ceil(F.col("held") / TILE).cast("int")
-    large = known.where(F.col("held") > 64).withColumn("part", F.pmod(F.col("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.select("v", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "n", "pos", "label")
-    far = large.groupBy("v", "i", "j").applyInPandas(lambda key, pdf: _tile(key, pdf, sim), "a long, b long")
-    more = _verify(near.union(far).distinct(), sets, sim)
+    mixed = known.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
+    known = known.join(mixed.join(hubs.select("v", "held", F.col("cls").alias("hub")), "v"), "v")
+    known = known.withColumn("a", F.least("cls", "hub")).withColumn("b", F.greatest("cls", "hub")).join(checked.select("a", "b", "o"), ["a", "b"], "left")
+    known = cut(known.select("v", "held", "cls", "n", "pos", "label", F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).cast("long").alias("o")))
+    drop(postings, hubs)
+    small = known.where(F.col("held") <= SMALL)
+    near = small.alias("x").join(small.alias("y"), "v").where("x.cls < y.cls and x.label <> y.label").where(_can("x", "y", sim)).where(_can_by_hub("x", "y", sim)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    far = _tiles(known.where(F.col("held") > SMALL), sim)
+    more = _overlaps(near.union(far).distinct(), sets, sim).where("links").select("a", "b")
 
     same = docs.join(classes.where("n > 0"), "cls").where("doc_id <> class_id")  # a doc_id with several texts ties its classes
     tied = same.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
