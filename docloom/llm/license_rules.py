@@ -1,6 +1,6 @@
 """License signatures, in order. Patterns are over words in lower case with one space between them.
 
-A line is: label | keyword | pattern. The keyword is a piece of every match. Sections set the priority; earlier rules
+A line is: label | keyword | pattern. The keyword is a piece of every match, from the beginning of a word on. Sections set the priority; earlier rules
 win ties.
 """
 
@@ -109,7 +109,7 @@ cecill-b | cecill | cecill b( free software license agreement)?
 cecill-c | cecill | cecill c( free software license agreement)?
 llama-2 | llama | llama 2 community license agreement
 llama-3 | llama | (meta )?llama 3( [0-9])? community license agreement
-openrail | rail | (creativeml |bigscience )?open ?rail( m| [+]{0,2}m)? license
+openrail | license | (creativeml |bigscience )?open ?rail( m| [+]{0,2}m)? license
 gemma | gemma | gemma terms of use
 all-rights-reserved | rights reserved | copyright( c)?( [0-9]{4})?( [a-z0-9]+){1,8} all rights reserved
 all-rights-reserved | rights reserved | all rights reserved no part of this (publication|work|book|document) may be reproduced
@@ -248,7 +248,8 @@ see-license | licen | licen[cs]e that can be found in the licen[cs]e file
 shareware | shareware | (this is )?shareware
 freeware | freeware | (this is )?freeware
 trial | evaluation purposes | for evaluation purposes only
-non-commercial | commercial | (for )?non ?commercial (use|purposes) only
+non-commercial | commercial | (for )?non commercial (use|purposes) only
+non-commercial | noncommercial | (for )?noncommercial (use|purposes) only
 no-derivatives | no derivative | no derivative works
 dual | dual licensed | dual licensed under
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,28 +21,46 @@ def normalised(text: Column) -> Column:
     return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
+def _beginnings(words: list[str]) -> str:
+    """A pattern of all ``words`` by common beginnings, so that few of them are tried at each place of a text."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    if "" in heads:  # a word ends here: whatever goes on is found too
+        return ""
+    tails = [re.escape(h) + _beginnings(own) for h, own in sorted(heads.items())]
+    return tails[0] if len(tails) == 1 else f"(?:{'|'.join(tails)})"
+
+
 def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
-#: Places of one rule in words: a text split at its matches, summed up to and over each of them.
+#: Places of one rule in words: every match gets a mark, and the words that bear one are counted from the start.
 _PLACES = f"""
-aggregate(zip_with(split(norm, r.p, -1), regexp_extract_all(norm, r.p, 0), (g, h) -> struct(g as gap, h as hit)),
-  struct(0 as at, cast(array() as array<struct<a:int,b:int>>) as out),
-  (acc, x) -> if(x.hit is null, acc, struct(
-    acc.at + {_spaces('x.gap')} + {_spaces('x.hit')} as at,
-    concat(acc.out, array(struct(acc.at + {_spaces('x.gap')} - 1 as a, acc.at + {_spaces('x.gap')} + {_spaces('x.hit')} as b))) as out)),
-  acc -> acc.out)"""
+zip_with(
+  filter(transform(split(substring(regexp_replace(norm, r.p, '\\u0001$0'), 2), ' ', -1), (w, n) -> if(startswith(w, '\\u0001'), n, null)), n -> n is not null),
+  regexp_extract_all(norm, r.p, 0),
+  (n, hit) -> struct(n as a, n + 1 + {_spaces('hit')} as b))"""
 
 _DETECTIONS = f"""
 if(size(keys) = 0, cast(array() as array<struct<label:string,a:int,b:int,priority:int,base:boolean,i:int>>),
   flatten(transform(filter(rules, r -> array_contains(keys, r.k) and regexp_like(norm, r.p)),
     r -> transform({_PLACES}, s -> struct(r.label as label, s.a as a, s.b as b, r.priority as priority, r.base as base, r.i as i)))))"""
 
+#: In this order whatever can cover a detection stands before it.
+_SORTED = """
+array_sort(found, (x, y) -> case when x.a <> y.a then x.a - y.a when x.b <> y.b then y.b - x.b when x.priority <> y.priority then y.priority - x.priority else x.i - y.i end)"""
+
+#: How many places back that can be at most: a cover starts within the longest detection's length of it.
+_BACK = """
+case when size(found) <= 16 then size(found) {} else size(found) end""".format(
+    "".join(f" when forall(sequence({k}, size(found) - 1), j -> found[j - {k}].a <= found[j].a - longest) then {k}" for k in (16, 64, 256, 1024, 4096))
+)
+
 #: A detection goes if another one covers it and has priority, or the same and more words, or stands earlier in order.
 _KEPT = """
-filter(found, d -> not exists(found, e -> e.a <= d.a and e.b >= d.b and not (e.i = d.i and e.a = d.a) and (
-  e.priority > d.priority or e.priority = d.priority and (e.b - e.a > d.b - d.a or e.b - e.a = d.b - d.a and e.i < d.i))))"""
+filter(found, (d, j) -> not exists(slice(found, greatest(1, j + 1 - back), least(j, back)), e -> e.b >= d.b and e.priority >= d.priority))"""
 
 
 def license_scan(documents: DataFrame, own: list[Rule] | None = None) -> DataFrame:
@@ -50,18 +69,23 @@ def license_scan(documents: DataFrame, own: list[Rule] | None = None) -> DataFra
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. found are all detections of all
     rules as (label, a, b, priority, base, i): words a to b - 1, rule i. kept are those that no detection covers which
     has a higher priority, or the same and more words, or the same and an earlier rule; base rules are detections
-    like others there. A rule is tried only on texts that hold its keyword. Null texts are empty; every row comes
+    like others there. A rule is tried only on texts that hold its keyword, which begins a word of
+    every match. Null texts are empty; every row comes
     back once, those without doc_id and repeated ones too. Nothing is shuffled or broadcast.
     """
     table = own if own is not None else rules()
     packed = json.dumps([{"k": r.keyword, "p": f"(?<= )(?:{r.pattern})(?= )", "label": r.label, "priority": r.priority, "base": r.base, "i": i} for i, r in enumerate(table)])
     words = sorted({r.keyword for r in table})
-    keys = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("norm"), w)) if words else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    held = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("norm"), w)) if words else none
+    keys = F.when(F.col("norm").rlike(" " + _beginnings(words)), held).otherwise(none) if words else none
     steps = [
         lambda df: df.select(F.col("doc_id"), normalised(F.col("text")).alias("norm")),
         lambda df: df.withColumn("keys", keys),
         lambda df: df.withColumn("rules", F.from_json(F.lit(packed), RULE)),
         lambda df: df.withColumn("found", F.expr(_DETECTIONS)),
+        lambda df: df.withColumn("found", F.expr(_SORTED)).withColumn("longest", F.expr("array_max(transform(found, d -> d.b - d.a))")),
+        lambda df: df.withColumn("back", F.expr(_BACK)),
         lambda df: df.select("doc_id", F.expr(f"if(norm = ' ', 0, {_spaces('norm')} - 1)").cast("long").alias("n_words"), "found", F.expr(_KEPT).alias("kept")),
     ]
     return reduce(lambda df, step: step(df), steps, documents)
