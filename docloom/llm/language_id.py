@@ -18,6 +18,8 @@ from .common import letters_only, slices, translated
 ONE, TWO, THREE = 256, 2048, 6144
 WIDTH = ONE + TWO + THREE
 LETTER = re.compile(r"[^\W\d_]")
+#: Bytes and rows of texts whose vectors are in memory at once: 17 MB of counts.
+BYTES, ROWS = 1 << 20, 256
 _TABLE = letters_only()
 
 
@@ -71,7 +73,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(WIDTH, np.int64), 0
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", BYTES, ROWS):
         df += (_counts(batch.column("text")) > 0).sum(0)
         n += batch.num_rows
     yield pa.record_batch([pa.array(np.arange(WIDTH + 1)), pa.array(np.append(df, n))], ["feature", "held"])
@@ -121,7 +123,7 @@ def predict(documents: DataFrame, model: Model, *keep: str | Column) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", BYTES, ROWS):
             n = batch.num_rows
             und = np.array([not m.langs or not t or not LETTER.search(t) for t in batch.column("text").to_pylist()], bool)
             lang, score, far = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
