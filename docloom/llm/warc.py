@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, partitions
+
 RECORD = "record_id string, type string, url string, date string, http_status int, headers map<string,string>, payload binary"
 #: Header fields that a 304 response may bring up to date (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -25,9 +27,43 @@ def _fields(stream: io.BufferedIOBase) -> dict[str, str]:
     return out
 
 
+class _Unpacked(io.RawIOBase):
+    """What gzip members hold one after the other, up to where they are cut or damaged."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.member = memoryview(data), 0, zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while True:
+            packed = self.member.unconsumed_tail
+            if not packed:
+                packed = self.data[self.at : self.at + (1 << 16)]
+                self.at += len(packed)
+            if not packed:
+                return 0
+            try:
+                piece = self.member.decompress(packed, len(out))
+            except zlib.error:
+                self.at, self.member = len(self.data), zlib.decompressobj(31)
+                return 0
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = zlib.decompressobj(31)
+            if piece:
+                out[: len(piece)] = piece
+                return len(piece)
+
+
 def parse_records(data: bytes) -> Iterator[tuple]:
-    """Rows of RECORD from a WARC file's bytes, gzip-packed or not; what isn't a record ends the file."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    """Rows of RECORD from a WARC file's bytes, gzip-packed or not.
+
+    What isn't a whole record ends the file, and the records before it count: a line that isn't a version, a
+    Content-Length that is missing or no number, a block shorter than it, gzip data that is cut or damaged.
+    """
+    stream = io.BufferedReader(_Unpacked(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -35,12 +71,17 @@ def parse_records(data: bytes) -> Iterator[tuple]:
         if not line.startswith(b"WARC/"):
             return
         own = _fields(stream)
-        block = stream.read(int(own.get("content-length") or 0))
+        length = own.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            return
+        block = stream.read(int(length))
+        if len(block) < int(length):
+            return
         status, headers, payload = None, {}, block
         if own.get("content-type", "").startswith("application/http"):
             http = io.BytesIO(block)
             words = http.readline().split()
-            status = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
+            status = int(words[1]) if len(words) > 1 and words[1].isdigit() and len(words[1]) < 10 else None
             headers, payload = _fields(http), http.read()
         yield own.get("warc-record-id"), own.get("warc-type"), own.get("warc-target-uri"), own.get("warc-date"), status, headers, payload
 
@@ -92,8 +133,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     canonical URL, a ts or a record_id. Only resolved ones get digest and headers: those of the response, with the
     fields that a 304 may update taken from the revisit; names in lower case. Repeated rows give repeated rows.
 
-    The join is by URL and slice of time. Slices hold about as many captures each, so a URL with a third of all rows
-    falls into many groups; a slice starts from the last response of the slices before, one row for each URL and slice.
+    Captures are dealt by ranges of (URL, ts, record_id) and written once, so that a range stays what it is; a URL
+    with a third of all rows falls into as many ranges as a third of the rows fill, even if all have one ts. The join is
+    by URL and range; a range starts from the last response of the ranges before, one row for each URL and range.
     """
     spark = captures.sparkSession
     low = F.map_from_entries(F.array_sort(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value")))))
@@ -101,12 +143,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", (F.col("kind") == "response").alias("full"), F.nullif(F.regexp_replace(F.trim("etag"), "^W/", ""), F.lit("")).alias("etag"), F.nullif(F.trim("last_modified"), F.lit("")).alias("modified"), low.alias("headers"), "digest"
     )
     placed = rows.where("url_key is not null and ts is not null and record_id is not null")
-    cuts = placed.agg(F.percentile_approx(F.col("ts").cast("double"), [i / 64 for i in range(1, 64)], 2000)).first()[0] or []
-    slice_ = F.lit(0)
-    for at in sorted(set(cuts)):
-        slice_ = slice_ + (F.col("ts").cast("double") > at).cast("int")
     answer = F.struct("ts", "record_id", "etag", "modified", "headers", "digest")
-    placed = placed.withColumn("part", slice_).withColumn("answer", F.when(F.col("full"), answer))
+    dealt = placed.repartitionByRange(partitions(spark), "url_key", "ts", "record_id").withColumn("part", F.spark_partition_id())
+    placed = cut(dealt).withColumn("answer", F.when(F.col("full"), answer))
     placed.createOrReplaceTempView("docloom_captures")
     inside = spark.sql("""
         select *, last_value(answer, true) over (partition by url_key, part order by ts, record_id, full rows between unbounded preceding and 1 preceding) as met
