@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import cut, partitions, slices
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -91,18 +91,19 @@ def _decide(table: pa.Table, starts: np.ndarray, edge: bool, least_docs: int, sc
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit i of a document's bitmap is set where line i goes; compressed."""
+    """Bit i of a document's bitmap is set where line i stays; compressed. It ends with the last line that goes."""
     for batch in batches:
         packed = []
         for pos in batch.column("pos").to_pylist():
-            bits = np.zeros(max(pos) + 1, np.uint8)
-            bits[pos] = 1
+            bits = np.ones(-(-(max(pos) + 1) // 8) * 8, np.uint8)
+            bits[pos] = 0
             packed.append(zlib.compress(np.packbits(bits).tobytes()))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "drop_bitmap"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "keep_bitmap"])
 
 
 def repeated_lines(documents: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """(doc_id, drop_bitmap) of documents that lose lines; a bitmap is a zlib-packed bit per line, set where it goes.
+    """(doc_id, keep_bitmap) of documents that lose lines; a bitmap is a zlib-packed bit per line, set where it stays, up to
+    the last line that goes. Lines after it, and all those of documents without a bitmap, stay.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of ``least_chars`` code
     points at least that stand in ``least_docs`` documents at least lose every line but those of the largest
@@ -111,27 +112,28 @@ def repeated_lines(documents: DataFrame, least_chars: int = 20, least_docs: int
 
     Only hashes travel: they are dealt by ranges of (key, document), so a key that a third of all lines share
     spreads over many partitions; each partition streams its keys in order. A key that may go on in a
-    neighbouring partition is decided from the per-key totals of such edges, at most two keys a partition.
+    neighbouring partition is decided from the per-key totals of such edges, at most two keys a partition. Both read
+    the streamed rows as they were written once, as ranges dealt anew could lie elsewhere.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     lines = rows.mapInArrow(lambda it: _hash_lines(it, least_chars), LINES)
     dealt = lines.repartitionByRange(partitions(spark), F.col("hi"), F.col("lo"), F.col("doc_id").desc()).sortWithinPartitions(F.col("hi"), F.col("lo"), F.col("doc_id").desc(), F.col("pos"))
-    decided = dealt.mapInArrow(lambda it: _stream(it, least_docs), LINES + ", open boolean, first boolean")
+    decided = cut(dealt.mapInArrow(lambda it: _stream(it, least_docs), LINES + ", open boolean, first boolean"))
     edges = decided.where("open").groupBy("hi", "lo").agg(F.sum(F.col("first").cast("long")).alias("docs"), F.max("doc_id").alias("keeper"))
     gone = decided.join(F.broadcast(edges.where(F.col("docs") >= least_docs)), ["hi", "lo"], "left").where("not open or doc_id <> keeper")
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, "doc_id long, drop_bitmap binary")
+    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, "doc_id long, keep_bitmap binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         total, dropped, kept = [], [], []
-        for text, packed in zip(batch.column("text").to_pylist(), batch.column("drop_bitmap").to_pylist(), strict=True):
+        for text, packed in zip(batch.column("text").to_pylist(), batch.column("keep_bitmap").to_pylist(), strict=True):
             lines = (text or "").split("\n")
             n = len(lines)
             if packed is not None:
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=None)[:n]
-                lines = [x for i, x in enumerate(lines) if i >= len(bits) or not bits[i]]
+                bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))[:n]
+                lines = [x for i, x in enumerate(lines) if i >= len(bits) or bits[i]]
             total.append(n)
             dropped.append(n - len(lines))
             kept.append("\n".join(lines))
@@ -139,14 +141,18 @@ def _apply(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Recor
             kept = [hashlib.sha256(x.encode()).hexdigest() for x in kept]
         arrays = {"n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256" if digest else "kept_text": pa.array(kept, pa.string())}
         for i, name in enumerate(batch.schema.names):
-            if name not in ("text", "drop_bitmap"):
+            if name not in ("text", "keep_bitmap"):
                 arrays[name] = batch.column(i)
         yield pa.record_batch(list(arrays.values()), list(arrays))
 
 
 def kept_lines(documents: DataFrame, bitmaps: DataFrame, digest: bool = False) -> DataFrame:
-    """Documents with n_lines, n_dropped and kept_text, or kept_sha256 in its place, after ``repeated_lines``."""
-    rest = [f.name for f in documents.schema if f.name not in ("text", "n_lines", "n_dropped", "kept_text", "kept_sha256", "drop_bitmap")]
-    both = documents.where("doc_id is not null").select(*rest, F.col("text").cast("string").alias("text")).join(bitmaps, "doc_id", "left").select(*rest, "text", "drop_bitmap")
+    """Documents with n_lines, n_dropped and kept_text, or kept_sha256 in its place, after ``repeated_lines``.
+
+    These columns take the place of the caller's own of such names, text goes, other columns stay. Rows come back one for
+    one; those without doc_id lose no line, null texts are one empty line.
+    """
+    rest = [f.name for f in documents.schema if f.name not in ("text", "n_lines", "n_dropped", "kept_text", "kept_sha256", "keep_bitmap")]
+    both = documents.select(*rest, F.col("text").cast("string").alias("text")).join(bitmaps, "doc_id", "left").select(*rest, "text", "keep_bitmap")
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest)
     return both.mapInArrow(lambda it: _apply(it, digest), f"n_lines long, n_dropped long, {'kept_sha256' if digest else 'kept_text'} string, {kinds}")

@@ -96,7 +96,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")
     return _line_dedup.kept_lines(documents, _line_dedup.repeated_lines(documents), digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
