@@ -59,9 +59,12 @@ def jaccard_brute(rows, width=5):
             return {i: (len(s), label[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("tile", [1024, 3])
-def test_ngram_jaccard(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, small, hot", [(512, 64, 256), (2, 0, 3)])
+def test_ngram_jaccard(spark, monkeypatch, tile, small, hot):
+    """Also with all lists in blocks, and with shingles that count as frequent in some tasks only."""
     monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    monkeypatch.setattr(ngram_jaccard, "SMALL", small)
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
     rows = copies()
     got = ngram_jaccard.ngram_jaccard(docs(spark, rows)).collect()
     assert len(got) == len(rows) - 1
@@ -74,17 +77,31 @@ def test_tiles_find_every_pair():
     import pandas as pd
 
     rng = random.Random(2)
-    rows = pd.DataFrame({"cls": range(40), "n": [rng.randrange(20, 30) for _ in range(40)], "pos": [rng.randrange(6) for _ in range(40)], "label": [rng.randrange(3) for _ in range(40)]})
-    rows["part"] = rows.cls % 4
+    rows = pd.DataFrame({"cls": range(40), "n": [rng.randrange(20, 30) for _ in range(40)], "pos": [rng.randrange(6) for _ in range(40)], "label": [rng.randrange(3) for _ in range(40)], "o": -1})
+    rows["block"] = rows.cls % 4
     found = set()
     for i in range(4):
         for j in range(i, 4):
-            own = rows[rows.part.isin((i, j))]
+            own = rows[rows.block.isin((i, j))]
             found |= set(ngram_jaccard._tile((0, i, j), own, (3, 4)).itertuples(index=False, name=None))
     expected = {(a.cls, b.cls) for a, b in itertools.combinations(rows.itertuples(), 2) if a.label != b.label and 7 * min(a.n - a.pos, b.n - b.pos) >= 3 * (a.n + b.n)}
     assert found == expected
 
 
+def test_overlaps_with_a_hub_bound_the_others():
+    """No pair that links is dropped by what both share with a third set."""
+    import pandas as pd
+
+    rng = random.Random(12)
+    hub = set(range(40))
+    sets = [set(rng.sample(range(40), rng.randrange(15, 40))) | {100 + rng.randrange(12) for _ in range(rng.randrange(8))} for _ in range(60)]
+    rows = pd.DataFrame({"cls": range(60), "n": [len(x) for x in sets], "pos": 0, "label": range(60), "o": [len(x & hub) for x in sets], "block": 0})
+    found = set(ngram_jaccard._tile((0, 0, 0), rows, (3, 4)).itertuples(index=False, name=None))
+    linked = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    without = set(ngram_jaccard._tile((0, 0, 0), rows.assign(o=-1), (3, 4)).itertuples(index=False, name=None))
+    assert linked and linked <= found and len(found) < len(without)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 100), (200, 201), (201, 200), (203, 201)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -188,23 +205,40 @@ def test_more_words_than_a_worker_remembers(monkeypatch):
         assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-@pytest.mark.parametrize("size", [4096, 16])
+@pytest.mark.parametrize("size", [1 << 20, 16])
 def test_top_k(spark, monkeypatch, size):
-    monkeypatch.setattr(topk_search, "CANDIDATES", size)
-    monkeypatch.setattr(topk_search, "QUERIES", max(2, size // 8))
+    monkeypatch.setattr(topk_search, "COMPONENTS", size)
+    monkeypatch.setattr(topk_search, "QUERIES", 2048 if size > 16 else 3)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 40)]) for i in range(90)] + [(90, [0.5] * 40), (91, [0.5] * 40), (91, [0.5] * 40), (92, None), (93, [None] * 40), (94, [float("nan")] * 40), (95, [float("inf")] * 40), (96, [0.1] * 7), (97, []), (None, [0.1] * 40)]
+    rows += [(98, [1e30] * 40), (99, [-1e30] + [1e30] * 39), (100, [3e9, *[0.25] * 39]), (101, [1e30, -1e30, *[1.0] * 38]), (110, [3e9, *[0.5] * 39])]
     v = spark.createDataFrame([(i, x, 3) for i, x in rows], "vec_id long, embedding array<float>, score int")
     got = defaultdict(list)
     for r in topk_search.top_k(v.where("vec_id % 10 = 0"), v, 5).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     ok = {i: [math.floor(64 * float(np.float32(c))) for c in x] for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)}
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
     for q in (i for i in ok if i % 10 == 0):
-        scores = sorted(((-sum(a * b for a, b in zip(ok[q], x)), i) for i, x in ok.items() if i != q))[:5]
+        scores = sorted((-held(sum(a * b for a, b in zip(ok[q], x))), i) for i, x in ok.items() if i != q)[:5]
         assert got[q] == [(i, -s) for s, i in scores]
     assert topk_search.top_k(v.limit(0), v, 5).count() == 0
 
 
+@pytest.mark.parametrize("scale", [10, 1e5, 1e9, 1e30])
+def test_branch_and_bound_is_exact_and_skips(scale):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, scale, (32, 12))
+    v = np.floor(centres[:, rng.integers(0, 12, 600)] + rng.normal(0, scale / 5, (32, 600)))
+    v[:, ::9] = np.floor(v[:, ::9] / scale)
+    ids, q = np.arange(600) * 3, v[:, :40]
+    found, share = topk_search.search_block(q, ids[:40], ids, v, 4, 128)
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for j, best in enumerate(found):
+        scores = sorted((-held(sum(int(a) * int(b) for a, b in zip(q[:, j], v[:, i]))), int(ids[i])) for i in range(600) if i != j)
+        assert best.rows == scores[:4]
+    assert share < 0.9 or scale >= 1e9  # past a long all tie
+
+
 def test_passages(spark):
     item = words(30, 11)
     short = ["alpha", "beta", "gamma"]
@@ -233,13 +267,96 @@ def test_passages_in_documents_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontaminate.without_passages(docs(spark, rows), bench).collect()} == {2, 4, 5, 6}
 
 
-def test_hamming_blocks_find_all_within_radius():
+@pytest.mark.parametrize("radius", [3, 19, 21, 24])
+def test_hamming_blocks_find_all_within_radius(radius):
     rng = np.random.default_rng(4)
-    prints = rng.integers(0, 2**63, 200).astype(np.uint64)
-    index = decontaminate.HammingIndex(prints, 19)
-    for _ in range(50):
-        x = prints[rng.integers(200)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 18).astype(np.uint64))
-        assert index.near(x) == [(int(i), int(np.bitwise_count(prints[i] ^ x))) for i in np.flatnonzero(np.bitwise_count(prints ^ x) <= 19)]
+    prints = rng.integers(0, 2**63, 20).astype(np.uint64)
+    asked = np.array([prints[rng.integers(20)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.permutation(64)[: rng.integers(1, 30)].astype(np.uint64)) for _ in range(3000)])
+    rows, items = decontaminate.HammingIndex(prints, radius).near(asked)
+    distance = np.bitwise_count(asked[:, None] ^ prints[None, :])
+    assert set(zip(rows.tolist(), items.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(distance <= radius))))
+    lone = decontaminate.HammingIndex(prints[:1], radius)
+    value = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    passed = np.zeros(4000, bool)
+    for b, table in enumerate(lone.tables):
+        block = lone._block(value, b)
+        passed |= (table[block >> 3] >> (block & 7).astype(np.uint8) & 1).astype(bool)
+    assert passed.mean() < 0.45 or radius > 21  # blocks do leave out most of what is random
+
+
+def test_fingerprints_by_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    hashes, weights = rng.integers(0, 2**63, 700).astype(np.uint64), rng.integers(1, 6, 700).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 650, 90))
+    ends = np.minimum(starts + rng.integers(1, 60, 90), 700)
+
+    def brute(a, b):
+        votes = [sum((1 if int(h) >> k & 1 else -1) * int(w) for h, w in zip(hashes[a:b], weights[a:b])) for k in range(64)]
+        return sum(1 << k for k in range(64) if votes[k] > 0)
+
+    for stretch, short in ((1 << 14, 6000), (50, 6000), (50, 1)):
+        monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+        monkeypatch.setattr(decontaminate, "SHORT", short)
+        for print_, a, b in zip(decontaminate.fingerprints(hashes, weights, [(starts, ends)])[0], starts, ends):
+            assert int(print_) == brute(a, b)
+
+
+def test_passages_against_all_windows():
+    """Changed passages of a similarity of 0.75 and more: the share that SimHash finds, each with the exact best value."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    items = [(i, [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(14, 60))]) for i in range(40)]
+    index = decontaminate.Items([(i, " ".join(t)) for i, t in items], 21)
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    mass = lambda b: sum(c * len(set(s)) for s, c in b.items())
+
+    def best(doc, item):
+        n, own, top = min(len(item), len(doc)), bag(item), 0.0
+        for a in range(len(doc) - n + 1):
+            w = bag(doc[a : a + n])
+            both = sum(min(c, own[s]) * len(set(s)) for s, c in w.items() if s in own)
+            top = max(top, both / (mass(own) + mass(w) - both))
+        return top
+
+    texts, expected = [], []
+    for _ in range(500):
+        i, words_ = rng.choice(items)
+        changed = list(words_)
+        for _ in range(rng.randrange(3)):
+            j = rng.randrange(len(changed))
+            changed[j : j + rng.randrange(2)] = [f"w{rng.randrange(3000)}"] * rng.randrange(2)
+        doc = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(50))] + changed + [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(50))]
+        s = best(doc, words_)
+        texts.append(" ".join(doc))
+        expected.append((i, s))
+    got = index.matches(pa.array(texts), 0.75)
+    due = {(r, i): s for r, (i, s) in enumerate(expected) if s >= 0.75}
+    assert len(due) > 300 and all(abs(got[k][0] - s) < 1e-9 for k, s in due.items() if k in got)
+    assert sum(k in got for k in due) >= 0.98 * len(due)
+    assert not [k for r, (i, s) in enumerate(expected) if (k := (r, i)) in got and s < 0.75]
+
+
+def _peak(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_very_long_text_takes_little_memory():
+    import pyarrow as pa
+
+    item = words(40, 31)
+    text = pa.array([" ".join([*item, *words(400_000, 32), *item])])
+    index = decontaminate.Items([(1, " ".join(item))], 21)
+    found = {}
+    assert _peak(lambda: found.update(index.matches(text, 0.75))) < 200 << 20
+    assert found == {(0, 1): (1.0, 0, 40, 0)}
 
 
 def license_brute(text, table):
@@ -269,11 +386,28 @@ def test_license_scan(spark):
     assert license_scan.license_report(docs(spark, [(1, "x y")]), [Rule("l", "x", "x y", 2)]).first().labels == "l"
 
 
+def test_dense_license_texts(spark):
+    """Many detections side by side, against brute force, and a text whose places would take minutes pair by pair."""
+    import time
+
+    rng = random.Random(13)
+    phrases = ["mit license", "apache license version 2 0", "gnu general public license version 2", "license mit", "cc by sa 4 0", "x", "licensed under the apache license version 2 0", "all rights reserved", "see the license file for details"]
+    texts = [" ".join(rng.choice(phrases) for _ in range(150)) for _ in range(4)]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        n, found, kept = license_brute(text, rules())
+        assert (got[i].n_words, sorted(map(tuple, got[i].found)), sorted(map(tuple, got[i].kept))) == (n, found, kept)
+    at = time.time()
+    assert license_scan.license_report(docs(spark, [(1, "mit license " * 10_000)])).first().n_base == 10_000
+    assert time.time() - at < 20
+
+
 def test_every_license_rule_has_its_keyword():
     assert len(rules()) > 300
     for r in rules():
         re.compile(r.pattern)
         assert all(w in r.pattern for w in r.keyword.split())
+        assert re.search(r"(?:^|[ (|]| \)\?)" + r.keyword.split()[0], r.pattern)  # it begins a word
 
 
 def test_language_id(spark):
@@ -289,6 +423,90 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(d, empty).collect()} == {"und"}
 
 
+def test_language_vectors_against_plain_python():
+    """N-gram counts, TF-IDF, cosines and rejection, redone text by text."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcdefg hié.,4Z") for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["", None]
+    counts = language_id._counts(pa.array(texts))
+
+    def brute(text):
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode())
+        row = np.zeros(language_id.WIDTH, int)
+        for i, a in enumerate(raw):
+            row[a] += 1
+            if i + 1 < len(raw):
+                row[language_id.ONE + ((a * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77) % 2**32 >> 12) % language_id.TWO] += 1
+            if i + 2 < len(raw):
+                row[language_id.ONE + language_id.TWO + ((a * 0xC2B2AE3D + raw[i + 1] * 0x27D4EB2F + raw[i + 2] * 0x165667B1) % 2**32 >> 10) % language_id.THREE] += 1
+        row[32] = 0
+        return row
+
+    assert np.allclose(np.expm1(counts), [brute(t) for t in texts], atol=1e-3)
+
+
+def test_language_nearest_centroid_against_plain_python(spark):
+    rng = np.random.default_rng(8)
+    centroids = rng.random((4, language_id.WIDTH)).astype(np.float32)
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    model = language_id.Model(["aa", "bb"], (rng.random(language_id.WIDTH) + 0.5).astype(np.float32), centroids, np.array([0, 1, 1, 0]), np.array([0.05, 0.2, 0.1, 0.3]))
+    rows = [(i, " ".join(words(i % 9 + 1, i, 50))) for i in range(40)]
+    got = {r.doc_id: r for r in language_id.predict(docs(spark, rows), model).collect()}
+    import pyarrow as pa
+
+    for i, text in rows:
+        x = language_id._counts(pa.array([text]))[0] * model.idf
+        cosine = [sum(float(a) * float(b) for a, b in zip(x, c)) / math.sqrt(sum(float(a) ** 2 for a in x)) for c in centroids]
+        best = max(range(4), key=cosine.__getitem__)
+        assert got[i].lang_pred == model.langs[model.owner[best]] and abs(got[i].score - cosine[best]) < 1e-4
+        assert got[i].rejected == (cosine[best] < model.least[best])
+
+
+def test_many_short_texts_take_little_memory(spark):
+    import pyarrow as pa
+
+    d = spark.createDataFrame([(i, "lorem ipsum" if i % 2 else "quux thud", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    batch = pa.record_batch([pa.array(["no"] * 10_000)], ["text"])
+
+    def run():
+        for own in language_id.slices(iter([batch]), "text", language_id.BYTES, language_id.ROWS):
+            language_id._counts(own.column("text")) * model.idf
+
+    assert _peak(run) < 100 << 20
+
+
+def test_toxicity_against_plain_python():
+    """Embeddings, convolution, pooling and the stretched thresholds, redone word by word."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(words(k, k, 40)) for k in (0, 1, 2, 3, 7, 30)] + ["the of der die und"]
+    own, bounds = toxicity.words_of(pa.array(texts))
+    bucket, mark = toxicity._hashed(own)
+    known = np.unique(bucket[:, :2])[::2]
+    m = toxicity.Model(known, rng.normal(0, 1, (len(known) + 1, 5)).astype(np.float32), {w: rng.normal(0, 1, (w, 5, 3)).astype(np.float32) for w in toxicity.WIDTHS}, {w: rng.normal(0, 1, 3).astype(np.float32) for w in toxicity.WIDTHS}, rng.normal(0, 1, 3 * len(toxicity.WIDTHS)).astype(np.float32), 0.3, np.array([0.2, 0.4, 0.6, 0.8, 0.5]))
+    m.emb[0] = 0
+    codes = own.indices.to_numpy(zero_copy_only=False)
+    raw = m.raw(m.ids(bucket), codes, bounds)
+    rows = {int(b): i + 1 for i, b in enumerate(known)}
+    for k in range(len(texts)):
+        vectors = [sum(m.emb[rows.get(int(b), 0)].astype(float) for b in bucket[c]) for c in codes[bounds[k] : bounds[k + 1]]]
+        vectors += [np.zeros(5)] * max(toxicity.WIDTHS)
+        z, at = m.out_bias, 0
+        for w in toxicity.WIDTHS:
+            for f in range(3):
+                top = max(sum(float(vectors[s + j] @ m.filters[w][j][:, f].astype(float)) for j in range(w)) for s in range(len(vectors) - w + 1 - (max(toxicity.WIDTHS) - w)))
+                z += float(m.out[at]) * max(top + float(m.bias[w][f]), 0)
+                at += 1
+        assert abs(raw[k] - 1 / (1 + math.exp(-z))) < 1e-4
+    lang = toxicity._language(mark[codes], bounds)
+    assert toxicity.LANGS[lang[-1]] == "de" and toxicity.LANGS[lang[0]] == "other"
+    scores = m.score(raw.astype(float), lang)
+    assert all((s >= 0.5) == (x >= m.cut[g]) for s, x, g in zip(scores, raw, lang))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = [(i, " ".join([*words(rng.randrange(5, 40), i, 300), *(["Vilest", "grot!"] if i % 3 == 0 else []), *words(5, -i, 300)]), int(i % 3 == 0)) for i in range(300)]
@@ -318,6 +536,40 @@ def test_quality(spark):
     assert quality.site_quality(d.limit(0), quality.fit(d, labels.limit(0)), F.col("host"), F.col("path")).count() == 0
 
 
+def test_quality_posteriors_against_plain_python(spark):
+    """Shrinkage by the method of moments, hosts within all and paths within hosts, each document left out."""
+    rng = random.Random(17)
+    rows = [(i, "Good words here. " * rng.randrange(1, 9) if rng.random() < 0.7 else "@@ $$ " * 9, f"h{min(rng.randrange(9), 4)}", f"p{rng.randrange(4)}") for i in range(160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int("Good" in t)) for i, t, *_ in rows[::2]], "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    got = {r.doc_id: r for r in quality.site_quality(d, model, F.col("host"), F.col("path")).collect()}
+    import pyarrow as pa
+
+    p = {i: 1 / (1 + math.exp(-float(z))) for (i, *_), z in zip(rows, model.logit(quality.features(pa.array([r[1] for r in rows]))))}
+    sites, hosts = defaultdict(list), defaultdict(list)
+    for i, _, h, q in rows:
+        sites[h, q].append(p[i])
+        hosts[h].append(p[i])
+    mu = min(max(sum(p.values()) / len(p), 1e-4), 1 - 1e-4)
+
+    def strength(level):
+        n = [len(x) for x in level.values()]
+        between = sum(len(x) * (sum(x) / len(x) - mu) ** 2 for x in level.values())
+        spread = max((between - mu * (1 - mu) * (len(n) - 1)) / max(sum(n) - sum(k * k for k in n) / sum(n), 1e-9), 1e-6)
+        return min(max(mu * (1 - mu) / spread - 1, 2), 1e4)
+
+    kh, kp = strength(hosts), strength(sites)
+    for i, _, h, q in rows:
+        host = (sum(hosts[h]) - p[i] + kh * mu) / (len(hosts[h]) - 1 + kh)
+        path = min(max((sum(sites[h, q]) - p[i] + kp * host) / (len(sites[h, q]) - 1 + kp), 1e-4), 1 - 1e-4)
+        odds = math.log(p[i] / (1 - p[i])) + math.log(path / (1 - path)) - math.log(mu / (1 - mu))
+        assert abs(got[i].doc_score - p[i]) < 1e-9 and abs(got[i].host_posterior - host) < 1e-9 and abs(got[i].path_posterior - path) < 1e-9
+        assert abs(got[i].score - 1 / (1 + math.exp(-odds))) < 1e-7
+    held = [(i, t) for i, t, *_ in rows[1::2]]
+    assert sum(got[i].keep == ("Good" in t) for i, t in held) >= 0.95 * len(held)
+
+
 CAPTURES = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, digest string"
 
 
@@ -352,6 +604,32 @@ def test_hot_url_against_brute_force(spark):
             assert got[i] == (("no_response", None) if before is None else ("resolved" if before[2] == tag else "mismatch", before[1]))
 
 
+def test_one_time_for_all_captures_of_a_url(spark):
+    rows = [(i, "http://h.org/", 5, "response" if i % 10 == 0 else "revisit", '"t"', None, {}, str(i)) for i in range(1, 400)]
+    got = {r.record_id: (r.status, r.response_id) for r in warc.resolve_revisits(spark.createDataFrame(rows, CAPTURES)).collect()}
+    assert got == {i: ("resolved", i // 10 * 10) if i > 10 else ("no_response", None) for i in range(1, 400) if i % 10}
+
+
+def test_damaged_warc_files():
+    import gzip
+
+    good = [warc.format_record(f"<urn:{i}>", "response", "http://a/", "2024-01-01T00:00:00Z", 200, {}, b"body") for i in range(3)]
+    ids = lambda data: [r[0] for r in warc.parse_records(data)]
+    assert ids(b"".join(good)) == ["<urn:0>", "<urn:1>", "<urn:2>"]
+    for bad in (b"many", b"-5", b"1e3", b"", "٣".encode()):
+        broken = good[1].replace(b"Content-Length: " + str(len(good[1].split(b"\r\n\r\n", 1)[1]) - 4).encode(), b"Content-Length: " + bad)
+        assert broken != good[1] and ids(good[0] + broken + good[2]) == ["<urn:0>"]
+    assert ids(good[0] + good[1][:-10]) == ["<urn:0>"]
+    packed = [gzip.compress(x) for x in good]
+    assert ids(b"".join(packed)) == ["<urn:0>", "<urn:1>", "<urn:2>"]
+    assert ids(packed[0] + packed[1][:-20]) == ["<urn:0>"]
+    assert ids(packed[0] + packed[1][:30]) == ["<urn:0>"]
+    assert ids(packed[0] + b"no gzip data" + packed[1]) == ["<urn:0>"]
+    big = warc.format_record("<urn:9>", "response", "http://a/", "2024-01-01T00:00:00Z", 200, {}, bytes(500_000) + b"end")
+    assert [len(r[-1]) for r in warc.parse_records(gzip.compress(big) + packed[0])] == [500_003, 4]
+    assert ids(packed[0][:20]) == [] and ids(b"\x1f\x8b") == [] and ids(b"") == [] and ids(b"plain text") == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     import gzip
 
