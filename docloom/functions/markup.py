@@ -79,6 +79,12 @@ def covered(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s.start < end) & (s.end > start))
 
 
+@F.pandas_udf(ArrayType(SPAN))
+def filled_links(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """``fill_links`` of every text and its spans; null where either is."""
+    return pd.Series([None if t is None or s is None else fill_links(t, [dict(x, attributes=dict(x["attributes"])) for x in s]) for t, s in zip(text, spans, strict=True)])
+
+
 def fill_links(text: str, found: list[dict]) -> list[dict]:
     """Links with refs added at other places of an id's text that no span covers; a first ref without id becomes one."""
     out, ids = [dict(s, attributes=dict(s["attributes"])) for s in found], {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,8 +14,23 @@ STOP_WORDS = tuple(
 )
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Letters that decompose into a letter and marks, with that letter; and the marks, which go."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if c == c.lower() and unicodedata.category(c) == "Ll" and len(base) == 1 and base[0] != c:
+            letters.append(c)
+            plain.append(base[0])
+    return "".join(letters + marks), "".join(plain)
+
+
+_ACCENTED, _PLAIN = _accents()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,7 +63,7 @@ def query_tokens(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Lower case, Latin accents removed."""
+    """Lower case, accents and other marks removed, whether they are part of the letter or follow it."""
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import partial, reduce
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 
 def media_counts(items: DataFrame) -> DataFrame:
@@ -138,6 +141,74 @@ def cluster_topics(documents: DataFrame, k: int, features: int = 1 << 12, seed:
     return KMeans(k=k, seed=seed, maxIter=10).fit(x).transform(x).select("doc_id", "text", F.col("prediction").alias("topic"))
 
 
+def topic_run(items: DataFrame, assign: Callable[[DataFrame], DataFrame], extract: Callable[[Column], Column] | None = None, entities: Callable[[Column], Column] | None = None, least: int = 1, top: int = 10, name: Callable[[list[str]], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(topics, documents, report) of items (doc_id, text): collect, extract, remove entities, lexical form, assign, name.
+
+    ``extract`` gives texts in place of an item's text, an array of them; ``entities`` takes out what isn't about the
+    topic; then the lexical form is taken and texts of fewer than ``least`` characters go. ``assign`` adds topic to
+    (doc_id, part, text), part being the text's place in its item. topics: (topic, n, label, keywords), by class-based
+    TF-IDF; a topic's label is its first keyword unless ``name`` makes one of its keywords, topics being few.
+    documents: (doc_id, part, topic). report: one row of items, texts after extraction, and texts left.
+    """
+    some = items.where(F.trim("text") != "")
+    texts = F.array("text") if extract is None else extract(F.col("text"))
+    parts = some.select("doc_id", F.posexplode(texts).alias("part", "text"))
+    clean = parts if entities is None else parts.withColumn("text", entities(F.col("text")))
+    left = cut(clean.withColumn("text", T.lexical_form(F.col("text"))).where(F.length("text") >= least))
+    assigned = cut(assign(left).select("doc_id", "part", "text", "topic"))
+    words = topic_keywords(assigned.select("topic", "text"), top).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x.term).alias("keywords"))  # top rows for each
+    sizes = assigned.groupBy("topic").agg(F.count("*").alias("n"))
+    topics = sizes.join(words, "topic", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    label = F.get("keywords", F.lit(0)) if name is None else F.udf(name, "string")("keywords")
+    report = items.agg(F.count("*").alias("items")).crossJoin(parts.agg(F.count("*").alias("texts"))).crossJoin(left.agg(F.count("*").alias("left")))  # single rows
+    return topics.select("topic", "n", label.alias("label"), "keywords"), assigned.select("doc_id", "part", "topic"), report
+
+
+def boundary_state(states: list[dict], mark: str) -> int | None:
+    """The state with most examples that say ``mark``, ties to more examples and the larger state."""
+    same = lambda x: str(x).strip().upper() == mark.strip().upper()
+    met = [(sum(map(same, s["examples"])), len(s["examples"]), s["state"]) for s in states]
+    return max((m for m in met if m[0]), default=(0, 0, None))[2]
+
+
+def name_states(report: DataFrame, ask: Callable[[str], str], most_words: int = 5, retries: int = 2) -> DataFrame:
+    """(state, label) of a state report (state, examples), named by a model; a report has a row for each state.
+
+    The states whose examples say START and END most often get these names, and such examples are left out of the
+    others. ``ask`` gets the examples of all other states and must answer a JSON object of state: name. Every state
+    needs a name, none twice, of ``most_words`` words at most; else it is asked again with what was wrong, ``retries``
+    times, then an error is raised. Without other states nothing is asked.
+    """
+    states = [r.asDict() for r in report.select("state", "examples").orderBy("state").collect()]
+    ends = {boundary_state(states, mark): mark for mark in ("END", "START")}
+    ends.pop(None, None)
+    others = [s for s in states if s["state"] not in ends]
+    shown = [f"{s['state']}: " + " | ".join(x for x in s["examples"] if str(x).strip().upper() not in ("START", "END")) for s in others]
+    prompt, wrong, names = "Name these states:\n" + "\n".join(shown), None, {}
+    for _ in range(retries + 1 if others else 0):
+        answer = ask(prompt if wrong is None else f"{prompt}\n\nYour answer was:\n{wrong}")
+        wrong, names = _checked_names(answer, [s["state"] for s in others], most_words)
+        if wrong is None:
+            break
+    if wrong is not None:
+        raise ValueError(f"states could not be named: {wrong}")
+    rows = [(s["state"], ends.get(s["state"], names.get(s["state"]))) for s in states]
+    return report.sparkSession.createDataFrame(rows, f"state {dict(report.dtypes)['state']}, label string")
+
+
+def _checked_names(answer: str, states: list, most_words: int) -> tuple[str | None, dict]:
+    """What is wrong with an answer, if anything, and the names by state."""
+    try:
+        given = {str(k): str(v).strip() for k, v in json.loads(answer).items()}
+    except (ValueError, AttributeError):
+        return f"{answer}\nThis is no JSON object.", {}
+    names = {s: given.get(str(s), "") for s in states}
+    faults = [f"{s} has no name" for s, n in names.items() if not n]
+    faults += [f"{s} has more than {most_words} words" for s, n in names.items() if len(n.split()) > most_words]
+    faults += [f"{n} is given twice" for n in sorted(set(names.values())) if n and list(names.values()).count(n) > 1]
+    return (f"{answer}\n{'; '.join(faults)}." if faults else None), names
+
+
 def _log(x: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(x, 1e-300))
 

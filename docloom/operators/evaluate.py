@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.metrics import ratio
+from .lineage import cut, drop
 
 
 def retrieval_metrics(ranks: DataFrame, max_total_items: int) -> DataFrame:
@@ -16,17 +19,41 @@ def retrieval_metrics(ranks: DataFrame, max_total_items: int) -> DataFrame:
     return ranks.agg(F.count("*").alias("queries"), (hits / n).alias("hit_rate"), (hits / (n * max_total_items)).alias("precision_at_max_total_items"), F.round(F.coalesce(F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))), F.lit(0.0)) / n, 9).alias("mean_reciprocal_rank"))
 
 
+def values_at(rows: DataFrame, column: str, places: Callable[[int], list[int]]) -> list[float | None]:
+    """The column's values at places of its sorted order, from 0, given by how many there are; nulls don't count.
+
+    Values are sorted by ranges, which are written and counted, and only the range of a place is looked into; so no task
+    holds all of them.
+    """
+    ranges = rows.select(column).where(F.col(column).isNotNull()).repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    ranges = cut(ranges)
+    counts = {r.part: r.n for r in ranges.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    out: list[float | None] = []
+    for place in places(sum(counts.values())):
+        found = None
+        for part in sorted(counts):
+            if 0 <= place < counts[part]:
+                met = ranges.where(F.col("part") == part).groupBy(column).agg(F.count("*").alias("n"))  # equal values as one
+                upto = met.withColumn("upto", F.sum("n").over(Window.orderBy(column)))
+                found = upto.where(F.col("upto") > place).agg(F.min(column)).first()[0]
+                break
+            place -= counts[part]
+        out.append(found)
+    drop(ranges)
+    return out
+
+
 def latency_metrics(latencies: DataFrame) -> DataFrame:
     """Mean and 95th percentile of seconds, in milliseconds; the percentile's place is rounded half to even."""
-    sorted_ = F.array_sort(F.collect_list("seconds"))
-    at = F.bround(0.95 * (F.count("*") - 1), 0).cast("int")
-    return latencies.agg(F.coalesce(F.avg("seconds") * 1000, F.lit(0.0)).alias("average"), F.coalesce(F.get(sorted_, at) * 1000, F.lit(0.0)).alias("percentile_95"))
+    at = values_at(latencies, "seconds", lambda n: [round(0.95 * (n - 1)) if n else 0])[0]
+    return latencies.agg(F.coalesce(F.avg("seconds") * 1000, F.lit(0.0)).alias("average"), F.lit(0.0 if at is None else at * 1000.0).alias("percentile_95"))
 
 
-def spread(column: str, upper: bool) -> list[Column]:
-    """avg, median (the upper middle value, or the usual one), min and max."""
-    median = F.get(F.array_sort(F.collect_list(column)), F.floor(F.count(column) / 2).cast("int")) if upper else F.median(column)
-    return [F.round(F.avg(column), 9).alias(f"avg_{column}"), median.alias(f"median_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}")]
+def spread(rows: DataFrame, column: str, upper: bool) -> DataFrame:
+    """avg, median (the upper middle value, or the mean of the middle ones), min and max of a column; nulls for no rows."""
+    middle = values_at(rows, column, lambda n: [n // 2] if upper else [(n - 1) // 2, n // 2])
+    median = None if middle[0] is None else sum(middle) / len(middle)
+    return rows.agg(F.round(F.avg(column), 9).alias(f"avg_{column}"), F.lit(median).cast("double").alias(f"median_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))
 
 
 def extraction_metrics(pairs: DataFrame) -> DataFrame:

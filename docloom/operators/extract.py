@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,6 +35,25 @@ def run_stages(items: DataFrame, stages: list[Stage]) -> DataFrame:
     return df.withColumn("final_stage", F.when(F.size(F.filter("outputs", lambda o: o.status == "extracted")) > 0, last.stage_index)).withColumn("text_out", F.when(F.col("final_stage").isNotNull(), last.text))
 
 
+def snapshot_id(stages: list[tuple[str, dict]]) -> str:
+    """The id of an ordered list of (extractor, configuration); whatever has it was extracted alike."""
+    return hashlib.sha256(json.dumps(stages, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def reuse(items: DataFrame, stored: DataFrame, snapshot: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(item_id, sha256, text_out, reused): results of a snapshot that exist, and those of ``extract`` for other items.
+
+    items: (item_id, sha256 of the content, ...); stored: (snapshot_id, item_id, sha256, text_out), of any snapshots. What
+    was extracted under another configuration, or from another content, isn't taken; an item whose extraction gave
+    null is not extracted again. ``extract`` gets the missing items with all their columns and adds text_out.
+    Rows that repeat an item come back once for each content.
+    """
+    mine = stored.where(F.col("snapshot_id") == snapshot).groupBy("item_id", "sha256").agg(F.max("text_out").alias("text_out"))
+    missing = items.dropDuplicates(["item_id", "sha256"]).join(mine, ["item_id", "sha256"], "left_anti")
+    kept = mine.join(items.select("item_id", "sha256"), ["item_id", "sha256"], "left_semi").select("item_id", "sha256", "text_out", F.lit(True).alias("reused"))
+    return kept.unionByName(extract(missing).select("item_id", "sha256", "text_out", F.lit(False).alias("reused")))
+
+
 def counters(extracted: DataFrame) -> DataFrame:
     done = F.col("final_stage").isNotNull()
     return extracted.agg(F.count("*").alias("items"), F.count_if(done).alias("extracted"), F.count_if(~done).alias("skipped"), F.count_if(done & (F.trim("text_out") == "")).alias("empty"))

@@ -49,6 +49,29 @@ def relations(items: DataFrame) -> DataFrame:
     return per.select("item_id", F.explode(pairs).alias("p")).groupBy("item_id", "p.a", "p.b").agg(F.count("*").alias("n"))
 
 
+def build(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, summary) of items (item_id, text), each item's graph on its own.
+
+    nodes: (item_id, node_id, node_type, label, weight), entities with the first of their labels and the sentences they
+    stand in, and the item itself; edges: (item_id, edge_id, src, dst, edge_type, weight), mentions by the item and
+    relations of entities in a sentence. summary: one row of items, skipped (null or blank text), nodes and edges.
+    An item without entities is a node alone. Rows that repeat an item_id make one graph.
+    """
+    full = items.where(F.trim("text") != "")
+    met = mentions(full).groupBy("item_id", "entity").agg(F.min("label").alias("label"), F.sum("n").alias("weight"))
+    own = F.concat(F.lit("item:"), F.col("item_id").cast("string"))
+    entity = lambda c: F.concat(F.lit("entity:"), F.col(c))
+    nodes = met.select("item_id", entity("entity").alias("node_id"), F.lit("entity").alias("node_type"), "label", "weight")
+    nodes = nodes.unionByName(full.select("item_id").distinct().select("item_id", own.alias("node_id"), F.lit("item").alias("node_type"), F.col("item_id").cast("string").alias("label"), F.lit(1).cast("long").alias("weight")))
+    key = lambda kind: F.concat_ws("|", "src", F.lit(kind), "dst")
+    said = met.select("item_id", own.alias("src"), entity("entity").alias("dst"), F.lit("mentions").alias("edge_type"), "weight").withColumn("edge_id", key("mentions"))
+    tied = relations(full).select("item_id", entity("a").alias("src"), entity("b").alias("dst"), F.lit("related_to").alias("edge_type"), F.col("n").alias("weight")).withColumn("edge_id", key("related_to"))
+    edges = said.unionByName(tied)
+    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    summary = items.agg(F.count("*").alias("items"), F.count_if(blank).alias("skipped")).crossJoin(nodes.agg(F.count("*").alias("nodes"))).crossJoin(edges.agg(F.count("*").alias("edges")))  # single rows
+    return nodes, edges, summary
+
+
 def upsert(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each node_id and edge_id, the last by ``version``; edges only where both ends are nodes."""
     last = lambda df, key: df.groupBy(key).agg(F.max_by(F.struct(*df.columns), "version").alias("r")).select("r.*")

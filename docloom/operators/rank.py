@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, drop
+
 
 @dataclass(frozen=True)
 class QueryBudget:
@@ -48,22 +50,23 @@ def apply_budget(ranked: DataFrame, budget: QueryBudget) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= budget.max_total_items)
     most, share = budget.maximum_total_characters, budget.max_items_per_source
     n = F.col("characters") if "characters" in df.columns else F.length(F.coalesce("text", F.lit("")))
-    rows = df.where(n <= most).select("query_id", F.col("rank").alias("at"), source.alias("source"), n.alias("n")).persist()
+    rows = df.where(n <= most).select("query_id", F.col("rank").alias("at"), source.alias("source"), n.alias("n"))
+    rows = cut(rows)
     state = rows.select("query_id").distinct().select("query_id", F.lit(0).alias("last"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("sources"))
-    saved, taken = df.sparkSession.sparkContext.getCheckpointDir(), []
+    taken = []
     for i in range(1, budget.max_total_items + 1):
         room = (F.col("at") > F.col("last")) & (F.col("chars") + F.col("n") <= most)
         if share is not None:
             room = room & (F.size(F.filter("sources", lambda s: s == F.col("source"))) < share)
-        fits = rows.join(F.broadcast(state), "query_id").where(room)
+        fits = rows.join(state, "query_id").where(room)
         least = fits.groupBy("query_id").agg(F.min(F.struct("at", "n", "source")).alias("x"), F.first("chars").alias("chars"), F.first("sources").alias("sources"))
         sources = F.concat("sources", F.array("x.source")) if share is not None else F.col("sources")
         state = least.select("query_id", F.col("x.at").alias("last"), (F.col("chars") + F.col("x.n")).alias("chars"), sources.alias("sources"))
-        state = state.checkpoint() if saved else state.localCheckpoint()
+        state = cut(state)
         if i > 1 and state.isEmpty():
             break
         taken.append(state.select("query_id", F.col("last").alias("old"), F.lit(i).alias("new")))
-    rows.unpersist()
+    drop(rows)
     kept = reduce(DataFrame.unionByName, taken)
     return df.withColumnRenamed("rank", "old").join(kept, ["query_id", "old"]).withColumn("rank", F.col("new")).drop("old", "new")
 

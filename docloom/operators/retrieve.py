@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 from .rank import QueryBudget, apply_budget, rank_by_score
 
 
@@ -46,20 +50,30 @@ def tf_cosine(tf: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.join(lengths, "item_id").join(norm, "query_id").select("query_id", "item_id", F.round(F.col("dot") / (F.col("inorm") * F.col("qnorm")), 9).alias("score")).where("score > 0")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, chunk_id, score) of chunks (chunk_id, text) that hold every query term; k1 1.2, b 0.75.
-
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Terms are runs of letters and digits, case and accents
-    folded. Chunk lengths, document frequencies and matches all come from one term table.
-    """
+def query_terms(queries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, terms): different terms of each query, runs of letters and digits with case and accents folded."""
     spelt = T.query_tokens(F.col("query_text"))
     spelt = T.without_stop_words(spelt, stop_words) if stop_words else spelt
-    words = queries.select("query_id", F.array_distinct(F.flatten(F.transform(spelt, T.folded_tokens))).alias("terms"))
-    q = words.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term"))
-    tokens = chunks.select("chunk_id", T.folded_tokens(F.col("text")).alias("tokens"))
-    whole = tokens.agg(F.count("*").alias("total"), F.avg(F.size("tokens")).alias("mean"))
-    wanted = q.select("term").distinct()
-    tf = tokens.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("f"))
+    return queries.select("query_id", F.array_distinct(F.flatten(F.transform(spelt, T.folded_tokens))).alias("terms"))
+
+
+def chunk_index(chunks: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+    """(chunk_id, ``keep``, len, hits) of chunks (chunk_id, text): how many words a chunk has, and those that some query
+    (query_id, terms) asks for; written once for all that reads it.
+
+    Queries are a stated set: their different terms are written into the plan, so other words are never exploded.
+    """
+    wanted = [r[0] for r in terms.select(F.explode("terms")).distinct().collect()]
+    tokens = T.folded_tokens(F.col("text"))
+    hits = F.filter("tokens", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")
+    return cut(chunks.select("chunk_id", *keep, tokens.alias("tokens")).select("chunk_id", *keep, F.size("tokens").alias("len"), hits.alias("hits")))
+
+
+def bm25_scores(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of a ``chunk_index``: see ``bm25``."""
+    q = terms.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term"))
+    whole = index.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
+    tf = index.select("chunk_id", "len", F.explode("hits").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count("*").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
@@ -68,6 +82,16 @@ def bm25(chunks: DataFrame, queries: DataFrame, stop_words: tuple[str, ...] = ()
     return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def bm25(chunks: DataFrame, queries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, score) of chunks (chunk_id, text) that hold every query term; k1 1.2, b 0.75.
+
+    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Chunk lengths, document frequencies and matches all come from
+    one index of the chunks, made in one pass over their texts.
+    """
+    terms = query_terms(queries, stop_words)
+    return bm25_scores(chunk_index(chunks, terms), terms)
+
+
 def candidate_limit(budget: QueryBudget, factor: int) -> int:
     """How many candidates a retriever ranks before the budget is applied."""
     return factor * (budget.max_total_items + budget.offset)
@@ -88,16 +112,30 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_candidates(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``limit`` best dot products with each unit query vector, negatives too,
-    ties by vec_id. Queries (query_id, vector) are a stated set; each block of them, of bounded size, is broadcast to
-    all vectors, and only its best rows per query go on."""
-    unit_queries = queries.select("query_id", unit(F.col("vector").cast("array<double>")).alias("vector"))
+    ties by vec_id. Vectors (vec_id long, embedding); null ones take no part.
+
+    Queries (query_id, vector) are a stated set; each block of them, of bounded size, is sent to all vectors. A batch of
+    vectors meets it as a matrix, and only its best rows for each query go on to be ranked.
+    """
+    asked = queries.select("query_id", unit(F.col("vector").cast("array<double>")).alias("vector")).where("vector is not null")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    tops = []
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("embedding is not null")
+    kind, tops = dict(asked.dtypes)["query_id"], []
     for b in range(blocks):
-        own = unit_queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(own), how="inner").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("vector")), 6).alias("score"))
-        tops.append(rank_by_score(scored, "vec_id").where(F.col("rank") <= limit))
-    return reduce(DataFrame.unionByName, tops)
+        own = sorted((r.query_id, r.vector) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect())
+        names, matrix = [x for x, _ in own], np.array([v for _, v in own], float)
+        tops.append(rows.mapInPandas(partial(_best_of_batch, names=names, matrix=matrix, limit=limit), f"query_id {kind}, vec_id long, score double"))
+    return rank_by_score(reduce(DataFrame.unionByName, tops), "vec_id").where(F.col("rank") <= limit)
+
+
+def _best_of_batch(frames: Iterator[pd.DataFrame], names: list, matrix: np.ndarray, limit: int) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        if not len(pdf) or not len(names):
+            continue
+        scores = np.round(np.stack(pdf.embedding.to_numpy()) @ matrix.T, 6)
+        ids = pdf.vec_id.to_numpy()
+        best = [np.lexsort((ids, -scores[:, j]))[:limit] for j in range(len(names))]
+        yield pd.DataFrame({"query_id": np.repeat(np.array(names, object), [len(b) for b in best]), "vec_id": ids[np.concatenate(best)], "score": np.concatenate([scores[b, j] for j, b in enumerate(best)])})
 
 
 def hash_embedding(text: Column, dimensions: int, seed: str = "fixture") -> Column:

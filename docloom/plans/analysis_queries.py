@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,15 +130,18 @@ def mk_seg_window(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mk_fit(spark: SparkSession, d: str) -> DataFrame:
     symbols = segments(spark, d).select("seq", "idx", (F.length("text") % 5).cast("int").alias("symbol"))
-    return A.decode_hmm(symbols, A.fit_hmm(symbols, 3, 5, rounds=3))
+    return A.decode_hmm(symbols, A.fit_hmm(symbols, 3, 5))
 
 
-@query()
+@query(f"""WITH s AS (SELECT state AS prev, lead(state) OVER (ORDER BY seq, idx) AS next FROM {_SEG}), c AS (SELECT prev, next, count(*) AS n FROM s WHERE next IS NOT NULL GROUP BY ALL), e AS (SELECT prev, next, round(n / sum(n) OVER (PARTITION BY prev), 9) AS p FROM c)
+SELECT 'digraph states {{' || chr(10) || string_agg(format('  "{{}}" -> "{{}}" [label="{{:.1f}}%"];', prev, next, 100 * p), chr(10) ORDER BY prev, next) || chr(10) || '}}' AS dot FROM e WHERE p >= 0.05 AND prev <> 'END'""")
 def mk_dot(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(A.dot_graph(A.transitions(segments(spark, d), None), 0.05),)], "dot string")
 
 
-@query()
+@query(f"""WITH t AS (SELECT seq, list([text] ORDER BY idx) AS t FROM {_SEG} GROUP BY seq),
+m AS (SELECT seq, list_reduce(t, lambda a, x: CASE WHEN contains(a[len(a)], x[1]) THEN a WHEN contains(x[1], a[len(a)]) THEN list_concat(a[1:len(a) - 1], x) ELSE list_concat(a, x) END) AS m FROM t)
+SELECT seq, generate_subscripts(m, 1)::INTEGER AS idx, unnest(m) AS text FROM m""")
 def set_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return A.merge_adjacent(segments(spark, d))
 
@@ -151,6 +157,29 @@ def tm_keywords(spark: SparkSession, d: str) -> DataFrame:
     return A.topic_keywords(table(spark, d, "documents").select(F.col("lang").alias("topic"), "text"), 10)
 
 
+@query(_TOPIC.replace("SELECT lang AS topic, unnest", "SELECT p % 3 AS topic, unnest").replace("lower(text)", "x").replace("FROM documents)", "FROM l WHERE length(x) >= 20)").replace("WITH f AS", r"""WITH p AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS p, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE trim(text) <> '')),
+l AS (SELECT doc_id, p, trim(regexp_replace(translate(lower(regexp_replace(t, '[A-Z]{2,}', '', 'g')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS x FROM p), f AS""", 1).replace("SELECT * FROM r WHERE rank <= 10", ", z AS (SELECT p % 3 AS topic, count(*) AS n FROM l WHERE length(x) >= 20 GROUP BY ALL) SELECT topic::INTEGER AS topic, n, list(term ORDER BY rank)[1] AS label, array_to_string(list(term ORDER BY rank), ' ') AS keywords FROM r JOIN z USING (topic) WHERE rank <= 10 GROUP BY topic, n"))
+def tm_run(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as texts, without words in capitals; topics are given by a line's place, so that SQL can say the same."""
+    topics, _, _ = A.topic_run(
+        table(spark, d, "documents").select("doc_id", "text"), lambda t: t.withColumn("topic", F.col("part") % 3), lambda t: F.split(t, "\n"), lambda t: F.regexp_replace(t, "[A-Z]{2,}", ""), least=20
+    )
+    return topics.select("topic", "n", "label", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query(f"SELECT state, CASE state WHEN 'user' THEN 'START' ELSE 'the ' || state || ' turn' END AS label FROM (SELECT DISTINCT state FROM {_SEG})")
+def mk_name(spark: SparkSession, d: str) -> DataFrame:
+    """Names by a stand-in that first gives all states one name, and is asked again."""
+    said = F.when((F.col("state") == "user") & (F.col("idx") == 1), "START").otherwise(F.col("text"))
+    report = A.state_report(segments(spark, d).withColumn("text", said).withColumn("label", F.lit("x")), 3)
+
+    def ask(prompt: str) -> str:
+        states = re.findall(r"^(\w+): ", prompt, re.M)
+        return json.dumps({s: f"the {s} turn" if "given twice" in prompt or len(states) == 1 else "same" for s in states})
+
+    return A.name_states(report, ask)
+
+
 @query()
 def tm_cluster(spark: SparkSession, d: str) -> DataFrame:
     return A.cluster_topics(table(spark, d, "documents"), 6).select("doc_id", "topic")

@@ -101,12 +101,12 @@ def _cer(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS}, {_CER} SELECT round(avg(cer), 9) AS avg_cer, list_sort(list(cer))[count(*) // 2 + 1] AS median_cer, min(cer) AS min_cer, max(cer) AS max_cer FROM c")
 def agg_ocr(spark: SparkSession, d: str) -> DataFrame:
-    return _cer(spark, d).agg(*E.spread("cer", upper=True))
+    return E.spread(_cer(spark, d), "cer", upper=True)
 
 
 @query(f"WITH {_PAIRS}, {_CER} SELECT round(avg(cer), 9) AS avg_cer, median(cer) AS median_cer, min(cer) AS min_cer, max(cer) AS max_cer FROM c")
 def agg_stt(spark: SparkSession, d: str) -> DataFrame:
-    return _cer(spark, d).agg(*E.spread("cer", upper=False))
+    return E.spread(_cer(spark, d), "cer", upper=False)
 
 
 _EXTR = "x AS (SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN NULL WHEN d.doc_id % 10 = 1 THEN ' ' ELSE d.text END AS t FROM documents d)"

@@ -37,6 +37,17 @@ def spans_slice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(M.slices(F.replace("text", F.lit("\n"), F.lit("<slice/>")))).alias("n"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT conv_id, turn, text, string_split(text, ' ')[1] AS k FROM conversations), v AS (SELECT *, replace(text, '_', '-') AS t FROM w WHERE regexp_full_match(k, '[A-Za-z]+')),
+n AS (SELECT *, [x for x in regexp_extract_all(regexp_replace(t, '[^\x00-\x7F]', 'x', 'g'), '[0-9A-Za-z]+') if x = k] AS m FROM v)
+SELECT conv_id, turn, len(m)::INTEGER AS links, (len(m) - 1)::INTEGER AS refs FROM n""")
+def link_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The first word of every turn as a link's ref without an id: it becomes the id, and its other places get refs."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit("_"), F.lit("-")).alias("text"), F.get(F.split("text", " "), F.lit(0)).alias("k")).where(F.col("k").rlike("^[A-Za-z]+$"))
+    marked_ = F.concat(F.lit('<span ref="link_1">'), "k", F.lit("</span>"), F.substr("text", F.length("k") + 1))
+    links = turns.select("conv_id", "turn", M.filled_links(F.col("text"), M.parse_spans(marked_)).alias("s"))
+    return links.select("conv_id", "turn", F.size("s").alias("links"), F.size(F.filter("s", lambda s: F.map_contains_key(s.attributes, F.lit("ref")))).alias("refs"))
+
+
+@query("SELECT conv_id, turn, len(w) > 2 AND length(w[1]) + length(w[2]) + 2 < 25 AS covered FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
 def j_cover(spark: SparkSession, d: str) -> DataFrame:
     return marked(spark, d).select("conv_id", "turn", M.covered(M.parse_spans("marked"), F.lit(0), F.lit(25)).alias("covered"))

@@ -111,13 +111,36 @@ def ext_layout(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, i, name) for k, names in fixed.items() for i, name in enumerate(names, 1)], "layout int, ord int, kind string")
 
 
-@query()
+@query(f"WITH {RQ.budget_sql(5, 50000)} SELECT item_id, rank FROM kept WHERE query_id = 'q1'")
 def cp_kb(spark: SparkSession, d: str) -> DataFrame:
     from .workflow import KnowledgeBase
 
     return KnowledgeBase(RQ.items(spark, d), most_characters=50_000).query(spark, "idiot clown").select("item_id", "rank")
 
 
+_PACK = r"p AS (SELECT query_id, rank, trim(d.text) AS t, sum(len([x for x in regexp_split_to_array(trim(d.text), '\s+') if x <> ''])) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM kept JOIN documents d ON d.doc_id::VARCHAR = item_id WHERE trim(d.text) <> '')"
+
+
+@query(f"WITH {RQ.budget_sql(8, 6000)}, {_PACK} SELECT query_id, count(*) AS n_blocks, md5(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS digest FROM p WHERE used <= 1500 GROUP BY query_id")
+def cp_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """A budget of tokens alone, which stands for four characters each."""
+    from .workflow import PackRequest, retrieve_pack
+
+    items = RQ.items(spark, d)
+    pack = retrieve_pack(R.scan(items, RQ.queries(spark)).select("query_id", "item_id", "score"), items, PackRequest(8, max_tokens=1500))
+    return pack.select("query_id", "n_blocks", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {RQ.budget_sql(8, 4000)}, {_PACK} SELECT query_id, count(*) AS n_blocks, md5(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS digest FROM p GROUP BY query_id")
+def ce_rpack(spark: SparkSession, d: str) -> DataFrame:
+    """Characters halved from 16,000 until every pack has 800 tokens at most; on the given tables to 4,000."""
+    from .workflow import PackRequest, render_pack
+
+    items = RQ.items(spark, d)
+    pack, _ = render_pack(R.scan(items, RQ.queries(spark)).select("query_id", "item_id", "score"), items, PackRequest(8, maximum_total_characters=16000), 800)
+    return pack.select("query_id", "n_blocks", F.md5("text").alias("digest"))
+
+
 @query()
 def ce_nested(spark: SparkSession, d: str) -> DataFrame:
     """A template over two packs, each under a budget of its own."""

@@ -85,12 +85,16 @@ def w_budget(spark: SparkSession, d: str) -> DataFrame:
     return K.apply_budget(_scanned(spark, d), K.QueryBudget(20, offset=2, max_items_per_source=2)).select("query_id", "item_id", "rank")
 
 
-@query(f"""WITH RECURSIVE {_SCAN}, c AS (SELECT query_id, item_id, rank, length(text) AS n FROM r WHERE rank <= 60),
-b(query_id, rank, chars, kept) AS (SELECT query_id, 0, 0, CAST([] AS INTEGER[]) FROM q UNION ALL
-  SELECT b.query_id, c.rank, CASE WHEN ok THEN b.chars + c.n ELSE b.chars END, CASE WHEN ok THEN list_append(b.kept, c.rank) ELSE b.kept END
-  FROM b JOIN (SELECT * FROM c) c ON c.query_id = b.query_id AND c.rank = b.rank + 1, LATERAL (SELECT len(b.kept) < 10 AND b.chars + c.n <= 20000 AS ok)),
-l AS (SELECT query_id, arg_max(kept, rank) AS kept FROM b GROUP BY query_id)
-SELECT l.query_id, c.item_id, list_position(l.kept, c.rank)::INTEGER AS rank FROM l JOIN c ON c.query_id = l.query_id AND list_contains(l.kept, c.rank)""")
+def budget_sql(most: int, chars: int, where: str = "") -> str:
+    """CTEs up to ``kept`` (query_id, item_id, rank): in rank order what still fits, by one join for every item taken."""
+    rounds = [f"k0 AS (SELECT query_id, 0 AS rank, 0 AS used FROM q {where})"]
+    for i in range(1, most + 1):
+        rounds.append(f"k{i} AS (SELECT c.query_id, min(c.rank) AS rank, any_value(k.used) + arg_min(c.n, c.rank) AS used FROM k{i - 1} k JOIN c ON c.query_id = k.query_id AND c.rank > k.rank AND k.used + c.n <= {chars} GROUP BY c.query_id)")
+    taken = " UNION ALL ".join(f"SELECT query_id, rank AS old, {i}::INTEGER AS rank FROM k{i}" for i in range(1, most + 1))
+    return f"{_SCAN}, c AS MATERIALIZED (SELECT query_id, item_id, rank, length(text) AS n FROM r), {', '.join(rounds)}, kept AS (SELECT c.query_id, c.item_id, t.rank FROM ({taken}) t JOIN c ON c.query_id = t.query_id AND c.rank = t.old)"
+
+
+@query(f"WITH {budget_sql(10, 20000)} SELECT * FROM kept")
 def w_budget_chars(spark: SparkSession, d: str) -> DataFrame:
     found = R.scan(items(spark, d), queries(spark)).select("query_id", "item_id", "source_uri", "score", F.length("text").alias("characters"))
     return K.apply_budget(K.rank_by_score(found), K.QueryBudget(10, maximum_total_characters=20000)).select("query_id", "item_id", "rank")
@@ -156,10 +160,12 @@ u AS (SELECT query_id, doc_id::VARCHAR AS item_id, round(0.6 * coalesce(lex, 0)
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM u""")
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     chunks, q, limit = _fts_chunks(spark, d), queries(spark), R.candidate_limit(K.QueryBudget(5), 5)
-    lexical = K.rank_by_score(R.bm25(chunks, q), "chunk_id").where(F.col("rank") <= limit).join(chunks.select("chunk_id", "item_id"), "chunk_id")
-    vectors = chunks.select(F.col("chunk_id").alias("vec_id"), R.hash_embedding(F.col("text"), 16).alias("embedding"))
+    terms = R.query_terms(q)
+    index = R.chunk_index(chunks.withColumn("embedding", R.hash_embedding(F.col("text"), 16)), terms, "item_id", "embedding")
+    lexical = K.rank_by_score(R.bm25_scores(index, terms), "chunk_id").where(F.col("rank") <= limit).join(index.select("chunk_id", "item_id"), "chunk_id")
+    vectors = index.select(F.col("chunk_id").alias("vec_id"), "embedding")
     near = R.vector_candidates(vectors, q.select("query_id", R.hash_embedding(F.col("query_text"), 16).alias("vector")), limit)
-    near = near.withColumnRenamed("vec_id", "chunk_id").join(chunks.select("chunk_id", "item_id"), "chunk_id")
+    near = near.withColumnRenamed("vec_id", "chunk_id").join(index.select("chunk_id", "item_id"), "chunk_id")
     return R.fuse(lexical, near, 0.6, 0.4).drop("stage_scores")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import context, rank, retrieve
 
 
@@ -85,4 +87,52 @@ class KnowledgeBase:
         return context.join_blocks(context.fit_tokens(context.blocks(self.query(spark, text)), most_tokens))
 
 
-__all__ = ["KnowledgeBase", "Plan", "Task", "configuration_id", "with_overrides"]
+@dataclass(frozen=True)
+class PackRequest:
+    """What a context pack of retrieved evidence may hold. Characters are four for each token if only tokens are given."""
+
+    max_items: int = 3
+    offset: int = 0
+    max_tokens: int | None = None
+    maximum_total_characters: int | None = None
+    max_items_per_source: int | None = None
+
+    def budget(self) -> rank.QueryBudget:
+        chars = self.maximum_total_characters
+        if chars is None and self.max_tokens is not None:
+            chars = 4 * self.max_tokens
+        return rank.QueryBudget(self.max_items, self.offset, chars, self.max_items_per_source)
+
+    def tightened(self, share: float = 0.5) -> PackRequest:
+        """The same with a share of the tokens and characters, one at least; items stay."""
+        less = lambda n: None if n is None else max(1, int(n * share))
+        return replace(self, max_tokens=less(self.max_tokens), maximum_total_characters=less(self.maximum_total_characters))
+
+
+def retrieve_pack(scored: DataFrame, items: DataFrame, request: PackRequest, header: Column | None = None) -> DataFrame:
+    """(query_id, n_blocks, text): a pack for each query from a snapshot's scores (query_id, item_id, score).
+
+    Lengths alone take part in the budget; texts are joined to what is kept, and the pack is then cut to the tokens.
+    Queries whose evidence doesn't fit have no row.
+    """
+    sized = scored.join(items.select("item_id", "source_uri", F.length("text").alias("characters")), "item_id")
+    kept = rank.apply_budget(rank.rank_by_score(sized), request.budget()).drop("characters", "source_uri")
+    packed = context.blocks(kept.join(items.select("item_id", "source_uri", "text"), "item_id"), header=header)
+    return context.join_blocks(packed if request.max_tokens is None else context.fit_tokens(packed, request.max_tokens))
+
+
+def render_pack(scored: DataFrame, items: DataFrame, request: PackRequest, most_tokens: int, tighten: bool = True, most_rounds: int = 4) -> tuple[DataFrame, PackRequest]:
+    """(pack, request it was made by): where the largest pack has more than ``most_tokens`` the request is tightened by
+    half, as often as ``most_rounds`` allow; without limits of its own it first gets the budget's tokens."""
+    if request.max_tokens is None and request.maximum_total_characters is None:
+        request = replace(request, max_tokens=most_tokens)
+    for _ in range(max(1, most_rounds)):
+        pack = retrieve_pack(scored, items, request)
+        tokens = pack.agg(F.coalesce(F.max(T.token_count(F.col("text"))), F.lit(0))).first()[0]
+        if tokens <= most_tokens or not tighten:
+            break
+        request = request.tightened()
+    return pack, request
+
+
+__all__ = ["KnowledgeBase", "PackRequest", "Plan", "Task", "configuration_id", "render_pack", "retrieve_pack", "with_overrides"]

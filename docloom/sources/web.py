@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from itertools import count
 from urllib.parse import urldefrag, urljoin
 
@@ -11,21 +13,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..operators.lineage import cut
 
-def raw_links(html: Column) -> Column:
-    """Values of all href and src attributes of any tag, in order; empty ones too."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)[\s"'](?:href|src)\s*=\s*"([^"]*)\""""), 1)
+
+class _Links(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.found += [value.strip() for name, value in attrs if name in ("href", "src") and value and value.strip()]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def raw_links(html: pd.Series) -> pd.Series:
+    """Values of all href and src attributes of any tag, in order, however quoted, entities decoded; blank ones go."""
+
+    def each(text: str | None) -> list[str]:
+        page = _Links()
+        page.feed(text or "")
+        page.close()
+        return page.found
+
+    return html.map(each)
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def resolved_links(links: pd.Series, base: pd.Series) -> pd.Series:
-    """Absolute links without fragment; empty, mailto and javascript ones go."""
+    """Absolute links without fragment; blank, mailto and javascript ones go, and those that are no URL at all."""
 
     def each(found: list[str], url: str) -> Iterator[str]:
         for x in found:
             x = x.strip()
-            if x and not x.lower().startswith(("mailto:", "javascript:")):
-                yield urldefrag(urljoin(url, x))[0]
+            if x:
+                with contextlib.suppress(ValueError):
+                    whole = urldefrag(urljoin(url, x))[0].strip()
+                    if not whole.startswith(("mailto:", "javascript:")):
+                        yield whole
 
     return pd.Series([list(each(f if f is not None else [], u or "")) for f, u in zip(links, base, strict=True)])
 
@@ -39,18 +63,19 @@ def relative_path(url: Column, prefix: str) -> Column:
 def crawl(pages: DataFrame, root: str, prefix: str, most: int) -> DataFrame:
     """(url, depth): pages reached from ``root`` by links that start with ``prefix``, breadth first, at most ``most``.
 
-    The frontier is joined with the pages round by round, and what was seen is left out by an anti-join. Only stored
-    pages are followed and counted; it ends when there are ``most`` of them or no new ones.
+    Links are parsed once, into a table of those between stored pages. The frontier is joined with it round by round, and
+    what was seen is left out by an anti-join; each round is written to the shared folder. Only stored pages are
+    followed and counted; it ends when there are ``most`` of them or no new ones.
     """
     spark = pages.sparkSession
-    saved, stored = spark.sparkContext.getCheckpointDir(), pages.select("url").distinct()
+    stored = pages.select("url").distinct()
+    to = F.explode(resolved_links(raw_links(F.col("html")), F.col("url"))).alias("to")
+    links = cut(pages.select("url", to).where(F.col("to").startswith(prefix)).distinct().join(stored.withColumnRenamed("url", "to"), "to", "left_semi"))
     frontier = spark.createDataFrame([(root,)], "url string")
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in count(1):
-        links = pages.join(frontier, "url", "left_semi").select(resolved_links(raw_links(F.col("html")), F.col("url")).alias("links"))
-        out = links.select(F.explode("links").alias("url")).where(F.col("url").startswith(prefix)).distinct()
-        frontier = out.join(stored, "url", "left_semi").join(seen, "url", "left_anti")
-        frontier = frontier.checkpoint() if saved else frontier.localCheckpoint()
+        out = links.join(frontier, "url", "left_semi").select(F.col("to").alias("url")).distinct()
+        frontier = cut(out.join(seen, "url", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
