@@ -2,62 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-_TABLES: list[tuple[SparkSession, str, DataFrame]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only in a local session that names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _TABLES.append((spark, path, table))
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables that ``cut`` wrote, once all that read them is written; others are left alone. What is never
-    dropped goes when the driver's process ends."""
-    for entry in [x for x in _TABLES if any(x[2] is t for t in tables)]:
-        _TABLES.remove(entry)
-        _remove(*entry[:2])
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from pyspark.sql import SparkSession
 
+from ..operators.lineage import cut, drop, shared_dir
 
-@atexit.register
-def _drop_tables() -> None:
-    for spark, path, _ in _TABLES:
-        with contextlib.suppress(Exception):
-            _remove(spark, path)
+__all__ = ["cut", "drop", "hash_strings", "letters_only", "mix", "partitions", "shared_dir", "shingles", "slices", "space_words", "translated"]
 
 
 def partitions(spark: SparkSession) -> int:
