@@ -81,7 +81,8 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def fit(labelled: DataFrame, per_language: int = 600, clusters: int = 4, seed: int = 7) -> Model:
     """A model from (doc_id, text, lang). Document frequencies are those of all its rows; the centroids are fitted on
-    about ``per_language`` rows of each language, picked by a hash of doc_id. Null or empty texts and null lang
+    about ``per_language`` rows of each language, picked by a hash of doc_id, and twice as many in all, the first ones by
+    that hash. Null or empty texts and null lang
     teach nothing.
     """
     rows = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id is not null and lang is not null and text <> ''")
@@ -93,7 +94,7 @@ def fit(labelled: DataFrame, per_language: int = 600, clusters: int = 4, seed: i
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     luck = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)]) if sizes else None
-    sample = rows.where(luck < share[F.col("lang")]).select("doc_id", "lang", "text").limit(2 * per_language * len(sizes)).collect() if sizes else []
+    sample = rows.where(luck < share[F.col("lang")]).select("doc_id", "lang", "text").orderBy(luck, "doc_id", "text").limit(2 * per_language * len(sizes)).collect() if sizes else []
     texts: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r.doc_id, r.text)):
         texts.setdefault(r.lang, []).append(r.text)
@@ -115,10 +116,10 @@ def predict(documents: DataFrame, model: Model, *keep: str | Column) -> DataFram
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text of a model that learnt nothing.
     rejected marks those, and texts farther from their centroid than a quarter of the cosine of its farthest
-    learnt text. Rows come back one for one, those without doc_id and repeated ones too.
+    learnt text. ``keep`` columns of the result's own names, or named text, are left out. Rows come back one for one, those without doc_id and repeated ones too.
     """
     rows = documents.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
-    names = [x for x in rows.columns if x != "text"]
+    names = [x for x in rows.columns if x not in ("text", "lang_pred", "score", "rejected")]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -415,7 +415,7 @@ def test_language_id(spark):
     kinds = {"aa": ["lorem", "dolor", "amet", "sit"], "bb": ["xyzzy", "quux", "plugh", "thud"]}
     rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(30)), k) for i, k in enumerate(["aa", "bb"] * 30)] + [(100, None, "aa"), (101, "12 34 !", "bb"), (102, "lorem amet", None), (None, "quux thud quux", None)]
     d = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double")
-    got = {r.doc_id: r for r in language_id.predict(d, language_id.fit(d), (F.col("doc_id") % 2).alias("odd")).collect()}
+    got = {r.doc_id: r for r in language_id.predict(d, language_id.fit(d), (F.col("doc_id") % 2).alias("odd"), "score", "text").collect()}
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 and not got[i].rejected for i, _, lang in rows[:60])
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[100].rejected
     assert (got[102].lang_pred, got[None].lang_pred) == ("aa", "bb")
@@ -512,7 +512,7 @@ def test_toxicity(spark):
     rows = [(i, " ".join([*words(rng.randrange(5, 40), i, 300), *(["Vilest", "grot!"] if i % 3 == 0 else []), *words(5, -i, 300)]), int(i % 3 == 0)) for i in range(300)]
     d = docs(spark, [r[:2] for r in rows] + [(900, None), (901, ""), (None, "vilest")])
     labels = spark.createDataFrame([(i, y, "t") for i, _, y in rows if i % 5] + [(901, None, "t")], "doc_id long, toxic int, text string")
-    got = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, labels), F.lit(1).alias("one")).collect()}
+    got = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, labels), F.lit(1).alias("one"), F.lit("mine").alias("score")).collect()}
     held = [(i, y) for i, _, y in rows if i % 5 == 0]
     assert sum(got[i].predicted == y for i, y in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
