@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import letters_only, slices, translated
 
+#: The text's column inside tasks, apart from what callers keep.
+WHOLE = "whole text"
 #: Hashed features: one byte, two and three bytes.
 ONE, TWO, THREE = 256, 2048, 6144
 WIDTH = ONE + TWO + THREE
@@ -116,20 +118,20 @@ def predict(documents: DataFrame, model: Model, *keep: str | Column) -> DataFram
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text of a model that learnt nothing.
     rejected marks those, and texts farther from their centroid than a quarter of the cosine of its farthest
-    learnt text. ``keep`` columns of the result's own names, or named text, are left out. Rows come back one for one, those without doc_id and repeated ones too.
+    learnt text. ``keep`` columns of the result's own names are left out. Rows come back one for one, those without doc_id and repeated ones too.
     """
-    rows = documents.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
-    names = [x for x in rows.columns if x not in ("text", "lang_pred", "score", "rejected")]
+    rows = documents.select("doc_id", *keep, F.col("text").cast("string").alias(WHOLE))
+    names = [x for x in rows.columns if x not in (WHOLE, "lang_pred", "score", "rejected")]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "text", BYTES, ROWS):
+        for batch in slices(batches, WHOLE, BYTES, ROWS):
             n = batch.num_rows
-            und = np.array([not m.langs or not t or not LETTER.search(t) for t in batch.column("text").to_pylist()], bool)
+            und = np.array([not m.langs or not t or not LETTER.search(t) for t in batch.column(WHOLE).to_pylist()], bool)
             lang, score, far = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             if m.langs:
-                near = _unit(_counts(batch.column("text")) * m.idf) @ m.centroids.T
+                near = _unit(_counts(batch.column(WHOLE)) * m.idf) @ m.centroids.T
                 best = near.argmax(1)
                 cosine = near[np.arange(n), best].astype(float)
                 lang = np.where(und, "und", np.array(m.langs, object)[m.owner[best]])
