@@ -44,10 +44,20 @@ FREQUENT = 32767
 FLUSH, HOT = 1_500_000, 256
 #: Bytes of text whose shingles one bucket of the index holds.
 BUCKET = 16 << 20
+#: Copies from which on a class is joined in parts.
+COPIES = 1024
 #: Members of a list that are joined at once, and that one block holds beyond it.
 SMALL, TILE = 64, 512
 
 
+def _class_of(shingles_: np.ndarray) -> int:
+    """A digest of a set of shingles, in 63 bits."""
+    return int.from_bytes(hashlib.blake2b(shingles_.tobytes(), digest_size=8).digest(), "little") >> 1
+
+
+EMPTY = _class_of(np.zeros(0, np.uint64))
+
+
 def _needs(sim: tuple[int, int]) -> tuple[int, int]:
     """(p, q): sets of a and b elements link when q * overlap >= p * (a + b)."""
     return sim[0], sim[0] + sim[1]
@@ -109,7 +119,7 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int, width: int, most: int
         all_of, starts = shingles(hashes, bounds, width)
         for i, doc in enumerate(batch.column("doc_id").to_pylist()):
             own = np.unique(all_of[starts[i] : starts[i + 1]])
-            cls = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little") >> 1
+            cls = _class_of(own)
             docs.append((doc, cls))
             if cls in seen:
                 seen[cls][1] = min(seen[cls][1], doc)
@@ -299,13 +309,18 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, i
     far = _tiles(known.where(F.col("held") > SMALL), sim)
     more = _overlaps(near.union(far).distinct(), sets, sim).where("links").select("a", "b")
 
-    same = docs.join(classes.where("n > 0"), "cls").where("doc_id <> class_id")  # a doc_id with several texts ties its classes
-    tied = same.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("a", "b")
+    full = docs.where(F.col("cls") != EMPTY)
+    several = full.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("doc_id", "a")
+    tied = full.join(several, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b"))  # a doc_id with several texts ties its classes
     joined = connected_components(star.union(more).union(tied))
     ends = joined.withColumnRenamed("node", "cls").join(classes, "cls")
     best = ends.groupBy("label").agg(F.min("class_id").alias("component_id"))
     ends = ends.join(best, "label").select("cls", "component_id")
     whole = classes.join(ends, "cls", "left")
-    out = docs.join(whole, "cls")
+    copied = docs.groupBy("cls").agg(F.count("*").alias("held")).where(F.col("held") > COPIES).join(whole, "cls")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")
+    copied = copied.select("cls", F.struct("n", "class_id", "component_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
+    met = docs.withColumn("salt", salt).join(copied, ["cls", "salt"], "left").drop("salt")  # a class of many copies in 64 parts
+    out = met.where("of is not null").select("doc_id", "of.*").unionByName(met.where("of is null").select("doc_id", "cls").join(whole, "cls").drop("cls"))
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component_id", "class_id")).alias("component_id"))

@@ -65,13 +65,22 @@ def test_ngram_jaccard(spark, monkeypatch, tile, small, hot):
     monkeypatch.setattr(ngram_jaccard, "TILE", tile)
     monkeypatch.setattr(ngram_jaccard, "SMALL", small)
     monkeypatch.setattr(ngram_jaccard, "HOT", hot)
-    rows = copies()
+    monkeypatch.setattr(ngram_jaccard, "COPIES", 1 if tile < 3 else 1024)
+    rows = copies() + [(200 + k, "exactly one and the same text in many rows") for k in range(5)]
     got = ngram_jaccard.ngram_jaccard(docs(spark, rows)).collect()
     assert len(got) == len(rows) - 1
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute([r for r in rows if r[0] is not None])
     assert ngram_jaccard.ngram_jaccard(docs(spark, [])).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """It connects everything that any of its texts is linked with."""
+    texts = [" ".join(words(30, 50 + k)) for k in range(4)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (7, texts[0]), (8, texts[1]), (9, texts[2]), (10, texts[3]), (5, ""), (11, "")]
+    got = Counter((r.doc_id, r.component_id) for r in ngram_jaccard.ngram_jaccard(docs(spark, rows)).collect())
+    assert got == Counter({(5, 5): 4, (7, 5): 1, (8, 5): 1, (9, 5): 1, (10, 10): 1, (11, 11): 1})
+
+
 def test_tiles_find_every_pair():
     """Members of one list, in tiles, against all pairs."""
     import pandas as pd
