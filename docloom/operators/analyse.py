@@ -164,6 +164,46 @@ def topic_run(items: DataFrame, assign: Callable[[DataFrame], DataFrame], extrac
     return topics.select("topic", "n", label.alias("label"), "keywords"), assigned.select("doc_id", "part", "topic"), report
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def model_texts(documents: DataFrame, answer: Callable[[Column], Column], itemize: bool) -> tuple[DataFrame, DataFrame]:
+    """(texts, report) of documents (doc_id, text) by a model's ``answer`` to each.
+
+    texts: (doc_id, document_id, text): the stripped answer, or with ``itemize`` each stripped string of its JSON list,
+    numbered from 1 behind the document's id. Documents with an empty answer, or one without items, have no row.
+    report: one row of input_documents, output_documents and errors, the documents without a row.
+    """
+    answered = cut(documents.select("doc_id", _stripped(answer(F.col("text"))).alias("answer")))
+    if itemize:
+        items = F.filter(F.transform(T.json_items(F.col("answer")), _stripped), lambda x: x != "")
+        parts = answered.select("doc_id", F.posexplode(items).alias("i", "text"))
+        texts = parts.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i") + 1).alias("document_id"), "text")
+        failed = F.coalesce(F.size(items), F.lit(0)) <= 0
+    else:
+        texts = answered.where("answer <> ''").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.col("answer").alias("text"))
+        failed = F.coalesce(F.col("answer"), F.lit("")) == ""
+    report = answered.agg(F.count("*").alias("input_documents"), F.count_if(failed).alias("errors")).crossJoin(texts.agg(F.count("*").alias("output_documents")))  # single rows
+    return texts, report
+
+
+def model_labels(topics: DataFrame, assigned: DataFrame, answer: Callable[[Column], Column], template: str, most_keywords: int = 8, most_documents: int = 5) -> DataFrame:
+    """Topics (topic, label, keywords) named by a model, with label_source: ``llm``, or ``keywords`` where the answer is
+    empty and the label stays.
+
+    The template's {keywords} are a topic's first ones, joined by a comma; {documents} the texts of its documents of the
+    smallest doc_id in assigned (topic, doc_id, text), a line each.
+    """
+    first = F.row_number().over(Window.partitionBy("topic").orderBy("doc_id", "text"))
+    few = assigned.withColumn("nth", first).where(F.col("nth") <= most_documents)  # the limit cuts each task's rows before the shuffle
+    shown = few.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x.text), "\n").alias("shown"))
+    prompt = F.replace(F.replace(F.lit(template), F.lit("{keywords}"), F.array_join(F.slice("keywords", 1, most_keywords), ", ")), F.lit("{documents}"), F.coalesce("shown", F.lit("")))
+    asked = topics.join(shown, "topic", "left").withColumn("answer", F.nullif(_stripped(answer(prompt)), F.lit("")))
+    source = F.when(F.col("answer").isNotNull(), "llm").otherwise("keywords")
+    return asked.withColumn("label", F.coalesce("answer", "label")).withColumn("label_source", source).drop("answer", "shown")
+
+
 def boundary_state(states: list[dict], mark: str) -> int | None:
     """The state with most examples that say ``mark``, ties to more examples and the larger state."""
     same = lambda x: str(x).strip().upper() == mark.strip().upper()

@@ -124,6 +124,21 @@ def join_confident(words: Column, least: float, glue: str = " ") -> Column:
     return F.struct(F.array_join(F.transform(kept, lambda w: w.text), glue).alias("text"), F.when(F.size(kept) > 0, mean).alias("confidence"))
 
 
+def layout_text(regions: Column, least: float, glue: str = " ") -> Column:
+    """(text, confidence, regions_processed, regions_with_text) of a page's regions (order, bbox, words (text, confidence)).
+
+    Regions are read by their order, those without one as 999th, equals as they stand; one without four numbers of
+    a box isn't read. Each one's sure words are joined, regions with some by a blank line; confidence is the mean of all sure words.
+    """
+    boxed = F.filter(F.transform(regions, lambda r, i: F.struct(F.coalesce(r.order, F.lit(999)).alias("o"), i.alias("i"), r.bbox.alias("b"), r.words.alias("w"))), lambda r: F.size(r.b) == 4)
+    words = F.transform(F.array_sort(boxed), lambda r: F.filter(r.w, lambda w: (w.confidence >= least) & (F.trim(w.text) != "")))
+    read = F.filter(words, lambda ws: F.size(ws) > 0)
+    text = F.array_join(F.transform(read, lambda ws: F.array_join(F.transform(ws, lambda w: w.text), glue)), "\n\n")
+    sure = F.flatten(F.transform(read, lambda ws: F.transform(ws, lambda w: w.confidence)))
+    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure))
+    return F.struct(text.alias("text"), mean.alias("confidence"), F.size(regions).alias("regions_processed"), F.size(read).alias("regions_with_text"))
+
+
 def transcript_text(payload: Column, channel: int | None = None, speaker: int | None = None) -> Column:
     """Utterances of a transcript's JSON as lines, prefixed by their speaker; filters keep one channel or speaker. Without
     utterances the transcript itself."""

@@ -72,6 +72,31 @@ def build(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, summary
 
 
+def of_language(items: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of items (item_id, read), ``read`` holding what a language model found: entities (text, kind) and
+    relations (subject, verb, object); see ``sources.providers.analysed``.
+
+    nodes: (item_id, node_id, node_type, label, entity_type), one for each label of ``least`` characters at least,
+    stripped, with the kind of its last place, and one for the item. edges: (item_id, edge_id, src, dst, edge_type,
+    predicate, weight): mentions of a label, weighing as many as its places, and related_to of subject and object, one of
+    each (subject, object, verb); ends shorter than ``least`` are left out. Labels that differ in case or marks share
+    their node_id; ``upsert`` keeps one of them. Null or empty ``read`` gives the item's node alone.
+    """
+    own = F.concat(F.lit("item:"), F.col("item_id").cast("string"))
+    entity = lambda c: F.concat(F.lit("entity:"), canonical(c))
+    placed = items.select("item_id", F.posexplode("read.entities").alias("i", "e")).select("item_id", "i", F.trim("e.text").alias("label"), F.col("e.kind").alias("kind"))
+    met = placed.where(F.length("label") >= least).groupBy("item_id", "label").agg(F.max_by("kind", "i").alias("entity_type"), F.count("*").cast("double").alias("weight"))
+    none = F.lit(None).cast("string")
+    nodes = met.select("item_id", entity(F.col("label")).alias("node_id"), F.lit("entity").alias("node_type"), "label", "entity_type")
+    nodes = nodes.unionByName(items.select("item_id", own.alias("node_id"), F.lit("item").alias("node_type"), F.col("item_id").cast("string").alias("label"), none.alias("entity_type")).distinct())
+    said = met.select("item_id", own.alias("src"), entity(F.col("label")).alias("dst"), F.lit("mentions").alias("edge_type"), none.alias("predicate"), "weight")
+    said = said.withColumn("edge_id", F.concat_ws("|", "src", "edge_type", "dst"))
+    told = items.select("item_id", F.explode("read.relations").alias("r")).select("item_id", F.trim("r.subject").alias("s"), F.trim("r.object").alias("o"), F.col("r.verb").alias("v")).where((F.length("s") >= least) & (F.length("o") >= least))
+    tied = told.select("item_id", entity(F.col("s")).alias("src"), entity(F.col("o")).alias("dst"), F.lit("related_to").alias("edge_type"), canonical(F.col("v")).alias("predicate"), F.lit(1.0).alias("weight"))
+    tied = tied.withColumn("edge_id", F.concat_ws("|", "src", "edge_type", "dst", "predicate")).distinct()
+    return nodes, said.unionByName(tied)
+
+
 def upsert(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each node_id and edge_id, the last by ``version``; edges only where both ends are nodes."""
     last = lambda df, key: df.groupBy(key).agg(F.max_by(F.struct(*df.columns), "version").alias("r")).select("r.*")

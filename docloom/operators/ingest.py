@@ -87,6 +87,12 @@ def duplicates(new: DataFrame, catalog: DataFrame) -> DataFrame:
     return new.join(catalog.select("source_uri").distinct(), "source_uri", "left_semi")
 
 
+def streamed(content: Column, media_type: Column) -> Column:
+    """(sha256, bytes) of items taken as bytes; Markdown must be taken as text, so it stops the query."""
+    refused = F.raise_error(F.lit("Markdown can't be taken as a stream of bytes"))
+    return F.when(media_type == "text/markdown", refused).otherwise(F.struct(F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes")))
+
+
 def note_uri(title: Column, text: Column) -> Column:
     return F.concat(F.lit("text:"), F.sha2(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), text), 256))
 

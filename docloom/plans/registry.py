@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "chunks", "retrieval", "context", "evaluation", "analysis", "ingest", "extraction", "graphs", "markup", "more")
+MODULES = ("text", "chunks", "retrieval", "context", "evaluation", "analysis", "ingest", "extraction", "graphs", "markup", "more", "provider")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -30,6 +31,12 @@ class RecognitionProvider(Protocol):
     def recognise(self, content: bytes, media_type: str) -> list[tuple[str, float]]: ...
 
 
+class SpeechProvider(Protocol):
+    """Speech recognition: segments of one item's bytes, each with the probability that nothing is said in it."""
+
+    def transcribe(self, content: bytes, media_type: str) -> list[tuple[str, float]]: ...
+
+
 class LanguageProvider(Protocol):
     """Named entities (text, kind, start, end) and subject-verb-object relations of a text."""
 
@@ -68,6 +75,24 @@ class FixedRecognition:
         return [(w, 0.9) for w in content.decode("utf-8", "replace").split()]
 
 
+class LineSpeech:
+    """Stand-in: the lines of the content itself; nothing is said in blank ones."""
+
+    def transcribe(self, content: bytes, media_type: str) -> list[tuple[str, float]]:
+        return [(line, 0.1 if line.strip() else 0.9) for line in content.decode("utf-8", "replace").split("\n")]
+
+
+class CapitalWords:
+    """Stand-in: entities are runs of capitalised ASCII words, names where there are several; the subject of a relation is
+    such a word, its verb and object are the two words of small letters after it."""
+
+    def entities(self, text: str) -> list[tuple[str, str, int, int]]:
+        return [(m[0], "NAME" if " " in m[0] else "WORD", m.start(), m.end()) for m in re.finditer("[A-Z][a-z]+(?: [A-Z][a-z]+)*", text)]
+
+    def relations(self, text: str) -> list[tuple[str, str, str]]:
+        return re.findall("([A-Z][a-z]+) ([a-z]+) ([a-z]+)", text)
+
+
 def embed(df: DataFrame, provider: EmbeddingProvider, batch: int = 64) -> DataFrame:
     """Rows of (key, text) with their embedding, asked for in batches inside tasks, order kept."""
 
@@ -101,6 +126,34 @@ def recognise(content: Column, media_type: Column, provider: RecognitionProvider
     return ask(content, media_type)
 
 
+def transcribed(content: Column, media_type: Column, provider: SpeechProvider, least_silence: float | None = None) -> Column:
+    """Stripped transcripts of audio items; null for others. Segments are joined by spaces. With ``least_silence`` a
+    transcript is empty if some segment's probability that nothing is said reaches it."""
+
+    @F.pandas_udf("array<struct<text:string,silence:double>>")
+    def ask(contents: pd.Series, types: pd.Series) -> pd.Series:
+        return pd.Series([[{"text": s, "silence": p} for s, p in provider.transcribe(x, t)] if x is not None and t and t.startswith("audio/") else None for x, t in zip(contents, types, strict=True)])
+
+    heard = ask(content, media_type)
+    said = F.regexp_replace(F.array_join(F.transform(heard, lambda s: s.text), " "), r"^\s+|\s+$", "")
+    if least_silence is None:
+        return said
+    return F.when(F.exists(heard, lambda s: s.silence >= least_silence), "").otherwise(said)
+
+
+def analysed(text: Column, provider: LanguageProvider) -> Column:
+    """(entities, relations) of every text; null for null ones."""
+
+    @F.pandas_udf("struct<entities:array<struct<text:string,kind:string,start:int,end:int>>,relations:array<struct<subject:string,verb:string,object:string>>>")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        full = [t if isinstance(t, str) else None for t in texts]
+        entities = [None if t is None else [dict(zip(("text", "kind", "start", "end"), e, strict=True)) for e in provider.entities(t)] for t in full]
+        relations = [None if t is None else [dict(zip(("subject", "verb", "object"), r, strict=True)) for r in provider.relations(t)] for t in full]
+        return pd.DataFrame({"entities": entities, "relations": relations})
+
+    return ask(text)
+
+
 def edited(text: str, provider: ChatProvider, system: str, strip: Callable[[str], str], most_tries: int = 3) -> str:
     """Marked-up text from a model that may only add tags: an answer that changes anything else is asked for again."""
     for _ in range(most_tries):
