@@ -74,7 +74,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1.0) ->
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 3) -> Classifier:
     """A classifier from documents (doc_id, text) and labels (doc_id, quality 0/1), fitted on about ``most`` labelled
-    rows of each class at most, picked by a hash of doc_id, and 4 * ``most`` in all, the first ones by that hash. Null or disagreeing labels teach nothing.
+    rows of each class at most, picked by a hash of doc_id, and 4 * ``most`` in all, the first ones by that hash, however many rows share a doc_id. Null or disagreeing labels
+    teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("hi")).where("quality = hi")
@@ -85,7 +86,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 3
     share = F.when(F.col("quality") == 1, min(1.0, most / max(1, sizes.get(1, 0)))).otherwise(min(1.0, most / max(1, sizes.get(0, 0))))
     picked = known.where(luck < share).select("doc_id", "quality").orderBy(luck, "doc_id").limit(4 * most)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    found = rows.mapInArrow(_with_features, "quality int, x array<double>").collect()
+    found = rows.mapInArrow(_with_features, "doc_id long, quality int, x array<double>").orderBy(luck, "doc_id", "x").limit(4 * most).collect()
     c = train(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.quality for r in found]))
     have = np.bincount([r.quality for r in found], minlength=2)
     if have.all():  # classes were sampled at different rates; put the odds back
@@ -95,7 +96,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 3
 
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        yield pa.record_batch([batch.column("quality"), pa.array(list(features(batch.column("text"))), pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(list(features(batch.column("text"))), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
 
 def _strength(mean: Column, total: Column, n: Column, sites: Column, between: Column) -> Column:

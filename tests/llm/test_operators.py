@@ -545,6 +545,17 @@ def test_quality(spark):
     assert quality.site_quality(d.limit(0), quality.fit(d, labels.limit(0)), F.col("host"), F.col("path")).count() == 0
 
 
+def test_samples_are_bounded_in_rows(spark, monkeypatch):
+    d = spark.createDataFrame([(i % 9, f"word{i % 5} and more {i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)], "doc_id long, quality int, toxic int")
+    sizes = []
+    monkeypatch.setattr(quality, "train", lambda x, y: sizes.append(len(x)) or quality.Classifier(np.zeros(1), np.ones(1), np.zeros(3)))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: sizes.append(len(texts)))
+    quality.fit(d, labels, 20)
+    toxicity.fit(d, labels, 20)
+    assert sizes == [80, 80]
+
+
 def test_quality_posteriors_against_plain_python(spark):
     """Shrinkage by the method of moments, hosts within all and paths within hosts, each document left out."""
     rng = random.Random(17)
