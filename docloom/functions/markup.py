@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
+from . import text as T
+
 TAG = re.compile(r"<span((?:\s+[\w-]+=\"[^\"]*\")*)\s*>|</span>")
 SPAN = StructType([StructField("index", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType()), StructField("attributes", MapType(StringType(), StringType()))])
 
@@ -44,12 +46,12 @@ def strip_tags(marked: Column) -> Column:
 
 def slices(marked: Column) -> Column:
     """Text between ``<slice/>`` marks, trimmed, blank ones gone."""
-    return F.filter(F.transform(F.split(marked, r"<slice\s*/>"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, r"<slice\s*/>"), T.strip), lambda s: s != "")
 
 
 def annotation_errors(spans: Column, allowed: tuple[str, ...]) -> Column:
     """Spans need exactly one attribute, of an allowed name, that isn't empty, and some text."""
-    bad = lambda s: (F.size(F.map_keys(s.attributes)) != 1) | F.exists(F.map_keys(s.attributes), lambda k: ~k.isin(*allowed)) | F.exists(F.map_values(s.attributes), lambda v: F.trim(v) == "") | (F.trim(s.text) == "")
+    bad = lambda s: (F.size(F.map_keys(s.attributes)) != 1) | F.exists(F.map_keys(s.attributes), lambda k: ~k.isin(*allowed)) | F.exists(F.map_values(s.attributes), lambda v: T.blank(v)) | (T.blank(s.text))
     return F.transform(F.filter(spans, bad), lambda s: s["index"])
 
 

@@ -15,6 +15,9 @@ STOP_WORDS = tuple(
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: All white space of Unicode, and the separators 1C to 1F.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def _accents() -> tuple[str, str]:
     """Letters that decompose into a letter and marks, with that letter; and the marks, which go."""
@@ -38,6 +41,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends, where ``trim`` alone takes spaces."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def blank(text: Column) -> Column:
+    """Whether there is nothing but white space; null for null."""
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def nonempty(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t != "")
 
@@ -89,7 +102,7 @@ def truncate_tokens(text: Column, most: int) -> Column:
 
 def compact_sentence(text: Column, most: int) -> Column:
     """The first non-empty piece between ". ", trimmed and cut to the budget; the text itself if there is none."""
-    first = F.trim(F.get(nonempty(F.split(text, r"\. ")), F.lit(0)))
+    first = strip(F.get(nonempty(F.split(text, r"\. ")), F.lit(0)))
     return F.coalesce(F.when(token_count(first) > most, truncate_tokens(first, most)).otherwise(first), text)
 
 
@@ -141,7 +154,7 @@ def redact_uri(uri: Column) -> Column:
 def first_speaker(text: Column, prefix: str = "Speaker 0:") -> Column:
     """Only the lines of the first speaker, without the prefix, if there are any; else the text."""
     lines = F.filter(F.split(text, "\r\n|\n|\r"), lambda x: x.startswith(prefix))
-    said = F.transform(lines, lambda x: F.trim(F.substr(x, F.lit(len(prefix) + 1))))
+    said = F.transform(lines, lambda x: strip(F.substr(x, F.lit(len(prefix) + 1))))
     return F.when(F.size(lines) > 0, F.array_join(said, "\n")).otherwise(text)
 
 
@@ -178,7 +191,7 @@ ENTITY_PATTERNS = {
 
 def find_entity(text: Column, kind: str) -> Column:
     """The first match of a kind's pattern, trimmed; empty without one."""
-    return F.trim(F.regexp_extract(text, "(?im)" + ENTITY_PATTERNS[kind], 0))
+    return strip(F.regexp_extract(text, "(?im)" + ENTITY_PATTERNS[kind], 0))
 
 
 def json_items(output: Column) -> Column:

@@ -38,7 +38,7 @@ def tag_report(items: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
 
 def text_report(items: DataFrame, least: int = 1) -> DataFrame:
     """source, nonempty, empty and missing texts; shorter ones than ``least`` count as empty."""
-    n = F.length(F.trim("text"))
+    n = F.length(T.strip(F.col("text")))
     return items.agg(F.count("*").alias("source"), F.count_if(n >= least).alias("nonempty"), F.count_if(n < least).alias("empty"), F.count_if(F.col("text").isNull()).alias("missing"))
 
 
@@ -150,7 +150,7 @@ def topic_run(items: DataFrame, assign: Callable[[DataFrame], DataFrame], extrac
     TF-IDF; a topic's label is its first keyword unless ``name`` makes one of its keywords, topics being few.
     documents: (doc_id, part, topic). report: one row of items, texts after extraction, and texts left.
     """
-    some = items.where(F.trim("text") != "")
+    some = items.where(~T.blank(F.col("text")))
     texts = F.array("text") if extract is None else extract(F.col("text"))
     parts = some.select("doc_id", F.posexplode(texts).alias("part", "text"))
     clean = parts if entities is None else parts.withColumn("text", entities(F.col("text")))
@@ -164,10 +164,6 @@ def topic_run(items: DataFrame, assign: Callable[[DataFrame], DataFrame], extrac
     return topics.select("topic", "n", label.alias("label"), "keywords"), assigned.select("doc_id", "part", "topic"), report
 
 
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def model_texts(documents: DataFrame, answer: Callable[[Column], Column], itemize: bool) -> tuple[DataFrame, DataFrame]:
     """(texts, report) of documents (doc_id, text) by a model's ``answer`` to each.
 
@@ -175,9 +171,9 @@ def model_texts(documents: DataFrame, answer: Callable[[Column], Column], itemiz
     numbered from 1 behind the document's id. Documents with an empty answer, or one without items, have no row.
     report: one row of input_documents, output_documents and errors, the documents without a row.
     """
-    answered = cut(documents.select("doc_id", _stripped(answer(F.col("text"))).alias("answer")))
+    answered = cut(documents.select("doc_id", T.strip(answer(F.col("text"))).alias("answer")))
     if itemize:
-        items = F.filter(F.transform(T.json_items(F.col("answer")), _stripped), lambda x: x != "")
+        items = F.filter(F.transform(T.json_items(F.col("answer")), T.strip), lambda x: x != "")
         parts = answered.select("doc_id", F.posexplode(items).alias("i", "text"))
         texts = parts.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i") + 1).alias("document_id"), "text")
         failed = F.coalesce(F.size(items), F.lit(0)) <= 0
@@ -199,7 +195,7 @@ def model_labels(topics: DataFrame, assigned: DataFrame, answer: Callable[[Colum
     few = assigned.withColumn("nth", first).where(F.col("nth") <= most_documents)  # the limit cuts each task's rows before the shuffle
     shown = few.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x.text), "\n").alias("shown"))
     prompt = F.replace(F.replace(F.lit(template), F.lit("{keywords}"), F.array_join(F.slice("keywords", 1, most_keywords), ", ")), F.lit("{documents}"), F.coalesce("shown", F.lit("")))
-    asked = topics.join(shown, "topic", "left").withColumn("answer", F.nullif(_stripped(answer(prompt)), F.lit("")))
+    asked = topics.join(shown, "topic", "left").withColumn("answer", F.nullif(T.strip(answer(prompt)), F.lit("")))
     source = F.when(F.col("answer").isNotNull(), "llm").otherwise("keywords")
     return asked.withColumn("label", F.coalesce("answer", "label")).withColumn("label_source", source).drop("answer", "shown")
 

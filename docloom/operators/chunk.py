@@ -77,7 +77,7 @@ def _windows(text: str, size: int, stride: int) -> Iterator[dict]:
 
 def sentences(text: Column) -> Column:
     """Pieces between white space that follows a full stop, exclamation or question mark; trimmed, none empty."""
-    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), T.strip), lambda s: s != "")
 
 
 def chunk_table(items: DataFrame, chunker: Chunker) -> DataFrame:

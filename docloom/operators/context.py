@@ -20,7 +20,7 @@ def metadata_header(fields: dict[str, Column]) -> Column:
 def blocks(evidence: DataFrame, order: str = "rank", header: Column | None = None) -> DataFrame:
     """(query_id, position, block): trimmed texts in order of rank, score or source; blank ones go."""
     keys = {"rank": ["rank"], "score": [F.col("score").desc(), "item_id"], "source": ["source_uri", "rank"]}[order]
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = T.strip(F.coalesce("text", F.lit("")))
     w = Window.partitionBy("query_id").orderBy(*keys)
     block = text if header is None else F.concat(header, F.lit("\n"), text)
     return evidence.where(text != "").select("query_id", F.row_number().over(w).alias("position"), block.alias("block"))

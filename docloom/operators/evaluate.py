@@ -59,7 +59,7 @@ def spread(rows: DataFrame, column: str, upper: bool) -> DataFrame:
 def extraction_metrics(pairs: DataFrame) -> DataFrame:
     """present, empty, missing, processable_fraction of (expected_text, extracted_text, similarity)."""
     got = F.col("extracted_text")
-    full = got.isNotNull() & (F.trim(F.coalesce(got, F.lit(""))) != "")
+    full = got.isNotNull() & (~T.blank(F.coalesce(got, F.lit(""))))
     return pairs.agg(
         F.count("*").alias("total"), F.count_if(full).alias("present"), F.count_if(got.isNotNull() & ~full).alias("empty"), F.count_if(got.isNull()).alias("missing"),
         ratio(F.count_if(full), F.count("*")).alias("processable_fraction"), F.round(F.coalesce(F.avg("similarity"), F.lit(0.0)), 9).alias("mean_similarity"),

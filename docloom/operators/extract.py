@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .ingest import front_matter, glob_regex
 
 OUTPUT = "struct<stage_index:int,extractor_id:string,status:string,text:string,producer:string,confidence:double>"
@@ -56,7 +57,7 @@ def reuse(items: DataFrame, stored: DataFrame, snapshot: str, extract: Callable[
 
 def counters(extracted: DataFrame) -> DataFrame:
     done = F.col("final_stage").isNotNull()
-    return extracted.agg(F.count("*").alias("items"), F.count_if(done).alias("extracted"), F.count_if(~done).alias("skipped"), F.count_if(done & (F.trim("text_out") == "")).alias("empty"))
+    return extracted.agg(F.count("*").alias("items"), F.count_if(done).alias("extracted"), F.count_if(~done).alias("skipped"), F.count_if(done & (T.blank(F.col("text_out")))).alias("empty"))
 
 
 def given() -> Column:
@@ -80,17 +81,17 @@ def pass_through() -> Column:
 def metadata_text() -> Column:
     """The title, then "tags: a, b"; null without both."""
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("tags: "), F.array_join("tags", ", ")))
-    return F.nullif(F.concat_ws("\n", F.nullif(F.trim("title"), F.lit("")), tags), F.lit(""))
+    return F.nullif(F.concat_ws("\n", F.nullif(T.strip(F.col("title")), F.lit("")), tags), F.lit(""))
 
 
 def select_first() -> Column:
     """The first output that isn't blank, else the first."""
-    return F.coalesce(_first(F.filter(given(), lambda o: F.trim(o.text) != "")), _first(given()))
+    return F.coalesce(_first(F.filter(given(), lambda o: ~T.blank(o.text))), _first(given()))
 
 
 def select_longest() -> Column:
     """The longest output by trimmed length, ties to the earliest stage."""
-    best = F.array_max(F.transform(given(), lambda o: F.struct(F.length(F.trim(o.text)).alias("n"), (-o.stage_index).alias("i"), o.text.alias("text"))))
+    best = F.array_max(F.transform(given(), lambda o: F.struct(F.length(T.strip(o.text)).alias("n"), (-o.stage_index).alias("i"), o.text.alias("text"))))
     return best.text
 
 
@@ -102,7 +103,7 @@ def select_override(patterns: tuple[str, ...], fallback_to_first: bool) -> Colum
 def select_smart(patterns: tuple[str, ...], least_length: int, least_confidence: float) -> Column:
     """For matching media types the last output if it means something, else the surest earlier one that does (the
     first of equals), else the last; for others the last."""
-    good = lambda o: (F.length(F.trim(o.text)) >= least_length) & (o.confidence.isNull() | (o.confidence >= least_confidence))
+    good = lambda o: (F.length(T.strip(o.text)) >= least_length) & (o.confidence.isNull() | (o.confidence >= least_confidence))
     all_ = given()
     earlier = F.filter(F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0))), good)
     best = F.array_max(F.transform(earlier, lambda o: F.struct(F.coalesce(o.confidence, F.lit(0.0)).alias("c"), (-o.stage_index).alias("i"), o.text.alias("text"))))
@@ -119,7 +120,7 @@ def _matches(patterns: tuple[str, ...]) -> Column:
 
 def join_confident(words: Column, least: float, glue: str = " ") -> Column:
     """(text, confidence) of recognised words (text, confidence): those sure enough, joined, and their mean."""
-    kept = F.filter(words, lambda w: (w.confidence >= least) & (F.trim(w.text) != ""))
+    kept = F.filter(words, lambda w: (w.confidence >= least) & (~T.blank(w.text)))
     mean = F.aggregate(kept, F.lit(0.0), lambda a, w: a + w.confidence) / F.size(kept)
     return F.struct(F.array_join(F.transform(kept, lambda w: w.text), glue).alias("text"), F.when(F.size(kept) > 0, mean).alias("confidence"))
 
@@ -131,7 +132,7 @@ def layout_text(regions: Column, least: float, glue: str = " ") -> Column:
     a box isn't read. Each one's sure words are joined, regions with some by a blank line; confidence is the mean of all sure words.
     """
     boxed = F.filter(F.transform(regions, lambda r, i: F.struct(F.coalesce(r.order, F.lit(999)).alias("o"), i.alias("i"), r.bbox.alias("b"), r.words.alias("w"))), lambda r: F.size(r.b) == 4)
-    words = F.transform(F.array_sort(boxed), lambda r: F.filter(r.w, lambda w: (w.confidence >= least) & (F.trim(w.text) != "")))
+    words = F.transform(F.array_sort(boxed), lambda r: F.filter(r.w, lambda w: (w.confidence >= least) & (~T.blank(w.text))))
     read = F.filter(words, lambda ws: F.size(ws) > 0)
     text = F.array_join(F.transform(read, lambda ws: F.array_join(F.transform(ws, lambda w: w.text), glue)), "\n\n")
     sure = F.flatten(F.transform(read, lambda ws: F.transform(ws, lambda w: w.confidence)))
@@ -148,5 +149,5 @@ def transcript_text(payload: Column, channel: int | None = None, speaker: int |
         kept = F.filter(kept, lambda u: u.channel == channel)
     if speaker is not None:
         kept = F.filter(kept, lambda u: u.speaker == speaker)
-    lines = F.transform(kept, lambda u: F.concat(F.lit("Speaker "), u.speaker, F.lit(": "), F.trim(u.transcript)))
-    return F.when(F.size(F.coalesce(p.utterances, F.array())) > 0, F.array_join(lines, "\n")).otherwise(F.trim(p.transcript))
+    lines = F.transform(kept, lambda u: F.concat(F.lit("Speaker "), u.speaker, F.lit(": "), T.strip(u.transcript)))
+    return F.when(F.size(F.coalesce(p.utterances, F.array())) > 0, F.array_join(lines, "\n")).otherwise(T.strip(p.transcript))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def cooccurrences(items: DataFrame, window: int = 4, least: int = 1) -> DataFrame:
     """(item_id, a, b, n): how many windows of ``window`` words hold both a < b, one window from every word on, each
@@ -57,7 +59,7 @@ def build(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     relations of entities in a sentence. summary: one row of items, skipped (null or blank text), nodes and edges.
     An item without entities is a node alone. Rows that repeat an item_id make one graph.
     """
-    full = items.where(F.trim("text") != "")
+    full = items.where(~T.blank(F.col("text")))
     met = mentions(full).groupBy("item_id", "entity").agg(F.min("label").alias("label"), F.sum("n").alias("weight"))
     own = F.concat(F.lit("item:"), F.col("item_id").cast("string"))
     entity = lambda c: F.concat(F.lit("entity:"), F.col(c))
@@ -67,7 +69,7 @@ def build(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     said = met.select("item_id", own.alias("src"), entity("entity").alias("dst"), F.lit("mentions").alias("edge_type"), "weight").withColumn("edge_id", key("mentions"))
     tied = relations(full).select("item_id", entity("a").alias("src"), entity("b").alias("dst"), F.lit("related_to").alias("edge_type"), F.col("n").alias("weight")).withColumn("edge_id", key("related_to"))
     edges = said.unionByName(tied)
-    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    blank = F.coalesce(T.blank(F.col("text")), F.lit(True))
     summary = items.agg(F.count("*").alias("items"), F.count_if(blank).alias("skipped")).crossJoin(nodes.agg(F.count("*").alias("nodes"))).crossJoin(edges.agg(F.count("*").alias("edges")))  # single rows
     return nodes, edges, summary
 
@@ -84,14 +86,14 @@ def of_language(items: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]
     """
     own = F.concat(F.lit("item:"), F.col("item_id").cast("string"))
     entity = lambda c: F.concat(F.lit("entity:"), canonical(c))
-    placed = items.select("item_id", F.posexplode("read.entities").alias("i", "e")).select("item_id", "i", F.trim("e.text").alias("label"), F.col("e.kind").alias("kind"))
+    placed = items.select("item_id", F.posexplode("read.entities").alias("i", "e")).select("item_id", "i", T.strip(F.col("e.text")).alias("label"), F.col("e.kind").alias("kind"))
     met = placed.where(F.length("label") >= least).groupBy("item_id", "label").agg(F.max_by("kind", "i").alias("entity_type"), F.count("*").cast("double").alias("weight"))
     none = F.lit(None).cast("string")
     nodes = met.select("item_id", entity(F.col("label")).alias("node_id"), F.lit("entity").alias("node_type"), "label", "entity_type")
     nodes = nodes.unionByName(items.select("item_id", own.alias("node_id"), F.lit("item").alias("node_type"), F.col("item_id").cast("string").alias("label"), none.alias("entity_type")).distinct())
     said = met.select("item_id", own.alias("src"), entity(F.col("label")).alias("dst"), F.lit("mentions").alias("edge_type"), none.alias("predicate"), "weight")
     said = said.withColumn("edge_id", F.concat_ws("|", "src", "edge_type", "dst"))
-    told = items.select("item_id", F.explode("read.relations").alias("r")).select("item_id", F.trim("r.subject").alias("s"), F.trim("r.object").alias("o"), F.col("r.verb").alias("v")).where((F.length("s") >= least) & (F.length("o") >= least))
+    told = items.select("item_id", F.explode("read.relations").alias("r")).select("item_id", T.strip(F.col("r.subject")).alias("s"), T.strip(F.col("r.object")).alias("o"), F.col("r.verb").alias("v")).where((F.length("s") >= least) & (F.length("o") >= least))
     tied = told.select("item_id", entity(F.col("s")).alias("src"), entity(F.col("o")).alias("dst"), F.lit("related_to").alias("edge_type"), canonical(F.col("v")).alias("predicate"), F.lit(1.0).alias("weight"))
     tied = tied.withColumn("edge_id", F.concat_ws("|", "src", "edge_type", "dst", "predicate")).distinct()
     return nodes, said.unionByName(tied)

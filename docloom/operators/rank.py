@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .lineage import cut, drop
 
 
@@ -79,7 +80,7 @@ def minimum_score(df: DataFrame, least: float) -> DataFrame:
 
 def longest_first(df: DataFrame) -> DataFrame:
     """position 1, 2, ... by falling length of the trimmed text, then item_id; rank stays as it was."""
-    w = Window.partitionBy("query_id").orderBy(F.length(F.trim(F.coalesce("text", F.lit("")))).desc(), "item_id")
+    w = Window.partitionBy("query_id").orderBy(F.length(T.strip(F.coalesce("text", F.lit("")))).desc(), "item_id")
     return df.withColumn("position", F.row_number().over(w))
 
 

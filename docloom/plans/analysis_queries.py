@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import analyse as A
 from ..operators import chunk as C
 from .registry import query, table
@@ -121,10 +122,12 @@ def mk_enc(spark: SparkSession, d: str) -> DataFrame:
     return A.codes(table(spark, d, "conversations"), "role")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 300 THEN 1 ELSE ceil((length(text) - 300) / 250.0)::BIGINT + 1 END)) * 250 AS a FROM documents),
+c AS (SELECT doc_id, a, trim(text[a + 1 : least(a + 300, length(text))], ' ' || chr(10)) AS text FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a)::INTEGER AS idx, text FROM c WHERE text <> ''""")
 def mk_seg_window(spark: SparkSession, d: str) -> DataFrame:
     windows = C.char_windows(F.col("text"), 300, 50)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(windows).alias("i", "c")).select("doc_id", (F.col("i") + 1).alias("idx"), F.trim("c.text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(windows).alias("i", "c")).select("doc_id", (F.col("i") + 1).alias("idx"), T.strip(F.col("c.text")).alias("text"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import context as X
 from ..operators import rank as K
 from ..operators import retrieve as R
@@ -28,7 +29,7 @@ def j_text(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_EX} SELECT d.doc_id, md5(CASE WHEN trim(e.extracted) <> '' THEN e.extracted ELSE d.text END) AS digest FROM documents d LEFT JOIN e USING (doc_id)")
 def text_pick(spark: SparkSession, d: str) -> DataFrame:
     both = table(spark, d, "documents").select("doc_id", "text").join(_extracted(spark, d), "doc_id", "left")
-    return both.select("doc_id", F.md5(F.when(F.trim("extracted") != "", F.col("extracted")).otherwise(F.col("text"))).alias("digest"))
+    return both.select("doc_id", F.md5(F.when(~T.blank(F.col("extracted")), F.col("extracted")).otherwise(F.col("text"))).alias("digest"))
 
 
 @query(f"WITH {RQ._CHUNKS} SELECT c.chunk_id, d.source AS source_uri FROM c JOIN documents d USING (doc_id)")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.text import strip
+
 
 class EmbeddingProvider(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
@@ -135,7 +137,7 @@ def transcribed(content: Column, media_type: Column, provider: SpeechProvider, l
         return pd.Series([[{"text": s, "silence": p} for s, p in provider.transcribe(x, t)] if x is not None and t and t.startswith("audio/") else None for x, t in zip(contents, types, strict=True)])
 
     heard = ask(content, media_type)
-    said = F.regexp_replace(F.array_join(F.transform(heard, lambda s: s.text), " "), r"^\s+|\s+$", "")
+    said = strip(F.array_join(F.transform(heard, lambda s: s.text), " "))
     if least_silence is None:
         return said
     return F.when(F.exists(heard, lambda s: s.silence >= least_silence), "").otherwise(said)

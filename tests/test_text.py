@@ -62,3 +62,10 @@ def test_entity_forms(spark):
     assert forms[:3] == ["01-02-2024", "1234.50", "acme"]
     assert forms[3].startswith("5 main street")
     assert forms[4] == ""
+
+
+def test_stripping_takes_all_white_space(spark):
+    texts = ["\n\t a b\r\n", "\u00a0x\u3000\u2009", "\x1c\x1fy", " \n\u2003\x1d", "", None, "in\u00a0side"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.strip(F.col("t")).alias("s"), T.blank(F.col("t")).alias("b")).orderBy("i").collect()
+    assert [r.s for r in rows] == [None if t is None else t.strip() for t in texts]
+    assert [r.b for r in rows] == [None if t is None else not t.strip() for t in texts]
