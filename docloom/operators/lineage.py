@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,15 +13,11 @@ _TABLES: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only in a local session that names none."""
+    """The cluster's shared folder, spark.checkpoint.dir; a folder in Spark's warehouse, which is shared too, where the
+    session names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-        named = sc.getCheckpointDir()
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_docloom"
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -42,6 +38,16 @@ def drop(*tables: DataFrame) -> None:
         _remove(*entry[:2])
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Removes the tables that ``cut`` wrote inside; for steps whose result is written before they end."""
+    before = {path for _, path, _ in _TABLES}
+    try:
+        yield
+    finally:
+        drop(*[table for _, path, table in _TABLES if path not in before])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

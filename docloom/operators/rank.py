@@ -32,6 +32,26 @@ def rank_by_score(df: DataFrame, *tie: str | Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
+def rank_in_ranges(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """rank 1, 2, ... in each group of ``keys`` (none: of all rows) by ``order``, which should leave no ties.
+
+    Rows are written, dealt by ranges of (keys, order) and written again; so neither a large group nor a table without
+    groups lies in one task. A row's rank is its place in its range and how many rows of its group the ranges before hold:
+    a sum over one number for each (range, group). Null keys are a group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order]
+    rows = cut(df)  # or the ranges' sample would compute it once more
+    dealt = cut(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    drop(rows)
+    piece = F.shiftright("_at", 33)  # monotonically_increasing_id() has the partition above its lower 33 bits
+    held = dealt.groupBy(piece.alias("_piece"), *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("_piece", *[F.col(k).alias(f"_{k}") for k in keys], (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], piece == F.col("_piece"))
+    return dealt.join(starts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("rank"))
+
+
 def apply_budget(ranked: DataFrame, budget: QueryBudget) -> DataFrame:
     """Evidence that fits the budget, ranks renumbered.
 
