@@ -12,6 +12,7 @@ from . import language_id as _language_id
 from . import license_rules as _license_rules
 from . import license_scan as _license_scan
 from . import line_dedup as _line_dedup
+from . import mixing as _mixing
 from . import ngram_jaccard as _ngram_jaccard
 from . import packing as _packing
 from . import quality as _quality
@@ -186,6 +187,30 @@ FROM m WHERE i = 1
 """
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+c AS (
+  SELECT *, 150 * sum(n) OVER () - coalesce(200 * sum(n) OVER o, 0) AS share, 100 * (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS per,
+    row_number() OVER (ORDER BY n / w, source NULLS LAST) AS i
+  FROM s WINDOW o AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(share, i) AS share, arg_min(per, i) AS per FROM c WHERE w * share <= 2 * n * per),
+t AS (SELECT source, n, CASE WHEN w * f.share > 2 * n * f.per THEN 2.0 * n ELSE (w * f.share)::DOUBLE / f.per::DOUBLE END::DOUBLE AS target FROM c, f),
+b AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE floor(target / n)::BIGINT END AS whole FROM t),
+e AS (
+  SELECT d.*, n, target, whole, target - whole * n AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+  FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, n AS source_size, target,
+  (size * (whole + CASE WHEN upto <= rest OR upto - own <= rest AND upto - rest < rest - (upto - own) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -193,8 +218,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity, op11_source_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op11_source_mixing": OP11_SQL}
