@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import alignment as _alignment
 from . import decontaminate as _decontaminate
 from . import language_id as _language_id
 from . import license_rules as _license_rules
@@ -211,6 +212,12 @@ SELECT doc_id, size, n AS source_size, target,
 """
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return _alignment.align_tokenizers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -218,7 +225,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity, op11_source_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity, op11_source_mixing, op12_tokenizer_alignment, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
