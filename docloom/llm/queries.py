@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment as _alignment
+from . import collocations as _collocations
 from . import decontaminate as _decontaminate
 from . import language_id as _language_id
 from . import license_rules as _license_rules
@@ -218,6 +219,30 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alignment.align_tokenizers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _collocations.collocations(_table(spark, sf_dir, "documents"))
+    return _collocations.top_collocations(found).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, g AS phrase, f AS a, string_split(g, ' ') AS ws FROM f WHERE m > 1),
+x AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c t ON t.lang = s.lang AND t.m > s.m AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * t.a >= 80 * s.a),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c ANTI JOIN x USING (lang, phrase)),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * k.a) // (l.f + r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.g = array_to_string(k.ws[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.g = array_to_string(k.ws[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -225,8 +250,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity, op11_source_mixing, op12_tokenizer_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_quality_classifier, op4_best_fit_packing, op5_ngram_jaccard, op6_line_dedup, op7_topk_search, op8_language_id, op9_warc_revisits, op10_toxicity, op11_source_mixing, op12_tokenizer_alignment, op13_phrase_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op11_source_mixing": OP11_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_ngram_jaccard": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_topk_search": OP7_SQL, "op9_warc_revisits": OP9_SQL, "op11_source_mixing": OP11_SQL, "op13_phrase_collocations": OP13_SQL}
