@@ -6,34 +6,147 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ingest import front_matter, glob_regex
+from .lineage import cut
 
-OUTPUT = "struct<stage_index:int,extractor_id:string,status:string,text:string,producer:string,confidence:double>"
+OUTPUT = "struct<stage_index:int,extractor_id:string,status:string,text:string,producer:string,confidence:double,error_type:string,error_message:string>"
+ATTEMPT = "struct<text:string,error_type:string,error_message:string>"
+
+
+class FatalExtraction(Exception):
+    """Ends the whole extraction, where any other exception of a stage's function only fails the item at that stage."""
 
 
 @dataclass(frozen=True)
 class Stage:
-    """A stage gives a text, or null to skip the item, from the item's columns and the outputs so far."""
+    """A stage gives a text, or null to skip the item, from the item's columns and the outputs so far.
+
+    ``error`` is a string, null where the stage does well, else what is wrong with the item; its text is then not taken.
+    A stage made by ``python_stage`` gives text and error at once.
+    """
 
     extractor_id: str
     text: Callable[[], Column]
     confidence: Callable[[], Column] | None = None
+    error: Callable[[], Column] | None = None
+    error_type: str = "ExtractionError"
+    attempt: Callable[[], Column] | None = None
+
+
+def python_stage(extractor_id: str, function: Callable, *columns: str) -> Stage:
+    """A stage whose text is ``function`` of the item's columns. What it raises becomes the item's error at that stage, by
+    type and message, and the other items go on; only ``FatalExtraction`` ends the job."""
+
+    def one(*values: object) -> tuple[str | None, str | None, str | None]:
+        try:
+            return function(*values), None, None
+        except FatalExtraction:
+            raise
+        except Exception as error:  # whatever it is, it is the item's
+            return None, type(error).__name__, str(error)
+
+    @F.pandas_udf(ATTEMPT)
+    def attempt(*series: pd.Series) -> pd.DataFrame:
+        rows = [one(*[None if v is None or v is pd.NA else v for v in row]) for row in zip(*series, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "error_type", "error_message"], dtype=object)
+
+    made = lambda: attempt(*columns)
+    return Stage(extractor_id, lambda: made().text, attempt=made)
+
+
+def _output(df: DataFrame, i: int, stage: Stage) -> DataFrame:
+    """The stage's output appended to ``outputs``."""
+    null = F.lit(None).cast("string")
+    if stage.attempt is not None:
+        tried = stage.attempt()
+    else:
+        error = stage.error() if stage.error else null
+        tried = F.struct(F.when(error.isNull(), stage.text()).alias("text"), F.when(error.isNotNull(), stage.error_type).alias("error_type"), error.cast("string").alias("error_message"))
+    df = df.withColumn("tried", tried).withColumn("sure", stage.confidence() if stage.confidence else F.lit(None).cast("double"))
+    status = F.when(F.col("tried.error_type").isNotNull(), "errored").when(F.col("tried.text").isNull(), "skipped").otherwise("extracted")
+    out = F.struct(F.lit(i).alias("stage_index"), F.lit(stage.extractor_id).alias("extractor_id"), status.alias("status"), F.col("tried.text").alias("text"), F.lit(stage.extractor_id).alias("producer"), F.col("sure").cast("double").alias("confidence"), F.col("tried.error_type").alias("error_type"), F.col("tried.error_message").alias("error_message"))
+    return df.withColumn("outputs", F.concat("outputs", F.array(out))).drop("tried", "sure")
+
+
+def _result(df: DataFrame) -> DataFrame:
+    """final_stage and text_out of the last output with a text; status; and the last error where there is no text."""
+    done, wrong = F.filter("outputs", lambda o: o.status == "extracted"), F.filter("outputs", lambda o: o.status == "errored")
+    some = F.size(done) > 0
+    df = df.withColumn("final_stage", F.when(some, F.element_at(done, -1).stage_index)).withColumn("text_out", F.when(some, F.element_at(done, -1).text))
+    df = df.withColumn("status", F.when(some, "extracted").when(F.size(wrong) > 0, "errored").otherwise("skipped"))
+    last = F.when(F.col("status") == "errored", F.element_at(wrong, -1))
+    return df.withColumn("error_type", last.error_type).withColumn("error_message", last.error_message)
 
 
 def run_stages(items: DataFrame, stages: list[Stage]) -> DataFrame:
-    """Items with ``outputs``, one for each stage in order, and the final text: that of the last one that gave any."""
+    """Items with ``outputs``, one for each stage in order, and the final text: that of the last one that gave any.
+
+    A stage that fails leaves an output with its error, and the next one goes on. status is extracted if any stage gave
+    a text, else errored if any failed (error_type and error_message of the last one), else skipped. These columns take
+    the place of an item's own of such names.
+    """
     df = items.withColumn("outputs", F.expr(f"cast(array() as array<{OUTPUT}>)"))
     for i, stage in enumerate(stages):
-        df = df.withColumn("made", stage.text()).withColumn("sure", stage.confidence() if stage.confidence else F.lit(None).cast("double"))
-        out = F.struct(F.lit(i).alias("stage_index"), F.lit(stage.extractor_id).alias("extractor_id"), F.when(F.col("made").isNull(), "skipped").otherwise("extracted").alias("status"), F.col("made").alias("text"), F.lit(stage.extractor_id).alias("producer"), F.col("sure").cast("double").alias("confidence"))
-        df = df.withColumn("outputs", F.concat("outputs", F.array(out))).drop("made", "sure")
-    last = F.element_at(F.filter("outputs", lambda o: o.status == "extracted"), -1)
-    return df.withColumn("final_stage", F.when(F.size(F.filter("outputs", lambda o: o.status == "extracted")) > 0, last.stage_index)).withColumn("text_out", F.when(F.col("final_stage").isNotNull(), last.text))
+        df = _output(df, i, stage)
+    return _result(df)
+
+
+def status_counters(extracted: DataFrame) -> DataFrame:
+    """One row over extracted items (media_type, status, text_out): all, those that are text already and those that are
+    not, by status, extracted ones with and without something in their text, and converted ones: text from what wasn't."""
+    is_text, full = F.col("media_type").startswith("text/"), ~T.blank(F.coalesce("text_out", F.lit("")))
+    done = F.col("status") == "extracted"
+    wanted = {"total_items": F.lit(True), "already_text_items": is_text, "needs_extraction_items": ~is_text, "extracted_items": done, "extracted_nonempty_items": done & full, "extracted_empty_items": done & ~full, "skipped_items": F.col("status") == "skipped", "errored_items": F.col("status") == "errored", "converted_items": done & full & ~is_text}
+    return extracted.agg(*[F.count_if(c).alias(n) for n, c in wanted.items()])
+
+
+def prefix_ids(stages: list[tuple[str, dict]]) -> list[str]:
+    """An id for each stage of (extractor, configuration), which that stage and all before it decide: whatever has it was
+    made alike up to there."""
+    ids, before = [], ""
+    for stage in stages:
+        before = hashlib.sha256((before + json.dumps(stage, sort_keys=True, separators=(",", ":"))).encode()).hexdigest()
+        ids.append(before)
+    return ids
+
+
+def resume_stages(items: DataFrame, stored: DataFrame, ids: list[str], stages: list[Stage]) -> DataFrame:
+    """``run_stages`` that takes what is stored and begins each item at the first stage that isn't: column resumed_at.
+
+    items (item_id, sha256 of the content, ...); stored (prefix_id, item_id, sha256, output), of any pipelines, a row for
+    each stage of an item, see ``stage_outputs``; ids by ``prefix_ids``. Outputs count up to the first stage without
+    one, so a stage that changed, and what follows it, runs again, and so does an item whose content changed. Stages are
+    run by groups of items that begin at the same stage, so a stage isn't even called for those that have it. Stored
+    rows that repeat count once (the largest); items that repeat come back as often as they are; a skipped or errored
+    output is one too and isn't tried again.
+    """
+    place = F.create_map(*[x for i, k in enumerate(ids) for x in (F.lit(k), F.lit(i))])
+    mine = stored.where(F.col("prefix_id").isin(*ids)).select("item_id", "sha256", place[F.col("prefix_id")].alias("i"), F.col("output").cast(OUTPUT).alias("output"))
+    kept = mine.groupBy("item_id", "sha256", "i").agg(F.max("output").alias("output")).groupBy("item_id", "sha256").agg(F.array_sort(F.collect_list(F.struct("i", "output"))).alias("known"))  # an entry for each stage
+    run = F.filter("known", lambda x, n: x.i == n)  # entries at their own place: all up to the first gap
+    both = items.drop("outputs").join(kept, ["item_id", "sha256"], "left").withColumn("outputs", F.coalesce(F.transform(run, lambda x: x.output), F.expr(f"cast(array() as array<{OUTPUT}>)"))).drop("known")
+    begun = cut(both.withColumn("resumed_at", F.size("outputs")))
+    parts = []
+    for r in begun.select("resumed_at").distinct().collect():  # as many numbers as stages, and one
+        df = begun.where(F.col("resumed_at") == r.resumed_at)
+        for i in range(r.resumed_at, len(stages)):
+            df = _output(df, i, stages[i])
+        parts.append(df)
+    return _result(reduce(DataFrame.unionByName, parts) if parts else begun)
+
+
+def stage_outputs(extracted: DataFrame, ids: list[str], fresh: bool = True) -> DataFrame:
+    """Rows to store (prefix_id, item_id, sha256, output), with ``fresh`` only those made since ``resumed_at``."""
+    each = extracted.select("item_id", "sha256", *(["resumed_at"] if fresh else []), F.explode("outputs").alias("output"))
+    each = each.where("output.stage_index >= resumed_at") if fresh else each
+    return each.select(F.element_at(F.array(*map(F.lit, ids)), F.col("output.stage_index") + 1).alias("prefix_id"), "item_id", "sha256", "output").distinct()
 
 
 def snapshot_id(stages: list[tuple[str, dict]]) -> str:

@@ -92,3 +92,52 @@ def ext_dg_xform(spark: SparkSession, d: str) -> DataFrame:
     said = F.struct(F.when(F.col("role") == "user", 0).otherwise(1).alias("speaker"), F.lit(0).alias("channel"), F.col("text").alias("transcript"))
     talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("u")))), lambda x: x.u).alias("utterances"))
     return talks.select("conv_id", E.transcript_text(F.to_json(F.struct("utterances"))).alias("said"))
+
+
+def _shouted(text: str) -> str | None:
+    """The first word in capitals; a short one is skipped, one with other letters than A-Z is an error."""
+    word = text.split(" ")[0]
+    if not word.isascii():
+        raise ValueError(f"not ASCII: {word}")
+    return word.upper() if len(word) > 6 else None
+
+
+_TRIED = r"""w AS (SELECT doc_id, lang, string_split(text, ' ')[1] AS w FROM documents),
+a AS (SELECT *, CASE WHEN NOT regexp_full_match(w, '[\x00-\x7F]*') THEN 'errored' WHEN length(w) > 6 THEN 'extracted' ELSE 'skipped' END AS s0, CASE WHEN doc_id % 5 = 0 THEN 'errored' WHEN doc_id % 3 = 0 THEN 'extracted' ELSE 'skipped' END AS s1 FROM w),
+r AS (SELECT *, CASE WHEN s1 = 'extracted' THEN lang WHEN s0 = 'extracted' THEN upper(w) END AS t, CASE WHEN 'extracted' IN (s0, s1) THEN 'extracted' WHEN 'errored' IN (s0, s1) THEN 'errored' ELSE 'skipped' END AS status FROM a)"""
+
+
+def _tried(spark: SparkSession, d: str) -> DataFrame:
+    paged = E.Stage("paged", lambda: F.when(F.col("doc_id") % 3 == 0, F.col("lang")), error=lambda: F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("no page "), "doc_id")), error_type="TimeoutError")
+    return E.run_stages(items(spark, d), [E.python_stage("shouted", _shouted, "text"), paged])
+
+
+@query(f"WITH {_TRIED} SELECT doc_id, status, s0 || ',' || s1 AS stages, md5(t) AS digest, CASE WHEN status = 'errored' THEN CASE WHEN s1 = 'errored' THEN 'TimeoutError' ELSE 'ValueError' END END AS error_type, CASE WHEN status = 'errored' THEN CASE WHEN s1 = 'errored' THEN 'no page ' || doc_id ELSE 'not ASCII: ' || w END END AS error_message FROM r")
+def ext_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A stage that raises for some documents, and one that fails for others; each goes on with the next stage."""
+    states = F.array_join(F.transform("outputs", lambda o: o.status), ",")
+    return _tried(spark, d).select("doc_id", "status", states.alias("stages"), F.md5("text_out").alias("digest"), "error_type", "error_message")
+
+
+@query(f"WITH {_TRIED}, k AS (SELECT r.*, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS is_text FROM r) SELECT count(*) AS total_items, sum(is_text)::BIGINT AS already_text_items, sum(1 - is_text)::BIGINT AS needs_extraction_items, count(*) FILTER (status = 'extracted') AS extracted_items, count(*) FILTER (trim(t) <> '') AS extracted_nonempty_items, count(*) FILTER (trim(t) = '') AS extracted_empty_items, count(*) FILTER (status = 'skipped') AS skipped_items, count(*) FILTER (status = 'errored') AS errored_items, count(*) FILTER (trim(t) <> '' AND is_text = 0) AS converted_items FROM k")
+def ext_status(spark: SparkSession, d: str) -> DataFrame:
+    return E.status_counters(_tried(spark, d))
+
+
+@query("""WITH l AS (SELECT DISTINCT doc_id FROM labels), k AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL OR d.doc_id % 4 = 0 THEN 0 WHEN d.doc_id % 5 = 0 THEN 1 ELSE 2 END AS resumed_at, text, lang FROM documents d LEFT JOIN l USING (doc_id))
+SELECT doc_id::VARCHAR AS item_id, resumed_at, md5((CASE WHEN resumed_at > 0 THEN 'kept ' ELSE '' END) || upper(lang) || '|' || (CASE WHEN resumed_at > 1 THEN 'kept ' ELSE '' END) || left(text, 20) || '|new') AS digest FROM k""")
+def ext_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents have outputs of the first two stages, some of the first alone, every fourth of another content;
+    the last stage changed since, so all have it run."""
+    old, new = ([("upper", {}), ("head", {"n": 20}), ("join", {"tail": tail})] for tail in ("old", "new"))
+    ids = E.prefix_ids(new)
+    hashed = items(spark, d).withColumn("item_id", F.col("doc_id").cast("string")).withColumn("sha256", F.sha2("text", 256))
+    kept = F.concat(F.lit("kept "), F.element_at(F.array(F.upper("lang"), F.substring("text", 1, 20), F.lit("x")), F.col("i") + 1))
+    content = F.when(F.col("doc_id") % 4 == 0, F.lit("changed since")).otherwise(F.col("sha256"))
+    known = hashed.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("i", F.explode(F.expr("if(doc_id % 5 = 0, array(0, 2), array(0, 1, 2))")))
+    null = F.lit(None).cast("string")
+    output = F.struct(F.col("i").alias("stage_index"), null.alias("extractor_id"), F.lit("extracted").alias("status"), kept.alias("text"), null.alias("producer"), F.lit(None).cast("double").alias("confidence"), null.alias("error_type"), null.alias("error_message"))
+    stored = known.select(F.element_at(F.array(*map(F.lit, E.prefix_ids(old))), F.col("i") + 1).alias("prefix_id"), "item_id", content.alias("sha256"), output.alias("output"))
+    joined = lambda: F.concat(F.array_join(F.transform("outputs", lambda o: o.text), "|"), F.lit("|new"))
+    stages = [E.Stage("upper", lambda: F.upper("lang")), E.Stage("head", lambda: F.substring("text", 1, 20)), E.Stage("join", joined)]
+    return E.resume_stages(hashed, stored, ids, stages).select("item_id", "resumed_at", F.md5("text_out").alias("digest"))
