@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,17 +88,32 @@ def filled_links(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or s is None else fill_links(t, [dict(x, attributes=dict(x["attributes"])) for x in s]) for t, s in zip(text, spans, strict=True)])
 
 
-def fill_links(text: str, found: list[dict]) -> list[dict]:
-    """Links with refs added at other places of an id's text that no span covers; a first ref without id becomes one."""
-    out, ids = [dict(s, attributes=dict(s["attributes"])) for s in found], {}
-    for s in out:
-        if "ref" in s["attributes"] and s["attributes"]["ref"] not in ids:
-            s["attributes"] = {"id": s["attributes"]["ref"]}
-        if "id" in s["attributes"]:
-            ids[s["attributes"]["id"]] = s["text"]
-    for key, value in ids.items():
-        for m in re.finditer(rf"(?<!\w){re.escape(value)}(?!\w)", text):
-            if not any(s["start"] < m.end() and s["end"] > m.start() for s in out):
-                out.append({"index": 0, "start": m.start(), "end": m.end(), "text": value, "attributes": {"ref": key}})
-    out.sort(key=lambda s: s["start"])
+def promote_refs(spans: list[dict], prefix: str = "link_") -> list[dict]:
+    """Spans where the first ref of a text of which no span has an id is an id, if it begins with the prefix."""
+    named = {s["text"] for s in spans if "id" in s["attributes"]}
+    first = {}
+    for s in sorted((s for s in spans if "ref" in s["attributes"]), key=lambda s: (s["start"], s["end"])):
+        first.setdefault(s["text"], s)
+    new = [s for text, s in first.items() if text not in named and s["attributes"]["ref"].startswith(prefix)]
+    return [dict(s, attributes={"id": s["attributes"]["ref"]}) if any(s is x for x in new) else s for s in spans]
+
+
+def fill_links(text: str, found: list[dict], prefix: str = "link_") -> list[dict]:
+    """Links with a ref at every other place of an id's text that no span covers, inside words too, after ``promote_refs``.
+
+    Spans are taken as they stand; places of a text are found from its start on, without overlaps, whether or not the
+    first of them is the span itself. Indexes count anew by place.
+    """
+    out = promote_refs(found, prefix)
+    taken = sorted((s["start"], s["end"]) for s in out)  # spans don't overlap
+    for s in [s for s in out if s["attributes"].get("id") and s["text"]]:
+        at = text.find(s["text"])
+        while at >= 0:
+            end = at + len(s["text"])
+            i = bisect_left(taken, (at, at))
+            if not (i < len(taken) and taken[i][0] < end or i and taken[i - 1][1] > at):
+                out.append({"index": 0, "start": at, "end": end, "text": s["text"], "attributes": {"ref": s["attributes"]["id"]}})
+                taken.insert(i, (at, end))
+            at = text.find(s["text"], end)
+    out.sort(key=lambda s: (s["start"], s["end"]))
     return [dict(s, index=i) for i, s in enumerate(out, 1)]

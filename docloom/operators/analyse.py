@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .fold import fold_groups
 from .lineage import cut
 
 
@@ -110,14 +111,62 @@ def paths_of(states: DataFrame) -> DataFrame:
 
 def merge_adjacent(segments: DataFrame) -> DataFrame:
     """Segments without those that repeat, or are contained in, the one before; a longer one takes the place of a
-    contained one before it. (seq, idx, text) in, numbered from 1 out."""
-    listed = segments.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x.text).alias("t"))
+    contained one before it. (seq, idx, text) in, numbered from 1 out. See ``stitch_segments``."""
+    return stitch_segments(segments).select("seq", F.col("nth").alias("idx"), "text")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & F.contains(last, x), acc).when((F.size(acc) > 0) & F.contains(x, last), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(F.concat(acc, F.array(x)))
 
-    return listed.select("seq", F.posexplode(F.aggregate("t", F.array().cast("array<string>"), step)).alias("i", "text")).select("seq", (F.col("i") + 1).alias("idx"), "text")
+def stitch_segments(segments: DataFrame) -> DataFrame:
+    """(seq, nth, idx, text) of segments (seq, idx, text), whose neighbours may overlap, as those of overlapping chunks do.
+
+    In order of idx, a segment whose stripped text is in the last one's goes; one that holds the last one's takes its
+    place, with its own idx; any other stays. Blank ones go. nth numbers what is left from 1. Only the last text is
+    carried from row to row.
+    """
+    kind = dict(segments.dtypes)
+    return _stitched(segments.select("seq", "idx", "text"), ["idx", "text"], f"seq {kind['seq']}, nth int, idx {kind['idx']}, text string")
+
+
+def _stitched(rows: DataFrame, order: list[str], schema: str) -> DataFrame:
+    """Rows without idx are numbered from 1, but for blank ones."""
+    def step(state: tuple, row: dict) -> tuple[tuple, list[dict]]:
+        nth, met, last = state
+        text = (row["text"] or "").strip()
+        met += bool(text)
+        if not text or last is not None and text in last["text"]:
+            return (nth, met, last), []
+        own = {"seq": row["seq"], "nth": nth + 1, "idx": row.get("idx", met), "text": text}
+        if last is None:
+            return (nth + 1, met, own), []
+        if last["text"] in text:
+            return (nth, met, own | {"nth": nth}), []
+        return (nth + 1, met, own), [last]
+
+    return fold_groups(rows, "seq", order, lambda: (0, 0, None), step, lambda _, state: [state[2]] if state[2] else [], schema)
+
+
+def span_segments(items: DataFrame, mark: Callable[[Column], Column], chunk_characters: int | None = None, overlap: int = 0, label: str | None = None, prepend_label: bool = False) -> DataFrame:
+    """(seq, nth, idx, text): the texts of marked spans of items (seq, text), in order.
+
+    A text is cut into chunks of ``chunk_characters`` that overlap; ``mark`` puts span tags into each (what marks them is
+    the caller's); spans are numbered over all of an item's chunks, blank ones left out, and those that overlapping chunks
+    have twice, or in part, are stitched by ``stitch_segments``. With ``prepend_label`` the span's attribute ``label``
+    stands on a line before its text, and a span without it is an error. Null and empty texts give no rows. Chunks, not
+    items, are marked and parsed as rows of their own; a chunk's spans travel with its number.
+    """
+    from ..functions import markup as M
+    from .chunk import char_windows
+
+    if prepend_label and label is None:
+        raise ValueError("prepend_label needs a label attribute")
+    text = T.first_speaker(F.coalesce("text", F.lit("")))
+    chunks = F.array(F.struct(text.alias("text"))) if chunk_characters is None else F.transform(char_windows(text, chunk_characters, overlap, keep_blank=True), lambda c: F.struct(c.text.alias("text")))
+    marked = items.select("seq", F.posexplode(chunks).alias("chunk", "c")).where("c.text <> ''").select("seq", "chunk", M.parse_spans(mark(F.col("c.text"))).alias("spans"))
+    each = marked.select("seq", "chunk", F.posexplode("spans").alias("place", "s")).where(~T.blank(F.col("s.text")))
+    body = T.strip(F.col("s.text"))
+    if prepend_label:
+        own = T.strip(F.coalesce(F.element_at("s.attributes", label), F.lit("")))
+        body = F.concat(F.when(own == "", F.raise_error(F.lit(f"a span has no {label}"))).otherwise(own), F.lit("\n"), body)
+    return _stitched(each.select("seq", "chunk", "place", body.alias("text")), ["chunk", "place"], f"seq {dict(items.dtypes)['seq']}, nth int, idx int, text string")
 
 
 def topic_keywords(assigned: DataFrame, top: int) -> DataFrame:

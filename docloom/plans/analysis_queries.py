@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -130,6 +130,22 @@ def mk_seg_window(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(windows).alias("i", "c")).select("doc_id", (F.col("i") + 1).alias("idx"), T.strip(F.col("c.text")).alias("text"))
 
 
+@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 400 THEN 1 ELSE ceil((length(text) - 400) / 300.0)::BIGINT + 1 END)) * 300 AS a FROM documents),
+c AS (SELECT doc_id, a, string_split(text[a + 1 : least(a + 400, length(text))], chr(10)) AS ls FROM s), l AS (SELECT doc_id, a, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM c),
+n AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a, i))::INTEGER AS idx, (CASE WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END || chr(10) || trim(line, ' ' || chr(9) || chr(13))) AS t FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+g AS (SELECT doc_id, list([{'t': t, 'i': idx}] ORDER BY idx) AS g FROM n GROUP BY doc_id),
+m AS (SELECT doc_id, list_reduce(g, lambda a, x: CASE WHEN contains(a[len(a)].t, x[1].t) THEN a WHEN contains(x[1].t, a[len(a)].t) THEN list_concat(a[1:len(a) - 1], x) ELSE list_concat(a, x) END) AS m FROM g),
+o AS (SELECT doc_id, generate_subscripts(m, 1)::INTEGER AS nth, unnest(m) AS x FROM m) SELECT doc_id, nth, x.i AS idx, md5(x.t) AS digest FROM o""")
+def mk_seg_span(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of overlapping chunks as spans labelled by their place in the chunk, stitched."""
+    def mark(chunk: Column) -> Column:
+        lines = F.transform(F.split(chunk, "\n"), lambda x, i: F.concat(F.when(i % 2 == 1, '<span kind="even">').otherwise('<span kind="odd">'), x, F.lit("</span>")))
+        return F.array_join(lines, "\n")
+
+    found = A.span_segments(table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.translate("text", "<>", "()").alias("text")), mark, 400, 100, "kind", prepend_label=True)
+    return found.select(F.col("seq").alias("doc_id"), "nth", "idx", F.md5("text").alias("digest"))
+
+
 @query()
 def mk_fit(spark: SparkSession, d: str) -> DataFrame:
     symbols = segments(spark, d).select("seq", "idx", (F.length("text") % 5).cast("int").alias("symbol"))

@@ -132,10 +132,10 @@ def test_packs_by_tokens(spark):
 
 
 def test_filled_links_as_a_column(spark):
-    rows = [("Acme and Acme", '<span ref="a">Acme</span> and Acme'), ("x", None), (None, "x")]
+    rows = [("Acme and Acme", '<span ref="link_a">Acme</span> and Acme'), ("x", None), (None, "x")]
     df = spark.createDataFrame(rows, "t string, m string")
     got = df.select("t", "m", M.filled_links(F.col("t"), M.parse_spans("m")).alias("s")).collect()
-    assert [[s.attributes for s in r.s] if r.s is not None else None for r in got] == [[{"id": "a"}, {"ref": "a"}], None, None]
+    assert [[s.attributes for s in r.s] if r.s is not None else None for r in got] == [[{"id": "link_a"}, {"ref": "link_a"}], None, None]
 
 
 def test_tables_end_lineage_and_can_be_dropped(spark):
