@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analyse as A
 from ..operators import chunk as C
+from ..operators import markov as H
 from .registry import query, table
 
 _ITEMS = "(SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'text/markdown' ELSE 'text/plain' END AS media_type, CASE WHEN doc_id % 4 = 0 THEN [] ELSE [lang, 'q' || n_chars % 7] END AS tags FROM documents)"
@@ -152,6 +153,15 @@ def mk_fit(spark: SparkSession, d: str) -> DataFrame:
     return A.decode_hmm(symbols, A.fit_hmm(symbols, 3, 5))
 
 
+@query()
+def mk_fit_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    """States of a document's lines, by length and share of spaces; of all lines of all documents."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    n = F.length("line")
+    vector = H.column_vector(F.log1p(n), (n - F.length(F.replace("line", F.lit(" ")))) / F.greatest(n, F.lit(1)))
+    return H.gaussian_paths(lines.select("seq", F.col("idx").cast("long").alias("idx"), vector.alias("vector")), 3, 5)[0]
+
+
 @query(f"""WITH s AS (SELECT state AS prev, lead(state) OVER (ORDER BY seq, idx) AS next FROM {_SEG}), c AS (SELECT prev, next, count(*) AS n FROM s WHERE next IS NOT NULL GROUP BY ALL), e AS (SELECT prev, next, round(n / sum(n) OVER (PARTITION BY prev), 9) AS p FROM c)
 SELECT 'digraph states {{' || chr(10) || string_agg(format('  "{{}}" -> "{{}}" [label="{{:.1f}}%"];', prev, next, 100 * p), chr(10) ORDER BY prev, next) || chr(10) || '}}' AS dot FROM e WHERE p >= 0.05 AND prev <> 'END'""")
 def mk_dot(spark: SparkSession, d: str) -> DataFrame:
