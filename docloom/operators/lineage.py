@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: list[tuple[SparkSession, str, DataFrame]] = []
+_TABLES: list[tuple[SparkSession, str, DataFrame | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +30,13 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return table
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of our own in the shared folder, which goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
+    _TABLES.append((spark, path, None))
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables that ``cut`` wrote, once all that read them is written; others are left alone. What is never
     dropped goes when the driver's process ends."""
@@ -45,7 +52,9 @@ def released() -> Iterator[None]:
     try:
         yield
     finally:
-        drop(*[table for _, path, table in _TABLES if path not in before])
+        for entry in [x for x in _TABLES if x[1] not in before]:
+            _TABLES.remove(entry)
+            _remove(*entry[:2])
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -78,14 +78,14 @@ def w_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RQ._SCAN} SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY source_uri, rank)::INTEGER AS position FROM r WHERE trim(text) <> ''")
 def s_ctx(spark: SparkSession, d: str) -> DataFrame:
-    scanned = RQ._scanned(spark, d)
-    w = Window.partitionBy("query_id").orderBy("source_uri", "rank")
-    return scanned.where("trim(text) <> ''").select("query_id", "rank", F.row_number().over(w).alias("position"))
+    ranked = RQ.scan_ranks(spark, d).where("not empty").select("query_id", "source_uri", F.col("rank").alias("by_score"))
+    placed = K.rank_in_ranges(ranked, ["query_id"], "source_uri", "by_score")
+    return placed.select("query_id", F.col("by_score").alias("rank"), F.col("rank").cast("int").alias("position"))
 
 
 @query(f"WITH {RQ._SCAN} SELECT query_id, item_id, rank FROM r")
 def w_rank(spark: SparkSession, d: str) -> DataFrame:
-    return RQ._scanned(spark, d).select("query_id", "item_id", "rank")
+    return RQ.scan_ranks(spark, d).select("query_id", "item_id", "rank")
 
 
 @query("WITH s AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), c AS (SELECT conv_id, turn, h, turn % 3 AS label FROM s JOIN conversations USING (conv_id, turn) WHERE role = 'user') SELECT s.conv_id, s.turn, coalesce(c.label, -1)::BIGINT AS label FROM s LEFT JOIN c USING (conv_id, turn, h)")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import chunk as C
+from ..operators import index as X
 from ..operators import rank as K
 from ..operators import retrieve as R
+from ..operators.lineage import cut, drop, scratch
 from .registry import query, spread, table
 
 #: (query_id, query_text)
@@ -31,12 +34,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, it
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """All hits with their ranks, for those who take the first few: Spark cuts each task's rows at their limit."""
     return K.rank_by_score(R.scan(items(spark, d), queries(spark)))
 
 
+def scan_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, item_id, source_uri, empty, score, rank) of all hits: every query's in ranges over many tasks."""
+    found = R.scan(items(spark, d), queries(spark)).select("query_id", "item_id", "source_uri", T.blank(F.col("text")).alias("empty"), "score")
+    return K.rank_in_ranges(found, ["query_id"], F.col("score").desc(), "item_id").withColumn("rank", F.col("rank").cast("int"))
+
+
 @query(f"WITH {_SCAN} SELECT query_id, item_id, score, rank FROM r")
 def ret_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _scanned(spark, d).select("query_id", "item_id", "score", "rank")
+    return scan_ranks(spark, d).select("query_id", "item_id", "score", "rank")
 
 
 _TF = f"""
@@ -48,7 +58,8 @@ s AS (SELECT query_id, item_id, round(sum(tf * qf) / (n * m), 9) AS score FROM f
 
 @query(f"WITH {_TF} SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s WHERE score > 0")
 def ret_tf(spark: SparkSession, d: str) -> DataFrame:
-    return K.rank_by_score(R.tf_cosine(R.term_frequencies(items(spark, d)), queries(spark)))
+    found = R.tf_cosine(R.term_frequencies(items(spark, d)), queries(spark))
+    return K.rank_in_ranges(found, ["query_id"], F.col("score").desc(), "item_id").withColumn("rank", F.col("rank").cast("int"))
 
 
 _CHUNKS = """
@@ -73,6 +84,17 @@ def ret_fts(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(_fts_chunks(spark, d), queries(spark))
 
 
+@query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 20")
+def ret_fts_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The best hits from a stored index that has every third item's chunks first and then all others."""
+    chunks = cut(_fts_chunks(spark, d).select("chunk_id", "item_id", "text"))
+    index = X.TextIndex(spark, scratch(spark))
+    index.add(chunks.where("cast(item_id as long) % 3 = 0").select("chunk_id", "text"))
+    index.add(chunks.select("chunk_id", "text"))
+    drop(chunks)
+    return K.rank_by_score(index.bm25(R.query_terms(queries(spark)), 20), "chunk_id")
+
+
 @query(f"""WITH {_SCAN}, k AS (SELECT query_id, item_id, rank, (SELECT count(DISTINCT w) FROM t WHERE t.query_id = r.query_id AND contains(lower(r.text), w))::DOUBLE AS score, score AS first FROM r WHERE rank <= 25)
 SELECT query_id, item_id, score, first, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM k""")
 def rerank_terms(spark: SparkSession, d: str) -> DataFrame:
