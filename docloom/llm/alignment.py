@@ -61,10 +61,8 @@ class _ByteLevel(_Side):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path, self.slow = path, None  # loaded for the first text that needs it
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         own = byte_of_symbol()
@@ -81,6 +79,11 @@ class _ByteLevel(_Side):
 
     def encode(self, text: str) -> np.ndarray:
         if self.quick is None or self.RUN.search(text):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+                self.slow.encode_special_tokens = True
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int32)
         return np.array(self.quick.encode_ordinary(text), np.int32)
 
@@ -157,7 +160,7 @@ def align(a: _ByteLevel, b: _Pieces, text: str | None) -> tuple[np.ndarray, np.n
 
 def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
     a, b = _sides(a_path, b_path)
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20):
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             a_ids, b_ids, link_a, link_b, first_a, first_b = align(a, b, text)
