@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .fold import fold_groups
 from .lineage import cut, drop
 
 
@@ -57,8 +62,7 @@ def apply_budget(ranked: DataFrame, budget: QueryBudget) -> DataFrame:
 
     In rank order: the first ``offset`` are skipped, then what would exceed a source's share or the characters left
     is skipped too (not stopped at), until ``max_total_items`` are kept. Without a character limit two row numbers
-    decide it; with one, each query's next item is the least rank after its last whose text and source still have
-    room, found by a grouped minimum over all candidates, in at most ``max_total_items`` rounds.
+    decide it; with one, see ``fit_budget``, which needs no ranks.
     A column ``characters`` stands for the text's length, so that ranks can be given without moving the texts.
     """
     source = F.coalesce("source_uri", "item_id")
@@ -69,27 +73,76 @@ def apply_budget(ranked: DataFrame, budget: QueryBudget) -> DataFrame:
             own = Window.partitionBy("query_id", source).orderBy("rank")
             df = df.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= budget.max_items_per_source).drop("nth")
         return df.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= budget.max_total_items)
-    most, share = budget.maximum_total_characters, budget.max_items_per_source
     n = F.col("characters") if "characters" in df.columns else F.length(F.coalesce("text", F.lit("")))
-    rows = df.where(n <= most).select("query_id", F.col("rank").alias("at"), source.alias("source"), n.alias("n"))
-    rows = cut(rows)
-    state = rows.select("query_id").distinct().select("query_id", F.lit(0).alias("last"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("sources"))
-    taken = []
-    for i in range(1, budget.max_total_items + 1):
-        room = (F.col("at") > F.col("last")) & (F.col("chars") + F.col("n") <= most)
-        if share is not None:
-            room = room & (F.size(F.filter("sources", lambda s: s == F.col("source"))) < share)
-        fits = rows.join(state, "query_id").where(room)
-        least = fits.groupBy("query_id").agg(F.min(F.struct("at", "n", "source")).alias("x"), F.first("chars").alias("chars"), F.first("sources").alias("sources"))
-        sources = F.concat("sources", F.array("x.source")) if share is not None else F.col("sources")
-        state = least.select("query_id", F.col("x.at").alias("last"), (F.col("chars") + F.col("x.n")).alias("chars"), sources.alias("sources"))
-        state = cut(state)
-        if i > 1 and state.isEmpty():
-            break
-        taken.append(state.select("query_id", F.col("last").alias("old"), F.lit(i).alias("new")))
-    drop(rows)
-    kept = reduce(DataFrame.unionByName, taken)
-    return df.withColumnRenamed("rank", "old").join(kept, ["query_id", "old"]).withColumn("rank", F.col("new")).drop("old", "new")
+    rows = df.select("query_id", "rank", source.alias("source"), n.cast("long").alias("characters"))
+    kept = _fitting(_useful(rows.withColumn("at", F.struct("rank")), budget.max_total_items, budget.max_items_per_source, 0), replace(budget, offset=0))
+    return df.withColumnRenamed("rank", "old").join(kept.select("query_id", F.col("at.rank").alias("old"), "rank"), ["query_id", "old"]).drop("old")
+
+
+def fit_budget(scored: DataFrame, budget: QueryBudget) -> DataFrame:
+    """(query_id, item_id, score, rank) of what ``apply_budget`` keeps of scored candidates (query_id, item_id, source_uri,
+    score, characters), without ranking them all: ties go by item_id, null characters count as none.
+
+    An item can only be taken if all earlier ones that are no longer were taken, or had no place for their source; so it
+    is of no use once as many sources as items are wanted have an earlier and no longer one, or its own source has as
+    many as it may give. Tasks leave such rows out of what they read, and again out of what is left of each query: a few
+    rows for every power of e, unless ranks and lengths fall together. The rest is walked in order.
+    """
+    source = F.coalesce("source_uri", "item_id")
+    rows = scored.select("query_id", F.struct((-F.col("score")).alias("less"), "item_id").alias("at"), source.alias("source"), F.coalesce("characters", F.lit(0)).cast("long").alias("characters"))
+    kept = _fitting(_useful(rows, budget.max_total_items, budget.max_items_per_source, budget.offset), budget)
+    return kept.select("query_id", "at.item_id", (-F.col("at.less")).alias("score"), "rank")
+
+
+def _useful(rows: DataFrame, most: int, share: int | None, offset: int) -> DataFrame:
+    """Rows (query_id, at, source, characters) that a budget may take, or skip as its offset; ``at`` is their order."""
+    shape = rows.select("query_id", "at", "source", "characters")
+
+    def prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf = pdf.assign(order=[tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in pdf["at"]]).sort_values(["query_id", "order"], kind="stable")
+            keep = np.concatenate([[True] * 0, *[useful_rows(own.characters.to_numpy(), own.source.to_numpy(), most, share, offset) for _, own in pdf.groupby("query_id", sort=False, dropna=False)]]).astype(bool)
+            yield pdf[keep].drop(columns="order")
+
+    local = shape.mapInPandas(prune, shape.schema)
+    return local.repartition("query_id").sortWithinPartitions("query_id", "at").mapInPandas(prune, shape.schema)
+
+
+def useful_rows(characters: np.ndarray, sources: np.ndarray, most: int, share: int | None, offset: int) -> np.ndarray:
+    """Of one query's rows in order: which may be taken. ``shortest`` holds the lengths of each source's shortest row so far,
+    as far as they are among the ``most`` + ``offset`` least."""
+    limit, own_limit = most + offset, None if share is None else share + offset
+    keep, shortest, of_source = np.zeros(len(characters), bool), [], {}
+    for i, (n, source) in enumerate(zip(characters, sources, strict=True)):
+        mine = of_source.setdefault(source, []) if share is not None else None
+        if i < offset or bisect_right(shortest, n) < limit and (mine is None or bisect_right(mine, n) < own_limit):
+            keep[i] = True
+        if mine is None:
+            insort(shortest, n)
+        else:
+            if not mine or n < mine[0]:
+                if mine and (at := bisect_left(shortest, mine[0])) < len(shortest) and shortest[at] == mine[0]:
+                    shortest.pop(at)
+                insort(shortest, n)
+            insort(mine, n)
+            del mine[own_limit:]
+        del shortest[limit + 1 :]
+    return keep
+
+
+def _fitting(rows: DataFrame, budget: QueryBudget) -> DataFrame:
+    """(query_id, at, rank) of the rows that are taken, each query walked in order of ``at``."""
+    most, share, offset = budget.maximum_total_characters, budget.max_items_per_source, budget.offset
+
+    def step(state: tuple, row: dict) -> tuple[tuple, list[dict]]:
+        met, taken, used, sources = state
+        n, source = row["characters"] or 0, row["source"]
+        if met < offset or taken == budget.max_total_items or most is not None and used + n > most or share is not None and sources.get(source, 0) >= share:
+            return (met + 1, taken, used, sources), []
+        return (met + 1, taken + 1, used + n, sources | {source: sources.get(source, 0) + 1}), [{"query_id": row["query_id"], "at": row["at"], "rank": taken + 1}]
+
+    kinds = dict(rows.dtypes)
+    return fold_groups(rows, "query_id", ["at"], lambda: (0, 0, 0, {}), step, lambda *_: [], f"query_id {kinds['query_id']}, at {kinds['at']}, rank int")
 
 
 def minimum_score(df: DataFrame, least: float) -> DataFrame:

@@ -119,7 +119,7 @@ def budget_sql(most: int, chars: int, where: str = "") -> str:
 @query(f"WITH {budget_sql(10, 20000)} SELECT * FROM kept")
 def w_budget_chars(spark: SparkSession, d: str) -> DataFrame:
     found = R.scan(items(spark, d), queries(spark)).select("query_id", "item_id", "source_uri", "score", F.length("text").alias("characters"))
-    return K.apply_budget(K.rank_by_score(found), K.QueryBudget(10, maximum_total_characters=20000)).select("query_id", "item_id", "rank")
+    return K.fit_budget(found, K.QueryBudget(10, maximum_total_characters=20000)).select("query_id", "item_id", "rank")
 
 
 @query(f"WITH {_SCAN} SELECT query_id, item_id, score FROM r WHERE score >= 5")

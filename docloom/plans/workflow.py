@@ -81,7 +81,8 @@ class KnowledgeBase:
 
     def query(self, spark: SparkSession, text: str) -> DataFrame:
         asked = spark.createDataFrame([("q", text)], "query_id string, query_text string")
-        return rank.apply_budget(rank.rank_by_score(retrieve.scan(self.items, asked)), self.budget)
+        found = retrieve.scan(self.items, asked).select("query_id", "item_id", "source_uri", "score", F.length("text").alias("characters"))
+        return rank.fit_budget(found, self.budget).join(self.items, "item_id")
 
     def pack(self, spark: SparkSession, text: str, most_tokens: int) -> DataFrame:
         return context.join_blocks(context.fit_tokens(context.blocks(self.query(spark, text)), most_tokens))
@@ -116,7 +117,7 @@ def retrieve_pack(scored: DataFrame, items: DataFrame, request: PackRequest, hea
     Queries whose evidence doesn't fit have no row.
     """
     sized = scored.join(items.select("item_id", "source_uri", F.length("text").alias("characters")), "item_id")
-    kept = rank.apply_budget(rank.rank_by_score(sized), request.budget()).drop("characters", "source_uri")
+    kept = rank.fit_budget(sized, request.budget())
     packed = context.blocks(kept.join(items.select("item_id", "source_uri", "text"), "item_id"), header=header)
     return context.join_blocks(packed if request.max_tokens is None else context.fit_tokens(packed, request.max_tokens))
 

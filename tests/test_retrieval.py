@@ -62,6 +62,19 @@ def test_character_budget_against_brute_force(spark):
         assert set(got.columns) == set(df.columns)
 
 
+def test_budget_of_scores_equals_that_of_ranks(spark):
+    rng = random.Random(8)
+    rows = [(f"q{k}", r, rng.choice([f"s{i}" for i in range(9)] + [None]), f"i{r:05}", "x" * int(rng.paretovariate(0.6) % 500)) for k in range(3) for r in range(1, 3000)]
+    df = spark.createDataFrame([(q, i, s, float(-r // 2), len(t)) for q, r, s, i, t in rows], "query_id string, item_id string, source_uri string, score double, characters long").repartition(6)
+    for budget in (K.QueryBudget(5, maximum_total_characters=60), K.QueryBudget(30, 7, 900, 2), K.QueryBudget(4, 1, 200, 1), K.QueryBudget(8, 3), K.QueryBudget(6, 2, None, 1)):
+        most = budget if budget.maximum_total_characters is not None else K.replace(budget, maximum_total_characters=10**9)
+        got = {(r.query_id, r.item_id, r["rank"]) for r in K.fit_budget(df, budget).collect()}
+        assert got == {(q, i, n) for q, i, n in budget_brute(rows, most)}
+    few = K._useful(df.select("query_id", F.struct((-F.col("score")).alias("less"), "item_id").alias("at"), F.col("source_uri").alias("source"), "characters"), 5, None, 0)
+    assert few.count() < 600  # of 9,000
+    assert K.fit_budget(df.limit(0), K.QueryBudget(2, maximum_total_characters=5)).count() == 0
+
+
 def test_character_budget_sees_every_rank(spark, tmp_path):
     """Ninety texts that are too long come before those that fit."""
     docs = [(i, "the and that " * 2000 + "the " * (90 - i), "s") for i in range(90)] + [(90 + i, "the and that " * (9 - i), "s") for i in range(4)]
