@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context as X
 from ..operators import rank as K
 from ..operators import retrieve as R
 from . import retrieval_queries as RQ
@@ -140,11 +139,3 @@ def ce_rpack(spark: SparkSession, d: str) -> DataFrame:
     items = RQ.items(spark, d)
     pack, _ = render_pack(R.scan(items, RQ.queries(spark)).select("query_id", "item_id", "score"), items, PackRequest(8, maximum_total_characters=16000), 800)
     return pack.select("query_id", "n_blocks", F.md5("text").alias("digest"))
-
-
-@query()
-def ce_nested(spark: SparkSession, d: str) -> DataFrame:
-    """A template over two packs, each under a budget of its own."""
-    packed = X.blocks(R.retrieve(RQ._scanned(spark, d).select("query_id", "item_id", "score"), RQ.items(spark, d), K.QueryBudget(5), "scan"))
-    a, b = (X.join_blocks(X.fit_tokens(packed, n)).select("query_id", F.length("text").alias(f"n{n}")) for n in (500, 2000))
-    return b.join(a, "query_id", "left")
