@@ -13,10 +13,11 @@ _TABLES: list[tuple[SparkSession, str, DataFrame | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder in Spark's warehouse, which is shared too, where the
-    session names none."""
+    """The cluster's shared folder, spark.checkpoint.dir; in a local session that names none, one in Spark's warehouse."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_docloom"
 
 

@@ -120,9 +120,18 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
 
 
-@query("WITH r AS (SELECT page_id, regexp_replace(url[9:], '^/+', '') AS p FROM pages WHERE url LIKE 'https://%') SELECT page_id, CASE WHEN p = '' THEN 'index.html' WHEN p LIKE '%/' THEN p || 'index.html' ELSE p END AS path FROM r")
+_ENDS = "CASE page_id % 4 WHEN 0 THEN '//' WHEN 1 THEN '/' WHEN 2 THEN '' ELSE '//x' END"
+
+
+@query(f"""WITH r AS (SELECT page_id, ltrim((url || {_ENDS})[9:], '/') AS p FROM pages WHERE starts_with(url, 'https://') UNION ALL SELECT -1 - page_id, ltrim({_ENDS}, '/') FROM pages)
+SELECT page_id, CASE WHEN p = '' THEN 'index.html' WHEN ends_with(p, '/') THEN rtrim(p, '/') || '/index.html' ELSE p END AS path FROM r""")
 def crawl_path(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").where("url like 'https://%'").select("page_id", W.relative_path(F.col("url"), "https://").alias("path"))
+    """URLs that end in one slash, two, or none, and what is nothing but a prefix and such an end."""
+    end = F.element_at(F.array(*map(F.lit, ("//", "/", "", "//x"))), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = table(spark, d, "pages")
+    urls = pages.where("url like 'https://%'").select("page_id", F.concat("url", end).alias("url"))
+    urls = urls.unionByName(pages.select((-1 - F.col("page_id")).alias("page_id"), F.concat(F.lit("https://"), end).alias("url")))
+    return urls.select("page_id", W.relative_path(F.col("url"), "https://").alias("path"))
 
 
 _LINKED = """WITH RECURSIVE p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
@@ -148,6 +157,31 @@ def crawl(spark: SparkSession, d: str) -> DataFrame:
     return W.crawl(pages.select("url", "html"), root, "http", n)
 
 
+_MET = """WITH RECURSIVE p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), n AS (SELECT min(page_id) AS root FROM pages),
+k AS (SELECT page_id, u, NOT starts_with(u, 'https://') AND page_id <> root AS outside, contains(u, '/de/') AND page_id <> root AS ignored FROM p, n),
+l AS (SELECT page_id AS a, unnest([2 * page_id + 1, 2 * page_id + 2]) AS b FROM pages),
+r(page_id) AS (SELECT root FROM n UNION SELECT l.b FROM r JOIN k USING (page_id) JOIN l ON l.a = r.page_id WHERE NOT outside AND NOT ignored),
+m AS (SELECT DISTINCT r.page_id, k.u, outside, ignored FROM r LEFT JOIN k USING (page_id))
+SELECT count(*) AS discovered_items, count(*) FILTER (u IS NOT NULL AND NOT outside AND NOT ignored) AS fetched_items, count(*) FILTER (u IS NOT NULL AND NOT outside AND NOT ignored) AS stored_items,
+  count(*) FILTER (outside) AS skipped_outside_prefix_items, count(*) FILTER (ignored AND NOT outside) AS skipped_ignored_items, count(*) FILTER (u IS NULL) AS errored_items FROM m"""
+
+
+@query(_MET)
+def crawl_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that link to two others each and to nothing else: pages that there are not are errors, those without https are
+    outside, German ones are ignored."""
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    urls = pages.select(F.col("page_id").alias("to"), F.col("url").alias("target"))
+    first = pages.agg(F.min_by("url", "page_id")).first()[0]
+    https = lambda c: F.when(F.col(c) == first, F.concat(F.lit("https://"), F.substring_index(F.col(c), "://", -1))).otherwise(F.col(c))
+    links = pages.select("page_id", F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("to")).join(urls, "to", "left")
+    target = F.coalesce(F.replace("target", F.lit("&"), F.lit("&amp;")), F.concat(F.lit("https://nowhere.example.org/"), F.col("to")))
+    more = links.groupBy("page_id").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<p><a class=x HREF='"), target, F.lit("#x'>on</a>")))).alias("html"))  # two links each
+    whole = pages.join(more, "page_id").select(https("url").alias("url"), "html")
+    root = "https://" + first.partition("://")[2]
+    return W.crawl_counts(W.crawl_log(whole, root, "https://", 1 << 40, ("*/de/*",)))
+
+
 _RELPATH = f"SELECT doc_id::VARCHAR AS item_id, sha256(text) AS s, {_PATH} AS n FROM documents"
 
 

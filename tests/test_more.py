@@ -29,7 +29,7 @@ def test_links_of_any_quoting(spark):
         "<a href='/cut",
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
-    got = {r.i: r for r in df.select("i", web.raw_links("html").alias("raw"), web.resolved_links(web.raw_links("html"), F.lit("http://h/p/")).alias("to")).collect()}
+    got = {r.i: r for r in df.select("i", web.raw_links(F.col("html")).alias("raw"), web.linked_urls(F.col("html"), F.lit("http://h/p/")).alias("to")).collect()}
     assert got[0].raw == ["/one", "/two", "three?a=1&b=2#f", "/four"]
     assert got[0].to == ["http://h/one", "http://h/two", "http://h/p/three?a=1&b=2", "http://h/four"]
     assert got[1].to == ["http://other/z"] and got[2].to == got[3].to == got[4].to == []

@@ -120,5 +120,41 @@ def test_crawl_counts_stored_pages_and_goes_on_to_the_end(spark):
     rows = [("http://h/0", "".join(link(f"missing{i}") for i in range(60)) + link(1))]
     rows += [(f"http://h/{n}", link(n + 1) + link(0)) for n in range(1, 24)]
     pages = spark.createDataFrame([*rows, ("http://h/alone", "")], "url string, html string")
-    assert [tuple(r) for r in W.crawl(pages, "http://h/0", "http://h/", 50).collect()] == [(f"http://h/{n}", n) for n in range(24)]
-    assert [r.depth for r in W.crawl(pages, "http://h/0", "http://h/", 3).collect()] == [0, 1, 2]
+    assert [tuple(r) for r in W.crawl(pages, "http://h/0", "http://h/", 50).orderBy("depth").collect()] == [(f"http://h/{n}", n) for n in range(24)]
+    assert [r.depth for r in W.crawl(pages, "http://h/0", "http://h/", 3).orderBy("depth").collect()] == [0, 1, 2]
+
+
+def test_crawl_statuses_and_counts_equal_a_queue(spark):
+    import random
+
+    from docloom.sources import web as W
+
+    r = random.Random(6)
+    names = [f"http://h/a/{x}{i}" for i in range(40) for x in ("p", "skip/")] + ["http://h/a//", "http://else/x", "http://h/a/gone"]
+    pages = {u: [r.choice(names) for _ in range(r.randrange(4))] for u in names if "gone" not in u}
+    df = spark.createDataFrame([(u, "".join(f"<img src={t}#z>" for t in to), "text/html; a" if i % 7 else "image/png") for i, (u, to) in enumerate(pages.items())], "url string, html string, media_type string")
+    html = {u: bool(i % 7) for i, u in enumerate(pages)}
+    for most in (3, 9, 1000):
+        frontier, seen, log, stored = ["http://h/a/p3"], set(), {}, 0
+        while frontier and stored < most:
+            met = []
+            for u in sorted(set(frontier) - seen):
+                if stored >= most:
+                    break
+                seen.add(u)
+                log[u] = "outside" if not u.startswith("http://h/a/") else "ignored" if "skip/" in u else "stored" if u in pages else "errored"
+                stored += log[u] == "stored"
+                met += pages[u] if log[u] == "stored" and html[u] else []
+            frontier = met
+        found = W.crawl_log(df, "http://h/a/p3", "http://h/a/", most, ("skip/*",))
+        assert {x.url: x.status for x in found.collect()} == log
+        counts = W.crawl_counts(found).first()
+        assert (counts.discovered_items, counts.stored_items, counts.skipped_ignored_items) == (len(log), stored, list(log.values()).count("ignored"))
+    assert {x.status for x in W.crawl_log(df.limit(0), "http://h/a/p3", "http://h/a/", 5).collect()} == {"errored"}
+
+
+def test_paths_of_urls_with_repeated_slashes(spark):
+    from docloom.sources import web as W
+
+    df = spark.createDataFrame([(u,) for u in ("http://h/", "http://h//", "http://h/a", "http://h//a//", "http://h/a/")], "u string")
+    assert [x[0] for x in df.select(W.relative_path(F.col("u"), "http://h")).collect()] == ["index.html", "index.html", "a", "a/index.html", "a/index.html"]
