@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.lineage import scratch
+from ..operators.store import GraphStore
 from .registry import query, table
 
 
@@ -65,3 +67,23 @@ def sink_graph(spark: SparkSession, d: str) -> DataFrame:
     nodes = docs.select(F.col("source").alias("node_id"), F.col("doc_id").alias("version"))
     edges = docs.select(F.concat("source", F.lit(">"), dst).alias("edge_id"), F.col("source").alias("src"), dst.alias("dst"), F.col("doc_id").alias("version"))
     return G.upsert(nodes, edges)[1].select("edge_id", "src", "dst", "version")
+
+
+_MERGED = """WITH d AS (SELECT doc_id, source AS n, 'src' || n_chars % 40 AS m, lang AS item, doc_id IN (SELECT doc_id FROM labels) AS a, doc_id % 3 = 0 AS b FROM documents),
+n1 AS (SELECT item, n, max(doc_id) AS v FROM d WHERE a GROUP BY ALL), n2 AS (SELECT item, n, max(doc_id) AS v FROM d WHERE b GROUP BY ALL), n AS (SELECT item, n FROM n1 UNION SELECT item, n FROM n2),
+e1 AS (SELECT item, n, m, max(doc_id) AS v FROM d WHERE a AND (item, m) IN (SELECT (item, n) FROM n1) GROUP BY ALL), e2 AS (SELECT item, n, m, max(doc_id) AS v FROM d WHERE b AND (item, m) IN (SELECT (item, n) FROM n) GROUP BY ALL)
+SELECT item AS item_id, n AS id, coalesce(n2.v, n1.v)::DOUBLE AS value FROM n1 FULL JOIN n2 USING (item, n) UNION ALL SELECT item, n || '>' || m, coalesce(e2.v, e1.v)::DOUBLE FROM e1 FULL JOIN e2 USING (item, n, m)"""
+
+
+@query(_MERGED)
+def sink_graph_store(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents' nodes and edges, and then every third document's, in a graph that is kept; the latter merge twice."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("src"), F.col("n_chars") % 40).alias("dst"), F.lit("g").alias("graph_id"), F.lit("s").alias("snapshot_id"), F.col("lang").alias("item_id"))
+    padded = F.lpad(F.col("doc_id").cast("string"), 20, "0")
+    store = GraphStore(spark, scratch(spark))
+    labelled, third = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), docs.where("doc_id % 3 = 0")
+    for part in (labelled, third, third):
+        key = ["graph_id", "snapshot_id", "item_id"]
+        store.merge(part.select(*key, F.col("source").alias("node_id"), padded.alias("label")), part.select(*key, F.concat("source", F.lit(">"), "dst").alias("edge_id"), F.col("source").alias("src"), "dst", F.col("doc_id").cast("double").alias("weight")))
+    nodes = store.nodes().select("item_id", F.col("node_id").alias("id"), F.col("label").cast("double").alias("value"))
+    return nodes.unionByName(store.edges().select("item_id", F.col("edge_id").alias("id"), F.col("weight").alias("value")))
