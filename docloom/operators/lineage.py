@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,16 +46,14 @@ def drop(*tables: DataFrame) -> None:
         _remove(*entry[:2])
 
 
-@contextlib.contextmanager
-def released() -> Iterator[None]:
-    """Removes the tables that ``cut`` wrote inside; for steps whose result is written before they end."""
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """``cut`` of what ``make`` returns; the tables that were cut on the way go, as nothing else reads them."""
     before = {path for _, path, _ in _TABLES}
-    try:
-        yield
-    finally:
-        for entry in [x for x in _TABLES if x[1] not in before]:
-            _TABLES.remove(entry)
-            _remove(*entry[:2])
+    table = cut(make())
+    for entry in [x for x in _TABLES if x[1] not in before and x[2] is not table]:
+        _TABLES.remove(entry)
+        _remove(*entry[:2])
+    return table
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -145,6 +145,17 @@ def test_tables_end_lineage_and_can_be_dropped(spark):
     with pytest.raises(Exception):
         table.count()
 
+    inner = []
+
+    def make():
+        inner.append(lineage.cut(spark.range(3)))
+        return inner[0].where("id > 0")
+
+    settled = lineage.settled(make)
+    assert settled.count() == 2
+    with pytest.raises(Exception):
+        inner[0].count()
+
     class Far:
         master = "spark://far"
 
