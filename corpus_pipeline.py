@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, language_id, line_dedup, ngram_jaccard, packing
-from docloom.llm.common import cut
+from docloom.llm.common import drop
+from docloom.operators.lineage import settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,8 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written before the next reads them."""
+    """All stages over ``documents``, each one's rows written before the next reads them; what a stage wrote for itself, and
+    the rows that it read, are then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        read = docs
+        docs = settled(lambda stage=stage, read=read: stage(spark, read, sf_dir))
+        drop(read)
     return STAGES[-1][1](spark, docs, sf_dir)

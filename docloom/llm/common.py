@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             end = min(at + most_rows, max(at + 1, int(np.searchsorted(total, base + most_bytes, side="right"))))
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()  # a worker stays for later tasks; what it freed would stay with it
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the machine: a worker stays for later tasks, and it would stay with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux; others need none
+    if trim is not None:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, give_back, partitions, slices
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -59,6 +59,7 @@ def _stream(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.R
                 carry, group = carry.slice(end).combine_chunks(), 0
     if carry is not None and carry.num_rows:
         yield from _open(carry, schema)
+    give_back()
 
 
 def _open(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
