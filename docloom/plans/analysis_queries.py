@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analyse as A
 from ..operators import chunk as C
+from ..operators import density as D
 from ..operators import markov as H
 from .registry import query, table
 
@@ -212,3 +213,10 @@ def mk_name(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tm_cluster(spark: SparkSession, d: str) -> DataFrame:
     return A.cluster_topics(table(spark, d, "documents"), 6).select("doc_id", "topic")
+
+
+@query()
+def tm_density(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on the three main components of their hashed words; topics by density, -1 for documents in none."""
+    found = D.density_clusters(D.projected(table(spark, d, "documents").select("doc_id", "text")), 0.03, 5, 10)
+    return found.select(F.col("id").alias("doc_id"), F.col("cluster").alias("topic"))
