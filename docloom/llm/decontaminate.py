@@ -21,6 +21,8 @@ STEPS = 8
 STRETCH, SHORT = 1 << 14, 6000
 #: Bytes of texts taken together.
 SLICE = 2 << 20
+#: Windows by items that are compared at once.
+PAIRS = 1 << 20
 #: Items and characters of a block of the benchmark that one pass holds in memory.
 ITEMS, CHARS = 20_000, 1 << 24
 FOUND = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
@@ -100,7 +102,8 @@ class HammingIndex:
     """Fingerprints by four blocks of 16 bits: two within ``radius`` differ in radius // 4 bits at most in one of them.
 
     For each block a table of all 65,536 values says whether some fingerprint's block lies so near; what no table
-    knows is out without a comparison, the rest is compared whole.
+    knows is out without a comparison, the rest is compared whole, in blocks of bounded size. Tables of many
+    fingerprints know most values, so the caller also says which ones are worth it.
     """
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
@@ -117,18 +120,20 @@ class HammingIndex:
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
         return (prints >> np.uint64(16 * b)).astype(np.uint16)
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in prints, index) of all pairs within the radius."""
+    def near(self, prints: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, index) of all pairs within the radius, of prints that are worth it."""
         may = np.zeros(len(prints), bool)
         for b, table in enumerate(self.tables):
             value = self._block(prints, b)
             may |= (table[value >> 3] >> (value & 7).astype(np.uint8) & 1).astype(bool)
-        at = np.flatnonzero(may)
+        at = np.flatnonzero(may & worth)
         rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, own in enumerate(self.prints):
-            hit = at[np.bitwise_count(prints[at] ^ own) <= self.radius]
-            rows.append(hit)
-            items.append(np.full(len(hit), i))
+        each = max(1, PAIRS // len(self.prints))
+        for first in range(0, len(at), each):
+            own = at[first : first + each]
+            row, item = np.nonzero(np.bitwise_count(prints[own][:, None] ^ self.prints[None]) <= self.radius)
+            rows.append(own[row])
+            items.append(item)
         return np.concatenate(rows), np.concatenate(items)
 
 
@@ -173,6 +178,16 @@ class Group:
         return starts, np.minimum(starts + self.window, bounds[text + 1]), text
 
 
+    def reachable(self, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, bounds: np.ndarray, shared: np.ndarray, least: float) -> np.ndarray:
+        """Whether the exact windows that each window stands for have enough of all items' shingles together, whose weights
+        are summed up in ``shared``, to be like the lightest item."""
+        longest = int(self.sizes.max())
+        reach = self.step + int(np.abs(self.window - self.sizes).max()) // 2 + 1
+        lo = np.maximum((starts + ends) // 2 - longest // 2 - 1 - reach, bounds[text])
+        stop = np.minimum((starts + ends) // 2 + reach + longest + 1, bounds[text + 1])
+        return shared[np.maximum(stop, lo)] - shared[lo] >= least * self.totals.min()
+
+
 class Items:
     """Benchmark items in groups of lengths that differ by a quarter at most."""
 
@@ -209,7 +224,7 @@ class Items:
             shared = np.concatenate([[0], np.cumsum(np.where(self.known[width][at] == hashes, weights, 0), dtype=np.int64)])
             windows = [g.windows(bounds, least) for g in groups]
             for g, (starts, ends, text), prints in zip(groups, windows, fingerprints(hashes, weights, [w[:2] for w in windows]), strict=True):
-                place, item = g.index.near(prints)
+                place, item = g.index.near(prints, g.reachable(starts, ends, text, bounds, shared, least))
                 # the exact windows that this one stands for: as long as the item, about the same middle
                 size, first, end = g.sizes[item], bounds[text[place]], bounds[text[place] + 1]
                 middle, reach = (starts + ends)[place] // 2 - size // 2, g.step + np.abs(g.window - size) // 2 + 1
