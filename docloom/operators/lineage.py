@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named and not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_docloom"
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docloom-shared"
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
