@@ -23,17 +23,17 @@ class GraphStore:
     nodes/<folder>/bucket=k and edges/<folder>/bucket=k hold rows; log holds, for each merge, which folder a bucket is in
     from then on. A merge writes the buckets of its keys into new folders and then its log rows in one file: until that
     is there, all readers see the store as it was, and what a lost driver has left is in no log and can be swept. One
-    merge at a time.
+    merge at a time. A store keeps the number of buckets that it began with.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _path(self, name: str):  # noqa: ANN202
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _log(self) -> list:
-        """(version, kind, bucket, folder): the newest of each bucket; a store has ``BUCKETS`` of each kind."""
+        """(version, kind, bucket, folder): the newest of each bucket; a store has ``buckets`` of each kind."""
         where = self._path("log")
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             return []
@@ -88,16 +88,19 @@ class GraphStore:
         return self.nodes().select(*keys).unionByName(own.select(*keys)).distinct()
 
     def _write(self, kind: str, schema: str, key: str, incoming: DataFrame, folder: str) -> list[tuple[str, int]]:
-        placed = incoming.withColumn("bucket", _bucket(key))
+        placed = incoming.withColumn("bucket", self._bucket(key))
         touched = {r.bucket for r in placed.select("bucket").distinct().collect()}
         if touched:
             old = self._rows(kind, schema, touched).withColumn("fresh", F.lit(0))
             both = old.unionByName(incoming.withColumn("fresh", F.lit(1)))
             columns = [c for c in incoming.columns if c not in (*SCOPE, key)]
             last = both.groupBy(*SCOPE, key).agg(F.max_by(F.struct(*columns), "fresh").alias("r")).select(*SCOPE, key, "r.*")
-            last.withColumn("bucket", _bucket(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{folder}")
+            last.withColumn("bucket", self._bucket(key)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{folder}")
         return [(kind, b) for b in sorted(touched)]
 
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(*SCOPE, key), F.lit(self.buckets)).cast("int")
+
     def sweep(self) -> None:
         """Removes buckets that no reader sees any more, and what unfinished merges have left; not while others read or merge."""
         for kind in ("nodes", "edges"):
@@ -111,10 +114,6 @@ class GraphStore:
                         _remove(self.spark, bucket.getPath().toString())
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(*SCOPE, key), F.lit(BUCKETS)).cast("int")
-
-
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
     fields = [f.split() for f in schema.split(", ")]
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])

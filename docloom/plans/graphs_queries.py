@@ -80,7 +80,7 @@ def sink_graph_store(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents' nodes and edges, and then every third document's, in a graph that is kept; the latter merge twice."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("src"), F.col("n_chars") % 40).alias("dst"), F.lit("g").alias("graph_id"), F.lit("s").alias("snapshot_id"), F.col("lang").alias("item_id"))
     padded = F.lpad(F.col("doc_id").cast("string"), 20, "0")
-    store = GraphStore(spark, scratch(spark))
+    store = GraphStore(spark, scratch(spark), 16)
     labelled, third = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), docs.where("doc_id % 3 = 0")
     for part in (labelled, third, third):
         key = ["graph_id", "snapshot_id", "item_id"]
