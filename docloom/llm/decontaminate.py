@@ -120,7 +120,7 @@ class HammingIndex:
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
         return (prints >> np.uint64(16 * b)).astype(np.uint16)
 
-    def near(self, prints: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, prints: np.ndarray, worth: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, index) of all pairs within the radius, of prints that are worth it."""
         may = np.zeros(len(prints), bool)
         for b, table in enumerate(self.tables):
