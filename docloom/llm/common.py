@@ -9,17 +9,52 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, drop, shared_dir
 
-__all__ = ["cut", "drop", "hash_strings", "letters_only", "mix", "partitions", "shared_dir", "shingles", "slices", "space_words", "translated"]
+__all__ = ["cut", "drop", "hash_strings", "hot_keys", "in_parts", "letters_only", "meet", "mix", "parted", "partitions", "shared_dir", "shingles", "slices", "space_words", "translated"]
+
+#: Rows from which on a join key is hot, and parts that a hot key is joined in.
+HELD, PARTS = 1024, 64
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that more than HELD rows have, written: Spark knows the size of what it then joins with."""
+    return cut(rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > HELD).select(*keys))
+
+
+def _all_parts() -> Column:
+    return F.sequence(F.lit(0), F.lit(PARTS - 1))
+
+
+def parted(rows: DataFrame, hot: DataFrame, keys: list[str], by: str, part: str = "part") -> DataFrame:
+    """``rows`` with their ``part``: -1, or one of PARTS by the hash of ``by`` where the keys are ``hot``. The marks
+    themselves come in parts, so that no task sees all rows of a key."""
+    marks = hot.select(*keys, F.explode(_all_parts()).alias(part), F.lit(True).alias("is_hot"))
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")).join(marks, [*keys, part], "left")
+    return dealt.withColumn(part, F.when(F.col("is_hot"), F.col(part)).otherwise(-1)).drop("is_hot")
+
+
+def in_parts(table: DataFrame, hot: DataFrame, keys: list[str], part: str = "part") -> DataFrame:
+    """The other side of a join with ``parted`` rows: every row for part -1, those of ``hot`` keys for all parts too."""
+    copies = table.join(hot, keys, "left_semi").withColumn(part, F.explode(_all_parts()))
+    return table.withColumn(part, F.lit(-1)).unionByName(copies)
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with the one row that ``table`` has for their key, which says how many rows ask for it (``held``):
+    a hot key is joined in parts by the hash of ``by``."""
+    several = F.when(F.col("held") > HELD, _all_parts()).otherwise(F.array(F.lit(-1)))
+    whole = table.withColumn("part", F.explode(several)).drop("held")
+    return parted(rows, table.where(F.col("held") > HELD), [key], by).join(whole, [key, "part"]).drop("part")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of ``most_rows`` at most whose ``column`` holds about ``most_bytes`` of text, one row
     at least."""

@@ -13,7 +13,8 @@ How a link is found without comparing everything:
 4. *Answers from answers.* In each list the class with the smallest unshared part is the hub. Members are checked
    against the hub; those that link share its answer set, so two members of one component need no comparison. For the
    others the overlaps with the hub bound the overlap with each other: what both share with the hub, and what of
-   both lies outside it, is all that they can share.
+   both lies outside it, is all that they can share. A pair that the bound leaves gets its overlap from the hub's answers:
+   of each member close to the hub only what it lacks of it and what it adds to it is kept and sent, never its whole set.
 5. *Blocks.* What is left of a list is cut into blocks by component, size and what comes after the position. Two
    blocks are skipped as a whole where no pair of theirs can reach the overlap or all are of one component; other
    pairs of blocks are tiles of bounded size, each compared on its own.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, hash_strings, partitions, shingles, slices, space_words
+from .common import cut, drop, hash_strings, hot_keys, in_parts, meet, parted, partitions, shingles, slices, space_words
 from .components import connected_components
 
 PACKED = "kind int, key int, a binary, b binary"
@@ -204,19 +205,20 @@ def _classes(pdf: pd.DataFrame, sim: tuple[int, int]) -> pd.DataFrame:
 
 
 def _tile(key: tuple, pdf: pd.DataFrame, sim: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of two blocks of one list that can still link and whose components differ."""
+    """Pairs of two blocks of one list that can still link and whose components differ, with the hub that both are close
+    to (-1: none)."""
     p, q = _needs(sim)
     _, i, j = key
     left, right = pdf[pdf.block == i], pdf[pdf.block == j]
-    rn, rp, rl, rc, ro = (right[c].to_numpy() for c in ("n", "pos", "label", "cls", "o"))
+    rn, rp, rl, rc, ro, rh = (right[c].to_numpy() for c in ("n", "pos", "label", "cls", "o", "hub"))
     pairs = []
-    for cls, n, pos, label, o in left[["cls", "n", "pos", "label", "o"]].itertuples(index=False):
+    for cls, n, pos, label, o, hub in left[["cls", "n", "pos", "label", "o", "hub"]].itertuples(index=False):
         most = np.minimum(n - pos, rn - rp)
         if o >= 0:
             most = np.where(ro >= 0, np.minimum(most, np.minimum(o, ro) + np.minimum(n - o, rn - ro)), most)
         ok = (rl != label) & (q * most >= p * (n + rn)) & ((rc > cls) if i == j else (rc != cls))
-        pairs += [(min(cls, x), max(cls, x)) for x in rc[ok]]
-    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64").drop_duplicates()
+        pairs += [(min(cls, x), max(cls, x), min(hub, h)) for x, h in zip(rc[ok], rh[ok], strict=True)]
+    return pd.DataFrame(pairs, columns=["a", "b", "hub"], dtype="int64").drop_duplicates()
 
 
 def _can(left: str, right: str, sim: tuple[int, int]) -> Column:
@@ -231,13 +233,38 @@ def _can_by_hub(left: str, right: str, sim: tuple[int, int]) -> Column:
     return F.expr(f"{left}.o < 0 or {right}.o < 0 or {q} * (least({left}.o, {right}.o) + least({left}.n - {left}.o, {right}.n - {right}.o)) >= {p} * ({left}.n + {right}.n)")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) with their full overlap o, and whether they link."""
+def _met(pairs: DataFrame, sets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs`` (a, b, ``keys``) with the columns of ``sets`` (cls, ``keys``, ...) for a and for b, named with an _a and
+    an _b behind. A class of many pairs is met in parts."""
+    out, hot = pairs, {side: hot_keys(pairs, *keys, side) for side in "ab"}
+    for side, other in (("a", "b"), ("b", "a")):  # parts are dealt while rows are short
+        out = parted(out, hot[side], [*keys, side], other, f"part_{side}")
+    for side in "ab":
+        own = sets.select(*keys, F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in sets.columns if c not in ("cls", *keys)])
+        out = out.join(in_parts(own, hot[side], [*keys, side], f"part_{side}"), [*keys, side, f"part_{side}"])
+    return out
+
+
+def _links(sim: tuple[int, int]) -> Column:
     p, q = _needs(sim)
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ta", "tb")))
-    return both.select("a", "b", "o", (q * F.col("o") >= p * (F.col("na") + F.col("nb"))).alias("links"))
+    return q * F.col("o") >= p * (F.col("n_a") + F.col("n_b"))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) with their full overlap o, and whether they link. Where b is more than half of a and a of b, lacks holds
+    what a has not of b, and adds what it has besides; ``size`` is that of b's set."""
+    both = _met(pairs, sets).withColumn("o", F.size(F.array_intersect("toks_a", "toks_b")).cast("long")).withColumn("size", F.size("toks_b"))
+    close = F.col("size") + F.size("toks_a") - 2 * F.col("o") < F.least(F.size("toks_a"), "size")
+    differ = lambda x, y: F.when(close, F.array_except(x, y))
+    return both.select("a", "b", "o", _links(sim).alias("links"), "n_a", "size", differ("toks_b", "toks_a").alias("lacks"), differ("toks_a", "toks_b").alias("adds"))
+
+
+def _derived(pairs: DataFrame, close: DataFrame, sim: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that link, of ``pairs`` (hub, a, b) whose both sides ``close`` (hub, cls, n, size, lacks, adds) knows. What
+    they share is the hub's set without what either lacks, and what both add."""
+    both = _met(pairs, close, ("hub",))
+    inside = F.col("size_a") - F.size("lacks_a") - F.size("lacks_b") + F.size(F.array_intersect("lacks_a", "lacks_b"))
+    return both.withColumn("o", inside + F.size(F.array_intersect("adds_a", "adds_b"))).where(_links(sim)).select("a", "b")
 
 
 def _with_large(df: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
@@ -249,7 +276,7 @@ def _with_large(df: DataFrame, keys: list[str], name: str, most: int) -> DataFra
 
 
 def _tiles(large: DataFrame, sim: tuple[int, int]) -> DataFrame:
-    """Candidate pairs (a, b) of long lists, by blocks."""
+    """Candidate pairs (a, b, hub) of long lists, by blocks."""
     p, q = _needs(sim)
     own = _with_large(large, ["v", "label"], "alike", TILE // 2).withColumn("main", F.when(F.col("alike").isNotNull(), F.col("label")).otherwise(-1))
     step = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / math.log(1.15))
@@ -257,13 +284,13 @@ def _tiles(large: DataFrame, sim: tuple[int, int]) -> DataFrame:
     cell = ["v", "main", "size", "rest"]
     own = _with_large(own, cell, "cell", TILE)
     own = own.withColumn("block", F.xxhash64("main", "size", "rest", F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("cell", F.lit(1)) / TILE))))
-    own = cut(own.select("v", "block", "main", "cls", "n", "pos", "label", "o"))
+    own = cut(own.select("v", "block", "main", "cls", "n", "pos", "label", "o", "hub"))
     blocks = own.groupBy("v", "block").agg(F.first("main").alias("main"), F.count("*").alias("held"), F.min("n").alias("n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     x, y = blocks.alias("x"), blocks.alias("y")
     met = x.join(y, "v").where("x.block <= y.block and (x.main < 0 or x.main <> y.main) and (x.block <> y.block or x.held > 1)")
     met = met.where(F.expr(f"{q} * least(x.rest, y.rest) >= {p} * (x.n + y.n)")).select("v", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sent = own.join(met.select("v", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), ["v", "block"])
-    return sent.groupBy("v", "i", "j").applyInPandas(lambda key, pdf: _tile(key, pdf, sim), "a long, b long")
+    return sent.groupBy("v", "i", "j").applyInPandas(lambda key, pdf: _tile(key, pdf, sim), "a long, b long, hub long")
 
 
 def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -293,7 +320,7 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, i
     hubs = postings.groupBy("v").agg(F.count("*").alias("held"), F.min(F.struct((1 - F.col("m") / F.col("n")).alias("own"), "cls", "n", "pos")).alias("h")).where("held > 1")
     hubs = cut(hubs.select("v", "held", "h.cls", "h.n", "h.pos"))
     pairs = postings.alias("x").join(hubs.alias("y"), "v").where("x.cls <> y.cls").where(_can("x", "y", sim))
-    pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    pairs = cut(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
     checked = cut(_overlaps(pairs, sets, sim))
     star = checked.where("links").select("a", "b")
 
@@ -301,21 +328,29 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, similarity: tuple[int, i
     known = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = known.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
     known = known.join(mixed.join(hubs.select("v", "held", F.col("cls").alias("hub")), "v"), "v")
-    known = known.withColumn("a", F.least("cls", "hub")).withColumn("b", F.greatest("cls", "hub")).join(checked.select("a", "b", "o"), ["a", "b"], "left")
-    known = cut(known.select("v", "held", "cls", "n", "pos", "label", F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).cast("long").alias("o")))
-    drop(postings, hubs)
+    answers = checked.select(F.col("a").alias("cls"), F.col("b").alias("hub"), "o", F.col("lacks").isNotNull().alias("near"))
+    known = known.join(answers, ["cls", "hub"], "left")
+    o = F.when(F.col("cls") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).cast("long")
+    known = cut(known.select("v", "held", "cls", "n", "pos", "label", o.alias("o"), F.when(F.col("near"), F.col("hub")).otherwise(-1).alias("hub")))
+    drop(postings, hubs, pairs)
     small = known.where(F.col("held") <= SMALL)
-    near = small.alias("x").join(small.alias("y"), "v").where("x.cls < y.cls and x.label <> y.label").where(_can("x", "y", sim)).where(_can_by_hub("x", "y", sim)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    near = small.alias("x").join(small.alias("y"), "v").where("x.cls < y.cls and x.label <> y.label").where(_can("x", "y", sim)).where(_can_by_hub("x", "y", sim))
+    near = near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.hub", "y.hub").alias("hub"))
     far = _tiles(known.where(F.col("held") > SMALL), sim)
-    more = _overlaps(near.union(far).distinct(), sets, sim).where("links").select("a", "b")
+    left = cut(near.union(far).groupBy("a", "b").agg(F.max("hub").alias("hub")))
+    close = checked.where("lacks is not null").select(F.col("b").alias("hub"), F.col("a").alias("cls"), F.col("n_a").alias("n"), "size", "lacks", "adds")
+    more = _derived(left.where("hub >= 0"), close, sim)
+    rest = left.where("hub < 0").select("a", "b")
+    if not rest.isEmpty():
+        more = more.union(_overlaps(rest, sets, sim).where("links").select("a", "b"))
 
     full = docs.where(F.col("cls") != EMPTY)
     several = full.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("doc_id", "a")
     tied = full.join(several, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b"))  # a doc_id with several texts ties its classes
     joined = connected_components(star.union(more).union(tied))
     ends = joined.withColumnRenamed("node", "cls").join(classes, "cls")
-    best = ends.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    ends = ends.join(best, "label").select("cls", "component_id")
+    best = ends.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("held"))
+    ends = meet(ends.select("cls", "label"), best, "label", "cls").select("cls", "component_id")
     whole = classes.join(ends, "cls", "left")
     copied = docs.groupBy("cls").agg(F.count("*").alias("held")).where(F.col("held") > COPIES).join(whole, "cls")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")

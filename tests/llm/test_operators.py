@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, quality, topk_search, toxicity, warc
+from docloom.llm import common, decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, quality, topk_search, toxicity, warc
 from docloom.llm.components import connected_components
 from docloom.llm.license_rules import Rule, rules
 
@@ -66,6 +66,7 @@ def test_ngram_jaccard(spark, monkeypatch, tile, small, hot):
     monkeypatch.setattr(ngram_jaccard, "SMALL", small)
     monkeypatch.setattr(ngram_jaccard, "HOT", hot)
     monkeypatch.setattr(ngram_jaccard, "COPIES", 1 if tile < 3 else 1024)
+    monkeypatch.setattr(common, "HELD", 1 if tile < 3 else 1024)
     rows = copies() + [(200 + k, "exactly one and the same text in many rows") for k in range(5)]
     got = ngram_jaccard.ngram_jaccard(docs(spark, rows)).collect()
     assert len(got) == len(rows) - 1
@@ -86,13 +87,13 @@ def test_tiles_find_every_pair():
     import pandas as pd
 
     rng = random.Random(2)
-    rows = pd.DataFrame({"cls": range(40), "n": [rng.randrange(20, 30) for _ in range(40)], "pos": [rng.randrange(6) for _ in range(40)], "label": [rng.randrange(3) for _ in range(40)], "o": -1})
+    rows = pd.DataFrame({"cls": range(40), "n": [rng.randrange(20, 30) for _ in range(40)], "pos": [rng.randrange(6) for _ in range(40)], "label": [rng.randrange(3) for _ in range(40)], "o": -1, "hub": -1})
     rows["block"] = rows.cls % 4
     found = set()
     for i in range(4):
         for j in range(i, 4):
             own = rows[rows.block.isin((i, j))]
-            found |= set(ngram_jaccard._tile((0, i, j), own, (3, 4)).itertuples(index=False, name=None))
+            found |= set(ngram_jaccard._tile((0, i, j), own, (3, 4))[["a", "b"]].itertuples(index=False, name=None))
     expected = {(a.cls, b.cls) for a, b in itertools.combinations(rows.itertuples(), 2) if a.label != b.label and 7 * min(a.n - a.pos, b.n - b.pos) >= 3 * (a.n + b.n)}
     assert found == expected
 
@@ -104,13 +105,52 @@ def test_overlaps_with_a_hub_bound_the_others():
     rng = random.Random(12)
     hub = set(range(40))
     sets = [set(rng.sample(range(40), rng.randrange(15, 40))) | {100 + rng.randrange(12) for _ in range(rng.randrange(8))} for _ in range(60)]
-    rows = pd.DataFrame({"cls": range(60), "n": [len(x) for x in sets], "pos": 0, "label": range(60), "o": [len(x & hub) for x in sets], "block": 0})
-    found = set(ngram_jaccard._tile((0, 0, 0), rows, (3, 4)).itertuples(index=False, name=None))
+    rows = pd.DataFrame({"cls": range(60), "n": [len(x) for x in sets], "pos": 0, "label": range(60), "o": [len(x & hub) for x in sets], "hub": -1, "block": 0})
+    found = set(ngram_jaccard._tile((0, 0, 0), rows, (3, 4))[["a", "b"]].itertuples(index=False, name=None))
     linked = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    without = set(ngram_jaccard._tile((0, 0, 0), rows.assign(o=-1), (3, 4)).itertuples(index=False, name=None))
+    without = set(ngram_jaccard._tile((0, 0, 0), rows.assign(o=-1), (3, 4))[["a", "b"]].itertuples(index=False, name=None))
     assert linked and linked <= found and len(found) < len(without)
 
 
+@pytest.mark.parametrize("held", [1, 1024])
+def test_overlaps_derived_from_the_hub(spark, monkeypatch, held):
+    """What members lack of a hub and add to it gives the links that their whole sets give, and is shorter than they are."""
+    monkeypatch.setattr(common, "HELD", held)
+    rng, hub = random.Random(5), set(range(60))
+    sets = [hub] + [set(rng.sample(range(60), rng.randrange(48, 60))) | {100 + rng.randrange(30) for _ in range(rng.randrange(8))} for _ in range(30)]
+    table = spark.createDataFrame([(i, len(x), sorted(x)) for i, x in enumerate(sets)], "cls long, n long, toks array<long>")
+    checked = ngram_jaccard._overlaps(spark.createDataFrame([(i, 0) for i in range(1, 31)], "a long, b long"), table, (3, 4)).collect()
+    assert {(r.a, r.o, r.links) for r in checked} == {(i, len(x & hub), 100 * len(x & hub) >= 75 * len(x | hub)) for i, x in enumerate(sets) if i}
+    assert {r.a for r in checked if not r.links} and all(len(r.lacks) + len(r.adds) < len(sets[r.a]) for r in checked)
+    close = spark.createDataFrame([(r.b, r.a, r.n_a, r.size, r.lacks, r.adds) for r in checked], "hub long, cls long, n long, size int, lacks array<long>, adds array<long>")
+    pairs = list(itertools.combinations(range(1, 31), 2))
+    got = {(r.a, r.b) for r in ngram_jaccard._derived(spark.createDataFrame([(0, *x) for x in pairs], "hub long, a long, b long"), close, (3, 4)).collect()}
+    expected = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert got == expected and len(expected) < len(pairs)
+
+
+def test_hot_keys_meet_in_parts(spark):
+    """One key of 50,000 rows among 20,000 others: every row meets its table's row, and no part holds a twentieth."""
+    rows = spark.range(70_000).selectExpr("if(id < 50000, 7, id) key", "id other")
+    hot = common.hot_keys(rows, "key")
+    assert [r.key for r in hot.collect()] == [7]
+    dealt = common.parted(rows, hot, ["key"], "other")
+    assert dealt.groupBy("key", "part").count().agg(F.max("count")).first()[0] < 3500
+    table = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("other").alias("least"))
+    both = dealt.join(common.in_parts(table, hot, ["key"]), ["key", "part"])
+    assert both.agg(F.count("*"), F.countDistinct("other")).first() == (70_000, 70_000)
+    met = common.meet(rows, table, "key", "other")
+    assert met.agg(F.count("*"), F.countDistinct("other"), F.sum(F.when(F.col("key") == 7, F.col("least")))).first() == (70_000, 70_000, 0)
+
+
+@pytest.mark.parametrize("held", [2, 1024])
+def test_a_star_and_a_chain_through_its_centre(spark, monkeypatch, held):
+    monkeypatch.setattr(common, "HELD", held)
+    pairs = [(500, 1000 + i) for i in range(300)] + [(1000, 3), (7, 8), (8, 9)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 3 for i in (3, 500, *range(1000, 1300))} | {7: 7, 8: 7, 9: 7}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 100), (200, 201), (201, 200), (203, 201)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
