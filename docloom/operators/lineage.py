@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: list[tuple[SparkSession, str, DataFrame | None]] = []
+#: Session, path, table and the thread that wrote it.
+_TABLES: list[tuple[SparkSession, str, DataFrame | None, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,14 +29,14 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    _TABLES.append((spark, path, table))
+    _TABLES.append((spark, path, table, threading.get_ident()))
     return table
 
 
 def scratch(spark: SparkSession) -> str:
     """A path of our own in the shared folder, which goes when the driver's process ends."""
     path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-    _TABLES.append((spark, path, None))
+    _TABLES.append((spark, path, None, threading.get_ident()))
     return path
 
 
@@ -47,10 +49,10 @@ def drop(*tables: DataFrame) -> None:
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """``cut`` of what ``make`` returns; the tables that were cut on the way go, as nothing else reads them."""
-    before = {path for _, path, _ in _TABLES}
+    """``cut`` of what ``make`` returns; the tables that this thread cut on the way go, as nothing else reads them."""
+    before, own = {x[1] for x in _TABLES}, threading.get_ident()
     table = cut(make())
-    for entry in [x for x in _TABLES if x[1] not in before and x[2] is not table]:
+    for entry in [x for x in _TABLES if x[1] not in before and x[2] is not table and x[3] == own]:
         _TABLES.remove(entry)
         _remove(*entry[:2])
     return table
@@ -63,6 +65,6 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _drop_tables() -> None:
-    for spark, path, _ in _TABLES:
+    for spark, path, *_ in _TABLES:
         with contextlib.suppress(Exception):
             _remove(spark, path)

@@ -93,3 +93,21 @@ def test_empty_merges_and_rows_that_repeat(spark, graph):
     assert [r.label for r in graph.nodes().collect()] == ["b"]
     graph.sweep()
     assert graph.nodes().count() == 1
+
+
+def test_a_settled_step_leaves_tables_of_other_threads(spark):
+    """What the step wrote on its way goes; what another thread writes meanwhile stays."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from docloom.operators.lineage import cut, settled
+
+    own, others = [], []
+
+    def step():
+        own.append(cut(spark.range(3)))
+        with ThreadPoolExecutor(1) as pool:
+            others.append(pool.submit(cut, spark.range(5)).result())
+        return own[0]
+
+    assert settled(step).count() == 3 and others[0].count() == 5
+    assert not Path(own[0].inputFiles()[0].removeprefix("file:")).exists()
