@@ -47,7 +47,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), per
     full = (F.col("source_size") * most).cast("double")
     if not per:  # all of them stop
         return table.select("source_key", "source_size", full.alias("target"))
-    own = (F.col("weight") * F.lit(share)).cast("double") / F.lit(float(per))
+    own = (wide(F.col("weight")) * wide(share)).cast("double") / F.lit(float(per))
     return table.select("source_key", "source_size", F.when(above, full).otherwise(own).alias("target"))
 
 

@@ -99,3 +99,11 @@ def test_one_source_of_equal_hashes_to_the_last_bit(spark):
 def test_empty_tables(spark):
     assert run(spark, []) == []
     assert [(r.target, r.taken) for r in run(spark, [(1, None, "a"), (2, "", None)])] == [(0.0, 0), (0.0, 0)]
+
+
+def test_targets_of_millions_of_words(spark):
+    """A share of 1.5e9 is an int; times a weight it no longer is."""
+    sizes = {"a": 8_000_000, "b": 2_000_000}
+    sources = spark.createDataFrame([(f"s{k}", n) for k, n in sizes.items()], "source_key string, source_size long")
+    got = {r.source_key[1:]: r.target for r in mixing.source_targets(sources).collect()}
+    assert got == {k: float(v) for k, v in targets_by_hand(sizes).items()} == {"a": 11_250_000.0, "b": 3_750_000.0}
