@@ -51,6 +51,7 @@ def latency_metrics(latencies: DataFrame) -> DataFrame:
 
 def spread(rows: DataFrame, column: str, upper: bool) -> DataFrame:
     """avg, median (the upper middle value, or the mean of the middle ones), min and max of a column; nulls for no rows."""
+    rows = cut(rows.select(column))  # or the ranges' sample, the ranges and the other sums would each compute it again
     middle = values_at(rows, column, lambda n: [n // 2] if upper else [(n - 1) // 2, n // 2])
     median = None if middle[0] is None else sum(middle) / len(middle)
     return rows.agg(F.round(F.avg(column), 9).alias(f"avg_{column}"), F.lit(median).cast("double").alias(f"median_{column}"), F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))

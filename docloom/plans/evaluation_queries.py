@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import retrieve as R
 from . import retrieval_queries as RQ
-from .registry import query, table
+from .registry import query, spread, table
 
 _PAIRS = r"""p AS (SELECT conv_id, turn, text AS a, array_to_string([x for x, i in string_split(text, ' ') if i % 7 <> 0], ' ') AS b FROM conversations)"""
 _GRAM = "[array_to_string({0}[i : i + 1], ' ') for i in range(1, len({0}))]"
@@ -21,7 +21,7 @@ _NT = r"array_to_string([x for x in regexp_split_to_array(regexp_replace(lower({
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, turn, a, b): every turn, and what is left of it."""
     b = F.array_join(F.filter(F.split("text", " "), lambda x, i: (i + 1) % 7 != 0), " ")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), b.alias("b"))
+    return spread(table(spark, d, "conversations")).select("conv_id", "turn", F.col("text").alias("a"), b.alias("b"))
 
 
 _SETS = f"WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_NW.format('a')} AS x, {_NW.format('b')} AS y FROM p), s AS (SELECT conv_id, turn, x, y, len(list_intersect(list_distinct(x), list_distinct(y))) AS h, len(list_distinct(x)) AS nx, len(list_distinct(y)) AS ny FROM w)"

@@ -158,3 +158,25 @@ def test_paths_of_urls_with_repeated_slashes(spark):
 
     df = spark.createDataFrame([(u,) for u in ("http://h/", "http://h//", "http://h/a", "http://h//a//", "http://h/a/")], "u string")
     assert [x[0] for x in df.select(W.relative_path(F.col("u"), "http://h")).collect()] == ["index.html", "index.html", "a", "a/index.html", "a/index.html"]
+
+
+def test_character_edits_against_the_table(spark):
+    rng = random.Random(7)
+    texts = ["", "a", "naïve \U0001f600 x", *["".join(rng.choice("abc é") for _ in range(rng.randrange(150))) for _ in range(60)]]
+    for a, b in zip(texts, texts[::-1], strict=True):
+        assert S.character_edits(a, b) == S.edit_table(list(a), list(b))[-1, -1]
+    rows = spark.createDataFrame([*zip(texts, texts[::-1], strict=True), (None, "a"), ("a", None)], "a string, b string")
+    assert all(r.x == r.y for r in rows.select(S.edit_distance("a", "b").alias("x"), F.levenshtein("a", "b").alias("y")).collect())
+
+
+def test_spread_works_values_out_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        met.add(1)
+        return x / 4
+
+    rows = spark.range(9).select(costly("id").alias("v"))
+    assert tuple(E.spread(rows, "v", upper=True).first()) == (1.0, 1.0, 0.0, 2.0)
+    assert met.value == 9
