@@ -139,10 +139,13 @@ def _best_of_batch(frames: Iterator[pd.DataFrame], names: list, matrix: np.ndarr
 
 
 def hash_embedding(text: Column, dimensions: int, seed: str = "fixture") -> Column:
-    """Unit vector of bytes of sha256("seed:counter:text"), each byte b as 2 b / 255 - 1."""
+    """Unit vector of bytes of sha256("seed:counter:text"), each byte b as 2 b / 255 - 1.
+
+    Whole numbers 2 b - 255 have the same direction and an exact norm, so a component is rounded once.
+    """
     blocks = -(-dimensions // 32)
     digest = F.concat(*[F.sha2(F.concat(F.lit(f"{seed}:{i}:"), text), 256) for i in range(blocks)])
-    raw = T.let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(d, i * 2 + 1, 2), 16, 10).cast("double") / 255 * 2 - 1))
+    raw = T.let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substring(d, i * 2 + 1, 2), 16, 10).cast("double") * 2 - 255))
     return unit(raw)
 
 

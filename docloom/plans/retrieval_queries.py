@@ -164,7 +164,10 @@ def cos(spark: SparkSession, d: str) -> DataFrame:
 _HASH = "[('0x' || substr(sha256('fixture:0:' || text), 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE * 2 - 1 for i in range(16)]"
 
 
-@query(f"WITH r AS (SELECT doc_id, {_HASH} AS v FROM documents) SELECT doc_id, [round(x / sqrt(list_dot_product(v, v)), 6) for x in v] AS vector FROM r")
+_WHOLE = "[2 * ('0x' || substr(sha256('fixture:0:' || text), 2 * i + 1, 2))::INTEGER - 255 for i in range(16)]"
+
+
+@query(f"WITH r AS (SELECT doc_id, {_WHOLE} AS v FROM documents), s AS (SELECT doc_id, v, sqrt(list_sum([y * y for y in v])) AS n FROM r) SELECT doc_id, [round(x * 1e6 / n) / 1e6 for x in v] AS vector FROM s")
 def emb_hash(spark: SparkSession, d: str) -> DataFrame:
     v = R.hash_embedding(F.col("text"), 16)
     return table(spark, d, "documents").select("doc_id", F.transform(v, lambda x: F.round(x, 6)).alias("vector"))

@@ -1,4 +1,6 @@
+import hashlib
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,14 @@ def test_vectors_are_ranked_with_ties_by_id(spark):
     v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, vector array<float>")
     assert [(r.vec_id, r.score) for r in R.vector_candidates(v, q, 3).orderBy("rank").collect()] == [(1, 1.0), (3, 1.0), (2, -1.0)]
+
+
+def test_hash_embedding_rounds_once(spark):
+    """A text whose whole-numbered vector has the length 640: its components end in a 5 at the seventh place."""
+    raw = lambda t: [2 * b - 255 for b in hashlib.sha256(f"fixture:0:{t}".encode()).digest()[:16]]
+    texts = [t for t in map(str, range(150_000)) if sum(x * x for x in raw(t)) == 640 * 640]
+    assert texts
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", R.hash_embedding(F.col("t"), 16).alias("v"), F.transform(R.hash_embedding(F.col("t"), 16), lambda x: F.round(x, 6)).alias("r")).collect():
+        assert r.v == [x / 640 for x in raw(r.t)]
+        assert r.r == [float((Decimal(x) / 640).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for x in raw(r.t)]
