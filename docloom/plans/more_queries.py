@@ -131,9 +131,23 @@ def cp_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return pack.select("query_id", "n_blocks", F.md5("text").alias("digest"))
 
 
-@query(f"WITH {RQ.budget_sql(8, 4000)}, {_PACK} SELECT query_id, count(*) AS n_blocks, md5(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS digest FROM p GROUP BY query_id")
+def _halved_sql(most: int, levels: tuple[int, ...], tokens: int) -> str:
+    """Packs of every level of characters, and of these the first level whose packs have ``tokens`` at most, or the last."""
+    steps = ["k0 AS (SELECT query_id, ch, 0 AS rank, 0 AS used FROM q, l)"]
+    for i in range(1, most + 1):
+        steps.append(f"k{i} AS (SELECT k.query_id, k.ch, min(c.rank) AS rank, any_value(k.used) + arg_min(c.n, c.rank) AS used FROM k{i - 1} k JOIN c ON c.query_id = k.query_id AND c.rank > k.rank AND k.used + c.n <= k.ch GROUP BY k.query_id, k.ch)")
+    taken = " UNION ALL ".join(f"SELECT query_id, ch, rank FROM k{i}" for i in range(1, most + 1))
+    spaces = "".join(x for x in T.WHITE if not "\x1c" <= x <= "\x1f")
+    return f"""WITH {RQ._SCAN}, c AS MATERIALIZED (SELECT query_id, item_id, rank, length(text) AS n FROM r), l AS (SELECT unnest({list(levels)}) AS ch), {", ".join(steps)},
+p AS (SELECT query_id, ch, rank, trim(d.text, '{T.WHITE}') AS t FROM ({taken}) JOIN c USING (query_id, rank) JOIN documents d ON d.doc_id::VARCHAR = c.item_id WHERE trim(d.text, '{T.WHITE}') <> ''),
+n AS (SELECT ch, query_id, sum(len([x for x in regexp_split_to_array(t, '[{spaces}]+') if x <> ''])) AS n FROM p GROUP BY ALL),
+m AS (SELECT l.ch, coalesce(max(n), 0) AS n FROM l LEFT JOIN n USING (ch) GROUP BY l.ch), g AS (SELECT coalesce(max(ch) FILTER (n <= {tokens}), min(ch)) AS ch FROM m)
+SELECT query_id, count(*) AS n_blocks, md5(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS digest FROM p JOIN g USING (ch) GROUP BY query_id"""
+
+
+@query(_halved_sql(8, (16000, 8000, 4000, 2000), 800))
 def ce_rpack(spark: SparkSession, d: str) -> DataFrame:
-    """Characters halved from 16,000 until every pack has 800 tokens at most; on the given tables to 4,000."""
+    """Characters halved from 16,000 until every pack has 800 tokens at most, three times at most."""
     from .workflow import PackRequest, render_pack
 
     items = RQ.items(spark, d)

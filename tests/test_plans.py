@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from docloom.operators import analyse as A
 from docloom.operators import extract as E
 from docloom.operators import graph as G
 from docloom.operators import ingest as I
+from docloom.plans import registry
 from docloom.plans import workflow as W
 from docloom.sources import providers as P
 
@@ -116,3 +118,16 @@ def test_queries_are_listed_without_a_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
+@pytest.mark.parametrize("word", ["alphabetical", "a"])
+def test_halved_packs_equal_their_sql(spark, tmp_path, word):
+    """Packs that end at 8,000 characters, and at the last level, 2,000."""
+    texts = [f" \n the {(word + ' ') * (1900 // (len(word) + 1) - i % 3)}\n" for i in range(30)]
+    rows = [(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = con.execute(registry.oracle_sql()["ce_rpack"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["ce_rpack"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected) and len(got) == 1
