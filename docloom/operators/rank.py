@@ -152,9 +152,20 @@ def minimum_score(df: DataFrame, least: float) -> DataFrame:
 
 
 def longest_first(df: DataFrame) -> DataFrame:
-    """position 1, 2, ... by falling length of the trimmed text, then item_id; rank stays as it was."""
-    w = Window.partitionBy("query_id").orderBy(F.length(T.strip(F.coalesce("text", F.lit("")))).desc(), "item_id")
-    return df.withColumn("position", F.row_number().over(w))
+    """position 1, 2, ... by falling length of the trimmed text, then item_id; rank stays as it was.
+
+    A column ``trimmed`` stands for that length, so that positions can be given without moving the texts. Positions come
+    from ranges over many tasks.
+    """
+    known = "trimmed" in df.columns
+    rows = df if known else df.withColumn("trimmed", trimmed_length(F.col("text")))
+    rows = rows.withColumnRenamed("rank", "_rank") if "rank" in df.columns else rows
+    placed = rank_in_ranges(rows, ["query_id"], F.col("trimmed").desc(), "item_id").withColumn("position", F.col("rank").cast("int"))
+    return placed.select(*[F.col("_rank").alias("rank") if c == "rank" else c for c in df.columns], "position")
+
+
+def trimmed_length(text: Column) -> Column:
+    return F.length(T.strip(F.coalesce(text, F.lit(""))))
 
 
 def rerank_by_terms(ranked: DataFrame, tokens: Column, top_k: int) -> DataFrame:

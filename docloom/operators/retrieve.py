@@ -17,6 +17,8 @@ from .rank import QueryBudget, apply_budget, rank_by_score
 
 #: Queries that meet all rows at a time.
 QUERY_BLOCK = 1024
+#: Pairs of a query and a vector whose scores a task holds at once, and rows that it gives out at once.
+SCORES, OUT_ROWS = 1 << 20, 1 << 16
 
 
 def scan(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -42,12 +44,18 @@ def term_frequencies(items: DataFrame, key: str = "item_id", tokens: Column | No
 
 
 def tf_cosine(tf: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id, score): cosine of raw term counts, no idf; only scores above 0, rounded to 9 places."""
+    """(query_id, item_id, score): cosine of raw term counts, no idf; only scores above 0, rounded to 9 places.
+
+    Queries are a stated set: their terms are written into the plan, so an item's length and the few counts that meet a
+    query come from one pass over ``tf``.
+    """
     q = queries.select("query_id", F.explode(T.term_tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qf") * F.col("qf"))).alias("qnorm"))
-    lengths = tf.groupBy("item_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("inorm"))
-    dots = tf.join(q, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("dot"))
-    return dots.join(lengths, "item_id").join(norm, "query_id").select("query_id", "item_id", F.round(F.col("dot") / (F.col("inorm") * F.col("qnorm")), 9).alias("score")).where("score > 0")
+    wanted = [r.term for r in q.select("term").distinct().collect()]
+    hit = F.when(F.col("term").isin(*wanted) if wanted else F.lit(False), F.struct("term", "tf"))
+    met = tf.groupBy("item_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("inorm"), F.collect_list(hit).alias("hits")).where(F.size("hits") > 0)
+    dots = met.select("item_id", "inorm", F.inline("hits")).join(q, "term").groupBy("query_id", "item_id", "inorm").agg(F.sum(F.col("tf") * F.col("qf")).alias("dot"))
+    return dots.join(norm, "query_id").select("query_id", "item_id", F.round(F.col("dot") / (F.col("inorm") * F.col("qnorm")), 9).alias("score")).where("score > 0")
 
 
 def query_terms(queries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -129,13 +137,25 @@ def vector_candidates(vectors: DataFrame, queries: DataFrame, limit: int) -> Dat
 
 
 def _best_of_batch(frames: Iterator[pd.DataFrame], names: list, matrix: np.ndarray, limit: int) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        if not len(pdf) or not len(names):
-            continue
-        scores = np.round(np.stack(pdf.embedding.to_numpy()) @ matrix.T, 6)
-        ids = pdf.vec_id.to_numpy()
-        best = [np.lexsort((ids, -scores[:, j]))[:limit] for j in range(len(names))]
-        yield pd.DataFrame({"query_id": np.repeat(np.array(names, object), [len(b) for b in best]), "vec_id": ids[np.concatenate(best)], "score": np.concatenate([scores[b, j] for j, b in enumerate(best)])})
+    """Each query's ``limit`` best of a task's rows; a task keeps these and the scores of ``SCORES`` pairs."""
+    query, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows = max(1, SCORES // max(1, len(names)))
+    for pdf in frames if len(names) else ():
+        for at in range(0, len(pdf), rows):
+            part = pdf.iloc[at : at + rows]
+            own = np.round(np.stack(part.embedding.to_numpy()) @ matrix.T, 6)
+            if limit < len(own):  # what ties with a query's last one too
+                row, col = np.nonzero(own >= np.partition(own, len(own) - limit, axis=0)[len(own) - limit])
+            else:
+                row, col = np.divmod(np.arange(own.size), len(names))
+            query, ids, scores = np.concatenate([query, col]), np.concatenate([ids, part.vec_id.to_numpy()[row]]), np.concatenate([scores, own[row, col]])
+            order = np.lexsort((ids, -scores, query))
+            query, ids, scores = query[order], ids[order], scores[order]
+            best = np.arange(len(query)) - np.searchsorted(query, query) < limit
+            query, ids, scores = query[best], ids[best], scores[best]
+    for at in range(0, len(query), OUT_ROWS):
+        span = slice(at, at + OUT_ROWS)
+        yield pd.DataFrame({"query_id": np.array(names, object)[query[span]], "vec_id": ids[span], "score": scores[span]})
 
 
 def hash_embedding(text: Column, dimensions: int, seed: str = "fixture") -> Column:

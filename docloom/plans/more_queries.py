@@ -39,8 +39,9 @@ def j_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RQ._Q}, f AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), g AS (SELECT query_id, unnest(string_split(query_text, ' ')) AS term FROM q) SELECT query_id, term, count(*) AS n FROM f JOIN g USING (term) GROUP BY ALL")
 def j_terms(spark: SparkSession, d: str) -> DataFrame:
-    tf = R.term_frequencies(RQ.items(spark, d))
     asked = RQ.queries(spark).select("query_id", F.explode(F.split("query_text", " ")).alias("term"))
+    wanted = [r.term for r in asked.select("term").distinct().collect()]  # the stated queries' terms; no other is counted
+    tf = R.term_frequencies(RQ.items(spark, d), tokens=F.filter(T.term_tokens(F.col("text")), lambda t: t.isin(*wanted)))
     return tf.join(asked, "term").groupBy("query_id", "term").agg(F.sum("tf").alias("n"))
 
 

@@ -129,7 +129,9 @@ def f_minscore(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SCAN} SELECT query_id, item_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY length(trim(text)) DESC, item_id)::INTEGER AS position FROM r")
 def s_longest(spark: SparkSession, d: str) -> DataFrame:
-    return K.longest_first(_scanned(spark, d)).select("query_id", "item_id", "rank", "position")
+    found = R.scan(items(spark, d), queries(spark)).select("query_id", "item_id", "score", K.trimmed_length(F.col("text")).alias("trimmed"))
+    ranked = K.rank_in_ranges(found, ["query_id"], F.col("score").desc(), "item_id").withColumn("rank", F.col("rank").cast("int"))
+    return K.longest_first(ranked).select("query_id", "item_id", "rank", "position")
 
 
 @query(f"WITH {_SCAN} SELECT query_id, item_id, source_uri, 'text/plain' AS media_type, rank, 'scan' AS stage, sha256(text) AS hash FROM r WHERE rank <= 10")

@@ -2,12 +2,15 @@ import hashlib
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import rank as K
 from docloom.operators import retrieve as R
 from docloom.plans import registry
+from docloom.plans import retrieval_queries as RQ
 
 ROWS = [("a", "alpha bravo charlie"), ("b", "alpha beta charlie alpha"), ("c", "Gamma unique signal.")]
 
@@ -109,3 +112,49 @@ def test_hash_embedding_rounds_once(spark):
     for r in rows.select("t", R.hash_embedding(F.col("t"), 16).alias("v"), F.transform(R.hash_embedding(F.col("t"), 16), lambda x: F.round(x, 6)).alias("r")).collect():
         assert r.v == [x / 640 for x in raw(r.t)]
         assert r.r == [float((Decimal(x) / 640).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for x in raw(r.t)]
+
+
+def test_longest_first_lies_in_many_tasks(spark):
+    rows = spark.range(4000).select(F.lit("q").alias("query_id"), F.col("id").cast("string").alias("item_id"), (F.col("id") + 1).cast("int").alias("rank"), F.expr("repeat('x', cast(id % 50 as int)) || ' \n'").alias("text"))
+    placed = K.longest_first(rows).withColumn("task", F.spark_partition_id())
+    got = placed.orderBy("position").collect()
+    assert [(r.item_id, r.position) for r in got] == [(x, i + 1) for i, x in enumerate(sorted(map(str, range(4000)), key=lambda x: (-(int(x) % 50), x)))]
+    assert all(r["rank"] == int(r.item_id) + 1 for r in got)
+    assert max(r["count"] for r in placed.groupBy("task").count().collect()) < 2500
+
+
+def test_terms_are_counted_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def costly(n):
+        met.add(1)
+        return n
+
+    tf = spark.createDataFrame([("a", "alpha", 2), ("a", "beta", 1), ("b", "gamma", 3)], "item_id string, term string, n long").select("item_id", "term", costly("n").alias("tf"))
+    asked = spark.createDataFrame([("q", "alpha alpha delta")], "query_id string, query_text string")
+    assert [tuple(r) for r in R.tf_cosine(tf, asked).collect()] == [("q", "a", 0.8)]
+    assert met.value == 3
+
+
+def test_only_asked_terms_are_grouped(spark, monkeypatch):
+    counted, whole = [], R.term_frequencies
+
+    def kept(*a, **b):
+        counted.append(whole(*a, **b))
+        return counted[-1]
+
+    monkeypatch.setattr(R, "term_frequencies", kept)
+    registry.queries()["j_terms"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.term for r in counted[0].select("term").distinct().collect()} <= {w for _, t in RQ.QUERIES for w in t.split()}
+
+
+@pytest.mark.parametrize("limit", [1, 7, 500])
+def test_vector_search_keeps_the_best_of_a_task(monkeypatch, limit):
+    monkeypatch.setattr(R, "SCORES", 40)
+    rng = np.random.default_rng(3)
+    vectors, matrix = rng.integers(-2, 3, (300, 3)).astype(float), rng.integers(-2, 3, (9, 3)).astype(float)
+    frames = [pd.DataFrame({"vec_id": np.arange(300)[::-1][a : a + 50], "embedding": list(vectors[::-1][a : a + 50])}) for a in range(0, 300, 50)]
+    got = pd.concat(R._best_of_batch(iter(frames), list("abcdefghi"), matrix, limit))
+    expected = [(q, i, s) for j, q in enumerate("abcdefghi") for s, i in sorted(((float(v @ matrix[j]), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))[:limit]]
+    assert list(zip(got.query_id, got.vec_id, got.score, strict=True)) == expected
