@@ -36,9 +36,10 @@ def parse(marked: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(SPAN))
-def parse_spans(marked: pd.Series) -> pd.Series:
-    return marked.map(lambda t: None if t is None else parse(t))
+@F.udf(ArrayType(SPAN), useArrow=False)
+def parse_spans(marked: str | None) -> list[dict] | None:
+    """``parse`` of each text, a hundred rows at a time: an Arrow batch of ten thousand and its spans would lie in memory."""
+    return None if marked is None else parse(marked)
 
 
 def strip_tags(marked: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +57,9 @@ def token_windows(text: Column, size: int, overlap: int) -> Column:
         raise ValueError("overlap must be at least 0 and less than size")
     stride = size - overlap
 
-    @F.pandas_udf("array<struct<span_start:int,span_end:int,text:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(_windows(t or "", size, stride)))
+    @F.udf("array<struct<span_start:int,span_end:int,text:string>>", useArrow=False)  # a hundred rows at a time
+    def cut(text: str | None) -> list[dict]:
+        return list(_windows(text or "", size, stride))
 
     return cut(text)
 

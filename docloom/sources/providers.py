@@ -146,12 +146,9 @@ def transcribed(content: Column, media_type: Column, provider: SpeechProvider, l
 def analysed(text: Column, provider: LanguageProvider) -> Column:
     """(entities, relations) of every text; null for null ones."""
 
-    @F.pandas_udf("struct<entities:array<struct<text:string,kind:string,start:int,end:int>>,relations:array<struct<subject:string,verb:string,object:string>>>")
-    def ask(texts: pd.Series) -> pd.DataFrame:
-        full = [t if isinstance(t, str) else None for t in texts]
-        entities = [None if t is None else [dict(zip(("text", "kind", "start", "end"), e, strict=True)) for e in provider.entities(t)] for t in full]
-        relations = [None if t is None else [dict(zip(("subject", "verb", "object"), r, strict=True)) for r in provider.relations(t)] for t in full]
-        return pd.DataFrame({"entities": entities, "relations": relations})
+    @F.udf("struct<entities:array<struct<text:string,kind:string,start:int,end:int>>,relations:array<struct<subject:string,verb:string,object:string>>>", useArrow=False)  # a hundred rows at a time
+    def ask(text: str | None) -> tuple:
+        return (None, None) if text is None else ([tuple(e) for e in provider.entities(text)], [tuple(r) for r in provider.relations(text)])
 
     return ask(text)
 

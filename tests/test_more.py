@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import markup as M
 from docloom.functions import text as T
 from docloom.operators import analyse as A
+from docloom.operators import chunk
 from docloom.operators import evaluate as E
 from docloom.operators import extract as X
 from docloom.operators import graph as G
@@ -18,6 +19,7 @@ from docloom.operators import lineage
 from docloom.operators import retrieve as R
 from docloom.plans import workflow as W
 from docloom.sources import web
+from docloom.sources import providers
 
 
 def test_links_of_any_quoting(spark):
@@ -170,3 +172,14 @@ def test_tables_end_lineage_and_can_be_dropped(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.shared_dir(Session())
+
+
+def test_texts_are_read_a_hundred_at_a_time(spark):
+    """Not in Arrow batches of ten thousand texts with all that is found in them."""
+    rows = spark.createDataFrame([("Ada met Bob <span kind=\"a\">here</span>",), (None,)], "t string")
+    for made in (providers.analysed(F.col("t"), providers.CapitalWords()), M.parse_spans("t"), chunk.token_windows(F.col("t"), 2, 1)):
+        plan = rows.select(made.alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    got = rows.select(providers.analysed(F.col("t"), providers.CapitalWords()).alias("x"), M.parse_spans("t").alias("s")).collect()
+    assert [e.text for e in got[0].x.entities] == ["Ada", "Bob"] and got[0].s[0].start == 12
+    assert got[1].x.entities is None and got[1].s is None
