@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,15 +14,20 @@ def cooccurrences(items: DataFrame, window: int = 4, least: int = 1) -> DataFram
     """(item_id, a, b, n): how many windows of ``window`` words hold both a < b, one window from every word on, each
     pair once in a window.
 
-    Pairs of a window are made in place, at most window^2 / 2 of them, so nothing is joined.
+    Texts are dealt by item_id, and what counts their pairs stays in that deal, so no pair is shuffled. A window is a row
+    of ``window`` columns, null behind the last word and where a word stands in it before; its pairs are at most
+    window^2 / 2.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    placed = items.select("item_id", words.alias("w")).select("item_id", "w", F.explode(F.expr("if(size(w) > 1, sequence(1, size(w) - 1), cast(array() as array<int>))")).alias("i"))
-    own = placed.select("item_id", F.array_sort(F.array_distinct(F.slice("w", F.col("i"), window))).alias("u"))
-    pairs = F.expr("flatten(transform(u, (x, i) -> transform(slice(u, i + 2, size(u)), y -> struct(x as a, y as b))))")
-    return own.select("item_id", F.explode(pairs).alias("p")).groupBy("item_id", "p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    placed = items.select("item_id", "text").repartition(n, "item_id").select("item_id", words.alias("w")).where("size(w) > 1").select("item_id", "w", F.explode(F.expr("sequence(0, size(w) - 2)")).alias("i"))
+    own = placed.select("item_id", *[F.get("w", F.col("i") + k).alias(f"w{k}") for k in range(window)])
+    once = own.select("item_id", *[F.when(F.coalesce(reduce(Column.__or__, [F.col(f"w{k}") == F.col(f"w{j}") for j in range(k)], F.lit(False)), F.lit(False)), None).otherwise(F.col(f"w{k}")).alias(f"u{k}") for k in range(window)])
+    both = [F.struct(F.col(f"u{j}").alias("x"), F.col(f"u{k}").alias("y")) for k in range(window) for j in range(k)]
+    pairs = once.select("item_id", F.explode(F.array(*both)).alias("p")).where("p.x is not null and p.y is not null")
+    return pairs.groupBy("item_id", F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def canonical(label: Column) -> Column:
