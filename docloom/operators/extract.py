@@ -246,11 +246,14 @@ def layout_text(regions: Column, least: float, glue: str = " ") -> Column:
     """
     boxed = F.filter(F.transform(regions, lambda r, i: F.struct(F.coalesce(r.order, F.lit(999)).alias("o"), i.alias("i"), r.bbox.alias("b"), r.words.alias("w"))), lambda r: F.size(r.b) == 4)
     words = F.transform(F.array_sort(boxed), lambda r: F.filter(r.w, lambda w: (w.confidence >= least) & (~T.blank(w.text))))
-    read = F.filter(words, lambda ws: F.size(ws) > 0)
-    text = F.array_join(F.transform(read, lambda ws: F.array_join(F.transform(ws, lambda w: w.text), glue)), "\n\n")
-    sure = F.flatten(F.transform(read, lambda ws: F.transform(ws, lambda w: w.confidence)))
-    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure))
-    return F.struct(text.alias("text"), mean.alias("confidence"), F.size(regions).alias("regions_processed"), F.size(read).alias("regions_with_text"))
+
+    def page(read: Column) -> Column:
+        text = F.array_join(F.transform(read, lambda ws: F.array_join(ws.text, glue)), "\n\n")
+        sure = F.flatten(F.transform(read, lambda ws: ws.confidence))
+        mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure))
+        return F.struct(text.alias("text"), mean.alias("confidence"), F.size(regions).alias("regions_processed"), F.size(read).alias("regions_with_text"))
+
+    return T.let(F.filter(words, lambda ws: F.size(ws) > 0), page)
 
 
 def transcript_text(payload: Column, channel: int | None = None, speaker: int | None = None) -> Column:

@@ -1,5 +1,8 @@
 """What must not grow faster than the input: shuffles and repeated work, as plans tell them."""
 
+from pyspark.sql import functions as F
+
+from docloom.operators import extract as E
 from docloom.operators import graph as G
 
 
@@ -13,3 +16,11 @@ def test_pairs_of_windows_are_counted_where_their_texts_were_dealt(spark):
     found = G.cooccurrences(items, 3)
     assert plan(found).count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, found.collect())) == [(1, "a", "b", 3), (1, "a", "c", 1), (1, "b", "c", 2)]
+
+
+def test_a_page_is_read_once_for_its_text_and_its_count(spark):
+    words = F.array(*[F.struct(F.lit(w).alias("text"), F.lit(c).alias("confidence")) for w, c in (("sure", 0.9), ("not", 0.1), ("too", 0.7))])
+    regions = F.array(F.struct(F.lit(1).alias("order"), F.array(*[F.lit(0.0)] * 4).alias("bbox"), words.alias("words")))
+    found = spark.range(1).select(E.layout_text(regions, 0.5).alias("x")).select("x.*")
+    assert plan(found, True).count("array_sort(") == 1
+    assert [tuple(r) for r in found.collect()] == [("sure too", 0.8, 1, 1)]
