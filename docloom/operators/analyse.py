@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import markov as M
 from .fold import fold_groups
-from .lineage import cut
+from .lineage import cut, drop
 
 
 def media_counts(items: DataFrame) -> DataFrame:
@@ -294,52 +294,19 @@ def _checked_names(answer: str, states: list, most_words: int) -> tuple[str | No
     return (f"{answer}\n{'; '.join(faults)}." if faults else None), names
 
 
-def _log(x: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(x, 1e-300))
-
-
-def _one_argument(function):
-    return lambda pdf: function(pdf)
-
-
-def _expected_counts(pdf: pd.DataFrame, model: list[np.ndarray]) -> pd.DataFrame:
-    """One sequence's expected starts, transitions and emissions, one after the other in one column."""
-    start, trans, emit = model
-    states, n_symbols = emit.shape
-    obs = pdf.sort_values("idx").symbol.to_numpy()
-    n = len(obs)
-    a, b, scale = np.zeros((n, states)), np.ones((n, states)), np.zeros(n)
-    for t in range(n):
-        a[t] = (start if t == 0 else a[t - 1] @ trans) * emit[:, obs[t]]
-        scale[t] = max(a[t].sum(), 1e-300)
-        a[t] /= scale[t]
-    for t in range(n - 2, -1, -1):
-        b[t] = trans @ (emit[:, obs[t + 1]] * b[t + 1]) / scale[t + 1]
-    gamma = a * b
-    gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-300)
-    xi = sum((a[t][:, None] * trans * (emit[:, obs[t + 1]] * b[t + 1])[None, :] / scale[t + 1] for t in range(n - 1)), np.zeros((states, states)))
-    out = np.zeros((states, n_symbols))
-    np.add.at(out.T, obs, gamma)
-    whole = np.concatenate([gamma[0], xi.ravel(), out.ravel()])
-    return pd.DataFrame({"k": np.arange(len(whole)), "w": whole})
-
-
 def fit_hmm(symbols: DataFrame, states: int, n_symbols: int, rounds: int = 10, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, transition, emission) of a categorical hidden Markov model for symbols (seq, idx, symbol 0..n-1).
 
-    Every round's expected counts are taken sequence by sequence in tasks and summed by Spark; what reaches the
-    driver is the model's own size. Rows without any weight become uniform.
+    Every round's expected counts are taken in tasks, of many sequences side by side and of long ones block by block,
+    and summed by Spark; what reaches the driver is the model's own size. Rows without any weight become uniform.
     """
     rng = np.random.default_rng(seed)
     model = [m / m.sum(-1, keepdims=True) for m in (rng.random(states) + 0.5, rng.random((states, states)) + 0.5, rng.random((states, n_symbols)) + 0.5)]
+    blocks = symbol_blocks(symbols)
     for _ in range(rounds):
-        expected = partial(_expected_counts, model=model)
-        sums = symbols.groupBy("seq").applyInPandas(_one_argument(expected), "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect()
-        flat = np.zeros(states + states * states + states * n_symbols)
-        for r in sums:
-            flat[r.k] = r.w
-        parts = np.split(flat, [states, states + states * states])
+        _, *parts = np.split(M.summed(blocks, M.CategoricalModel(*model)), np.cumsum([1, states, states * states]))
         model = [_normal(parts[0]), _normal(parts[1].reshape(states, states)), _normal(parts[2].reshape(states, n_symbols))]
+    drop(blocks)
     return tuple(model)
 
 
@@ -350,22 +317,12 @@ def _normal(m: np.ndarray) -> np.ndarray:
 
 def decode_hmm(symbols: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """(seq, idx, state): the likeliest states of each sequence."""
-    start, trans, emit = map(_log, model)
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        obs = pdf.symbol.to_numpy()
-        score, back = start + emit[:, obs[0]], np.zeros((len(obs), len(start)), int)
-        for t in range(1, len(obs)):
-            all_ = score[:, None] + trans
-            back[t] = all_.argmax(0)
-            score = all_.max(0) + emit[:, obs[t]]
-        path = [int(score.argmax())]
-        for t in range(len(obs) - 1, 0, -1):
-            path.append(int(back[t, path[-1]]))
-        return pd.DataFrame({"seq": pdf.seq.to_numpy(), "idx": pdf.idx.to_numpy(), "state": path[::-1]})
-
-    return symbols.groupBy("seq").applyInPandas(best, "seq long, idx long, state int")
+    return M.decode_gaussian(symbol_blocks(symbols), M.CategoricalModel(*model))
+
+
+def symbol_blocks(symbols: DataFrame) -> DataFrame:
+    """Symbols (seq, idx, symbol) as ``markov.sequence_blocks``."""
+    return M.sequence_blocks(symbols.select("seq", "idx", M.column_vector(F.col("symbol")).alias("vector")))
 
 
 def codes(labels: DataFrame, column: str) -> DataFrame:

@@ -36,6 +36,34 @@ class GaussianModel:
             out[:, j] = -0.5 * (d * np.log(2 * np.pi) + (z * z).sum(0)) - np.log(np.diag(lower)).sum()
         return out
 
+    def sums(self, x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """Each state's weight, vectors and products of vectors."""
+        return np.concatenate([gamma.sum(0), (gamma.T @ x).ravel(), np.einsum("nk,ni,nj->kij", gamma, x, x, optimize=True).ravel()])
+
+    def n_sums(self) -> int:
+        k, d = self.means.shape
+        return k + k * d + k * d * d
+
+
+@dataclass(frozen=True)
+class CategoricalModel:
+    """start (k), transition (k, k) and emission (k, symbols); vectors are symbols alone, numbered from 0."""
+
+    start: np.ndarray
+    transition: np.ndarray
+    emission: np.ndarray
+
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(self.emission, TINY)).T[x[:, 0].astype(np.int64)]
+
+    def sums(self, x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """Each state's weight of each symbol."""
+        n = self.emission.shape[1]
+        return np.stack([np.bincount(x[:, 0].astype(np.int64), g, n) for g in gamma.T]).ravel()
+
+    def n_sums(self) -> int:
+        return self.emission.size
+
 
 def _normal(rows: np.ndarray) -> np.ndarray:
     rows = np.where(np.isfinite(rows), rows, 0.0)
@@ -60,10 +88,28 @@ def sequence_blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     return cut(held.join(last, "seq").select("seq", "block", "last_block", F.transform("r", lambda r: r.idx).alias("idx"), F.transform("r", lambda r: r.vector).alias("x")))
 
 
-def _scaled(log_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Densities divided by each step's largest, and the logarithms of these."""
-    top = log_b.max(1)
-    return np.exp(log_b - top[:, None]), top
+def _alike(lengths: np.ndarray, steps: int = 1 << 17) -> Iterator[np.ndarray]:
+    """Places of sequences in groups that are walked side by side, longest first, none less than half as long as its
+    group's first, of about ``steps`` steps at most."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        top = lengths[order[at]]
+        end = at + max(1, steps // top)
+        end = min(end, at + int(np.searchsorted(-lengths[order[at:]], -(top // 2), side="right")))
+        yield order[at : max(end, at + 1)]
+        at = max(end, at + 1)
+
+
+def _walks(xs: pd.Series, model: GaussianModel) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of a batch's blocks: (places, lengths, open, log densities by step and block), of which at step t the first
+    open[t] blocks have one."""
+    lengths = np.array([len(x) for x in xs], np.int64)
+    for places in _alike(lengths):
+        own = lengths[places]
+        log_b = np.zeros((own[0], len(places), len(model.start)))
+        log_b[np.concatenate([np.arange(n) for n in own]), np.repeat(np.arange(len(own)), own)] = model.log_densities(np.concatenate([np.stack(xs.iloc[i]) for i in places]))
+        yield places, own, (own[None, :] > np.arange(own[0])[:, None]).sum(1), log_b
 
 
 def _products(frames: Iterator[pd.DataFrame], model: GaussianModel, best: bool) -> Iterator[pd.DataFrame]:
@@ -71,22 +117,24 @@ def _products(frames: Iterator[pd.DataFrame], model: GaussianModel, best: bool)
     logarithm, scaled to a largest entry of 1 or 0; a sequence's first block counts from the start."""
     log_a, log_start = np.log(np.maximum(model.transition, TINY)), np.log(np.maximum(model.start, TINY))
     for pdf in frames:
-        out = []
-        for block, x in zip(pdf.block, pdf.x, strict=True):
-            log_b = model.log_densities(np.stack(x))
-            k = log_b.shape[1]
+        out = [None] * len(pdf)
+        for places, _, open_, log_b in _walks(pdf.x, model):
+            first = (pdf.block.to_numpy()[places] == 0)[:, None, None]
             if best:
-                m = np.tile(log_start + log_b[0], (k, 1)) if block == 0 else log_a + log_b[0]
+                m = np.where(first, log_start, log_a) + log_b[0][:, None]
                 for t in range(1, len(log_b)):
-                    m = (m[:, :, None] + log_a[None]).max(1) + log_b[t]
-                m -= m.max()
+                    n = open_[t]
+                    m[:n] = (m[:n, :, :, None] + log_a).max(2) + log_b[t, :n, None]
+                m -= m.max((1, 2), keepdims=True)
             else:
-                b, _ = _scaled(log_b)
-                m = np.tile(model.start * b[0], (k, 1)) if block == 0 else model.transition * b[0]
+                b = np.exp(log_b - log_b.max(2, keepdims=True))
+                m = np.where(first, model.start, model.transition) * b[0][:, None]
                 for t in range(1, len(b)):
-                    m = m @ model.transition * b[t]
-                    m /= max(m.max(), TINY)
-            out.append(m.ravel().tolist())
+                    n = open_[t]
+                    m[:n] = m[:n] @ model.transition * b[t, :n, None]
+                    m[:n] /= np.maximum(m[:n].max((1, 2), keepdims=True), TINY)
+            for i, x in zip(places, m, strict=True):
+                out[i] = x.ravel().tolist()
         yield pd.DataFrame({"seq": pdf.seq, "block": pdf.block, "m": out})
 
 
@@ -120,38 +168,44 @@ def _best_borders(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _expected(frames: Iterator[pd.DataFrame], model: GaussianModel) -> Iterator[pd.DataFrame]:
-    """A task's sums, in one column: log likelihood, starts, transitions, and each state's weight, vectors and products."""
-    k, d = model.means.shape
-    loglik, start, trans = 0.0, np.zeros(k), np.zeros((k, k))
-    weight, first, second = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    """A task's sums, in one column: log likelihood, starts, transitions, and what the model sums up of its steps. Blocks
+    of about one length are walked side by side."""
+    k = len(model.start)
+    loglik, start, trans, own = 0.0, np.zeros(k), np.zeros((k, k)), 0.0
     for pdf in frames:
-        for block, before, after, x in zip(pdf.block, pdf.before, pdf.after, pdf.x, strict=True):
-            x = np.stack(x)
-            b, top = _scaled(model.log_densities(x))
-            n = len(x)
-            alpha, scale, beta = np.empty((n, k)), np.empty(n), np.empty((n, k))
-            into = model.start if block == 0 else np.asarray(before) @ model.transition
-            for t in range(n):
-                a = (into if t == 0 else alpha[t - 1] @ model.transition) * b[t]
-                scale[t] = max(a.sum(), TINY)
-                alpha[t] = a / scale[t]
-            beta[-1] = np.asarray(after)
-            for t in range(n - 2, -1, -1):
-                beta[t] = model.transition @ (b[t + 1] * beta[t + 1])
-                beta[t] /= max(beta[t].max(), TINY)
+        for places, lengths, open_, log_b in _walks(pdf.x, model):
+            top = log_b.max(2)
+            b = np.exp(log_b - top[:, :, None])
+            first = pdf.block.to_numpy()[places] == 0
+            before, after = (np.stack(pdf[c].iloc[places].to_list()) for c in ("before", "after"))
+            steps = len(b)
+            alpha, beta, scale = np.zeros_like(b), np.zeros_like(b), np.ones(b.shape[:2])
+            into = np.where(first[:, None], model.start, before @ model.transition)
+            for t in range(steps):
+                n = open_[t]
+                a = (into if t == 0 else alpha[t - 1, :n] @ model.transition) * b[t, :n]
+                scale[t, :n] = np.maximum(a.sum(1), TINY)
+                alpha[t, :n] = a / scale[t, :n, None]
+            for t in range(steps - 1, -1, -1):
+                n, further = open_[t], open_[t + 1] if t + 1 < steps else 0
+                beta[t, further:n] = after[further:n]
+                if further:
+                    z = (b[t + 1, :further] * beta[t + 1, :further]) @ model.transition.T
+                    beta[t, :further] = z / np.maximum(z.max(1, keepdims=True), TINY)
+            real = np.arange(steps)[:, None] < lengths
+            lead = np.concatenate([before[None], alpha[:-1]])
+            follows = real.copy()
+            follows[0] = ~first
+            lead, follow = lead[follows], (b * beta)[follows]
+            weigh = 1 / np.maximum(((lead @ model.transition) * follow).sum(1), TINY)
+            trans += model.transition * ((lead * weigh[:, None]).T @ follow)
             gamma = _normal(alpha * beta)
-            ahead = b * beta
-            lead = alpha[:-1] if block == 0 else np.concatenate([[np.asarray(before)], alpha[:-1]])
-            follow = ahead[1:] if block == 0 else ahead
-            for a, f in zip(lead, follow, strict=True):
-                step = a[:, None] * model.transition * f
-                trans += step / max(step.sum(), TINY)
-            loglik += float((np.log(scale) + top).sum())
-            start += gamma[0] if block == 0 else 0
-            weight += gamma.sum(0)
-            first += gamma.T @ x
-            second += np.einsum("nk,ni,nj->kij", gamma, x, x, optimize=True)
-    flat = np.concatenate([[loglik], start, trans.ravel(), weight, first.ravel(), second.ravel()])
+            loglik += float((np.log(scale) + top)[real].sum())
+            start += gamma[0][first].sum(0)
+            # in the order that the blocks' steps stand in
+            by_block = gamma.transpose(1, 0, 2)[real.T]
+            own = own + model.sums(np.concatenate([np.stack(pdf.x.iloc[i]) for i in places]), by_block)
+    flat = np.concatenate([[loglik], start, trans.ravel(), own if isinstance(own, np.ndarray) else np.zeros(model.n_sums())])
     yield pd.DataFrame({"k": np.arange(len(flat)), "w": flat})
 
 
@@ -186,6 +240,15 @@ def first_model(vectors: DataFrame, states: int, seed: int = 13) -> GaussianMode
     return GaussianModel(np.full(states, 1 / states), np.full((states, states), 1 / states), means, np.repeat((cov * np.eye(d) + 1e-3 * np.eye(d))[None], states, axis=0))
 
 
+def summed(blocks: DataFrame, model: GaussianModel | CategoricalModel) -> np.ndarray:
+    """All tasks' sums of ``_expected``, which Spark adds up; what reaches the driver has the model's size."""
+    k = len(model.start)
+    flat = np.zeros(1 + k + k * k + model.n_sums())
+    for r in _with_borders(blocks, model).mapInPandas(lambda it: _expected(it, model), "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect():
+        flat[r.k] = r.w
+    return flat
+
+
 def fit_gaussian(blocks: DataFrame, model: GaussianModel, rounds: int = 10, tolerance: float = 1e-2, full: bool = False, on_round: Callable[[int, float], None] | None = None) -> tuple[GaussianModel, float]:
     """(model, log likelihood before the last round) of ``sequence_blocks``, by at most ``rounds`` rounds of expectation and
     maximisation from ``model``; it ends when a round gains less than ``tolerance``.
@@ -198,12 +261,7 @@ def fit_gaussian(blocks: DataFrame, model: GaussianModel, rounds: int = 10, tole
     k, d = model.means.shape
     prior, before = 1e-2, -np.inf
     for i in range(rounds):
-        own = model
-        placed = _with_borders(blocks, own)
-        sums = placed.mapInPandas(lambda it, own=own: _expected(it, own), "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect()
-        flat = np.zeros(1 + k + k * k + k + k * d + k * d * d)
-        for r in sums:
-            flat[r.k] = r.w
+        flat = summed(blocks, model)
         loglik, start, trans, weight, first, second = np.split(flat, np.cumsum([1, k, k * k, k, k * d]))
         weight, first, second = np.maximum(weight, TINY), first.reshape(k, d), second.reshape(k, d, d)
         means = np.where(weight[:, None] > 1e-12, first / weight[:, None], model.means)
@@ -226,24 +284,32 @@ def fit_gaussian(blocks: DataFrame, model: GaussianModel, rounds: int = 10, tole
 def _decoded(frames: Iterator[pd.DataFrame], model: GaussianModel) -> Iterator[pd.DataFrame]:
     log_a, log_start = np.log(np.maximum(model.transition, TINY)), np.log(np.maximum(model.start, TINY))
     for pdf in frames:
-        seqs, steps, states = [], [], []
-        for seq, before, last, idx, x in zip(pdf.seq, pdf.before, pdf["last"], pdf.idx, pdf.x, strict=True):
-            log_b = model.log_densities(np.stack(x))
-            score, back = (log_start if before < 0 else log_a[before]) + log_b[0], []
-            for t in range(1, len(log_b)):
-                every = score[:, None] + log_a
-                back.append(every.argmax(0))
-                score = every.max(0) + log_b[t]
-            path = [int(score.argmax()) if last < 0 else int(last)]
-            for x_ in back[::-1]:
-                path.append(int(x_[path[-1]]))
-            seqs += [seq] * len(path)
-            steps += list(idx)
-            states += path[::-1]
-        yield pd.DataFrame({"seq": seqs, "idx": steps, "state": states})
-
-
-def decode_gaussian(blocks: DataFrame, model: GaussianModel) -> DataFrame:
+        before, last = pdf.before.to_numpy(), pdf["last"].to_numpy()
+        paths = [None] * len(pdf)
+        for places, lengths, open_, log_b in _walks(pdf.x, model):
+            steps, into = len(log_b), before[places]
+            score = np.where((into < 0)[:, None], log_start, log_a[into]) + log_b[0]
+            back = np.zeros(log_b.shape, np.int16)
+            for t in range(1, steps):
+                n = open_[t]
+                every = score[:n, :, None] + log_a
+                back[t, :n] = every.argmax(1)
+                score[:n] = every.max(1) + log_b[t, :n]
+            at = np.where(last[places] < 0, score.argmax(1), last[places])
+            path = np.zeros((len(places), steps), np.int32)
+            for t in range(steps - 1, -1, -1):
+                n = open_[t]
+                path[:n, t] = at[:n]
+                at[:n] = back[t, np.arange(n), at[:n]] if t else at[:n]
+            for i, p, n in zip(places, path, lengths, strict=True):
+                paths[i] = p[:n]
+        if not len(pdf):
+            continue
+        sizes = [len(p) for p in paths]
+        yield pd.DataFrame({"seq": np.repeat(pdf.seq.to_numpy(), sizes), "idx": np.concatenate([np.asarray(x) for x in pdf.idx]), "state": np.concatenate(paths)})
+
+
+def decode_gaussian(blocks: DataFrame, model: GaussianModel | CategoricalModel) -> DataFrame:
     """(seq, idx, state): the likeliest states of every step of ``sequence_blocks``. A long sequence's states at the blocks'
     borders come from one matrix of best paths a block; then each block is walked by itself. Ties go to smaller states."""
     k = len(model.start)
@@ -260,11 +326,14 @@ def decode_gaussian(blocks: DataFrame, model: GaussianModel) -> DataFrame:
 def gaussian_paths(vectors: DataFrame, states: int, rounds: int = 10, full: bool = False, seed: int = 13) -> tuple[DataFrame, GaussianModel]:
     """(paths, model) of vectors (seq, idx, vector): see ``first_model``, ``fit_gaussian`` and ``decode_gaussian``. Without
     any vectors the model can't be fitted, which is an error."""
+    vectors = cut(vectors.select("seq", "idx", "vector"))  # the first model reads them several times
     blocks = sequence_blocks(vectors)
     if blocks.isEmpty():
-        drop(blocks)
+        drop(blocks, vectors)
         raise ValueError("there are no vectors to fit a model to")
-    model, _ = fit_gaussian(blocks, first_model(vectors, states, seed), rounds, full=full)
+    begin = first_model(vectors, states, seed)
+    drop(vectors)
+    model, _ = fit_gaussian(blocks, begin, rounds, full=full)
     return decode_gaussian(blocks, model), model
 
 

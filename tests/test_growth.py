@@ -1,9 +1,13 @@
 """What must not grow faster than the input: shuffles and repeated work, as plans tell them."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from docloom.operators import analyse as A
 from docloom.operators import extract as E
 from docloom.operators import graph as G
+from docloom.operators import markov as M
 
 
 def plan(df, optimized=False):
@@ -24,3 +28,32 @@ def test_a_page_is_read_once_for_its_text_and_its_count(spark):
     found = spark.range(1).select(E.layout_text(regions, 0.5).alias("x")).select("x.*")
     assert plan(found, True).count("array_sort(") == 1
     assert [tuple(r) for r in found.collect()] == [("sure too", 0.8, 1, 1)]
+
+
+def counts(obs, start, trans, emit):
+    """One sequence's expected starts, transitions and emissions, step by step."""
+    n, k = len(obs), len(start)
+    a, z, c = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        a[t] = (start if t == 0 else a[t - 1] @ trans) * emit[:, obs[t]]
+        c[t] = a[t].sum()
+        a[t] /= c[t]
+    for t in range(n - 2, -1, -1):
+        z[t] = trans @ (emit[:, obs[t + 1]] * z[t + 1]) / c[t + 1]
+    g, step = a * z, sum((a[t][:, None] * trans * (emit[:, obs[t + 1]] * z[t + 1]) / c[t + 1] for t in range(n - 1)), np.zeros((k, k)))
+    return g[0], step, np.stack([g[obs == s].sum(0) for s in range(emit.shape[1])], axis=1)
+
+
+def test_sequences_of_symbols_are_walked_side_by_side(spark):
+    r = np.random.default_rng(3)
+    found = {seq: r.integers(0, 4, n) for seq, n in enumerate((1, 5, 5, 6, 40, 2))}
+    rows = [(seq, i, int(x)) for seq, obs in found.items() for i, x in enumerate(obs)]
+    fitted = A.fit_hmm(spark.createDataFrame(rows, "seq long, idx long, symbol int").repartition(3), 2, 4, 3)
+    r = np.random.default_rng(1)
+    plain = [m / m.sum(-1, keepdims=True) for m in (r.random(2) + 0.5, r.random((2, 2)) + 0.5, r.random((2, 4)) + 0.5)]
+    for _ in range(3):
+        parts = [sum(x) for x in zip(*(counts(obs, *plain) for obs in found.values()), strict=True)]
+        plain = [x / x.sum(-1, keepdims=True) for x in parts]
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(fitted, plain, strict=True))
+    groups = list(M._walks(pd.Series([np.zeros((3, 1))] * 500 + [np.zeros((90, 1))]), M.CategoricalModel(*plain)))
+    assert sorted(len(g[0]) for g in groups) == [1, 500]  # no loop over each one's steps
