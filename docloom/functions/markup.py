@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
@@ -42,6 +44,23 @@ def parse_spans(marked: str | None) -> list[dict] | None:
     return None if marked is None else parse(marked)
 
 
+def span_values(label: str | None) -> Callable[[Column], Column]:
+    """(text, value) of the spans of short texts, ``value`` being their attribute ``label``; null texts have none."""
+
+    @F.arrow_udf("array<struct<text:string,value:string>>")
+    def read(marked: pa.Array) -> pa.Array:
+        ends, texts, values = [0], [], []
+        for m in marked.to_pylist():
+            for s in parse(m) if m is not None else ():
+                texts.append(s["text"])
+                values.append(s["attributes"].get(label))
+            ends.append(len(texts))
+        spans = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(values, pa.string())], ["text", "value"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+
+    return read
+
+
 def strip_tags(marked: Column) -> Column:
     return F.regexp_replace(marked, r'<span(?:\s+[\w-]+="[^"]*")*\s*>|</span>', "")
 

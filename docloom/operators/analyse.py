@@ -159,12 +159,14 @@ def span_segments(items: DataFrame, mark: Callable[[Column], Column], chunk_char
     if prepend_label and label is None:
         raise ValueError("prepend_label needs a label attribute")
     text = T.first_speaker(F.coalesce("text", F.lit("")))
-    chunks = F.array(F.struct(text.alias("text"))) if chunk_characters is None else F.transform(char_windows(text, chunk_characters, overlap, keep_blank=True), lambda c: F.struct(c.text.alias("text")))
-    marked = items.select("seq", F.posexplode(chunks).alias("chunk", "c")).where("c.text <> ''").select("seq", "chunk", M.parse_spans(mark(F.col("c.text"))).alias("spans"))
+    chunks = F.array(F.struct(text.alias("text"))) if chunk_characters is None else T.let(text, lambda t: F.transform(char_windows(t, chunk_characters, overlap, keep_blank=True), lambda c: F.struct(c.text.alias("text"))))  # once, not for every chunk
+    # texts come whole in hundreds, chunks in Arrow batches, and of their spans only what is used
+    read = M.span_values(label) if chunk_characters is not None else lambda c: F.transform(M.parse_spans(c), lambda s: F.struct(s.text.alias("text"), (F.element_at(s.attributes, label) if label else F.lit(None).cast("string")).alias("value")))
+    marked = items.select("seq", F.posexplode(chunks).alias("chunk", "c")).where("c.text <> ''").select("seq", "chunk", read(mark(F.col("c.text"))).alias("spans"))
     each = marked.select("seq", "chunk", F.posexplode("spans").alias("place", "s")).where(~T.blank(F.col("s.text")))
     body = T.strip(F.col("s.text"))
     if prepend_label:
-        own = T.strip(F.coalesce(F.element_at("s.attributes", label), F.lit("")))
+        own = T.strip(F.coalesce(F.col("s.value"), F.lit("")))
         body = F.concat(F.when(own == "", F.raise_error(F.lit(f"a span has no {label}"))).otherwise(own), F.lit("\n"), body)
     return _stitched(each.select("seq", "chunk", "place", body.alias("text")), ["chunk", "place"], f"seq {dict(items.dtypes)['seq']}, nth int, idx int, text string")
 
@@ -172,6 +174,7 @@ def span_segments(items: DataFrame, mark: Callable[[Column], Column], chunk_char
 def topic_keywords(assigned: DataFrame, top: int) -> DataFrame:
     """(topic, term, score, rank): class-based TF-IDF, tf * ln(1 + mean words of a topic / frequency of the term)."""
     tf = assigned.select("topic", F.explode(T.term_tokens(F.col("text"))).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf)  # read three times: counts, not texts
     sizes = tf.groupBy("topic").agg(F.sum("tf").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean"))
     score = F.round(F.col("tf") / F.col("size") * F.log(1 + F.col("mean") / F.col("freq")), 9)
@@ -185,7 +188,7 @@ def cluster_topics(documents: DataFrame, k: int, features: int = 1 << 12, seed:
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
     words = documents.select("doc_id", "text", T.term_tokens(F.col("text")).alias("words"))
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(words)
+    tf = cut(HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(words).drop("words"))  # words are taken once, not in every pass
     x = Normalizer(inputCol="idf", outputCol="features").transform(IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf))
     return KMeans(k=k, seed=seed, maxIter=10).fit(x).transform(x).select("doc_id", "text", F.col("prediction").alias("topic"))
 
@@ -203,7 +206,8 @@ def topic_run(items: DataFrame, assign: Callable[[DataFrame], DataFrame], extrac
     texts = F.array("text") if extract is None else extract(F.col("text"))
     parts = some.select("doc_id", F.posexplode(texts).alias("part", "text"))
     clean = parts if entities is None else parts.withColumn("text", entities(F.col("text")))
-    left = cut(clean.withColumn("text", T.lexical_form(F.col("text"))).where(F.length("text") >= least))
+    formed = clean.select("doc_id", "part", F.explode(F.array(T.lexical_form(F.col("text")))).alias("text"))  # a filter of its length stays behind it, or it would be worked out twice
+    left = cut(formed.where(F.length("text") >= least))
     assigned = cut(assign(left).select("doc_id", "part", "text", "topic"))
     words = topic_keywords(assigned.select("topic", "text"), top).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x.term).alias("keywords"))  # top rows for each
     sizes = assigned.groupBy("topic").agg(F.count("*").alias("n"))

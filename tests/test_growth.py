@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from docloom.functions import markup as K
 from docloom.operators import analyse as A
 from docloom.operators import extract as E
 from docloom.operators import graph as G
@@ -57,3 +58,24 @@ def test_sequences_of_symbols_are_walked_side_by_side(spark):
     assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(fitted, plain, strict=True))
     groups = list(M._walks(pd.Series([np.zeros((3, 1))] * 500 + [np.zeros((90, 1))]), M.CategoricalModel(*plain)))
     assert sorted(len(g[0]) for g in groups) == [1, 500]  # no loop over each one's steps
+
+
+def test_a_text_is_made_ready_once_for_all_its_chunks(spark):
+    items = spark.range(3).select(F.col("id").alias("seq"), F.lit("ab\n" * 40).alias("text"))
+    mark = lambda c: F.concat(F.lit('<span kind="x">'), c, F.lit("</span>"))
+    found = A.span_segments(items, mark, 20, 5, "kind", prepend_label=True)
+    told = plan(found, True)
+    assert told.count("Speaker 0:") <= 4, told  # of first_speaker, which a lambda would work out for every chunk
+    assert {r.text.split("\n")[0] for r in found.collect()} == {"x"}
+    assert [r["s"] for r in spark.createDataFrame([('<span a="1">x</span> <span>y</span>',), (None,)], "t string").select(K.span_values("a")("t").alias("s")).collect()] == [[("x", "1"), ("y", None)], []]
+
+
+def test_topics_take_the_words_of_a_text_once(spark):
+    rows = [(i, f"alpha beta {'gamma' if i % 2 else 'delta'} {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = A.cluster_topics(docs, 2)
+    assert "regexp_extract_all" not in plan(found, True)
+    assert found.count() == 12
+    words = A.topic_keywords(docs.select((F.col("doc_id") % 2).alias("topic"), "text"), 2)
+    assert "regexp_extract_all" not in plan(words, True)
+    assert {(r.topic, r.term) for r in words.where("rank = 1").collect()} == {(0, "delta"), (1, "gamma")}
