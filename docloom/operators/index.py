@@ -64,7 +64,9 @@ class TextIndex:
         are empty, rows without chunk_id are left out, equal rows that repeat count once. An add that ends early can be
         repeated; two at once of the same chunks can't.
         """
-        rows = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # dealt by chunk_id once: equal rows, what is stored and the terms of a chunk are met without another deal
+        rows = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartition(n, "chunk_id")
         hashed = rows.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["chunk_id", "hash"])
         known = self.chunks().select("chunk_id", F.col("hash").alias("old"))
         both = hashed.join(known, "chunk_id", "left")
@@ -76,12 +78,13 @@ class TextIndex:
             raise ValueError("two texts have the same chunk_id")
         if sizes[0]:
             batch = uuid.uuid4().hex
-            tf = tokens.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-            hit = F.struct("chunk_id", "tf", "len")
-            held = tf.groupBy("term", F.floor(F.col("chunk_id") / SPAN).alias("block")).agg(F.count("*").alias("chunks"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(hit)).alias("hits"))  # a span's chunks at most
+            dealt = tokens.repartition(n, "chunk_id")  # a chunk's terms are counted where its tokens are
+            tf = dealt.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
             # a bucket's rows meet in few tasks, so it has few files; rows of a frequent term spread by their block
-            placed = held.withColumn("bucket", bucket_of(F.col("term")))
-            placed.repartition(F.col("bucket"), F.floor(F.col("block") / 64)).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+            placed = tf.withColumn("block", F.floor(F.col("chunk_id") / SPAN)).withColumn("bucket", bucket_of(F.col("term"))).withColumn("far", F.floor(F.col("block") / 64)).repartition(n, "bucket", "far")
+            hit = F.struct("chunk_id", "tf", "len")
+            held = placed.groupBy("bucket", "far", "term", "block").agg(F.count("*").alias("chunks"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.sort_array(F.collect_list(hit)).alias("hits"))  # a span's chunks at most
+            held.drop("far").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
             tokens.select("chunk_id", "hash", F.size("tokens").alias("len")).write.parquet(f"{self.path}/chunks/batch={batch}")
             self.spark.createDataFrame([(batch, sizes[0], sizes[2])], BATCHES).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         drop(tokens)

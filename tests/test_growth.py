@@ -8,6 +8,7 @@ from docloom.functions import markup as K
 from docloom.operators import analyse as A
 from docloom.operators import extract as E
 from docloom.operators import graph as G
+from docloom.operators import index as X
 from docloom.operators import markov as M
 
 
@@ -79,3 +80,19 @@ def test_topics_take_the_words_of_a_text_once(spark):
     words = A.topic_keywords(docs.select((F.col("doc_id") % 2).alias("topic"), "text"), 2)
     assert "regexp_extract_all" not in plan(words, True)
     assert {(r.topic, r.term) for r in words.where("rank = 1").collect()} == {(0, "delta"), (1, "gamma")}
+
+
+def test_an_index_is_built_with_one_deal_of_texts_and_one_of_postings(spark, tmp_path):
+    index, wrote = X.TextIndex(spark, str(tmp_path / "index")), []
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (2, "beta beta"), (9000, "alpha")]
+    listener = lambda df: wrote.append(plan(df))
+    kept = X.cut
+    X.cut = lambda df: (listener(df), kept(df))[1]
+    try:
+        assert index.add(spark.createDataFrame(rows, "chunk_id long, text string")) == 3
+    finally:
+        X.cut = kept
+    texts = [p for p in wrote if "sha2" in p][0]
+    assert "hashpartitioning(chunk_id" in texts and "hash#" not in "".join(x for x in texts.splitlines() if "hashpartitioning" in x)
+    hits = {(r.term, r.block): [tuple(h)[:2] for h in r.hits] for r in index.postings().collect()}
+    assert hits == {("alpha", 0): [(1, 1)], ("alpha", 2): [(9000, 1)], ("beta", 0): [(1, 1), (2, 2)]}
