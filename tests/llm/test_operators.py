@@ -596,6 +596,29 @@ def test_samples_are_bounded_in_rows(spark, monkeypatch):
     assert sizes == [80, 80]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Words and texts are counted over all rows, more than a sample would hold, and the shards' means don't depend on partitions."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    rows = [(i, f"w{i % 40} w{i % 7} mine{i // 5} " + ("grot" if i % 2 else "fine"), i % 2) for i in range(4000)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    luck = F.xxhash64("doc_id", "text", F.lit(11))
+    held = {r.doc_id for r in d.where(F.pmod(F.shiftright(luck, 40), F.lit(4)) == 3).collect()}
+    assert 800 < len(held) < 1200
+    counts = Counter()
+    for i, text, _ in rows:
+        if i not in held:
+            own, _ = toxicity.words_of(pa.array([text]))
+            counts.update(set(toxicity._hashed(own)[0].ravel().tolist()))
+    first, second = (toxicity.fit(d.repartition(n), labels.repartition(n)) for n in (2, 7))
+    assert first.buckets.tolist() == sorted(b for b, n in counts.items() if n >= 3)
+    assert (first.emb == second.emb).all() and (first.cut == second.cut).all() and first.out_bias == second.out_bias
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, first).collect()}
+    assert sum(got[i] == y for i, _, y in rows) >= 3960
+
+
 def test_quality_posteriors_against_plain_python(spark):
     """Shrinkage by the method of moments, hosts within all and paths within hosts, each document left out."""
     rng = random.Random(17)
