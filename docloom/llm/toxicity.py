@@ -19,6 +19,8 @@ WHOLE = "whole text"
 BUCKETS = np.uint64(1 << 20)
 #: Rows of a training shard; embeddings of a block of sums; cells of scores; units of what is summed as whole numbers.
 SHARD, BLOCK, CELLS, SCALE = 2048, 1 << 14, 1 << 16, float(1 << 20)
+#: Sets of 64 marks of labelled ids at most.
+MARKS = 1 << 20
 #: (rows, changes, shards) by embedding.
 Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
 WIDTHS = (1, 2, 3)
@@ -350,14 +352,22 @@ def _known(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("hi")).where("toxic = hi").select("doc_id", "toxic")
 
 
+def _marked(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Texts (doc_id, text) whose id falls on a mark of a ``known`` one: all of these and few others, so that the join with
+    ``known`` moves hardly any text in vain. However many labels there are, they have 64 * MARKS marks at most."""
+    placed = lambda rows: rows.withColumn("at", F.xxhash64("doc_id")).withColumn("slot", F.pmod("at", F.lit(MARKS))).withColumn("mark", F.expr("shiftleft(1L, cast(pmod(shiftright(at, 32), 64) as int))"))
+    marks = placed(known).groupBy("slot").agg(F.bit_or("mark").alias("marks"))
+    return placed(texts).join(F.broadcast(marks), "slot").where(F.col("marks").bitwiseAND(F.col("mark")) != 0).select("doc_id", "text")
+
+
 def fit(documents: DataFrame, labels: DataFrame, most: int | None = None, seed: int = 11) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic 0/1), fitted on every labelled row. Labels that are
     null, or disagree on a doc_id, teach nothing.
 
     Texts are dealt by hash to shards of about ``SHARD`` rows. Each epoch every shard trains on from the same model in a
-    task of its own, and the model moves by the mean of what they changed. The words that have embeddings and the
-    thresholds come from counts over all rows. Only the model, of at most BUCKETS embeddings, and counts by cells
-    of scores reach the driver.
+    task, which adds up what its shards changed, and the model moves by the mean of that: what an epoch shuffles grows
+    with the cores, not with the shards. The words that have embeddings and the thresholds come from counts over all
+    rows. Only the model, of at most BUCKETS embeddings, and counts by cells of scores reach the driver.
 
     With ``most``, callers who want a small model quickly have one of about that many rows of each class at most (the other
     class has twice as many), picked by a hash of doc_id, and 4 * ``most`` rows in all, however many rows share a doc_id.
@@ -369,7 +379,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int | None = None, seed:
     if most is not None:
         return _fit_some(documents, known, sizes, most, seed)
     count = max(1, -(-sum(sizes.values()) // SHARD))
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(known, "doc_id")
+    texts = _marked(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), known).join(known, "doc_id")
     luck = F.xxhash64("doc_id", "text", F.lit(seed))
     dealt = texts.select("doc_id", "text", "toxic", F.pmod(luck, F.lit(count)).alias("shard"), (F.pmod(F.shiftright(luck, 40), F.lit(4)) == 3).alias("held"))
     shards = cut(dealt.groupBy("shard").applyInArrow(_packed, f"shard long, texts long, toxics long, {', '.join(f'{f} binary' for f in _ARRAYS)}"))
@@ -378,7 +388,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int | None = None, seed:
     m = _begun(np.sort(words.column("bucket").to_numpy()), n.texts or 0, n.toxics or 0, 12, 8, 5)
     if m.out.any():
         sc, epochs = documents.sparkSession.sparkContext, 10
-        rows = shards.select("shard", *_ARRAYS).rdd
+        rows = shards.select("shard", *_ARRAYS).coalesce(sc.defaultParallelism).rdd  # a core's shards leave one sum
         for i in range(epochs):
             shared, rate = sc.broadcast(m), _rate(i, epochs)
             moved = rows.mapPartitions(lambda rs, shared=shared, rate=rate, i=i: _pass(rs, shared.value, rate, (5, i))).reduceByKey(_merged).collect()

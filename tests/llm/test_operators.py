@@ -619,6 +619,31 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert sum(got[i] == y for i, _, y in rows) >= 3960
 
 
+def test_toxicity_moves_as_much_an_epoch_however_many_shards(spark, monkeypatch):
+    """Shards are trained on by as many tasks as there are cores, and no text without a label is shuffled."""
+    monkeypatch.setattr(toxicity, "SHARD", 20)
+    rows = [(i, f"w{i % 40} w{i % 7} " + ("grot" if i % 2 else "fine"), i % 2) for i in range(1200)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3 == 0], "doc_id long, toxic int")
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in toxicity._marked(d, labels).collect()}
+    assert set(range(0, 1200, 3)) <= kept and len(kept) < 410
+    options = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1m", "spark.sql.files.maxPartitionBytes": "1m"}
+    before, sc = {k: spark.conf.get(k) for k in options}, spark.sparkContext
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few tasks", "")
+        toxicity.fit(d, labels)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("few tasks") for s in told.getJobInfo(j).stageIds]
+    summed = [s.numTasks for s in stages if s is not None and s.name.startswith("reduceByKey")]
+    assert len(summed) == 11 and max(summed) <= sc.defaultParallelism
+
+
 def test_quality_posteriors_against_plain_python(spark):
     """Shrinkage by the method of moments, hosts within all and paths within hosts, each document left out."""
     rng = random.Random(17)
