@@ -2,107 +2,187 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut, drop
 
-#: Points of a block; a cell with more of them is several blocks.
-BLOCK = 1024
+#: Points that a point meets in a cell of the finest grid, on the average at most.
+BLOCK = 64
+#: Halvings of ``reach`` at most; rows of a group in a task; pairs of points in memory at a time.
+HALVINGS, ROWS, PAIRS = 16, 20000, 1 << 20
 #: Coordinates that cells are made of; distances are of all coordinates.
 CELL_AXES = 3
 NOISE = -1
 
 
-def _blocks(points: DataFrame, reach: float, axes: int, *more: str) -> DataFrame:
-    """(cell, block, ids, xs, ...): the points of each cell of side ``reach``, in blocks of about ``BLOCK``."""
-    cell = F.array(*[F.floor(F.col("x")[i] / reach) for i in range(axes)])
-    placed = points.withColumn("cell", cell)
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    own = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
-    held = F.collect_list(F.struct("id", "x", *more))
-    rows = own.groupBy("cell", "block").agg(held.alias("h"))
-    return cut(rows.select("cell", "block", F.col("h.id").alias("ids"), F.col("h.x").alias("xs"), *[F.col(f"h.{m}").alias(m) for m in more]))
+def _cell(length: float, axes: int) -> Column:
+    """The cell of a point; sides are a little longer than ``length``, so that rounding never parts neighbours by two cells."""
+    return F.array(*[F.floor(F.col("x")[i] / (length * (1 + 1e-9))) for i in range(axes)])
 
 
-def _pairs(blocks: DataFrame, axes: int, both_ways: bool) -> DataFrame:
-    """Each block with each block of its cell and the cells around it; without ``both_ways`` every two once."""
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=axes)])
-    left = blocks.select(*[F.col(c).alias(f"l_{c}") for c in blocks.columns], F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("cell"))
-    met = left.join(blocks, "cell")
-    return met if both_ways else met.where(F.struct("l_cell", "l_block") <= F.struct("cell", "block"))
+def _around(cell: str, axes: int, half: bool = False) -> Column:
+    """The cells around one and itself; with ``half``, of every two that are opposite one."""
+    steps = [x for x in product((-1, 0, 1), repeat=axes) if not half or x >= (0,) * axes]
+    return F.explode(F.array(*[F.array(*[F.col(cell)[i] + F.lit(v) for i, v in enumerate(x)]) for x in steps]))
+
+
+def _lengths(points: DataFrame, reach: float, axes: int) -> list[float]:
+    """Rising lengths up to ``reach``, each twice the one before; in cells of the first, points are few."""
+    most = BLOCK * points.count()
+    for halvings in range(HALVINGS + 1):
+        n = F.col("count").cast("double")
+        met = points.groupBy(_cell(reach / 2**halvings, axes).alias("cell")).count().agg(F.sum(n * n)).first()[0]
+        if met <= most:
+            break
+    return [reach / 2**i for i in range(halvings, -1, -1)]
+
+
+def _meetings(asking: DataFrame, points: DataFrame, work: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """``work`` on the pairs of rows asking (cell, x, ...) with points (cell, x, ...) of the same cell: (asking, places, points,
+    places, distances), about ``PAIRS`` at a time. Cells are dealt by hash to groups of about ``ROWS`` points."""
+    count = points.count() // ROWS + 1
+    keyed = lambda rows: rows.withColumn("key", F.xxhash64("cell")).select("key", F.pmod("key", F.lit(count)).alias("deal"), *[F.col(c).alias(c) for c in rows.columns if c != "cell"])
+    asking = asking.join(points.select("cell").distinct(), "cell", "left_semi")
+    left, right = keyed(asking), keyed(points.join(asking.select("cell").distinct(), "cell", "left_semi"))
+
+    def group(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("key")
+        xa, xb = (t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, b))
+        keys, wanted = b.column("key").to_numpy(), a.column("key").to_numpy()
+        first = np.searchsorted(keys, wanted)
+        n = np.searchsorted(keys, wanted, side="right") - first
+        ends, at, found = np.cumsum(n), 0, []
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            own = n[at:end]
+            i = np.repeat(np.arange(at, end), own)
+            j = np.repeat(first[at:end] - (np.cumsum(own) - own), own) + np.arange(len(i))
+            found.append(work(a, i, b, j, np.sqrt(((xa[i] - xb[j]) ** 2).sum(1))))
+            at = end
+        return pa.concat_tables(found)
+
+    return left.groupBy("deal").cogroup(right.groupBy("deal")).applyInArrow(group, schema)
 
 
 def core_distances(points: DataFrame, reach: float, neighbours: int) -> DataFrame:
-    """(id, x, core) of points (id, x) with at least ``neighbours`` points within ``reach``, themselves too: the distance of
-    the last of these. Blocks meet in tasks, which give out each point's nearest few, so no pairs are made rows."""
-    axes = min(CELL_AXES, len(points.first().x))
-    blocks = _blocks(points, reach, axes)
+    """(id, rep, x, core) of points (id, x) with at least ``neighbours`` points within ``reach``, themselves too: the distance
+    of the last of these. rep is the smallest id at the same place.
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for ids, xs, others in zip(pdf["l_ids"], pdf["l_xs"], pdf["xs"], strict=True):
-                a, b = np.stack(xs), np.stack(others)
-                near = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2)) if len(a) * len(b) * a.shape[1] < 1 << 22 else np.stack([np.sqrt(((row - b) ** 2).sum(1)) for row in a])
-                near = np.sort(near, axis=1)[:, :neighbours]
-                yield pd.DataFrame({"id": ids, "near": [row[row <= reach].tolist() for row in near]})
-
-    found = _pairs(blocks, axes, True).select("l_ids", "l_xs", "xs").mapInPandas(nearest, "id long, near array<double>").where("size(near) > 0")
-    core = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near")).where(F.size("near") >= neighbours)  # a few of each block around
-    out = cut(points.join(core.select("id", F.element_at("near", -1).alias("core")), "id"))
-    drop(blocks)
+    Points look for neighbours within a short length first, and only those with too few there within twice that, and so on:
+    crowded cells are met in pieces, and long lengths only by points with few others around.
+    """
+    axes = min(CELL_AXES, len(points.first().x))
+    places = cut(points.groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+
+    def nearest(length: float) -> Callable[..., pa.Table]:
+        def work(a: pa.Table, i: np.ndarray, b: pa.Table, j: np.ndarray, d: np.ndarray) -> pa.Table:
+            near = d <= length
+            i, j, d = i[near], j[near], d[near]
+            order = np.lexsort((d, i))
+            copies = np.minimum(b.column("n").to_numpy()[j[order]], neighbours)
+            i, d = np.repeat(i[order], copies), np.repeat(d[order], copies)
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < neighbours
+            i, d = i[kept], d[kept]
+            own, starts = np.unique(i, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(i)), pa.int32()), pa.array(d))
+            return pa.table({"rep": a.column("rep").take(pa.array(own)), "near": lists})
+
+        return work
+
+    asking, known = places, []
+    for length in _lengths(places, reach, axes):
+        placed = places.withColumn("cell", _cell(length, axes))
+        asked = asking.select("rep", "x", _cell(length, axes).alias("own")).select("rep", "x", _around("own", axes).alias("cell"))
+        found = _meetings(asked, placed.select("cell", "x", "n"), nearest(length), "rep long, near array<double>")
+        core = found.groupBy("rep").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near")).where(F.size("near") >= neighbours)  # a few of each cell around
+        known.append(cut(core.select("rep", F.element_at("near", -1).alias("core"))))
+        if length < reach:
+            asking = cut(asking.join(known[-1], "rep", "left_anti"))
+    out = cut(points.join(places.select("rep", "x").join(reduce(DataFrame.unionByName, known), "rep"), "x").select("id", "rep", "x", "core"))
+    drop(places, *known)
     return out
 
 
 def forest_edges(cores: DataFrame, reach: float) -> DataFrame:
-    """(u, v, w) among points (id, x, core): edges that hold a minimum spanning forest of all mutual reachabilities up to
+    """(u, v, w) among points (id, rep, x, core): edges that hold a minimum spanning forest of all mutual reachabilities up to
     ``reach``: the larger of a distance and both core distances.
 
-    Every two blocks give the forest of their own points, which for every two of them has a path of edges no longer than
-    theirs; so all of these together connect, up to any length, what the edges between all points would.
+    Edges come by rising lengths. Those up to the first are a forest of each group of cells: for every two of its points that has
+    a path of edges no longer than theirs, so all of these together connect, up to any length, what the edges between all points
+    would. Up to the next one only edges between components of what is connected so far can matter. Most cells hold one
+    component nearly alone: its points meet only points of others, so crowded cells aren't met as a whole. Copies hang on
+    the first of them by their core distance.
     """
     axes = min(CELL_AXES, len(cores.first().x))
-    blocks = _blocks(cores, reach, axes, "core")
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                same = tuple(row.l_cell) == tuple(row.cell) and row.l_block == row.block
-                ids = np.array(row.l_ids) if same else np.concatenate([row.l_ids, row.ids])
-                xs = np.stack(row.l_xs) if same else np.concatenate([np.stack(row.l_xs), np.stack(row.xs)])
-                core = np.array(row.l_core) if same else np.concatenate([row.l_core, row.core])
-                u, v, w = spanning_forest(xs, core, reach)
-                yield pd.DataFrame({"u": np.minimum(ids[u], ids[v]), "v": np.maximum(ids[u], ids[v]), "w": w})
-
-    found = _pairs(blocks, axes, False).select("l_cell", "l_block", "l_ids", "l_xs", "l_core", "cell", "block", "ids", "xs", "core").mapInPandas(local, "u long, v long, w double")
-    edges = cut(found.distinct())
-    drop(blocks)
+    copies = cores.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"), F.col("core").alias("w"))
+    places = cut(cores.where("id = rep").select("id", "x", "core"))
+
+    def local(length: float) -> Callable[..., pa.Table]:
+        def work(a: pa.Table, i: np.ndarray, b: pa.Table, j: np.ndarray, d: np.ndarray) -> pa.Table:
+            (u, cu, ru), (v, cv, rv) = ([t.column(c).to_numpy()[at] for c in ("id", "core", "root")] for t, at in ((a, i), (b, j)))
+            w = np.maximum(d, np.maximum(cu, cv))
+            near = np.flatnonzero((ru != rv) & (w <= length))
+            near = near[spanning_forest(ru[near], rv[near], w[near])]
+            return pa.table({"u": np.minimum(u[near], v[near]), "v": np.maximum(u[near], v[near]), "w": w[near]})
+
+        return work
+
+    parts: list[DataFrame] = []
+    for length in _lengths(places, reach, axes):
+        if not parts:
+            placed = places.withColumn("root", F.col("id")).withColumn("cell", _cell(length, axes))
+            asked = placed.withColumnRenamed("cell", "own").withColumn("cell", _around("own", axes, half=True)).drop("own")
+        else:
+            roots = _labelled(places.select(F.col("id").alias("seed")), reduce(DataFrame.unionByName, parts).select(F.col("u").alias("a"), F.col("v").alias("b"), "w"))
+            placed = cut(places.join(roots.withColumnRenamed("seed", "id"), "id").withColumn("cell", _cell(length, axes)))
+            kinds = placed.groupBy("cell", "root").agg(F.count("*").alias("n"))
+            cells = cut(kinds.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")))
+            own = placed.join(cells.select("cell", "main"), "cell").withColumnRenamed("cell", "own")
+            others = own.where("root <> main").withColumn("cell", _around("own", axes)).join(cells.withColumnRenamed("main", "met"), "cell").where("roots > 1 or met <> root")
+            between = cells.select(F.col("cell").alias("own"), F.col("main").alias("here"), _around("cell", axes).alias("to")).join(cells.select(F.col("cell").alias("to"), F.col("main").alias("there")), "to").where("here <> there")
+            side = length * (1 + 1e-9)
+            gaps = [F.greatest(F.lit(0.0), F.col("cell")[i] * side - F.col("x")[i], F.col("x")[i] - (F.col("cell")[i] + 1) * side) for i in range(axes)]
+            mains = own.where("root = main").join(between.select("own", F.col("to").alias("cell")), "own").where(sum(g * g for g in gaps) <= side * side)
+            asked = others.select("cell", "id", "x", "core", "root").unionByName(mains.select("cell", "id", "x", "core", "root"))
+        found = _meetings(asked, placed.select("cell", "id", "x", "core", "root"), local(length), "u long, v long, w double")
+        parts.append(cut(found.distinct()))
+    edges = cut(reduce(DataFrame.unionByName, parts, copies))
+    drop(places, *parts)
     return edges
 
 
-def spanning_forest(xs: np.ndarray, core: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning forest, point after point, each the nearest to what is connected so far."""
-    n = len(xs)
-    best, source, open_ = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool)
-    edges = []
-    for _ in range(n):
-        left = np.where(open_, best, np.inf)
-        i = int(left.argmin())
-        if not np.isfinite(left[i]):
-            i = int(open_.argmax())  # nothing in reach: the next tree begins
-        else:
-            edges.append((source[i], i, best[i]))
-        open_[i] = False
-        w = np.maximum(np.sqrt(((xs - xs[i]) ** 2).sum(1)), np.maximum(core, core[i]))
-        nearer = open_ & (w <= reach) & (w < best)
-        best[nearer], source[nearer] = w[nearer], i
-    u, v, w = map(np.array, zip(*edges, strict=True)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    return u, v, w
+def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b, w) are a minimum spanning forest: in rounds each component takes its shortest edge."""
+    order = np.argsort(w, kind="stable")
+    nodes, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    a, b = ends[: len(order)], ends[len(order) :]
+    comp, left, kept = np.arange(len(nodes)), np.arange(len(order)), [np.zeros(0, np.int64)]
+    while True:
+        left = left[comp[a[left]] != comp[b[left]]]
+        if not len(left):
+            return order[np.concatenate(kept)]
+        best = np.full(len(nodes), len(order))
+        for end in (a, b):
+            own = np.full(len(nodes), len(order))
+            own[comp[end[left[::-1]]]] = left[::-1]  # of several the shortest stays
+            best = np.minimum(best, own)
+        c = np.flatnonzero(best < len(order))
+        to = np.arange(len(nodes))
+        to[c] = comp[a[best[c]]] + comp[b[best[c]]] - c
+        both = c[(to[to[c]] == c) & (c < to[c])]
+        to[both] = both
+        while (to[to] != to).any():
+            to = to[to]
+        kept.append(np.unique(best[c]))
+        comp = to[comp]
 
 
 def _ends(pointers: DataFrame) -> DataFrame:
@@ -251,8 +331,8 @@ def density_clusters(points: DataFrame, reach: float, neighbours: int = 5, least
     further apart than ``reach`` is never together: the result is that of the whole hierarchy cut off there.
 
     Ids must be unique. Points with null or non-finite coordinates are -1. Neighbours are found by cells over the first
-    ``CELL_AXES`` coordinates; a crowded cell is split into blocks, which meet in different tasks (the work there grows with
-    the square of a cell's points, so ``reach`` should suit the data). Seeds, components and sums are joins and grouped
+    ``CELL_AXES`` coordinates, in grids of rising lengths, the first so fine that points are few in a cell; long lengths are
+    looked at only by points with few others around and between components. Seeds, components and sums are joins and grouped
     sums; the tree of one component's seeds, of at most a ``least``-th of its points, is walked in one task.
     """
     fine = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))

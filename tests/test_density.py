@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import density as D
 
@@ -106,3 +107,27 @@ def test_copies_missing_coordinates_and_empty_tables(spark):
     assert {got[i] for i in range(12)} == {0} and {got[i] for i in range(40, 44)} == {-1}
     assert D.density_clusters(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
     assert {r.cluster for r in D.density_clusters(spark.createDataFrame([(1, [0.0]), (2, [9.0])], SCHEMA), 1.0).collect()} == {-1}
+
+
+def test_a_crowded_cell_is_not_met_as_a_whole(spark, monkeypatch):
+    """All points within one cell of the reach, some of them copies: few pairs are looked at, with the same distances."""
+    met, meetings = [], D._meetings
+
+    def seen(asking, points, *rest):
+        met.append(asking.select("cell").join(points.select(F.col("cell").alias("cell")), "cell").count())
+        return meetings(asking, points, *rest)
+
+    monkeypatch.setattr(D, "_meetings", seen)
+    monkeypatch.setattr(D, "BLOCK", 64)
+    xs = np.random.default_rng(7).uniform(0, 0.99, (2000, 2))
+    xs[1900:] = xs[1890]
+    cores = D.core_distances(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], SCHEMA), 1.0, 5)
+    d = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(2))
+    expected = np.sort(d, 1)[:, 4]
+    assert {r.id: r.core for r in cores.collect()} == dict(enumerate(expected.tolist()))
+    edges = D.forest_edges(cores, 1.0).toPandas()
+    w = np.maximum(d, np.maximum(expected[:, None], expected[None]))
+    u, v = np.triu_indices(2000, 1)
+    whole = np.sort(w[u, v][D.spanning_forest(u, v, w[u, v])])
+    assert np.array_equal(np.sort(edges.w[D.spanning_forest(*(edges[c].to_numpy() for c in "uvw"))]), whole) and len(whole) == 1999
+    assert sum(met) < 2000 * 2000 // 2
