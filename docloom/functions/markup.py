@@ -15,13 +15,28 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 from . import text as T
 
 TAG = re.compile(r"<span((?:\s+[\w-]+=\"[^\"]*\")*)\s*>|</span>")
+#: Whatever begins as a span's tag does, and an attribute in it.
+ANY_TAG = re.compile(r"<span\b[^>]*>|</span>")
+ATTRIBUTE = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)=\"([^\"]*)\"")
 SPAN = StructType([StructField("index", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType()), StructField("attributes", MapType(StringType(), StringType()))])
 
 
-def parse(marked: str) -> list[dict]:
-    """Spans with offsets in the text without tags; a span in a span, or a lone end, is an error."""
+def strict_attributes(tag: str) -> dict[str, str]:
+    """A tag's attributes; one that comes twice, or anything else in the tag, is an error. Quotes may be escaped."""
+    inner = tag[len("<span") : -1].replace('\\"', '"')
+    found = ATTRIBUTE.findall(inner)
+    if len(dict(found)) < len(found):
+        raise ValueError("spans must not have an attribute twice")
+    if ATTRIBUTE.sub("", inner).strip():
+        raise ValueError("span tags must hold nothing but attributes")
+    return dict(found)
+
+
+def parse(marked: str, strict: bool = False) -> list[dict]:
+    """Spans with offsets in the text without tags; a span in a span, or a lone end, is an error. A tag that isn't well
+    formed is text, or an error if ``strict``."""
     out, plain, at, open_ = [], "", 0, None
-    for m in TAG.finditer(marked):
+    for m in (ANY_TAG if strict else TAG).finditer(marked):
         plain += marked[at : m.start()]
         at = m.end()
         if m.group().startswith("</"):
@@ -32,7 +47,7 @@ def parse(marked: str) -> list[dict]:
         elif open_ is not None:
             raise ValueError("spans must not be nested")
         else:
-            open_ = (len(plain), dict(re.findall(r"([\w-]+)=\"([^\"]*)\"", m.group(1))))
+            open_ = (len(plain), strict_attributes(m.group()) if strict else dict(re.findall(r"([\w-]+)=\"([^\"]*)\"", m.group(1))))
     if open_ is not None:
         raise ValueError("span without end")
     return out
@@ -44,6 +59,17 @@ def parse_spans(marked: str | None) -> list[dict] | None:
     return None if marked is None else parse(marked)
 
 
+@F.udf(StructType([StructField("spans", ArrayType(SPAN)), StructField("error", StringType())]), useArrow=False)
+def read_spans(marked: str | None) -> tuple[list[dict] | None, str | None] | None:
+    """Spans of each text by the strict ``parse``, or why it has none; null for null."""
+    if marked is None:
+        return None
+    try:
+        return parse(marked, strict=True), None
+    except ValueError as e:
+        return None, str(e)
+
+
 def span_values(label: str | None) -> Callable[[Column], Column]:
     """(text, value) of the spans of short texts, ``value`` being their attribute ``label``; null texts have none."""
 
@@ -70,10 +96,23 @@ def slices(marked: Column) -> Column:
     return F.filter(F.transform(F.split(marked, r"<slice\s*/>"), T.strip), lambda s: s != "")
 
 
-def annotation_errors(spans: Column, allowed: tuple[str, ...]) -> Column:
-    """Spans need exactly one attribute, of an allowed name, that isn't empty, and some text."""
-    bad = lambda s: (F.size(F.map_keys(s.attributes)) != 1) | F.exists(F.map_keys(s.attributes), lambda k: ~k.isin(*allowed)) | F.exists(F.map_values(s.attributes), lambda v: T.blank(v)) | (T.blank(s.text))
-    return F.transform(F.filter(spans, bad), lambda s: s["index"])
+def annotation_errors(marked: Column, allowed: tuple[str, ...]) -> Column:
+    """Errors (index, error) of marked texts whose spans need exactly one attribute, of an allowed name, that isn't empty.
+
+    A span with a wrong name and an empty value has two errors; its text doesn't matter. A text whose markup can't be read
+    has one, without an index. Null for null.
+    """
+    read = read_spans(marked)
+    error = lambda index, *parts: F.struct(index.alias("index"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("error"))
+    names = f"Allowed attributes: {', '.join(allowed)}"
+
+    def found(s: Column) -> Column:
+        i, n = s["index"], F.size(F.map_keys(s.attributes))
+        name, value = F.get(F.map_keys(s.attributes), F.lit(0)), F.get(F.map_values(s.attributes), F.lit(0))
+        wrong = F.when(n == 0, error(i, "the span has no attribute. ", names)).when(n > 1, error(i, "the span has more than one attribute")).when(~name.isin(*allowed), error(i, "the span has the attribute '", name, "'. ", names))
+        return F.filter(F.array(wrong, F.when((n == 1) & T.blank(value), error(i, "the span's attribute '", name, "' is empty"))), lambda e: e.isNotNull())
+
+    return F.when(read.error.isNotNull(), F.array(error(F.lit(None).cast("int"), read.error))).otherwise(F.flatten(F.transform(read.spans, found)))
 
 
 def redaction_errors(spans: Column, types: tuple[str, ...]) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
-from ..functions import text as T
 from ..operators.edit import apply_edits
 from .registry import query, table
 
@@ -30,8 +29,10 @@ def spans_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, (SELECT count(*) FROM (SELECT unnest(range(2, len(string_split(text, ' ')), 3)) AS i) WHERE i % 2 = 1)::INTEGER AS refused FROM conversations", "spans_valid")
 def spans_valid(spark: SparkSession, d: str) -> DataFrame:
-    parsed = marked(spark, d).withColumn("s", M.parse_spans(F.regexp_replace("marked", 'kind="b"', 'other="b"')))
-    return parsed.select("conv_id", "turn", F.size(M.annotation_errors(F.filter("s", lambda x: ~T.blank(x.text)), ("kind",))).alias("refused"))
+    """Spans that the annotation rules refuse, as every second one has an attribute that isn't allowed. A turn without text
+    has none; one whose own tags break the markup is refused as a whole, which counts once."""
+    errors = M.annotation_errors(F.regexp_replace("marked", 'kind="b"', 'other="b"'), ("kind",))
+    return marked(spark, d).select("conv_id", "turn", F.coalesce(F.size(F.array_distinct(errors["index"])), F.lit(0)).alias("refused"))
 
 
 @query("SELECT conv_id, turn, len([x for x in string_split(text, chr(10)) if trim(x) <> ''])::INTEGER AS n FROM conversations", "spans_slice")
